@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from packetloom.llm import chat, exact_dedup, mixing, url_filter
+from packetloom.llm import bpe, chat, exact_dedup, mixing, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_chat_formatting": chat.op3,
         "op4_exact_dedup": exact_dedup.op4,
+        "op5_byte_bpe": bpe.op5,
+        "op6_token_counts": token_counts.op6,
         "op7_source_mixing": mixing.op7,
+        "op8_toxicity": toxicity.op8,
         "op9_url_filters": url_filter.op9,
     }
 
