@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.llm import bpe, chat, exact_dedup, mixing, token_counts, toxicity, url_filter
+from packetloom.llm import bpe, chat, exact_dedup, mixing, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_source_mixing": mixing.op7,
         "op8_toxicity": toxicity.op8,
         "op9_url_filters": url_filter.op9,
+        "op10_simhash_near_dedup": simhash.op10,
     }
 
 

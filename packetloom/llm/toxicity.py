@@ -23,11 +23,30 @@ PREFIXES = (3, 4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _slot(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "replace")) & (SLOTS - 1)
+
+
 def slots_of(word: str) -> list[int]:
-    """Hash slots of a lower-cased word: the word and its prefixes."""
-    out = [zlib.crc32(("=" + word).encode("utf-8", "replace"))]
-    out += [zlib.crc32(("^" + word[:n]).encode("utf-8", "replace")) for n in PREFIXES if len(word) >= n]
-    return [x & (SLOTS - 1) for x in out]
+    """Hash slots of a lower-cased word: the word, then its prefixes."""
+    return [_slot("=" + word), *(_slot("^" + word[:n]) for n in PREFIXES if len(word) >= n)]
+
+
+def again(slot: int) -> int:
+    """The slot that says that two different words of a text share the prefix in `slot`."""
+    return (slot * 40503 + 12829) & (SLOTS - 1)
+
+
+def features(text: str | None) -> list[int]:
+    """The slots that a whole text sets."""
+    once: set[int] = set()
+    twice: set[int] = set()
+    for w in set(LETTERS.findall((text or "").lower())):
+        word, *prefixes = slots_of(w)
+        once.add(word)
+        twice.update(again(s) for s in prefixes if s in once)
+        once.update(prefixes)
+    return sorted(once | twice)
 
 
 @dataclass
@@ -103,9 +122,7 @@ def _features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                out.append(sorted({s for w in set(LETTERS.findall((t or "").lower())) for s in slots_of(w)}))
+            out = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(out, pa.list_(pa.int32()))], names=["positive", "slots"])
 
     return docs.select("positive", "text").mapInArrow(run, "positive boolean, slots array<int>")
@@ -136,20 +153,28 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     weight = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
 
     def run(batches):
-        memo: dict[str, tuple[int, ...]] = {}
+        memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        useful = lambda x: x in weight or again(x) in weight
         for b in batches:
             out = np.empty(b.num_rows)
             for i, t in enumerate(b.column("text").to_pylist()):
-                hits: set[int] = set()
+                words: set[int] = set()
+                once: set[int] = set()
+                twice: set[int] = set()
                 for w in set(LETTERS.findall((t or "").lower())):
                     s = memo.get(w)
                     if s is None:
                         if len(memo) > 500_000:
                             memo.clear()
-                        s = memo[w] = tuple(x for x in slots_of(w) if x in weight)
-                    if s:
-                        hits.update(s)
-                out[i] = model.bias + sum(weight[x] for x in sorted(hits))
+                        word, *prefixes = slots_of(w)
+                        some = tuple(x for x in prefixes if useful(x))
+                        s = memo[w] = (((word,) if word in weight else ()) + some, some)
+                    if s[0]:
+                        words.update(s[0])
+                        for x in s[1]:
+                            (twice if x in once else once).add(x)
+                hits = words | {again(x) for x in twice}
+                out[i] = model.bias + sum(weight.get(x, 0.0) for x in sorted(hits))
             p = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype("int32"))], names=schema.names)
 
