@@ -4,7 +4,9 @@ soon as no later byte can change it; decoding runs an incremental UTF-8 state ma
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,121 +16,160 @@ from pyspark.sql import types as T
 
 from packetloom.llm.common import ship
 
-#: Entries of each memo (transitions, pieces, pairs); a full memo is emptied.
-MEMO = 400_000
+#: Entries of each memo; a full memo is emptied. A transition takes about 1 kB.
+STEPS, PAIRS, PIECES = 60_000, 300_000, 400_000
 #: Longer pieces aren't memoised as a whole.
 PIECE_CHARS = 48
 
 
 class State:
-    """What the transducer knows between bytes: the last emitted token, the bytes not yet
-    emitted, and for each prefix of them its last token and where that token begins."""
+    """What the transducer knows between bytes: the last emitted token; the bytes not yet
+    emitted; for each prefix of them its last token and where that token begins; and the
+    tokens that have begun and aren't complete (where, and how far into the trie)."""
 
-    __slots__ = ("last", "pending", "tokens", "starts", "next")
+    __slots__ = ("last", "pending", "tokens", "starts", "open", "next")
 
-    def __init__(self, last: int, pending: bytes, tokens: tuple[int, ...], starts: tuple[int, ...]):
-        self.last, self.pending, self.tokens, self.starts = last, pending, tokens, starts
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
+    def __init__(self, last: int, pending: bytes, tokens: list[int], starts: list[int], open_: list[tuple[int, dict]]):
+        self.last, self.pending, self.tokens, self.starts, self.open = last, pending, tokens, starts, open_
+        self.next: dict[int, tuple[State, list[int]] | None] = {}
 
 
 class Transducer:
     """Exact BPE by ranks over one piece of bytes. The encoding of any prefix ends in one
     token only: the one whose left neighbour, the end of the shorter prefix, stays separate
-    from it when both are merged afresh."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.longest = max(map(len, ranks))
-        self.stems = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.sound: dict[bytes, bool] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.words = {i: t for t, i in ranks.items()}
+    from it when both are merged afresh. States are made when texts need them again."""
+
+    def __init__(self, ranks: dict[bytes, int], words: dict[int, bytes]):
+        self.ranks, self.words = ranks, words
+        #: A trie of dicts by byte; -1 holds the id of a token that its own merges reach.
+        self.trie: dict[int, dict] = {}
+        for token, rank in ranks.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            if len(token) == 1 or self.merged(token) == [token]:
+                node[-1] = rank
+        self.apart: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
         self.made = 0
-        self.start = self._state(-1, b"", (), ())
-
-    def _state(self, last: int, pending: bytes, tokens: tuple[int, ...], starts: tuple[int, ...]) -> State:
-        found = self.states.get((last, pending))
-        if found is None:
-            found = self.states[last, pending] = State(last, pending, tokens, starts)
-        return found
+        self.start = State(-1, b"", [], [], [])
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges by definition: of all neighbours, the pair of the lowest rank first."""
+        get, none = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
+        costs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while costs:
+            best = min(costs)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = costs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
-    def _token(self, data: bytes) -> int:
-        """The id of a token that its own merges reach, or -1."""
-        rank = self.ranks.get(data, -1)
-        if rank >= 0 and len(data) > 1:
-            ok = self.sound.get(data)
-            if ok is None:
-                ok = self.sound[data] = self.merged(data) == [data]
-            if not ok:
-                return -1
-        return rank
-
     def _separate(self, a: int, b: int) -> bool:
-        ok = self.apart.get((a, b))
-        if ok is None:
-            if len(self.apart) >= MEMO:
-                self.apart.clear()
-            x, y = self.words[a], self.words[b]
-            ok = self.apart[a, b] = self.merged(x + y) == [x, y]
+        if len(self.apart) >= PAIRS:
+            self.apart.clear()
+        x, y = self.words[a], self.words[b]
+        ok = self.apart[a << 32 | b] = self.merged(x + y) == [x, y]
         return ok
 
-    def _step(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        u = s.pending + bytes((byte,))
-        n = len(u)
-        for start in range(max(0, n - self.longest), n):
-            token = self._token(u[start:])
-            if token < 0:
+    def _run(self, last: int, tokens: list[int], starts: list[int], opened: list[tuple[int, dict]], data: bytes) -> list[tuple[int, dict]]:
+        """Read data: append the last token and its start for each longer prefix; return
+        what is open after it."""
+        apart, separate, root = self.apart, self._separate, self.trie
+        n = len(tokens)
+        for byte in data:
+            opened.append((n, root))
+            begun, found, at = [], -1, 0
+            for start, node in opened:
+                node = node.get(byte)
+                if node is None:
+                    continue
+                if found < 0:
+                    token = node.get(-1)
+                    if token is not None:
+                        before = tokens[start - 1] if start else last
+                        if before >= 0:
+                            ok = apart.get(before << 32 | token)
+                            if ok is None:
+                                ok = separate(before, token)
+                            if ok:
+                                found, at = token, start
+                        else:
+                            found, at = token, start
+                begun.append((start, node))
+            if found < 0:
+                raise ValueError(f"no token ends in byte {byte}")
+            tokens.append(found)
+            starts.append(at)
+            opened = begun
+            n += 1
+        return opened
+
+    def _step(self, s: State, byte: int) -> tuple[State, list[int]]:
+        """Determinise: the state after one more byte, and the tokens that are final then."""
+        tokens, starts = s.tokens.copy(), s.starts.copy()
+        begun = self._run(s.last, tokens, starts, s.open.copy(), bytes((byte,)))
+        # a later token may begin at the end or where one has begun; what the encodings up to
+        # all those places share is final
+        cut = len(tokens)
+        for j, node in begun:
+            if len(node) == (-1 in node):
                 continue
-            before = s.tokens[start - 1] if start else s.last
-            if before < 0 or self._separate(before, token):
-                break
-        else:
-            raise ValueError(f"no token ends in byte {byte}")
-        tokens, starts = (*s.tokens, token), (*s.starts, start)
-        chain = lambda j: {j} if j == 0 else {j, *chain(starts[j - 1])}
-        # boundaries where a later token may still begin; what all their encodings share is final
-        shared = chain(n)
-        for j in range(max(0, n - self.longest), n):
-            if u[j:] in self.stems:
-                shared &= chain(j)
-        cut = max(shared)
+            while cut != j:
+                if cut > j:
+                    cut = starts[cut - 1]
+                else:
+                    j = starts[j - 1]
         out: list[int] = []
         j = cut
         while j:
             out.append(tokens[j - 1])
             j = starts[j - 1]
         last = out[0] if out else s.last
-        return self._state(last, u[cut:], tokens[cut:], tuple(x - cut for x in starts[cut:])), tuple(reversed(out))
+        key = (last, (s.pending + bytes((byte,)))[cut:])
+        after = self.states.get(key)
+        if after is None:
+            opened = [(j - cut, node) for j, node in begun if len(node) > (-1 in node)]
+            after = self.states[key] = State(last, key[1], tokens[cut:], [x - cut for x in starts[cut:]], opened)
+        return after, out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        if self.made > MEMO:
+        """Follow the determinised steps. Where they end, a step that is missed for the second
+        time is made; what is left of a short piece runs undeterminised, for rare words would
+        only fill the memory. Long pieces go step by step, so what they hold stays bounded."""
+        if self.made > STEPS:
             self.reset()
-        s, out = self.start, []
-        for byte in piece:
+        s, out, i, short = self.start, [], 0, len(piece) <= PIECE_CHARS
+        while i < len(piece):
+            byte = piece[i]
             step = s.next.get(byte)
             if step is None:
+                if short and byte not in s.next:
+                    s.next[byte] = None
+                    break
                 step = s.next[byte] = self._step(s, byte)
                 self.made += 1
             s, emitted = step
             out += emitted
-        tail, j = [], len(s.pending)
+            i += 1
+        tokens, starts = s.tokens, s.starts
+        if i < len(piece):
+            tokens, starts = tokens.copy(), starts.copy()
+            self._run(s.last, tokens, starts, s.open.copy(), piece[i:])
+        tail, j = [], len(tokens)
         while j:
-            tail.append(s.tokens[j - 1])
-            j = s.starts[j - 1]
+            tail.append(tokens[j - 1])
+            j = starts[j - 1]
         return out + tail[::-1]
 
 
@@ -164,14 +205,23 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.cut = regex.compile(pattern)
-        self.transducer = Transducer(self.ranks)
-        self.words = self.transducer.words
+        self.words = {i: t for t, i in self.ranks.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @cached_property
+    def transducer(self) -> Transducer:
+        """Made when the first piece is encoded; decoding doesn't need it."""
+        return Transducer(self.ranks, self.words)
 
     def _miss(self, piece: str) -> bytes:
-        out = np.array(self.transducer.encode(piece.encode("utf-8", "replace")), dtype="<i4").tobytes()
+        """Two generations: a full memo becomes the older one, and what is used again stays."""
+        out = self.older.get(piece)
+        if out is None:
+            out = np.array(self.transducer.encode(piece.encode("utf-8", "replace")), dtype="<i4").tobytes()
         if len(piece) <= PIECE_CHARS:
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= PIECES:
+                self.older = self.memo.copy()
                 self.memo.clear()
             self.memo[piece] = out
         return out
@@ -198,8 +248,10 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker."""
+    """One for each Python worker. The memos hold no cycles, so the collector of cycles, which
+    would walk them again and again, is switched off there."""
     if (path, pattern) not in _codecs:
+        gc.disable()
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
 
@@ -214,7 +266,7 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def _slices(batches, text_col: str, size: int = 16 << 20):
+def _slices(batches, text_col: str, size: int = 4 << 20):
     """Batches of a bounded number of text bytes (or one row)."""
     for b in batches:
         col = b.column(text_col)
@@ -226,16 +278,17 @@ def _slices(batches, text_col: str, size: int = 16 << 20):
             yield b.slice(i, step)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with n_tokens and (unless ids is False) ids array<int>; a narrow map, no shuffle.
+def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text_col: str = "text", drop: tuple[str, ...] = (), decoded: str | None = None) -> DataFrame:
+    """docs with n_tokens, (unless ids is False) ids array<int>, and, if `decoded` names a
+    column, the text that the ids decode to; a narrow map, no shuffle.
 
     Null text counts as empty and has no ids. Input columns named like result columns are
     replaced; `drop` leaves input columns out. Lone surrogates become U+FFFD. Very long texts
     are encoded in linear time; an empty table gives an empty result."""
     ship(docs.sparkSession)
-    made = ["n_tokens", "ids"]
-    keep = [f for f in docs.schema.fields if f.name not in made and f.name not in drop]
-    schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])])
+    made = [T.StructField("n_tokens", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    keep = [f for f in docs.schema.fields if f.name not in {m.name for m in made} and f.name not in drop]
+    schema = T.StructType([*keep, *made])
     names = [f.name for f in keep]
     source = docs.select(*names, *([text_col] if text_col not in names else []))
 
@@ -248,6 +301,8 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text_col:
             if ids:
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
                 cols.append(pa.ListArray.from_arrays(pa.array(ends.astype("int32")), values))
+            if decoded:
+                cols.append(pa.array(["".join(c.decode(np.frombuffer(p, "<i4"))) for p in parts], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -272,5 +327,5 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", to
 def op5(spark, sf_dir):
     path, pattern = vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, path, pattern, drop=("text",)), path, pattern)
+    both = encode(docs, path, pattern, drop=("text",), decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
