@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from packetloom.llm import bpe, chat, exact_dedup, mixing, simhash, token_counts, toxicity, url_filter
+from packetloom.llm import bpe, chat, exact_dedup, mixing, mtree, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_exact_top_k": mtree.op2,
         "op3_chat_formatting": chat.op3,
         "op4_exact_dedup": exact_dedup.op4,
         "op5_byte_bpe": bpe.op5,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_exact_top_k": mtree.ORACLE,
         "op3_chat_formatting": chat.ORACLE,
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op7_source_mixing": mixing.ORACLE,
