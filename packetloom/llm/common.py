@@ -99,3 +99,19 @@ def has_bit(bits: Column, pos: Column) -> Column:
     at = F.pmod(pos, F.lit(PIECE))
     byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+
+
+def bits_of(pieces: DataFrame, bits: int):
+    """The bitmap as bytes (at most 32 MiB) for Python tasks, as a broadcast."""
+    import numpy as np
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pieces.collect():  # at most bits / PIECE rows
+        at = r["piece"] * (PIECE // 8)
+        out[at : at + PIECE // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return pieces.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bits(bits, pos):
+    """Whether each position (a numpy array of int64) is set."""
+    return (bits[pos >> 3] >> (pos & 7).astype("uint8")) & 1 == 1

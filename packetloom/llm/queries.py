@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from packetloom.llm import bpe, chat, exact_dedup, mixing, mtree, simhash, token_counts, toxicity, url_filter
+from packetloom.llm import bpe, chat, exact_dedup, mixing, mtree, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1,
         "op2_exact_top_k": mtree.op2,
         "op3_chat_formatting": chat.op3,
         "op4_exact_dedup": exact_dedup.op4,
