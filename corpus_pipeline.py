@@ -1,8 +1,58 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
 
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again before the next. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from packetloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from packetloom.llm.common import materialize, without
+
+
+def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+
+
+def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts the row with the smallest doc_id stays. Rows that share that doc_id
+    and the group stay together."""
+    key = F.xxhash64("doc_id", "text")
+    found = simhash.near_dedup(docs.withColumn("__key", key), carry=["doc_id", "__key"])
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("__key").alias("k"))
+    return without(docs, key, gone)
+
+
+def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of documents that the mix leaves out go, those it takes twice come twice."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and whether the ids decode to the text again."""
+    path, pattern = bpe.vocabulary()
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, decoded="decoded")
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+STAGES = [("toxicity", toxic), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing sources", mix), ("byte-level BPE", tokens)]
+
+#: SQL can't express the stages (a trained classifier, XXH64 fingerprints, BPE): tests hold
+#: them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

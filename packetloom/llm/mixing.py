@@ -27,8 +27,9 @@ def targets(sources: DataFrame, total_share: float = 1.5, most: float = 2.0, wei
     before, after = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = w.withColumn("level", (F.lit(total_share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    w = w.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(everything))
-    return w.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    # capping one more source raises the level as long as it belongs among the capped, then lowers it
+    w = w.withColumn("level", F.max("level").over(everything))
+    return w.select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -59,10 +60,30 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return materialize(out.select("source", "source_size", "target", "passes", "limit"), "thresholds")
 
 
+def hash_of(doc_id):
+    """A BITS-bit hash of doc_id."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; null text: 0) and h, a 60-bit hash of doc_id."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+    """doc_id, source, size (words; null text: 0) and h, the hash of doc_id."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash_of(F.col("doc_id")).alias("h"))
+
+
+def plan(sized: DataFrame, total_share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """(source, source_size, target, passes, limit) for sizes(): what the mix does with each
+    source, from histograms alone."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return thresholds(sized, materialize(targets(per, total_share, most, weights), "targets"))
+
+
+def times(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows (with source and __h) with __times, how often the mix takes each, and the
+    columns of its source's plan."""
+    few = limits.count() <= BROADCAST_SOURCES
+    named = limits.withColumnRenamed("source", "__s")
+    out = rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("__s")))
+    return out.withColumn("__times", F.col("passes") + (F.col("__h") <= F.col("limit")).cast("long")).drop("__s")
 
 
 def mix(docs: DataFrame, total_share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -71,14 +92,18 @@ def mix(docs: DataFrame, total_share: float = 1.5, most: float = 2.0, weights: t
     taken is a multiple of size: a document is taken whole, up to `most` times. Which ones
     depends on their doc_id only, so reruns agree; rows that repeat a doc_id in a source go
     together. Null and empty texts have size 0; the null source is a source like others,
-    last in order. An empty table gives an empty result."""
+    last in order. Other columns are not read. An empty table gives an empty result."""
     sized = materialize(sizes(docs), "sizes")  # the texts are read once
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = materialize(targets(per, total_share, most, weights), "targets")
-    limits = thresholds(sized, goals).withColumnRenamed("source", "s")
-    few = limits.count() <= BROADCAST_SOURCES
-    out = sized.join(F.broadcast(limits) if few else limits, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + (F.col("h") <= F.col("limit")).cast("long"))).alias("taken"))
+    out = times(sized.withColumnRenamed("h", "__h"), plan(sized, total_share, most, weights))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("__times")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as the mix takes them: some not at all, some twice; no shuffle of
+    texts. Sources without a word are kept as they are."""
+    limits = plan(materialize(sizes(docs), "sizes"), **how).select("source", F.when(F.col("source_size") > 0, F.col("passes")).otherwise(1).alias("passes"), "limit")
+    rows = times(docs.withColumn("__h", hash_of(F.col("doc_id"))), limits)
+    return rows.filter("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
 
 
 def op7(spark, sf_dir):
@@ -93,7 +118,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 w AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
              / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN lev <= cap / w THEN lev END) OVER () * w, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, max(lev) OVER () * w) AS target FROM l),
 g AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS passes FROM t),
 c AS (SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
 b AS (SELECT c.source, max(h) AS top FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source

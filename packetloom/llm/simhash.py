@@ -52,16 +52,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long); a narrow map. Null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """The carried columns and fp (long); a narrow map. Null and wordless texts have
+    fingerprint 0."""
     ship(docs.sparkSession)
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([fingerprint(t) for t in b.column(text_col).to_pylist()], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array([fingerprint(t) for t in b.column(text_col).to_pylist()], pa.int64())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*carry, *([text_col] if text_col not in carry else [])).mapInArrow(run, schema)
 
 
 def _keys(fps: DataFrame, long: bool) -> DataFrame:
@@ -175,21 +176,23 @@ def links(fps: DataFrame) -> DataFrame:
     return _linked(keys.join(full, "key", "left_anti"), long).unionByName(_stars(dense))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id), one row for each row of docs: component_id is the smallest id
-    that links of at most 4 differing bits reach.
+def near_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The carried columns (default: the id), fp and component_id, one row for each row of
+    docs: component_id is the smallest id that links of at most 4 differing bits reach.
 
     Equal fingerprints are one node, so exact copies add no links. Null and wordless texts
     have fingerprint 0 and are linked like any other. Null ids are never a component's id
-    unless it has no other. Other columns aren't read. An empty table gives an empty result."""
-    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    unless it has no other. Columns that aren't carried aren't read; carried ones named like
+    result columns are replaced. An empty table gives an empty result."""
+    carry = [c for c in (carry or [id_col]) if c not in ("fp", "component_id")]
+    rows = materialize(fingerprints(docs, carry, text_col), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     parts = materialize(connected_components(links(nodes.select("fp"))), "parts")
     named = parts.join(nodes, parts["node"] == nodes["fp"]).select("fp", "component", "least")
     first = materialize(named.groupBy("component").agg(F.min("least").alias("id")), "first")
     moved = materialize(parts.join(first, "component").select(F.col("node").alias("fp"), "id"), "moved")
     whole = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id")), "whole")
-    return rows.join(whole, "fp").select(id_col, "fp", "component_id")
+    return rows.join(whole, "fp").select(*carry, "fp", "component_id")
 
 
 def op10(spark, sf_dir):
