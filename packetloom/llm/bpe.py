@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -16,46 +17,49 @@ from pyspark.sql import types as T
 
 from packetloom.llm.common import ship
 
-#: Entries of each memo; a full memo is emptied. A transition takes about 1 kB.
-STEPS, PAIRS, PIECES = 60_000, 300_000, 400_000
+#: Entries of each memo; a full memo is emptied.
+PAIRS, PIECES = 300_000, 300_000
 #: Longer pieces aren't memoised as a whole.
 PIECE_CHARS = 48
-
-
-class State:
-    """What the transducer knows between bytes: the last emitted token; the bytes not yet
-    emitted; for each prefix of them its last token and where that token begins; and the
-    tokens that have begun and aren't complete (where, and how far into the trie)."""
-
-    __slots__ = ("last", "pending", "tokens", "starts", "open", "next")
-
-    def __init__(self, last: int, pending: bytes, tokens: list[int], starts: list[int], open_: list[tuple[int, dict]]):
-        self.last, self.pending, self.tokens, self.starts, self.open = last, pending, tokens, starts, open_
-        self.next: dict[int, tuple[State, list[int]] | None] = {}
+#: Bytes read before what is final is emitted, again and again.
+LOOKED = 512
 
 
 class Transducer:
-    """Exact BPE by ranks over one piece of bytes. The encoding of any prefix ends in one
-    token only: the one whose left neighbour, the end of the shorter prefix, stays separate
-    from it when both are merged afresh. States are made when texts need them again."""
+    """Exact BPE by ranks over one piece of bytes, read once from left to right.
+
+    The encoding of any prefix ends in one token only: the one whose left neighbour, the end
+    of the shorter prefix, stays separate from it when both are merged afresh. So the states
+    are those of the automaton that knows the longest end of the input which begins a token
+    (transitions and the tokens that may end there are determinised when first needed), with
+    the last tokens of the prefixes that this end covers as registers. What the encodings up
+    to all places where a token may still begin share is final and is emitted: the lookahead
+    is bounded by the longest token."""
 
     def __init__(self, ranks: dict[bytes, int], words: dict[int, bytes]):
         self.ranks, self.words = ranks, words
-        #: A trie of dicts by byte; -1 holds the id of a token that its own merges reach.
-        self.trie: dict[int, dict] = {}
+        self.go: list[dict[int, int]] = [{}]
+        self.parent, self.byte, self.depth = [0], [0], [0]
+        self.token = [-1]
         for token, rank in ranks.items():
-            node = self.trie
+            node = 0
             for byte in token:
-                node = node.setdefault(byte, {})
-            if len(token) == 1 or self.merged(token) == [token]:
-                node[-1] = rank
+                child = self.go[node].get(byte)
+                if child is None:
+                    child = self.go[node][byte] = len(self.go)
+                    self.go.append({})
+                    self.parent.append(node)
+                    self.byte.append(byte)
+                    self.depth.append(self.depth[node] + 1)
+                    self.token.append(-1)
+                node = child
+            if len(token) == 1 or self.merged(token) == [token]:  # else its own merges don't reach it
+                self.token[node] = rank
+        n = len(self.go)
+        self.stem = [bool(x) for x in self.go]  # whether a longer token begins so
+        self.fall = [-1] * n
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * n
         self.apart: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.states: dict[tuple[int, bytes], State] = {}
-        self.made = 0
-        self.start = State(-1, b"", [], [], [])
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges by definition: of all neighbours, the pair of the lowest rank first."""
@@ -75,6 +79,31 @@ class Transducer:
                 costs[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
+    def _shorter(self, state: int) -> int:
+        """The state of the next shorter end."""
+        out = self.fall[state]
+        if out < 0:
+            up = self.parent[state]
+            out = self.fall[state] = self._next(self._shorter(up), self.byte[state]) if up else 0
+        return out
+
+    def _next(self, state: int, byte: int) -> int:
+        """Determinise one transition."""
+        out = self.go[state].get(byte)
+        if out is None:
+            if not state:
+                raise ValueError(f"no token has byte {byte}")
+            out = self.go[state][byte] = self._next(self._shorter(state), byte)
+        return out
+
+    def _ends(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(token, bytes) of the tokens that may end here, the longest first."""
+        out = self.ends[state]
+        if out is None:
+            own = ((self.token[state], self.depth[state]),) if self.token[state] >= 0 else ()
+            out = self.ends[state] = own + (self._ends(self._shorter(state)) if state else ())
+        return out
+
     def _separate(self, a: int, b: int) -> bool:
         if len(self.apart) >= PAIRS:
             self.apart.clear()
@@ -82,95 +111,58 @@ class Transducer:
         ok = self.apart[a << 32 | b] = self.merged(x + y) == [x, y]
         return ok
 
-    def _run(self, last: int, tokens: list[int], starts: list[int], opened: list[tuple[int, dict]], data: bytes) -> list[tuple[int, dict]]:
-        """Read data: append the last token and its start for each longer prefix; return
-        what is open after it."""
-        apart, separate, root = self.apart, self._separate, self.trie
-        n = len(tokens)
-        for byte in data:
-            opened.append((n, root))
-            begun, found, at = [], -1, 0
-            for start, node in opened:
-                node = node.get(byte)
-                if node is None:
-                    continue
-                if found < 0:
-                    token = node.get(-1)
-                    if token is not None:
-                        before = tokens[start - 1] if start else last
-                        if before >= 0:
-                            ok = apart.get(before << 32 | token)
-                            if ok is None:
-                                ok = separate(before, token)
-                            if ok:
-                                found, at = token, start
-                        else:
-                            found, at = token, start
-                begun.append((start, node))
-            if found < 0:
-                raise ValueError(f"no token ends in byte {byte}")
-            tokens.append(found)
-            starts.append(at)
-            opened = begun
-            n += 1
-        return opened
-
-    def _step(self, s: State, byte: int) -> tuple[State, list[int]]:
-        """Determinise: the state after one more byte, and the tokens that are final then."""
-        tokens, starts = s.tokens.copy(), s.starts.copy()
-        begun = self._run(s.last, tokens, starts, s.open.copy(), bytes((byte,)))
-        # a later token may begin at the end or where one has begun; what the encodings up to
-        # all those places share is final
-        cut = len(tokens)
-        for j, node in begun:
-            if len(node) == (-1 in node):
-                continue
-            while cut != j:
-                if cut > j:
-                    cut = starts[cut - 1]
-                else:
-                    j = starts[j - 1]
-        out: list[int] = []
-        j = cut
-        while j:
-            out.append(tokens[j - 1])
-            j = starts[j - 1]
-        last = out[0] if out else s.last
-        key = (last, (s.pending + bytes((byte,)))[cut:])
-        after = self.states.get(key)
-        if after is None:
-            opened = [(j - cut, node) for j, node in begun if len(node) > (-1 in node)]
-            after = self.states[key] = State(last, key[1], tokens[cut:], [x - cut for x in starts[cut:]], opened)
-        return after, out[::-1]
+    def _final(self, state: int, sizes: list[int]) -> int:
+        """Up to where the encoding can't change any more."""
+        cut = len(sizes)
+        while state:
+            if self.stem[state]:
+                j = len(sizes) - self.depth[state]
+                while cut != j:
+                    if cut > j:
+                        cut -= sizes[cut - 1]
+                    else:
+                        j -= sizes[j - 1]
+            state = self._shorter(state)
+        return cut
 
     def encode(self, piece: bytes) -> list[int]:
-        """Follow the determinised steps. Where they end, a step that is missed for the second
-        time is made; what is left of a short piece runs undeterminised, for rare words would
-        only fill the memory. Long pieces go step by step, so what they hold stays bounded."""
-        if self.made > STEPS:
-            self.reset()
-        s, out, i, short = self.start, [], 0, len(piece) <= PIECE_CHARS
-        while i < len(piece):
-            byte = piece[i]
-            step = s.next.get(byte)
-            if step is None:
-                if short and byte not in s.next:
-                    s.next[byte] = None
+        out: list[int] = []
+        go, ends, apart = self.go, self.ends, self.apart
+        state, last, n = 0, -1, 0
+        tokens: list[int] = []  # of each prefix not yet emitted: its last token, and that token's size
+        sizes: list[int] = []
+        for byte in piece:
+            to = go[state].get(byte)
+            state = self._next(state, byte) if to is None else to
+            n += 1
+            for token, size in ends[state] or self._ends(state):
+                before = tokens[n - size - 1] if n > size else last
+                if before < 0:
+                    break
+                ok = apart.get(before << 32 | token)
+                if ok is None:
+                    ok = self._separate(before, token)
+                if ok:
                     break
-                step = s.next[byte] = self._step(s, byte)
-                self.made += 1
-            s, emitted = step
-            out += emitted
-            i += 1
-        tokens, starts = s.tokens, s.starts
-        if i < len(piece):
-            tokens, starts = tokens.copy(), starts.copy()
-            self._run(s.last, tokens, starts, s.open.copy(), piece[i:])
-        tail, j = [], len(tokens)
-        while j:
-            tail.append(tokens[j - 1])
-            j = starts[j - 1]
-        return out + tail[::-1]
+            tokens.append(token)
+            sizes.append(size)
+            if n >= LOOKED:
+                cut = self._final(state, sizes)
+                if cut:
+                    ready = self._back(tokens, sizes, cut)
+                    out += ready
+                    last = ready[-1]
+                    del tokens[:cut], sizes[:cut]
+                    n -= cut
+        return out + self._back(tokens, sizes, n)
+
+    @staticmethod
+    def _back(tokens: list[int], sizes: list[int], n: int) -> list[int]:
+        out = []
+        while n:
+            out.append(tokens[n - 1])
+            n -= sizes[n - 1]
+        return out[::-1]
 
 
 class Utf8Machine:
@@ -218,7 +210,7 @@ class Codec:
         """Two generations: a full memo becomes the older one, and what is used again stays."""
         out = self.older.get(piece)
         if out is None:
-            out = np.array(self.transducer.encode(piece.encode("utf-8", "replace")), dtype="<i4").tobytes()
+            out = array("i", self.transducer.encode(piece.encode("utf-8", "replace"))).tobytes()
         if len(piece) <= PIECE_CHARS:
             if len(self.memo) >= PIECES:
                 self.older = self.memo.copy()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.bpe import encode, vocabulary
+from packetloom.llm.common import materialize
 
 #: Lengths a block; sums run inside blocks side by side, and over one row for each block.
 BLOCK = 256
@@ -22,6 +23,7 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     docs_over for each token more. A quantile q is the first row with docs_upto >=
     q * n_total. Null lengths are left out; an empty table gives an empty result."""
     hist = lengths.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = materialize(hist, "lengths")  # both branches below read it; texts are encoded once
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     rising = Window.orderBy("block")  # one row for each BLOCK lengths

@@ -17,7 +17,7 @@ from packetloom.llm.common import ship
 
 #: Bounds of the training sample (documents) and sizes of the model. The sample has the
 #: smallest hashes of doc_id; statistics over labels cover all labelled rows.
-POSITIVES, UNLABELLED = 4000, 12000
+POSITIVES, UNLABELLED = 3000, 9000
 SLOTS, FEATURES, LEAST = 1 << 20, 4096, 20.0
 PREFIXES = (3, 4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -60,8 +60,10 @@ class Model:
 def select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     """The slots that stand out most among positives by the log-likelihood ratio of their
     share; LEAST keeps what chance brings among so many slots out of the model."""
-    p = np.bincount(np.concatenate(pos), minlength=SLOTS).astype(float)
-    u = np.bincount(np.concatenate(unl), minlength=SLOTS).astype(float)
+    p, u = np.zeros(SLOTS), np.zeros(SLOTS)
+    for total, rows in ((p, pos), (u, unl)):
+        for r in rows:
+            total[r] += 1  # a text has each slot once
     n, m = len(pos), len(unl)
     both = (p + u) / (n + m)
     part = lambda x, k: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(both * k, 1e-9)), 0) + np.where(x < k, (k - x) * np.log(np.maximum(k - x, 1e-9) / np.maximum((1 - both) * k, 1e-9)), 0)
@@ -123,9 +125,9 @@ def _features(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(out, pa.list_(pa.int32()))], names=["positive", "slots"])
+            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array([np.array(x, np.int32).tobytes() for x in out], pa.binary())], names=["positive", "slots"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, slots array<int>")
+    return docs.select("positive", "text").mapInArrow(run, "positive boolean, slots binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -138,9 +140,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pos = known.filter("toxic = 1").join(ids, "doc_id", "left_semi").select("doc_id").distinct().orderBy(*order).limit(POSITIVES).withColumn("positive", F.lit(True))
     unl = ids.distinct().orderBy(*order).limit(UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(pos.unionByName(unl))  # at most POSITIVES + UNLABELLED ids
-    rows = _features(docs.select("doc_id", "text").join(chosen, "doc_id")).collect()
-    of = lambda kind: [np.array(r["slots"] or [], dtype=np.int64) for r in rows if r["positive"] is kind]
-    return fit(of(True), of(False), prior)
+    examples: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for r in _features(docs.select("doc_id", "text").join(chosen, "doc_id")).collect():  # bounded by the sample
+        examples[r["positive"]].append(np.frombuffer(bytes(r["slots"]), np.int32))
+    return fit(examples[True], examples[False], prior)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
