@@ -115,8 +115,9 @@ def string_hashes(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _mix((sums[at + DEPTH] - sums[at]) * _tables()[1][at])
 
 
-#: Groups with more different runs are dealt by single strings and not kept together.
-CROWD = 512
+#: Groups with more different runs (at most 137 strings of 8 bytes each, so 36 MB) are dealt by
+#: single strings and not kept together.
+CROWD = 32_768
 #: Mixes a place into a text's hash; the product of a place and this stays under 2^63.
 _STEP = 2654435761
 _SPAN = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("span", T.LongType())])
