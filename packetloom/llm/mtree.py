@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from packetloom.llm.common import materialize, ship
 
 #: Rows a block of candidates, queries a block, entries a page.
-BLOCK, QUERIES, PAGE = 8192, 1024, 64
+BLOCK, QUERIES, PAGE = 16384, 1024, 256
 #: Distances are doubles; bounds are loosened by this share of the largest before they prune.
 SLACK = 1e-9
 
@@ -26,7 +26,6 @@ class Tree:
     """A bulk-loaded M-tree over the rows of x (int64); leaves hold row numbers."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
         norm = (x.astype(float) ** 2).sum(axis=1)
         self.top = float(norm.max()) if len(x) else 0.0
         self.points = np.column_stack((x.astype(float), np.sqrt(np.maximum(self.top - norm, 0))))
@@ -34,6 +33,8 @@ class Tree:
         #: A page: its entries (rows, or routing rows), their distance to the parent's routing
         #: row, their covering radii and the pages below (None in a leaf).
         self.pages: list[tuple[np.ndarray, np.ndarray, np.ndarray | None, list[int] | None]] = []
+        #: Coordinates of each page's rows, side by side.
+        self.coords: list[np.ndarray] = []
         self.root = self._page(np.arange(len(x)), None) if len(x) else -1
 
     def _far(self, rows: np.ndarray, centre: int | None) -> np.ndarray:
@@ -45,6 +46,7 @@ class Tree:
     def _page(self, rows: np.ndarray, parent: int | None) -> int:
         if len(rows) <= PAGE:
             self.pages.append((rows, self._far(rows, parent), None, None))
+            self.coords.append(np.ascontiguousarray(self.points[rows, :-1]))
             return len(self.pages) - 1
         fan = min(PAGE, -(-len(rows) // PAGE) * 2)
         seeds = rows[np.linspace(0, len(rows) - 1, fan).astype(int)]
@@ -62,6 +64,7 @@ class Tree:
                 below.append(self._page(mine, c))
         centres = np.array(centres)
         self.pages.append((centres, self._far(centres, parent), np.array(radii), below))
+        self.coords.append(self.points[centres])
         return len(self.pages) - 1
 
     def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int) -> list[tuple[int, int]]:
@@ -76,14 +79,21 @@ class Tree:
             if least > reach + self.slack:
                 break
             rows, to_parent, radii, below = self.pages[page]
-            # stored distances rule entries out before any distance is computed
-            bound = np.abs(up - to_parent) - (0 if radii is None else radii) if page != self.root else np.zeros(len(rows))
-            at = np.flatnonzero(bound <= reach + self.slack)
-            if not len(at):
-                continue
+            coords = self.coords[page]
+            if page != self.root and reach < np.inf:
+                # stored distances rule entries out before any distance is computed
+                bound = np.abs(up - to_parent)
+                at = np.flatnonzero((bound if radii is None else bound - radii) <= reach + self.slack)
+                if len(at) < len(rows):
+                    rows, coords = rows[at], coords[at]
+                    radii = None if radii is None else radii[at]
+                    below = None if below is None else [below[i] for i in at]
             if below is None:
-                r = rows[at]
-                for score, i in zip((self.x[r] @ q).tolist(), ids[r].tolist(), strict=True):
+                scores = coords @ point[:-1]  # exact: integers below 2^53
+                if len(best) == k:  # ties may still win by their id
+                    good = scores >= best[0][0]
+                    rows, scores = rows[good], scores[good]
+                for score, i in zip(scores.tolist(), ids[rows].tolist(), strict=True):
                     if i == own:
                         continue
                     if len(best) < k:
@@ -93,12 +103,12 @@ class Tree:
                 if len(best) == k:
                     reach = np.sqrt(max(size - 2.0 * best[0][0], 0.0))
                 continue
-            d = self.points[rows[at]] - point
-            d = np.sqrt((d * d).sum(axis=1))
-            low = np.maximum(d - radii[at], 0)
-            for j in np.flatnonzero(low <= reach + self.slack):
-                heapq.heappush(queue, (float(low[j]), below[at[j]], float(d[j])))
-        return [(s, -i) for s, i in best]
+            d = coords - point
+            d = np.sqrt(np.einsum("ij,ij->i", d, d))
+            low = np.maximum(d - radii, 0)
+            for j in np.flatnonzero(low <= reach + self.slack).tolist():
+                heapq.heappush(queue, (float(low[j]), below[j], float(d[j])))
+        return [(int(s), -i) for s, i in best]
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
