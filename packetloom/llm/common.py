@@ -120,11 +120,11 @@ def in_bits(bits, pos):
 def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     """df without the rows whose key (a long) is in gone (one column, k). A capped filter lets
     all rows pass straight through that can't be in it; only the others are joined."""
-    gone = materialize(gone.select("k").distinct(), "gone")
+    gone = materialize(gone.select(F.col("k").alias("__k")).distinct(), "gone")
     bits = capped_bits(gone.count(), 32)
-    pieces = F.broadcast(materialize(bitmap(gone.select(F.col("k").bitwiseAND(F.lit(bits - 1)).alias("pos")).distinct(), "pos"), "gonebits"))
+    pieces = F.broadcast(materialize(bitmap(gone.select(F.col("__k").bitwiseAND(F.lit(bits - 1)).alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "gonebits"))
     rows = df.withColumn("__key", key).withColumn("__pos", F.coalesce(F.col("__key"), F.lit(0)).bitwiseAND(F.lit(bits - 1)))
-    rows = rows.join(pieces, F.expr(f"__pos div {PIECE}") == F.col("piece"), "left").withColumn("__maybe", has_bit(F.col("bits"), F.col("__pos")))
+    rows = rows.join(pieces, F.expr(f"__pos div {PIECE}") == F.col("__piece"), "left").withColumn("__maybe", has_bit(F.col("__bits"), F.col("__pos")))
     free = rows.filter(~F.col("__maybe")).select(*df.columns)
-    rest = rows.filter("__maybe").join(gone, F.col("__key") == F.col("k"), "left_anti").select(*df.columns)
+    rest = rows.filter("__maybe").join(gone, F.col("__key") == F.col("__k"), "left_anti").select(*df.columns)
     return free.unionByName(rest)

@@ -260,14 +260,14 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, text_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text), "__text": text})
     found = repeated_spans(keyed.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.col("__text").alias("text")))
-    spans = materialize(found.groupBy("t1", "t2").agg(F.collect_set("span").alias("__spans")), "spans")
+    spans = materialize(found.groupBy(F.col("t1").alias("__s1"), F.col("t2").alias("__s2")).agg(F.collect_set("span").alias("__spans")), "spans")
     # texts without a span pass by the join: a capped filter of the others' hashes decides
     bits = capped_bits(spans.count(), 32)
-    seen = F.broadcast(materialize(bitmap(spans.select(F.col("t1").bitwiseAND(F.lit(bits - 1)).alias("pos")).distinct(), "pos"), "seen"))
+    seen = F.broadcast(materialize(bitmap(spans.select(F.col("__s1").bitwiseAND(F.lit(bits - 1)).alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "seen"))
     rows = keyed.withColumn("__p", F.col("__t1").bitwiseAND(F.lit(bits - 1)))
-    rows = rows.join(seen, F.expr("__p div 32768") == F.col("piece"), "left").withColumn("__maybe", has_bit(F.col("bits"), F.col("__p")))
+    rows = rows.join(seen, F.expr("__p div 32768") == F.col("__piece"), "left").withColumn("__maybe", has_bit(F.col("__bits"), F.col("__p")))
     clean = rows.filter(~F.col("__maybe"))
-    touched = rows.filter("__maybe").select(*carry, "__text", "__t1", "__t2").join(spans, (F.col("__t1") == spans["t1"]) & (F.col("__t2") == spans["t2"]), "left")
+    touched = rows.filter("__maybe").select(*carry, "__text", "__t1", "__t2").join(spans, (F.col("__t1") == F.col("__s1")) & (F.col("__t2") == F.col("__s2")), "left")
     binary = F.col("__text").cast("binary")
     size = F.octet_length("__text").cast("long")
     none = F.lit(0).cast("long")
