@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import ship
+from packetloom.llm.common import ship, tidy
 
 #: Entries of each memo; a full memo is emptied.
-PAIRS, PIECES = 300_000, 300_000
+PAIRS, PIECES = 200_000, 220_000
 #: Longer pieces aren't memoised as a whole.
 PIECE_CHARS = 48
 #: Bytes read before what is final is emitted, again and again.
@@ -204,17 +204,18 @@ class Codec:
     @cached_property
     def transducer(self) -> Transducer:
         """Made when the first piece is encoded; decoding doesn't need it."""
-        return Transducer(self.ranks, self.words)
+        out = Transducer(self.ranks, self.words)
+        gc.freeze()  # the collector of cycles needn't walk the automaton again and again
+        return out
 
     def _miss(self, piece: str) -> bytes:
         """Two generations: a full memo becomes the older one, and what is used again stays."""
-        out = self.older.get(piece)
+        out = self.memo.get(piece) or self.older.get(piece)
         if out is None:
             out = array("i", self.transducer.encode(piece.encode("utf-8", "replace"))).tobytes()
         if len(piece) <= PIECE_CHARS:
             if len(self.memo) >= PIECES:
-                self.older = self.memo.copy()
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[piece] = out
         return out
 
@@ -240,10 +241,8 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker. The memos hold no cycles, so the collector of cycles, which
-    would walk them again and again, is switched off there."""
+    """One for each Python worker."""
     if (path, pattern) not in _codecs:
-        gc.disable()
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
 
@@ -296,6 +295,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text_col:
             if decoded:
                 cols.append(pa.array(["".join(c.decode(np.frombuffer(p, "<i4"))) for p in parts], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        tidy()
 
     return source.mapInArrow(run, schema)
 

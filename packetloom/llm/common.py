@@ -128,3 +128,18 @@ def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     free = rows.filter(~F.col("__maybe")).select(*df.columns)
     rest = rows.filter("__maybe").join(gone, F.col("__key") == F.col("__k"), "left_anti").select(*df.columns)
     return free.unionByName(rest)
+
+
+def tidy() -> None:
+    """At the end of a Python task: hand unused memory back, for workers live on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

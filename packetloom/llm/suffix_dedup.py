@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import bitmap, bits_of, capped_bits, has_bit, in_bits, materialize, ship
+from packetloom.llm.common import bitmap, bits_of, capped_bits, has_bit, in_bits, materialize, ship, tidy
 
 DEPTH, GRAM = 200, 64
 SPREAD = DEPTH - GRAM  # last place of a gram in a string
@@ -141,6 +141,7 @@ def _scan(docs: DataFrame, schema: str, emit) -> DataFrame:
                 which = np.array([r[0] for r in rows])[k]
                 shift = np.array([r[1] - r[2] for r in rows])[k]
                 yield from emit(data, start, end, gram.view(np.int64), sums, shift, t1[which], t2[which])
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import ship
+from packetloom.llm.common import ship, tidy
 
 #: Bounds of the training sample (documents) and sizes of the model. The sample has the
 #: smallest hashes of doc_id; statistics over labels cover all labelled rows.
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
                 for w in set(LETTERS.findall((t or "").lower())):
                     s = memo.get(w)
                     if s is None:
-                        if len(memo) > 500_000:
+                        if len(memo) > 150_000:
                             memo.clear()
                         word, *prefixes = slots_of(w)
                         some = tuple(x for x in prefixes if useful(x))
@@ -180,6 +180,8 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
                 out[i] = model.bias + sum(weight.get(x, 0.0) for x in sorted(hits))
             p = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype("int32"))], names=schema.names)
+        memo.clear()
+        tidy()
 
     source = docs.select(*names, *([] if "text" in names else ["text"]))
     return source.mapInArrow(run, schema)
