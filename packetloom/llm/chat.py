@@ -40,7 +40,7 @@ def parse(formatted: Column) -> Column:
     pieces = F.split(formatted, START)
     whole = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
     good = (F.element_at(pieces, 1) == "") & F.forall(whole, lambda p: p.rlike(r"(?s)^[^: ]*: .*</turn>\n$") & (F.instr(p, END) == F.length(p) - len(END)))
-    turns = F.transform(whole, lambda p: F.struct(F.url_decode(F.substring_index(p, ": ", 1)).alias("role"), unescape(F.substring(p, F.instr(p, ": ") + 2, F.length(p) - F.instr(p, ": ") - len(END) - 2)).alias("text")))
+    turns = F.transform(whole, lambda p: F.struct(F.try_url_decode(F.substring_index(p, ": ", 1)).alias("role"), unescape(F.substring(p, F.instr(p, ": ") + 2, F.length(p) - F.instr(p, ": ") - len(END) - 2)).alias("text")))
     return F.when(good, turns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -21,8 +22,9 @@ _shipped: set[str] = set()
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir (or the context's checkpoint directory); a
+    temporary one only where neither is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -66,8 +68,8 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(target)
-    shutil.rmtree(folder, ignore_errors=True) if not spark.sparkContext.master.startswith(("local", "spark")) else None
+    spark.sparkContext.addPyFile(target)  # the driver serves it to executors, also to late ones
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _shipped.add(app)
 
 

@@ -115,7 +115,7 @@ def test_top_k(spark):
 
 
 def test_chats(spark):
-    hard = ["plain", "", "### user: x", "</turn>", "\\", "\\### Assistant: </turn> ok", "a</turn>\n### b: c", "##\\# ", "line\nbreak ###", "漢字 ### </turn>", "<\\/turn>", "\\\\n", "##", "### "]
+    hard = ["plain", "", "### user: x", "</turn>", "\\", "\\### Assistant: </turn> ok", "a</turn>\n### b: c", "a</turn>\n### 50%zz: c", "##\\# ", "line\nbreak ###", "漢字 ### </turn>", "<\\/turn>", "\\\\n", "##", "### "]
     rows = [(c, t, r, x) for c, (t, r, x) in enumerate((t, r, x) for x in hard for t, r in ((0, "user"), (1, "assistant")))]
     rows += [(900, t, ["system", "user", "assistant"][t % 3], x) for t, x in enumerate(hard)]
     rows += [(901, 0, None, None), (901, None, "a: b ### </turn>", "odd"), (901, 0, None, None), (None, 1, "assistant", "x"), (902, 1, "assistant", "b"), (902, 1, "assistant", "a")]
