@@ -188,8 +188,8 @@ def compile_query(q: dict, table: DataFrame) -> Page:
     for o in q.get("order_by") or []:
         c = _col(spec[o["field"]])
         keys.append(c.asc_nulls_last() if o["direction"] == "asc" else c.desc_nulls_first())
-    order = [F.length("conversation_id") if k == "conversation_id" and q["scope"] == "conversation" else F.col(k) for k in SOURCE_ORDER[q["scope"]]]
-    order += [F.col("conversation_id")] if q["scope"] == "conversation" else []
+    # numbered ids: shorter ones come first
+    order = [c for k in SOURCE_ORDER[q["scope"]] for c in ((F.length(k), F.col(k)) if k.endswith("_id") and k != "stream_id" else (F.col(k),))]
     limit, offset = q.get("limit") or DEFAULT_LIMIT, q.get("offset") or 0
     page = matching.orderBy(*keys, *order)
     page = (page.offset(offset) if offset else page).limit(limit)

@@ -141,3 +141,34 @@ def canary(q: dict, form: str, truth: dict) -> dict:
         else:
             bad = good | {"evidence": sorted(every - set(shows))[:1]}
     return {"known_good": {"answer": {field: good}, "expect": expect}, "known_bad": {"answer": {field: bad}, "error_form": form, "expect": result}}
+
+
+def question_faults(q: dict, truth: dict) -> list[str]:
+    """What is wrong with a question as such: unknown schema words, fields without gold or
+    evidence, evidence outside the capture, set elements without evidence, missing tags."""
+    from packetloom.scoring.answer import schema_faults
+    from packetloom.scoring.score import leaves
+
+    out = schema_faults(q["answer_schema"])
+    for path, kind, _ in leaves(q):
+        gold = q["gold"].get(path)
+        if gold is None or "value" not in gold:
+            out.append(f"{path}: no gold value")
+            continue
+        shows = q["gold_evidence"].get(path.split(".")[0])
+        if kind == "set":
+            keys = {key_of(v) for v in gold["value"]}
+            if set(shows or {}) != keys:
+                out.append(f"{path}: evidence keys differ from gold elements")
+            frames = [f for fs in (shows or {}).values() for f in fs]
+        else:
+            frames = shows if isinstance(shows, list) else []
+            if shows is None:
+                out.append(f"{path}: no gold evidence")
+        out += [f"{path}: frame {f} is not in 1..{truth['packet_count']}" for f in frames if not 1 <= f <= truth["packet_count"]]
+    if not q.get("tags", {}).get("skill"):
+        out.append("tags.skill is empty")
+    for side in ("known_good", "known_bad"):
+        if side not in q.get("canary", {}):
+            out.append(f"canary.{side} is missing")
+    return out

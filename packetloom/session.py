@@ -148,7 +148,7 @@ class Session:
         mine = self.events.filter(F.col("conversation_id") == cid)
         n = min(TIMELINE if timeline_limit is None else timeline_limit, TIMELINE_MOST)
         total = mine.count()
-        items = [r.asDict() for r in mine.drop("capture_id").orderBy("event_id").limit(n).collect()]
+        items = [r.asDict() for r in mine.drop("capture_id").orderBy(F.length("event_id"), "event_id").limit(n).collect()]
         again = listed(mine.filter("type = 'tcp_retransmission'").select("frame_number"))
         return {"conversation": conv, "timeline": {"returned": len(items), "total": total, "offset": 0, "truncated": total > n, "items": items}, "aggregates": {"retransmissions": {"count": again["frame_count"], "evidence": again}}, "audit": self.audit()}
 

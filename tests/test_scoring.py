@@ -115,6 +115,8 @@ def test_truth_and_derivation(spark):
     qs = truth.derive(gt)
     assert {q["question_id"] for q in qs} >= {"t:retransmissions:A", "t:handshake:A", "t:zero_window:A", "t:top3_bytes:all", "t:dns_ttl:n"}
     assert truth.derive(gt, {"t:dns_ttl:n"})[-1]["question_id"] == "t:top3_bytes:all"
+    assert not [f for q in qs for f in truth.question_faults(q, gt)]
+    assert len(truth.question_faults({"question_id": "x", "type": "scalar_number", "answer_schema": {"properties": {"a": {}}, "pattern": 1}, "gold": {}, "gold_evidence": {}}, gt)) == 5
     for shift in range(3):
         for i, q in enumerate(qs):
             q["canary"] = truth.canary(q, ("wrong_value", "wrong_evidence", "format_error")[(i + shift) % 3], gt)
