@@ -227,6 +227,7 @@ def conversations(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     has = lambda *ks: F.max(F.exists("kinds", lambda k: k.isin(*ks)))
     event_epoch = F.when(F.size("kinds") > 0, F.col("epoch"))
     done = F.col("ahead") & F.col("ack") & ~F.col("syn") & (F.col("frame_number") > F.col("syn_frame"))
+    payload = (F.col("transport") == "tcp") & (F.col("tcp_len") > 0)
     rtt = F.when(F.col("ack_rtt") >= 0, F.col("ack_rtt"))
     a = d.groupBy(*FLOW).agg(
         F.first("begin").alias("begin"), F.first("answer").alias("answer"), F.first("swap").alias("swap"), F.first("direction_basis").alias("direction_basis"),
@@ -235,7 +236,7 @@ def conversations(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
         F.greatest(F.max(F.struct("frame_number", "epoch"))["epoch"], F.max(event_epoch)).alias("e1"),
         count(fwd).alias("packets_forward"), count(back).alias("packets_reverse"),
         total(fwd, "len").alias("bytes_forward"), total(back, "len").alias("bytes_reverse"),
-        total(fwd & (F.col("tcp_len") > 0), "tcp_len").alias("payload_bytes_forward"), total(back & (F.col("tcp_len") > 0), "tcp_len").alias("payload_bytes_reverse"),
+        total(fwd & payload, "tcp_len").alias("payload_bytes_forward"), total(back & payload, "tcp_len").alias("payload_bytes_reverse"),
         total(F.col("tls_record_bytes") > 0, "tls_record_bytes").alias("tls_app_bytes"),
         of("tcp_retransmission").alias("retransmission_count"), of("tcp_missing_segment").alias("missing_segment_count"), of("tcp_dup_ack").alias("dup_ack_count"),
         of("http_request").alias("http_txn_count"), of("dns_query").alias("dns_query_count"), of("tls_client_hello").alias("tls_handshake_count"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.operators import index, pairing, timeseries
-from packetloom.plans import dsl
+from packetloom.operators import extract, index, pairing, timeseries
+from packetloom.plans import dsl, rawfilter
+from packetloom.schema import DISSECTED, column_of
 from packetloom.sources import tables as b
 
 QUERIES: dict = {}
@@ -602,3 +603,90 @@ def gt_invariants(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Conversations with retransmission-like events, most first."""
     return QUERIES["retransmissions_first"](spark, d)
+
+
+# --- extraction end to end, over the events table as dissected rows ---
+
+X_ = f"WITH {b.DISSECTED_SQL} "
+
+
+def _facts(spark, d):
+    return extract.facts(b.dissected(spark, d))
+
+
+@query(X_ + """SELECT frame AS frame_number, time_ms, len, transport, u AS stream_id, CASE WHEN outward THEN cport ELSE sport END AS src_port, CASE WHEN outward THEN sport ELSE cport END AS dst_port,
+concat_ws('|', CASE WHEN retrans THEN 'retransmission' END, CASE WHEN zero THEN 'zero_window' END, CASE WHEN lost THEN 'lost_segment' END) AS analysis, CASE WHEN tcp AND kind = 'view' THEN '/' || k END AS http_uri FROM f""")
+def extract_frames(spark, d):
+    f = extract.frames(_facts(spark, d))
+    return f.select("frame_number", "time_ms", "len", "transport", "stream_id", "src_port", "dst_port", F.array_join("analysis", "|").alias("analysis"), "http_uri")
+
+
+@query(X_ + """, p AS (SELECT frame, max(CASE WHEN floor(value) > 0 THEN k * 100 + CAST(floor(value) AS BIGINT) END) OVER w AS data_end,
+  first_value(CASE WHEN syn THEN k * 100 + 1 WHEN floor(value) > 0 THEN -1 END IGNORE NULLS) OVER w AS opened FROM d WHERE tcp
+  WINDOW w AS (PARTITION BY u, outward ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT ev.*, CASE WHEN type = 'tcp_missing_segment' THEN greatest(data_end, CASE WHEN opened IS NULL THEN CASE WHEN syn THEN k * 100 + 1 END WHEN opened >= 0 THEN opened END) END AS prior FROM ev LEFT JOIN p USING (frame))
+SELECT printf('evt:%06d', row_number() OVER (ORDER BY epoch, frame, transport, u, pos)) AS event_id, 'conv:' || transport || ':' || u AS conversation_id, type, time_ms,
+  CASE WHEN forward THEN 'initiator_to_responder' ELSE 'responder_to_initiator' END AS direction, frame AS frame_number,
+  CASE WHEN type = 'tcp_missing_segment' THEN CASE WHEN prior IS NULL THEN 'capture_start' ELSE 'mid_stream' END END AS attr_origin,
+  CASE WHEN type = 'tcp_missing_segment' AND k * 100 > prior THEN k * 100 - prior END AS attr_gap_bytes,
+  CASE WHEN type = 'dns_response' THEN CAST(k % 4 AS INTEGER) END AS attr_rcode_num, CASE WHEN type = 'http_request' THEN '/' || k END AS attr_uri FROM g""")
+def extract_events(spark, d):
+    return extract.events(_facts(spark, d)).select("event_id", "conversation_id", "type", "time_ms", "direction", "frame_number", "attr_origin", "attr_gap_bytes", "attr_rcode_num", "attr_uri")
+
+
+@query(X_ + """, s AS (SELECT u, transport, min(frame) AS sf, arg_min(epoch, frame) AS se FROM d WHERE syn AND NOT ack AND ahead GROUP BY u, transport),
+h AS (SELECT d.u, d.transport, arg_min(d.epoch, d.frame) - any_value(se) AS took FROM d JOIN s USING (u, transport) WHERE ahead AND ack AND NOT syn AND frame > sf GROUP BY 1, 2),
+n AS (SELECT u, transport, count(*) FILTER (type = 'tcp_retransmission') AS re, count(*) FILTER (type = 'tcp_missing_segment') AS lo, count(*) FILTER (type = 'http_request') AS ht, count(*) FILTER (type = 'dns_query') AS dn,
+  count(*) FILTER (type = 'tls_client_hello') AS tl, min(epoch) AS v0, max(epoch) AS v1, bool_or(type LIKE 'tls%') AS has_tls, bool_or(type LIKE 'dns%') AS has_dns, bool_or(type LIKE 'http%') AS has_http FROM ev GROUP BY 1, 2),
+a AS (SELECT u, transport, any_value(first_out <> swap) AS client_first, any_value(saw) AS saw, any_value(swap) AS swap, any_value(cport) AS cport, any_value(sport) AS sport,
+  arg_min(epoch, frame) AS f0, arg_max(epoch, frame) AS f1, arg_min(time_ms, frame) AS t0, count(*) FILTER (forward) AS pf, count(*) FILTER (NOT forward) AS pr,
+  CAST(coalesce(sum(len) FILTER (forward), 0) AS BIGINT) AS bf, CAST(coalesce(sum(len) FILTER (NOT forward), 0) AS BIGINT) AS br, CAST(coalesce(sum(floor(value)) FILTER (forward AND tcp), 0) AS BIGINT) AS lf,
+  round(median(CASE WHEN tcp AND kind = 'click' THEN k / 1000::DOUBLE END) * 1000, 3) AS rtt, count(DISTINCT q) FILTER (q IS NOT NULL) AS quic
+  FROM d, LATERAL (SELECT unnest(CASE WHEN NOT tcp AND k % 3 = 0 THEN [k % 4, k % 8] ELSE [NULL] END) AS q, unnest(CASE WHEN NOT tcp AND k % 3 = 0 THEN [true, false] ELSE [true] END) AS once) GROUP BY u, transport)
+SELECT 'conv:' || a.transport || ':' || a.u AS conversation_id, CASE WHEN client_first THEN cport ELSE sport END AS initiator_port, CASE WHEN saw THEN 'handshake' WHEN swap THEN 'port_heuristic' ELSE 'first_packet' END AS direction_basis,
+  x.pf AS packets_forward, x.pr AS packets_reverse, x.bf AS bytes_forward, x.br AS bytes_reverse, x.lf AS payload_bytes_forward, round((greatest(f1, coalesce(v1, f1)) - least(f0, coalesce(v0, f0))) * 1000, 3) AS duration_ms,
+  coalesce(re, 0) AS retransmission_count, coalesce(lo, 0) AS missing_segment_count, coalesce(ht, 0) AS http_txn_count, coalesce(dn, 0) AS dns_query_count, coalesce(tl, 0) AS tls_handshake_count,
+  x.rtt AS rtt_median_ms, round(h.took * 1000, 3) AS tcp_handshake_ms, quic AS quic_stream_count,
+  concat_ws('|', a.transport, CASE WHEN has_tls THEN 'tls' END, CASE WHEN has_dns THEN 'dns' END, CASE WHEN has_http THEN 'http' END, CASE WHEN quic > 0 THEN 'quic' END) AS tags
+FROM a JOIN (SELECT u, transport, count(*) FILTER (forward) AS pf, count(*) FILTER (NOT forward) AS pr, CAST(coalesce(sum(len) FILTER (forward), 0) AS BIGINT) AS bf, CAST(coalesce(sum(len) FILTER (NOT forward), 0) AS BIGINT) AS br,
+  CAST(coalesce(sum(floor(value)) FILTER (forward AND tcp), 0) AS BIGINT) AS lf, round(median(CASE WHEN tcp AND kind = 'click' THEN k / 1000::DOUBLE END) * 1000, 3) AS rtt FROM d GROUP BY 1, 2) x USING (u, transport)
+LEFT JOIN n USING (u, transport) LEFT JOIN h USING (u, transport)""")
+def extract_conversations(spark, d):
+    c = extract.conversations(_facts(spark, d))
+    return c.select(
+        "conversation_id", "initiator_port", "direction_basis", "packets_forward", "packets_reverse", "bytes_forward", "bytes_reverse", "payload_bytes_forward", "duration_ms", "retransmission_count",
+        "missing_segment_count", "http_txn_count", "dns_query_count", "tls_handshake_count", "rtt_median_ms", "tcp_handshake_ms", "quic_stream_count", F.array_join("protocol_tags", "|").alias("tags"),
+    )
+
+
+@query(X_ + """, q AS (SELECT 'conv:udp:' || u AS conversation_id, frame, epoch, len, unnest([k % 4, k % 8]) AS stream_id, unnest([0, 1]) AS pos FROM f WHERE NOT tcp AND k % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, stream_id ORDER BY frame, pos) AS i FROM q)
+SELECT conversation_id, stream_id, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes, round((arg_max(epoch, frame) - arg_min(epoch, frame)) * 1000, 3) AS duration_ms, array_to_string(list_sort(list(frame) FILTER (i <= 50)), ',') AS frames FROM r GROUP BY 1, 2""")
+def extract_streams(spark, d):
+    return extract.streams(_facts(spark, d)).select("conversation_id", "stream_id", "packets", "bytes", "duration_ms", F.array_join("evidence_frames", ",").alias("frames"))
+
+
+@query(X_ + """, s AS (SELECT *, CASE type WHEN 'http_request' THEN 1 ELSE -1 END AS step FROM ev WHERE type LIKE 'http%'),
+w AS (SELECT *, sum(step) OVER (PARTITION BY u ORDER BY time_ms, frame) AS bal FROM s),
+l AS (SELECT *, least(0, coalesce(min(bal) OVER (PARTITION BY u ORDER BY time_ms, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM w),
+y AS (SELECT *, row_number() OVER (PARTITION BY u, step ORDER BY time_ms, frame) AS i FROM l WHERE step = 1 OR bal >= low)
+SELECT 'conv:tcp:' || q.u AS conversation_id, '/' || q.k AS uri, CASE WHEN r.frame IS NOT NULL THEN 200 END AS status_code, q.frame AS request_frame, r.frame AS response_frame, round(r.time_ms - q.time_ms, 3) AS resp_time_ms
+FROM y q LEFT JOIN y r ON q.u = r.u AND q.i = r.i AND r.step = -1 WHERE q.step = 1""")
+def extract_transactions(spark, d):
+    return pairing.transactions(extract.events(_facts(spark, d))).select("conversation_id", "uri", "status_code", "request_frame", "response_frame", "resp_time_ms")
+
+
+@query(X_ + """, p AS (SELECT transport, len, CASE WHEN outward THEN '10.0.0.' || u || ':' || cport ELSE '192.168.0.1:' || sport END AS s, CASE WHEN outward THEN '192.168.0.1:' || sport ELSE '10.0.0.' || u || ':' || cport END AS d FROM f)
+SELECT transport, least(s, d) AS a, greatest(s, d) AS b, count(*) FILTER (s <= d) AS frames_a_to_b, CAST(coalesce(sum(len) FILTER (s <= d), 0) AS BIGINT) AS bytes_a_to_b, count(*) FILTER (s > d) AS frames_b_to_a, CAST(coalesce(sum(len) FILTER (s > d), 0) AS BIGINT) AS bytes_b_to_a FROM p GROUP BY 1, 2, 3""")
+def overview_pairs(spark, d):
+    return index.pairs(_facts(spark, d)).select("transport", "a", "b", "frames_a_to_b", "bytes_a_to_b", "frames_b_to_a", "bytes_b_to_a")
+
+
+@query(X_ + "SELECT frame AS frame_number, 'tcp' AS transport, outward AS out FROM f WHERE tcp AND (syn OR len > 100) AND NOT (retrans OR k % 2 = 1)")
+def raw_display_filter(spark, d):
+    """A display filter over dissected rows: the parsed filter reaches the scan as one predicate."""
+    rows = b.dissected(spark, d)
+    known = [f for f in DISSECTED if column_of(f) in rows.columns]
+    keep = rawfilter.Parser("tcp && (tcp.flags.syn == 1 || frame.len > 100) and not (tcp.analysis.retransmission)", known).parse()
+    k = F.col("frame_len").cast("bigint") - 60
+    return rows.filter(keep & (k % 2 == 0)).select(F.col("frame_number").cast("bigint").alias("frame_number"), F.lit("tcp").alias("transport"), F.col("ip_src").startswith("10.").alias("out"))

@@ -74,3 +74,58 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_id():
     return conversation_id()
+
+
+def dissected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as dissected rows of one capture: a user is a flow (TCP for even ids),
+    event types stand for what a frame holds."""
+    e = table(spark, sf_dir, "events")
+    us, kind, user = micros(F.col("ts")), F.col("event_type"), F.col("user_id")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    text = lambda c: c.cast("string")
+    tcp = user % 2 == 0
+    out = kind.isin("click", "view", "signup")
+    low = user % 5 == 0
+    client = (F.concat(F.lit("10.0.0."), text(user)), text(F.when(low, F.lit(500)).otherwise(40000 + user)))
+    server = (F.lit("192.168.0.1"), text(F.when(low, F.lit(2000)).when(~tcp, F.lit(53)).when(user % 4 == 0, F.lit(443)).otherwise(F.lit(80))))
+    sport, dport = F.when(out, client[1]).otherwise(server[1]), F.when(out, server[1]).otherwise(client[1])
+    return e.select(
+        F.lit("cap").alias("capture_id"), text(F.col("event_id") + 1).alias("frame_number"),
+        F.concat(text(F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 1000000")), F.lit("."), F.lpad(text(us % 1000000), 6, "0")).alias("frame_time_epoch"), text(60 + k).alias("frame_len"),
+        F.when(out, client[0]).otherwise(server[0]).alias("ip_src"), F.when(out, server[0]).otherwise(client[0]).alias("ip_dst"),
+        F.when(tcp, text(user)).alias("tcp_stream"), F.when(~tcp, text(user)).alias("udp_stream"), F.when(tcp, sport).alias("tcp_srcport"), F.when(tcp, dport).alias("tcp_dstport"),
+        F.when(~tcp, sport).alias("udp_srcport"), F.when(~tcp, dport).alias("udp_dstport"),
+        *(F.when(tcp, c).alias(n) for n, c in {
+            "tcp_flags_syn": F.when((kind == "signup") & (user % 3 != 0), "True").otherwise("False"), "tcp_flags_ack": F.when((kind != "signup") | (k % 2 == 0), "True").otherwise("False"),
+            "tcp_seq_raw": text(k * 100), "tcp_len": text(F.floor("value")), "tcp_analysis_ack_rtt": F.when(kind == "click", text(k / 1000)),
+            "tcp_analysis_retransmission": F.when(kind == "error", "True"), "tcp_analysis_zero_window": F.when(F.col("value") < 1, "1,1"), "tcp_analysis_lost_segment": F.when(k > 90, "True"),
+        }.items()),
+        F.when(tcp & (kind == "view"), "GET").alias("http_request_method"), F.when(tcp & (kind == "view"), F.concat(F.lit("/"), text(k))).alias("http_request_uri"),
+        F.when(tcp & (kind == "purchase"), "200").alias("http_response_code"), F.when(~tcp & (kind.isin("click", "purchase")), F.concat(F.lit("n"), text(k), F.lit(".test"))).alias("dns_qry_name"),
+        F.when(~tcp & (kind == "purchase"), "True").alias("dns_flags_response"), F.when(~tcp & (kind == "purchase"), text(k % 4)).alias("dns_flags_rcode"),
+        F.when(tcp & (kind == "signup"), "1,2").alias("tls_handshake_type"), F.when(~tcp & (k % 3 == 0), F.concat(text(k % 4), F.lit(","), text(k % 8))).alias("quic_stream_stream_id"),
+        F.when(tcp, "eth:ip:tcp").otherwise("eth:ip:udp").alias("frame_protocols"),
+    )
+
+
+#: The typed rows of the same in SQL.
+DISSECTED_SQL = """raw AS (
+  SELECT event_id + 1 AS frame, epoch_us(ts) / 1000000::DOUBLE AS epoch, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id AS u, event_type AS kind, value,
+         user_id % 2 = 0 AS tcp, event_type IN ('click', 'view', 'signup') AS outward FROM events),
+f AS (
+  SELECT *, 60 + k AS len, CASE WHEN tcp THEN 'tcp' ELSE 'udp' END AS transport, (kind = 'signup' AND u % 3 <> 0 AND tcp) AS syn, (tcp AND (kind <> 'signup' OR k % 2 = 0)) AS ack,
+         CASE WHEN u % 5 = 0 THEN 500 ELSE 40000 + u END AS cport, CASE WHEN u % 5 = 0 THEN 2000 WHEN NOT tcp THEN 53 WHEN u % 4 = 0 THEN 443 ELSE 80 END AS sport,
+         round((epoch - (SELECT min(epoch_us(ts)) / 1000000::DOUBLE FROM events)) * 1000, 3) AS time_ms,
+         tcp AND kind = 'error' AS retrans, tcp AND value < 1 AS zero, tcp AND k > 90 AS lost FROM raw),
+flow AS (
+  SELECT u, transport, arg_min(outward, frame) AS first_out, bool_or(syn) AS saw, any_value(cport) AS cport, any_value(sport) AS sport FROM f GROUP BY u, transport),
+ends AS (
+  SELECT *, NOT saw AND (CASE WHEN first_out THEN cport ELSE sport END) < 1024 AND (CASE WHEN first_out THEN sport ELSE cport END) >= 1024 AS swap FROM flow),
+d AS (
+  SELECT f.*, (outward = first_out) AS ahead, (outward = first_out) <> swap AS forward, swap, saw, first_out FROM f JOIN ends USING (u, transport)),
+ev AS (
+  SELECT d.*, t.pos, t.type FROM d, LATERAL (SELECT unnest(range(1, 9)) AS pos, unnest([
+    CASE WHEN retrans THEN 'tcp_retransmission' END, CASE WHEN zero THEN 'tcp_zero_window' END, CASE WHEN lost THEN 'tcp_missing_segment' END,
+    CASE WHEN tcp AND kind = 'signup' THEN 'tls_client_hello' END, CASE WHEN tcp AND kind = 'signup' THEN 'tls_server_hello' END,
+    CASE WHEN tcp AND kind = 'view' THEN 'http_request' END, CASE WHEN tcp AND kind = 'purchase' THEN 'http_response' END,
+    CASE WHEN NOT tcp AND kind = 'click' THEN 'dns_query' WHEN NOT tcp AND kind = 'purchase' THEN 'dns_response' END]) AS type) t WHERE t.type IS NOT NULL)"""
