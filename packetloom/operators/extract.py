@@ -96,28 +96,25 @@ def frames(f: DataFrame) -> DataFrame:
 def endpoints(f: DataFrame) -> DataFrame:
     """One row a flow: who began it, how that is known, and its first pure SYN.
 
-    Rows are aggregated by flow and source first (with map-side combine), so even a flow that
-    holds a third of all frames reaches the second aggregation as a few rows."""
+    Rows are aggregated by flow and pair of endpoints first (a hash aggregation over plain
+    numbers with map-side combine), so even a flow that holds a third of all frames reaches
+    the second aggregation as a few rows."""
     flows = f.filter("transport is not null and stream_id is not null and ip_src is not null and ip_dst is not null")
-    src = F.struct(F.col("ip_src").alias("ip"), F.coalesce("src_port", F.lit(0)).alias("port"))
-    dst = F.struct(F.col("ip_dst").alias("ip"), F.coalesce("dst_port", F.lit(0)).alias("port"))
-    pure = F.col("syn") & ~F.col("ack")
-    sources = flows.groupBy(*FLOW, src.alias("src")).agg(
-        F.min(F.struct("frame_number", dst.alias("dst"))).alias("first"),
-        F.min(F.when(pure, F.struct("frame_number", "epoch"))).alias("syn"),
-        F.max("syn").alias("any_syn"),
-    )
-    flow = sources.groupBy(*FLOW).agg(
-        F.min(F.struct(F.col("first.frame_number").alias("frame"), "src", F.col("first.dst").alias("dst"))).alias("opening"),
-        F.max("any_syn").alias("saw_syn"),
-        F.collect_list(F.struct("src", "syn")).alias("sources"),
+    pure = F.when(F.col("syn") & ~F.col("ack"), F.col("frame_number"))
+    ways = flows.groupBy(*FLOW, "ip_src", F.coalesce("src_port", F.lit(0)).alias("sport"), "ip_dst", F.coalesce("dst_port", F.lit(0)).alias("dport")).agg(
+        F.min("frame_number").alias("frame"), F.min(pure).alias("syn_frame"), F.min_by(F.col("epoch"), pure).alias("syn_epoch"), F.max("syn").alias("any_syn")
+    )
+    src, dst = F.struct(F.col("ip_src").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("ip_dst").alias("ip"), F.col("dport").alias("port"))
+    flow = ways.groupBy(*FLOW).agg(
+        F.min(F.struct("frame", src.alias("src"), dst.alias("dst"))).alias("opening"), F.max("any_syn").alias("saw_syn"),
+        F.collect_list(F.struct(src.alias("src"), F.when(F.col("syn_frame").isNotNull(), F.struct("syn_frame", "syn_epoch")).alias("syn"))).alias("ways"),
     )
     begin, answer = F.col("opening.src"), F.col("opening.dst")
-    ahead = F.filter("sources", lambda s: (s["src"] == begin) | (s["src"] != answer))
+    ahead = F.filter("ways", lambda s: (s["src"] == begin) | (s["src"] != answer))
     syn = F.array_min(F.transform(ahead, lambda s: s["syn"]))
     swap = ~F.col("saw_syn") & (begin["port"] < 1024) & (answer["port"] >= 1024)
     return flow.select(
-        *FLOW, begin.alias("begin"), answer.alias("answer"), swap.alias("swap"), syn["frame_number"].alias("syn_frame"), syn["epoch"].alias("syn_epoch"),
+        *FLOW, begin.alias("begin"), answer.alias("answer"), swap.alias("swap"), syn["syn_frame"].alias("syn_frame"), syn["syn_epoch"].alias("syn_epoch"),
         F.when(F.col("saw_syn"), "handshake").when(swap, "port_heuristic").otherwise("first_packet").alias("direction_basis"),
     )
 
@@ -216,35 +213,35 @@ def conversation_id() -> Column:
 
 
 def conversations(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    """One row a flow; one hash aggregation over the directed rows."""
+    """One row a flow. What is fixed for a flow is in the grouping key, so the aggregation over
+    all rows is a hash aggregation of plain numbers; medians and distinct streams, which need
+    more, run over the few rows that have samples and are joined by the same key."""
     ends = endpoints(f) if ends is None else ends
     d = _from_start(directed(f, ends), capture_times(f)).withColumn("kinds", F.transform(events_of_frame(), lambda e: e["type"]))
-    fwd, back = F.col("forward"), ~F.col("forward")
+    fwd, back, frame = F.col("forward"), ~F.col("forward"), F.col("frame_number")
     count = lambda cond: F.count_if(cond).cast("bigint")
     of = lambda kind: F.coalesce(F.sum(F.size(F.filter("kinds", lambda k: k == kind))), F.lit(0)).cast("bigint")
     total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
-    first = lambda cond: F.min(F.when(cond, F.struct("frame_number", "epoch")))["epoch"]
+    first = lambda cond: F.min_by(F.col("epoch"), F.when(cond, frame))
     has = lambda *ks: F.max(F.exists("kinds", lambda k: k.isin(*ks)))
     event_epoch = F.when(F.size("kinds") > 0, F.col("epoch"))
-    done = F.col("ahead") & F.col("ack") & ~F.col("syn") & (F.col("frame_number") > F.col("syn_frame"))
+    done = F.col("ahead") & F.col("ack") & ~F.col("syn") & (frame > F.col("syn_frame"))
     payload = (F.col("transport") == "tcp") & (F.col("tcp_len") > 0)
-    rtt = F.when(F.col("ack_rtt") >= 0, F.col("ack_rtt"))
-    a = d.groupBy(*FLOW).agg(
-        F.first("begin").alias("begin"), F.first("answer").alias("answer"), F.first("swap").alias("swap"), F.first("direction_basis").alias("direction_basis"),
-        F.first("t0").alias("t0"), F.first("syn_epoch").alias("syn_epoch"),
-        F.least(F.min(F.struct("frame_number", "epoch"))["epoch"], F.min(event_epoch)).alias("e0"),
-        F.greatest(F.max(F.struct("frame_number", "epoch"))["epoch"], F.max(event_epoch)).alias("e1"),
+    a = d.groupBy(*FLOW, "begin", "answer", "swap", "direction_basis", "t0", "syn_epoch").agg(
+        F.least(F.min_by("epoch", "frame_number"), F.min(event_epoch)).alias("e0"), F.greatest(F.max_by("epoch", "frame_number"), F.max(event_epoch)).alias("e1"),
         count(fwd).alias("packets_forward"), count(back).alias("packets_reverse"),
         total(fwd, "len").alias("bytes_forward"), total(back, "len").alias("bytes_reverse"),
         total(fwd & payload, "tcp_len").alias("payload_bytes_forward"), total(back & payload, "tcp_len").alias("payload_bytes_reverse"),
         total(F.col("tls_record_bytes") > 0, "tls_record_bytes").alias("tls_app_bytes"),
         of("tcp_retransmission").alias("retransmission_count"), of("tcp_missing_segment").alias("missing_segment_count"), of("tcp_dup_ack").alias("dup_ack_count"),
         of("http_request").alias("http_txn_count"), of("dns_query").alias("dns_query_count"), of("tls_client_hello").alias("tls_handshake_count"),
-        F.median(rtt).alias("rtt_median"), F.max(rtt).alias("rtt_max"), first(done).alias("done_epoch"),
+        F.max(F.when(F.col("ack_rtt") >= 0, F.col("ack_rtt"))).alias("rtt_max"), first(done).alias("done_epoch"),
         first(F.array_contains("kinds", "tls_client_hello")).alias("hello"), first(F.array_contains("kinds", "tls_server_hello")).alias("answered"),
         has("tls_client_hello", "tls_server_hello").alias("tls"), has("dns_query", "dns_response").alias("dns"), has("http_request", "http_response").alias("http"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("quic_streams", lambda s: number(s, "bigint")))))).alias("quic"),
     )
+    samples = f.filter("ack_rtt >= 0").groupBy(*FLOW).agg(F.median("ack_rtt").alias("rtt_median"))
+    ids = f.filter("quic_streams is not null").select(*FLOW, F.explode("quic_streams").alias("sid")).groupBy(*FLOW).agg(F.count_distinct(number(F.col("sid"), "bigint")).alias("quic"))
+    a = a.join(samples, FLOW, "left").join(ids, FLOW, "left").fillna(0, ["quic"])
     who = F.when(F.col("swap"), F.col("answer")).otherwise(F.col("begin"))
     other = F.when(F.col("swap"), F.col("begin")).otherwise(F.col("answer"))
     took = F.col("e1") - F.col("e0")
