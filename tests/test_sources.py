@@ -47,3 +47,21 @@ def test_settings(tmp_path):
         f.seek(-1, 2)
         f.write(b"x")
     assert one.startswith("cap_") and fingerprint(str(big)) != one
+
+
+def test_external_dissector(spark, tmp_path):
+    import pytest
+
+    from packetloom.operators import extract
+    from packetloom.sources import process
+
+    for k in (1, 2):
+        (tmp_path / f"c{k}.txt").write_text(f"1\t1700000000.0\t60\n{k}\t170000000{k}.5\t70\nshort\n")
+    files = spark.createDataFrame([(str(p),) for p in sorted(tmp_path.glob("*.txt"))], "path string")
+    rows = process.dissect(files, ["cat", "{path}"], ["frame.number", "frame.time_epoch", "frame.len"])
+    assert {r.capture_id: r.packet_count for r in extract.capture_times(extract.facts(rows)).collect()} == {"c1": 2, "c2": 2}
+    assert list(process.lines_of(["printf", "abc\\nabcdef\\n"], max_line=5)) == ["abc"]
+    with pytest.raises(RuntimeError):
+        list(process.lines_of(["false"]))
+    with pytest.raises(TimeoutError):
+        list(process.lines_of(["sleep", "30"], timeout_s=0.2))
