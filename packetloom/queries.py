@@ -140,6 +140,21 @@ def sort_nulls_desc(spark, d):
     return b.events(spark, d).orderBy(col("nvalue").desc_nulls_first(), "event_id").limit(100).select("event_id", "nvalue")
 
 
+def _ordered(spark, d, *order):
+    """Every row with its place. Places over a whole table are given in one task."""
+    return b.events(spark, d).select("event_id", "nvalue", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
+@query(E_ + "SELECT event_id, nvalue, row_number() OVER (ORDER BY nvalue ASC NULLS LAST, event_id) AS place FROM b_events")
+def sort_nulls_asc_whole(spark, d):
+    return _ordered(spark, d, col("nvalue").asc_nulls_last(), "event_id")
+
+
+@query(E_ + "SELECT event_id, nvalue, row_number() OVER (ORDER BY nvalue DESC NULLS FIRST, event_id) AS place FROM b_events")
+def sort_nulls_desc_whole(spark, d):
+    return _ordered(spark, d, col("nvalue").desc_nulls_first(), "event_id")
+
+
 @query(E_ + "SELECT CAST(count(*) AS BIGINT) AS total, least(count(*), 50) AS returned, count(*) > 50 AS truncated FROM b_events WHERE type = 'error'")
 def envelope_total(spark, d):
     t = b.events(spark, d).filter(dsl.condition(col("type"), "string", "eq", "error")).agg(F.count(F.lit(1)).alias("total"))

@@ -40,6 +40,17 @@ def test_query(spark, duck, name):
     assert sorted((same(r, lambda r, c: r[c]) for r in rows), key=repr) == want
 
 
+@pytest.mark.parametrize(("name", "sign", "nulls"), [("sort_nulls_asc_whole", 1, 1), ("sort_nulls_desc_whole", -1, -1)])
+def test_sorts_place_every_row(spark, name, sign, nulls):
+    d = DATA.replace("sf0.001", "sf0.01")  # more values than the limit of sort_nulls_asc
+    rows = sorted(queries.QUERIES[name](spark, d).collect(), key=lambda r: r.place)
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value").collect()
+    held = [(r.event_id, r.value if r.value is not None and r.value >= 1 else None) for r in events]
+    want = sorted(held, key=lambda r: (nulls * (r[1] is None), sign * (r[1] or 0), r[0]))
+    assert any(v is None for _, v in held) and [(r.event_id, r.nvalue) for r in rows] == want
+    assert [r.place for r in rows] == list(range(1, len(events) + 1))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
