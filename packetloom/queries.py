@@ -475,6 +475,23 @@ for _how, _sql in (("left_semi", "SEMI"), ("left_anti", "ANTI")):
     SQL[f"join_{_how}"] = f"SELECT * FROM {_O} {_sql} JOIN {_CU} ON o_custkey = c_custkey"
 
 
+def _flows_joined(how):
+    """Whole tables, a flow with its frames; orders without lines are unmatched by nature."""
+
+    def run(spark, d):
+        o = b.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+        l = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # noqa: E741
+        return o.join(l, col("o_orderkey") == col("l_orderkey"), how)
+
+    return run
+
+
+_FL, _FR = "(SELECT o_orderkey, o_custkey FROM orders) o", "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l"
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full_outer", "FULL JOIN"), ("left_semi", "SEMI JOIN"), ("left_anti", "ANTI JOIN")):
+    QUERIES[f"join_{_how}_whole"] = _flows_joined(_how)
+    SQL[f"join_{_how}_whole"] = f"SELECT * FROM {_FL} {_sql} {_FR} ON o_orderkey = l_orderkey"
+
+
 @query("SELECT r_name, count(*) AS n FROM region, nation WHERE r_regionkey <> n_regionkey GROUP BY r_name")
 def join_theta(spark, d):
     """Two dimension tables of fixed size; each pair is counted, none is kept."""

@@ -51,6 +51,19 @@ def test_sorts_place_every_row(spark, name, sign, nulls):
     assert [r.place for r in rows] == list(range(1, len(events) + 1))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full_outer", "left_semi", "left_anti"])
+def test_joins_take_whole_tables(spark, how):
+    d = DATA.replace("sf0.001", "sf0.01")
+    orders = [r[0] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").collect()]
+    lines = [r[0] for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey").collect()]
+    matched, alone, stray = set(orders) & set(lines), set(orders) - set(lines), set(lines) - set(orders)
+    assert alone and len(orders) == len(set(orders))
+    pairs = sum(k in matched for k in lines)
+    extra = [k in stray for k in lines].count(True)
+    want = {"inner": pairs, "left": pairs + len(alone), "right": pairs + extra, "full_outer": pairs + len(alone) + extra, "left_semi": len(matched), "left_anti": len(alone)}
+    assert queries.QUERIES[f"join_{how}_whole"](spark, d).count() == want[how]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
