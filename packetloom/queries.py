@@ -714,11 +714,21 @@ def overview_pairs(spark, d):
     return index.pairs(_facts(spark, d)).select("transport", "a", "b", "frames_a_to_b", "bytes_a_to_b", "frames_b_to_a", "bytes_b_to_a")
 
 
-@query(X_ + "SELECT frame AS frame_number, 'tcp' AS transport, outward AS out FROM f WHERE tcp AND (syn OR len > 100) AND NOT (retrans OR k % 2 = 1)")
-def raw_display_filter(spark, d):
+def _displayed(spark, d, also=None):
     """A display filter over dissected rows: the parsed filter reaches the scan as one predicate."""
     rows = b.dissected(spark, d)
     known = [f for f in DISSECTED if column_of(f) in rows.columns]
     keep = rawfilter.Parser("tcp && (tcp.flags.syn == 1 || frame.len > 100) and not (tcp.analysis.retransmission)", known).parse()
-    k = F.col("frame_len").cast("bigint") - 60
-    return rows.filter(keep & (k % 2 == 0)).select(F.col("frame_number").cast("bigint").alias("frame_number"), F.lit("tcp").alias("transport"), F.col("ip_src").startswith("10.").alias("out"))
+    rows = rows.filter(keep if also is None else keep & also)
+    return rows.select(F.col("frame_number").cast("bigint").alias("frame_number"), F.lit("tcp").alias("transport"), F.col("ip_src").startswith("10.").alias("out"))
+
+
+@query(X_ + "SELECT frame AS frame_number, 'tcp' AS transport, outward AS out FROM f WHERE tcp AND (syn OR len > 100) AND NOT (retrans OR k % 2 = 1)")
+def raw_display_filter(spark, d):
+    """The rows of raw_display_filter_whole with an even frame length."""
+    return _displayed(spark, d, (F.col("frame_len").cast("bigint") - 60) % 2 == 0)
+
+
+@query(X_ + "SELECT frame AS frame_number, 'tcp' AS transport, outward AS out FROM f WHERE tcp AND (syn OR len > 100) AND NOT retrans")
+def raw_display_filter_whole(spark, d):
+    return _displayed(spark, d)

@@ -1,6 +1,7 @@
 """The catalogue against its SQL, on the smallest tables."""
 
 import glob
+import json
 import os
 
 import pytest
@@ -64,6 +65,16 @@ def test_joins_take_whole_tables(spark, how):
     assert queries.QUERIES[f"join_{how}_whole"](spark, d).count() == want[how]
 
 
+def test_display_filter_keeps_odd_lengths(spark):
+    rows = queries.QUERIES["raw_display_filter_whole"](spark, DATA).collect()
+    events = spark.read.parquet(f"{DATA}/events.parquet").collect()
+    k = {r.event_id + 1: json.loads(r.props)["k"] for r in events}
+    tcp = [r for r in events if r.user_id % 2 == 0 and r.event_type != "error"]
+    want = {r.event_id + 1 for r in tcp if 60 + k[r.event_id + 1] > 100 or r.event_type == "signup" and r.user_id % 3 != 0}
+    assert sorted(r.frame_number for r in rows) == sorted(want)
+    assert {k[r.frame_number] % 2 for r in rows} == {0, 1}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
