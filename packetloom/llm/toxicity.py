@@ -20,6 +20,8 @@ from packetloom.llm.common import ship, tidy
 POSITIVES, UNLABELLED = 3000, 9000
 SLOTS, FEATURES, LEAST = 1 << 20, 4096, 20.0
 PREFIXES = (3, 4, 5, 6)
+#: A text of this many words counts its evidence about 0.7 times.
+USUAL = 200
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -37,11 +39,21 @@ def again(slot: int) -> int:
     return (slot * 40503 + 12829) & (SLOTS - 1)
 
 
-def features(text: str | None) -> list[int]:
-    """The slots that a whole text sets."""
+def words_of(text: str | None) -> list[str]:
+    return LETTERS.findall((text or "").lower())
+
+
+def scale(words):
+    """The factor of the evidence of a text with so many words. Slots that a text sets by
+    chance grow with its words; unscaled, their sum passes any fixed threshold."""
+    return 1 / np.sqrt(1 + np.asarray(words) / USUAL)
+
+
+def features(words: list[str]) -> list[int]:
+    """The slots that the words of a whole text set."""
     once: set[int] = set()
     twice: set[int] = set()
-    for w in set(LETTERS.findall((text or "").lower())):
+    for w in set(words):
         word, *prefixes = slots_of(w)
         once.add(word)
         twice.update(again(s) for s in prefixes if s in once)
@@ -84,22 +96,24 @@ def _sparse(rows: list[np.ndarray], slots: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(at) if at else np.zeros(0, int)), (np.concatenate(col) if col else np.zeros(0, int))
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4, beta: float = 0.0) -> Model:
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], pos_words: list[int], unl_words: list[int], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4, beta: float = 0.0) -> Model:
     """Minimise prior * Rp(+) + max(0, Ru(-) - prior * Rp(-)) with logistic loss (Adam, full
     batch). While the corrected negative risk is below -beta its gradient is reversed, so the
-    model doesn't fit unlabelled positives as negatives. Without positives: prior as score."""
+    model doesn't fit unlabelled positives as negatives. Without positives: prior as score.
+    The sum of weights is scaled by the number of words, here as in score()."""
     prior = min(max(prior, 1e-3), 0.5)
     if not pos or not unl:
         return Model(np.zeros(0, int), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
     slots = select(pos, unl)
     (pr, pc), (ur, uc) = _sparse(pos, slots), _sparse(unl, slots)
+    ps, us = scale(pos_words), scale(unl_words)
     k = len(slots)
     w, mean, var = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     w[k] = -2.0
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for t in range(1, steps + 1):
-        fp = np.bincount(pr, w[pc], len(pos)) + w[k]
-        fu = np.bincount(ur, w[uc], len(unl)) + w[k]
+        fp = np.bincount(pr, w[pc], len(pos)) * ps + w[k]
+        fu = np.bincount(ur, w[uc], len(unl)) * us + w[k]
         sp, su = sig(fp), sig(fu)
         corrected = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         gp_plus, gp_minus, gu = -(1 - sp) * prior / len(pos), sp * prior / len(pos), su / len(unl)
@@ -108,7 +122,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int =
             a, b = gp_plus - gp_minus, gu
         else:
             a, b = gp_minus, -gu
-        g[:k] = np.bincount(pc, a[pr], k) + np.bincount(uc, b[ur], k) + l2 * w[:k]
+        g[:k] = np.bincount(pc, (a * ps)[pr], k) + np.bincount(uc, (b * us)[ur], k) + l2 * w[:k]
         g[k] = a.sum() + b.sum()
         mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
         w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-9)
@@ -124,10 +138,11 @@ def _features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array([np.array(x, np.int32).tobytes() for x in out], pa.binary())], names=["positive", "slots"])
+            found = [words_of(t) for t in b.column("text").to_pylist()]
+            packed = pa.array([np.array(features(x), np.int32).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array([len(x) for x in found], pa.int32()), packed], names=["positive", "words", "slots"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, slots binary")
+    return docs.select("positive", "text").mapInArrow(run, "positive boolean, words int, slots binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -141,9 +156,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     unl = ids.distinct().orderBy(*order).limit(UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(pos.unionByName(unl))  # at most POSITIVES + UNLABELLED ids
     examples: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    words: dict[bool, list[int]] = {True: [], False: []}
     for r in _features(docs.select("doc_id", "text").join(chosen, "doc_id")).collect():  # bounded by the sample
         examples[r["positive"]].append(np.frombuffer(bytes(r["slots"]), np.int32))
-    return fit(examples[True], examples[False], prior)
+        words[r["positive"]].append(r["words"])
+    return fit(examples[True], examples[False], words[True], words[False], prior)
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
@@ -159,12 +176,14 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
         memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
         useful = lambda x: x in weight or again(x) in weight
         for b in batches:
-            out = np.empty(b.num_rows)
+            out, size = np.empty(b.num_rows), np.empty(b.num_rows)
             for i, t in enumerate(b.column("text").to_pylist()):
+                found = words_of(t)
+                size[i] = len(found)
                 words: set[int] = set()
                 once: set[int] = set()
                 twice: set[int] = set()
-                for w in set(LETTERS.findall((t or "").lower())):
+                for w in set(found):
                     s = memo.get(w)
                     if s is None:
                         if len(memo) > 150_000:
@@ -177,7 +196,8 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
                         for x in s[1]:
                             (twice if x in once else once).add(x)
                 hits = words | {again(x) for x in twice}
-                out[i] = model.bias + sum(weight.get(x, 0.0) for x in sorted(hits))
+                out[i] = sum(weight.get(x, 0.0) for x in sorted(hits))
+            out = model.bias + out * scale(size)
             p = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype("int32"))], names=schema.names)
         memo.clear()

@@ -298,6 +298,26 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.train(empty, table).bias < 0
 
 
+def test_toxicity_of_long_texts(spark, tmp_path):
+    """Clean texts hold a toxic word by chance now and then; joined, they stay clean."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(8000)]
+    bad = [f"{a}{b}{c}qx" for a in "wz" for b in "aeiou" for c in "rstv"]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    clean = [" ".join(text(rnd.randint(20, 300)) + [rnd.choice(bad)] * (rnd.random() < 0.1)) for _ in range(1200)]
+    toxic = [" ".join(text(n := rnd.randint(20, 300)) + rnd.sample(bad, 2 + n // 40)) for _ in range(200)]
+    long = [" ".join(rnd.sample(clean, n)) for n in (100, 100, 300, 1000)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean + toxic + long)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= 1200)) for i in range(1400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id for r in p.toxic(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert {i for i, *_ in rows[1400:]} <= kept
+    assert len([i for i in kept if i < 1200]) >= 0.98 * 1200 and len([i for i in kept if 1200 <= i < 1400]) <= 0.1 * 200
+
+
 # --- 9: urls ---
 
 
