@@ -24,12 +24,14 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts the row with the smallest doc_id stays. Rows that share that doc_id
-    and the group stay together."""
-    key = F.xxhash64("doc_id", "text")
-    found = simhash.near_dedup(docs.withColumn("__key", key), carry=["doc_id", "__key"])
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("__key").alias("k"))
-    return without(docs, key, gone)
+    """Of linked texts one row stays, that with the smallest doc_id (nulls last); of rows that
+    share it the one with the smallest hash of the text, then the first."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = simhash.near_components(rows.withColumn("__hash", F.xxhash64("text")), carry=["doc_id", "__hash", "__row"])
+    found = materialize(found.select("component", "doc_id", "__hash", "__row"), "found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row"))["__row"].alias("__first"))
+    gone = found.join(first, "component").filter("__row <> __first").select(F.xxhash64("__row").alias("k"))
+    return without(rows, F.xxhash64("__row"), gone).select(*docs.columns)
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,15 +185,20 @@ def near_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "d
     have fingerprint 0 and are linked like any other. Null ids are never a component's id
     unless it has no other. Columns that aren't carried aren't read; carried ones named like
     result columns are replaced. An empty table gives an empty result."""
-    carry = [c for c in (carry or [id_col]) if c not in ("fp", "component_id")]
+    return near_components(docs, carry, id_col, text_col).drop("component")
+
+
+def near_components(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_dedup with component, a fingerprint that names the component whatever its ids."""
+    carry = [c for c in (carry or [id_col]) if c not in ("fp", "component_id", "component")]
     rows = materialize(fingerprints(docs, carry, text_col), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     parts = materialize(connected_components(links(nodes.select("fp"))), "parts")
     named = parts.join(nodes, parts["node"] == nodes["fp"]).select("fp", "component", "least")
     first = materialize(named.groupBy("component").agg(F.min("least").alias("id")), "first")
-    moved = materialize(parts.join(first, "component").select(F.col("node").alias("fp"), "id"), "moved")
-    whole = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id")), "whole")
-    return rows.join(whole, "fp").select(*carry, "fp", "component_id")
+    moved = materialize(parts.join(first, "component").select(F.col("node").alias("fp"), "component", "id"), "moved")
+    whole = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("id", "least").alias("component_id")), "whole")
+    return rows.join(whole, "fp").select(*carry, "fp", "component_id", "component")
 
 
 def op10(spark, sf_dir):

@@ -415,6 +415,23 @@ def test_words():
 # --- pipeline ---
 
 
+def test_near_keeps_one_of_a_group(spark):
+    import corpus_pipeline as p
+
+    rnd = random.Random(9)
+    base = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400))
+    nobody, shared, mixed, plain, other = (base() for _ in range(5))
+    rows = [(None, nobody), (None, nobody + " x"), (None, nobody + " y"), (7, shared), (7, shared + " x"), (7, shared), (None, mixed), (9, mixed + " x"), (3, plain), (2, plain + " x"), (7, other)]
+    texts = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    of = grouped(plain_fingerprint(t) for _, t in rows)
+    assert len({of[plain_fingerprint(t)] for _, t in rows}) == 5
+    kept = p.near(spark, texts, "").collect()
+    assert Counter(of[plain_fingerprint(r.text)] for r in kept) == Counter(set(of[plain_fingerprint(t)] for _, t in rows))
+    assert sorted((r.doc_id or 0, r.text in (other,)) for r in kept) == [(0, False), (2, False), (7, False), (7, True), (9, False)]
+    again = p.near(spark, texts.repartition(3), "").collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, kept))
+
+
 def test_pipeline(spark, corpus, tmp_path):
     """Each stage against its brute force on what the one before it kept."""
     import corpus_pipeline as p
