@@ -15,14 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import ship, tidy
+from packetloom.llm.common import ship, slices, tidy
 
-#: Entries of each memo; a full memo is emptied.
-PAIRS, PIECES = 200_000, 220_000
+#: Bounds of what a worker remembers: pairs of tokens, transitions, and (in each of two
+#: generations) bytes of pieces with their ids. What is full is emptied.
+PAIRS, STEPS, MEMO = 200_000, 200_000, 16 << 20
+#: Bytes of memory that an entry of the memo takes besides its piece and ids.
+ENTRY = 180
 #: Longer pieces aren't memoised as a whole.
 PIECE_CHARS = 48
 #: Bytes read before what is final is emitted, again and again.
 LOOKED = 512
+_NEVER = 1 << 60
 
 
 class Transducer:
@@ -34,39 +38,55 @@ class Transducer:
     (transitions and the tokens that may end there are determinised when first needed), with
     the last tokens of the prefixes that this end covers as registers. What the encodings up
     to all places where a token may still begin share is final and is emitted: the lookahead
-    is bounded by the longest token."""
+    is bounded by the longest token.
+
+    The trie is one table from state and byte to state and a few arrays; only states that were
+    visited have a table of transitions, and all are emptied when they have STEPS entries."""
 
     def __init__(self, ranks: dict[bytes, int], words: dict[int, bytes]):
         self.ranks, self.words = ranks, words
-        self.go: list[dict[int, int]] = [{}]
-        self.parent, self.byte, self.depth = [0], [0], [0]
-        self.token = [-1]
+        self.trie: dict[int, int] = {}
+        self.parent, self.byte, self.depth, self.token = array("i", [0]), bytearray(1), array("i", [0]), array("i", [-1])
+        #: The two tokens whose merge makes a token (none for a byte), and when: by rank.
+        self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
+        self.ordered = True  # every token comes after its parts
+        stem = bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                child = self.go[node].get(byte)
+                child = self.trie.get(node << 8 | byte)
                 if child is None:
-                    child = self.go[node][byte] = len(self.go)
-                    self.go.append({})
+                    child = self.trie[node << 8 | byte] = len(self.parent)
+                    stem[node] = 1
+                    stem.append(0)
                     self.parent.append(node)
                     self.byte.append(byte)
                     self.depth.append(self.depth[node] + 1)
                     self.token.append(-1)
                 node = child
-            if len(token) == 1 or self.merged(token) == [token]:  # else its own merges don't reach it
+            parts = self.merged(token, 2)
+            if len(parts) < 3:  # else its own merges don't reach it
                 self.token[node] = rank
-        n = len(self.go)
-        self.stem = [bool(x) for x in self.go]  # whether a longer token begins so
-        self.fall = [-1] * n
+            if len(parts) == 2:
+                self.left[rank], self.right[rank] = ranks[parts[0]], ranks[parts[1]]
+                self.ordered &= all(len(p) == 1 or ranks[p] < rank for p in parts)
+        n = len(self.parent)
+        self.stem = bytes(stem)  # whether a longer token begins so
+        self.fall = array("i", [-1]) * n
         self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * n
+        self.none: dict[int, int] = {}  # stands for every state without a determinised transition
+        self.go: list[dict[int, int]] = [self.none] * n
+        self.steps = 0
         self.apart: dict[int, bool] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges by definition: of all neighbours, the pair of the lowest rank first."""
-        get, none = self.ranks.get, 1 << 60
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The merges by definition: of all neighbours, the pair of the lowest rank first,
+        until none is left or only `least` parts are."""
+        get, none = self.ranks.get, _NEVER
         parts = [data[i : i + 1] for i in range(len(data))]
         costs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
-        while costs:
+        while len(costs) >= least:
             best = min(costs)
             if best == none:
                 break
@@ -91,9 +111,18 @@ class Transducer:
         """Determinise one transition."""
         out = self.go[state].get(byte)
         if out is None:
-            if not state:
-                raise ValueError(f"no token has byte {byte}")
-            out = self.go[state][byte] = self._next(self._shorter(state), byte)
+            out = self.trie.get(state << 8 | byte)
+            if out is None:
+                if not state:
+                    raise ValueError(f"no token has byte {byte}")
+                out = self._next(self._shorter(state), byte)
+            if self.steps >= STEPS:
+                self.go[:] = [self.none] * len(self.go)
+                self.steps = 0
+            self.steps += 1
+            if self.go[state] is self.none:
+                self.go[state] = {}
+            self.go[state][byte] = out
         return out
 
     def _ends(self, state: int) -> tuple[tuple[int, int], ...]:
@@ -105,10 +134,34 @@ class Transducer:
         return out
 
     def _separate(self, a: int, b: int) -> bool:
+        """Whether two neighbouring tokens stay apart when their bytes are merged afresh.
+
+        Both are unmerged step by step, the younger first. At each step the two parts that
+        meet are neighbours until one of them goes into its whole; they merge if their pair
+        comes before that. Of equal pairs the left one is merged first."""
         if len(self.apart) >= PAIRS:
             self.apart.clear()
-        x, y = self.words[a], self.words[b]
-        ok = self.apart[a << 32 | b] = self.merged(x + y) == [x, y]
+        words, get = self.words, self.ranks.get
+        if not self.ordered:
+            ok = self.merged(words[a] + words[b]) == [words[a], words[b]]
+            self.apart[a << 32 | b] = ok
+            return ok
+        x, y, x_until, y_until = a, b, _NEVER, _NEVER
+        while True:
+            pair = get(words[x] + words[y])
+            if pair is not None and pair < x_until and pair <= y_until:
+                ok = False
+                break
+            x_born = x if x in self.right else -1
+            y_born = y if y in self.left else -1
+            if x_born > y_born:
+                x_until, x = x_born, self.right[x]
+            elif y_born >= 0:
+                y_until, y = y_born, self.left[y]
+            else:
+                ok = True
+                break
+        self.apart[a << 32 | b] = ok
         return ok
 
     def _final(self, state: int, sizes: list[int]) -> int:
@@ -198,8 +251,13 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.cut = regex.compile(pattern)
         self.words = {i: t for t, i in self.ranks.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memo of pieces, at the end of a task."""
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the memo
 
     @cached_property
     def transducer(self) -> Transducer:
@@ -214,9 +272,10 @@ class Codec:
         if out is None:
             out = array("i", self.transducer.encode(piece.encode("utf-8", "replace"))).tobytes()
         if len(piece) <= PIECE_CHARS:
-            if len(self.memo) >= PIECES:
-                self.older, self.memo = self.memo, {}
+            if self.held >= MEMO:
+                self.older, self.memo, self.held = self.memo, {}, 0
             self.memo[piece] = out
+            self.held += ENTRY + 2 * len(piece) + len(out)
         return out
 
     def encode(self, text: str) -> bytes:
@@ -257,18 +316,6 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def _slices(batches, text_col: str, size: int = 4 << 20):
-    """Batches of a bounded number of text bytes (or one row)."""
-    for b in batches:
-        col = b.column(text_col)
-        if b.num_rows <= 1 or col.nbytes <= size:
-            yield b
-            continue
-        step = max(1, b.num_rows * size // col.nbytes)
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text_col: str = "text", drop: tuple[str, ...] = (), decoded: str | None = None) -> DataFrame:
     """docs with n_tokens, (unless ids is False) ids array<int>, and, if `decoded` names a
     column, the text that the ids decode to; a narrow map, no shuffle.
@@ -285,7 +332,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text_col:
 
     def run(batches):
         c = codec(path, pattern)
-        for b in _slices(batches, text_col):
+        for b in slices(batches, text_col):
             parts = [c.encode(t) for t in _texts(b.column(text_col))]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
             cols = [b.column(n) for n in names] + [pa.array(np.diff(ends).astype("int64"))]
@@ -295,6 +342,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, text_col:
             if decoded:
                 cols.append(pa.array(["".join(c.decode(np.frombuffer(p, "<i4"))) for p in parts], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        c.forget()
         tidy()
 
     return source.mapInArrow(run, schema)
@@ -308,7 +356,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", to
 
     def run(batches):
         c = codec(path, pattern)
-        for b in _slices(batches, ids_col):
+        for b in slices(batches, ids_col):
             lists = b.column(ids_col)
             texts = ["".join(c.decode(np.asarray(x.values)) if x.is_valid else ()) for x in lists]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(texts, pa.string())], names=schema.names)

@@ -57,8 +57,16 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application. Where
+    the session has no limit on the bytes of an Arrow batch it gets one (Spark's own is 64 MB,
+    and both sides hold a batch twice)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -132,6 +140,33 @@ def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return free.unionByName(rest)
 
 
+#: Bytes that a Python task turns into objects at once; a single longer row goes alone.
+SLICE = 2 << 20
+
+
+def slices(batches, col: str, size: int = SLICE):
+    """Arrow batches cut so that the strings (or lists of int32) of a column hold `size` bytes
+    at most, or are one row: what a worker holds as Python objects doesn't grow with Spark's
+    batches."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        values = b.column(col)
+        if b.num_rows <= 1 or values.nbytes <= size:
+            if b.num_rows:
+                yield b
+            continue
+        length = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        ends = pc.cumulative_sum(pc.fill_null(length, 0).cast("int64")).to_numpy()
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(ends.searchsorted(before + size, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def tidy() -> None:
     """At the end of a Python task: hand unused memory back, for workers live on."""
     import ctypes

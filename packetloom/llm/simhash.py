@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import LOWER, UPPER, materialize, ship, tidy
+from packetloom.llm.common import LOWER, UPPER, materialize, ship, slices, tidy
 from packetloom.llm.components import connected_components
 
 SEED, WIDTH, DIFFER = 42, 4, 4
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text") -> D
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array([fingerprint(t) for t in b.column(text_col).to_pylist()], pa.int64())], names=schema.names)
         tidy()
 

@@ -1,14 +1,17 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through the first DEPTH bytes, most significant digit first: digit one
-is a GRAM of bytes, digit two the rest of the DEPTH bytes. A suffix alone in its group after
-digit one leaves; groups left equal after digit two are exactly the repeated strings.
-
-Suffixes needn't all be dealt for digit one: of the GRAMs inside a string of DEPTH bytes the one
-with the smallest hash stands for it. Equal strings have equal representatives at the same
-place, so it's enough to group representatives (about one suffix in 69). Consecutive suffixes
-with one representative go through digit two together as a run, unless their group holds
-different runs; then each goes alone. The last digit is compared by 128 bits of hash."""
+Suffixes are ordered only through their first DEPTH bytes, most significant digit first; a
+digit has DIGIT bytes. A pass splits the groups that the digits before left equal; suffixes
+alone in their group leave; groups left equal after the last digit are exactly the repeated
+strings. Bytes are compared, not hashes.
+
+Not every suffix need be sorted. Of the GRAMs inside a string of DEPTH bytes the one with the
+smallest hash stands for it; equal strings have equal representatives at the same place, so
+suffixes with different ones, or with one that occurs once, are thinned out before the sort.
+Consecutive suffixes with one representative are a run; where whole runs are equal (by 128
+bits of hash and the gram's 64), all their strings repeat, and one run of each kind is sorted.
+Groups of more than CROWD kinds are dealt suffix by suffix, each digit in a shuffle of its own
+with digits of half the depth, each by 128 bits of hash."""
 
 from __future__ import annotations
 
@@ -19,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import bitmap, bits_of, capped_bits, has_bit, in_bits, materialize, ship, tidy
+from packetloom.llm.common import PIECE, bitmap, bits_of, capped_bits, discard, has_bit, in_bits, materialize, ship, slices, tidy
 
-DEPTH, GRAM = 200, 64
+DEPTH, GRAM, DIGIT = 200, 64, 8
 SPREAD = DEPTH - GRAM  # last place of a gram in a string
 #: Bytes hashed at once; longer texts go in pieces that overlap by DEPTH - 1.
 BUFFER = 1 << 20
@@ -77,8 +80,8 @@ def pieces(texts: list[bytes]):
 
 
 def runs(data: bytes, rows: list[tuple[int, int, int, int]]):
-    """(start, end, gram hash at the representative, prefix sums): for each run of suffixes
-    with one representative the first and last place in the buffer."""
+    """(start, end, place of the representative, its gram's hash, row, prefix sums): for each
+    run of suffixes with one representative the first and last place in the buffer."""
     up, down = _tables()
     x = np.frombuffer(data, np.uint8)
     n = len(x)
@@ -102,24 +105,21 @@ def runs(data: bytes, rows: list[tuple[int, int, int, int]]):
     end = np.concatenate((change, [len(own)])) - 1
     good = fits[start] > 0
     start, end = start[good], end[good]
-    return start, end, gram[own[start]], fits[start] - 1, sums
+    return start, end, own[start], gram[own[start]], fits[start] - 1, sums
 
 
 def run_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(data[s:e]) for s, e in zip(start.tolist(), (end + DEPTH).tolist(), strict=True)], _U)
-
-
-def string_hashes(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the DEPTH bytes from each place on."""
-    return _mix((sums[at + DEPTH] - sums[at]) * _tables()[1][at])
+    """128 bits of each run's bytes, as two columns."""
+    h = xxhash.xxh3_128_digest
+    both = b"".join([h(data[s:e]) for s, e in zip(start.tolist(), (end + DEPTH).tolist(), strict=True)])
+    return np.frombuffer(both, np.int64).reshape(-1, 2)
 
 
-#: Groups with more different runs (at most 137 strings of 8 bytes each, so 36 MB) are dealt by
-#: single strings and not kept together.
-CROWD = 32_768
-#: Mixes a place into a text's hash; the product of a place and this stays under 2^63.
-_STEP = 2654435761
+#: Groups with more kinds of runs are dealt by single suffixes; of the others a task holds one
+#: at a time (336 bytes a run at most, and some 60 for each suffix).
+CROWD = 1024
+#: Suffixes that a task sorts at once: whole groups of about so many.
+SORTED = 1 << 18
 _SPAN = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("span", T.LongType())])
 
 
@@ -128,19 +128,19 @@ def _span(start, end):
 
 
 def _scan(docs: DataFrame, schema: str, emit) -> DataFrame:
-    """Run emit(start, end, gram, text number, sums, buffer, places in texts, batch) over docs
+    """Run emit(buffer, start, end, anchor, gram, sums, places in texts, t1, t2) over docs
     (t1, t2, text) and collect the record batches it gives."""
     ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = [(t or "").encode("utf-8", "replace") for t in b.column("text").to_pylist()]
             t1, t2 = b.column("t1").to_numpy(zero_copy_only=False), b.column("t2").to_numpy(zero_copy_only=False)
             for data, rows in pieces(texts):
-                start, end, gram, k, sums = runs(data, rows)
+                start, end, anchor, gram, k, sums = runs(data, rows)
                 which = np.array([r[0] for r in rows])[k]
                 shift = np.array([r[1] - r[2] for r in rows])[k]
-                yield from emit(data, start, end, gram.view(np.int64), sums, shift, t1[which], t2[which])
+                yield from emit(data, start, end, anchor, gram.view(np.int64), sums, shift, t1[which], t2[which])
         tidy()
 
     return docs.mapInArrow(run, schema)
@@ -150,100 +150,195 @@ def _table(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
 
 
-def _first_digit(docs: DataFrame) -> DataFrame:
-    """(g, mixed): the grams that represent more than one suffix run; mixed if the runs differ."""
+def _bits(rows: DataFrame, pos) -> tuple[DataFrame, int]:
+    """A capped bitmap of a few bits a row, and the mask of its positions."""
+    bits = capped_bits(rows.count(), 32)
+    return bitmap(rows.select(pos.bitwiseAND(F.lit(bits - 1)).alias("pos")).distinct(), "pos"), bits - 1
 
-    def emit(data, start, end, g, sums, shift, t1, t2):
-        yield _table(g=g, c=run_hashes(data, start, end).view(np.int64))
 
-    keys = _scan(docs, "g long, c long", emit)
-    groups = keys.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    return materialize(groups.filter("n > 1").select("g", (F.col("c0") != F.col("c1")).alias("mixed")), "grams")
+def _runs(docs: DataFrame) -> DataFrame:
+    """(g, c, d, t1, t2, span) of every run; each text is hashed once for this."""
 
+    def emit(data, start, end, anchor, g, sums, shift, t1, t2):
+        c = run_hashes(data, start, end)
+        yield _table(g=g, c=c[:, 0], d=c[:, 1], t1=t1, t2=t2, span=(start + shift) << 32 | (end + shift))
 
-def _filter_of(rows: DataFrame, pos) -> tuple:
-    """A capped bitmap of a few bits a row, for Python tasks."""
-    bits = capped_bits(rows.count(), 32)
-    return bits_of(bitmap(rows.select(pos.bitwiseAND(F.lit(bits - 1)).alias("pos")).distinct(), "pos"), bits), bits - 1
+    return materialize(_scan(docs, "g long, c long, d long, t1 long, t2 long, span long", emit), "runs")
+
+
+#: Mixes a place into a text's hash; the product of a place and this stays under 2^63.
+_STEP = 2654435761
+
+
+def _chosen_runs(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(g, t1, t2, first, ahead, bytes) of the chosen runs (t1, t2, span): where they start,
+    how far ahead their representative is, and their bytes. The filter is capped and may let
+    others through: they are runs of the texts they name, so what they share does repeat. Of
+    copies of a text a task gives each run once."""
+    place = F.col("t1").bitwiseXOR(F.shiftright("span", 32) * F.lit(_STEP))
+    pieces_, mask = _bits(chosen, place)
+    elect = bits_of(pieces_, mask + 1)
+    seen: set[tuple[int, int, int]] = set()  # each task has its own; its partition bounds it
+
+    def emit(data, start, end, anchor, g, sums, shift, t1, t2):
+        ok = np.flatnonzero(in_bits(elect.value, (t1 ^ (start + shift) * _STEP) & mask))
+        new = []
+        for k, key in zip(ok.tolist(), zip(t1[ok].tolist(), t2[ok].tolist(), (start + shift)[ok].tolist(), strict=True), strict=True):
+            if key not in seen:
+                seen.add(key)
+                new.append(k)
+        ok = np.array(new, int)
+        for i in range(0, len(ok), 8192):
+            k = ok[i : i + 8192]
+            cut = [data[s : e + DEPTH] for s, e in zip(start[k].tolist(), end[k].tolist(), strict=True)]
+            yield _table(g=g[k], t1=t1[k], t2=t2[k], first=(start + shift)[k], ahead=(anchor - start)[k].astype(np.int32), bytes=pa.array(cut, pa.binary()))
+
+    return materialize(_scan(docs, "g long, t1 long, t2 long, first long, ahead int, bytes binary", emit), "strings")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(t1, t2, span) for docs (t1, t2, text), t1 and t2 being hashes of the text: places from
     which DEPTH bytes occur elsewhere too, as first << 32 | last."""
-    grams = _first_digit(docs)
-    some, some_mask = _filter_of(grams, F.col("g"))
-    mixed, mixed_mask = _filter_of(grams.filter("mixed"), F.col("g"))
-
-    def emit_runs(data, start, end, g, sums, shift, t1, t2):
-        ok = in_bits(some.value, g & some_mask)
-        s, e = start[ok], end[ok]
-        yield _table(g=g[ok], c=run_hashes(data, s, e).view(np.int64), t1=t1[ok], t2=t2[ok], span=(s + shift[ok]) << 32 | (e + shift[ok]))
-
-    # second digit, whole runs: those that occur twice are repeated all through
-    units = materialize(_scan(docs, "g long, c long, t1 long, t2 long, span long", emit_runs), "runs")
-    classes = materialize(units.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "span")).alias("one")), "classes")
-    twice = materialize(classes.filter("n > 1").select("g", "c"), "twice")
-    whole = units.join(twice, ["g", "c"]).select("t1", "t2", "span")
-
-    # second digit, string by string, where a group holds different runs: one of each kind
+    every = _runs(docs)
+    grams = materialize(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "grams")
+    some, mask = _bits(grams, F.col("g"))
+    some = F.broadcast(materialize(some.toDF("piece", "bits"), "some"))  # at most 32 MiB
+    at = every.withColumn("p", F.col("g").bitwiseAND(F.lit(mask)))
+    units = at.join(some, F.expr(f"p div {PIECE}") == F.col("piece")).filter(has_bit(F.col("bits"), F.col("p"))).select(*every.columns)
+    units = materialize(units, "units")
+    discard(every)
+
+    # whole runs that occur twice are repeated all through; one run stands for each kind
+    kind = ["g", "c", "d"]
+    classes = materialize(units.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("t1", "t2", "span"))), "classes")
+    whole = materialize(units.join(classes.filter("n > 1").select(*kind), kind).select("t1", "t2", "span"), "whole")
+    discard(units)
+
+    # groups of one kind are done; the others are sorted
     groups = materialize(classes.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
-    chosen = materialize(classes.join(groups, "g").select("one.*"), "chosen")
-    place = F.col("t1").bitwiseXOR(F.shiftright("span", 32) * F.lit(_STEP))
-    elect, elect_mask = _filter_of(chosen, place)
-
-    def emit_strings(data, start, end, g, sums, shift, t1, t2):
-        ok = in_bits(mixed.value, g & mixed_mask)
-        ok[ok] = in_bits(elect.value, (t1[ok] ^ (start[ok] + shift[ok]) * _STEP) & elect_mask)
-        s, size = start[ok], (end - start + 1)[ok]
-        ends = np.cumsum([0, *size]).astype(np.int32)
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(s, size)
-        hashes = string_hashes(sums, at).view(np.int64)
-        yield _table(g=g[ok], t1=t1[ok], t2=t2[ok], first=s + shift[ok], hashes=pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes)))
-
-    single = _scan(docs, "g long, t1 long, t2 long, first long, hashes array<long>", emit_strings)
-    single = materialize(single.groupBy("g", "t1", "t2", "first").agg(F.first("hashes").alias("hashes")), "strings")
+    chosen = materialize(classes.join(groups, "g").select("g", "t1", "t2", "span"), "chosen")
+    discard(classes)
     crowded = groups.filter(F.col("kinds") > CROWD).select("g")
     full = F.broadcast(crowded) if crowded.count() <= 100_000 else crowded
-    apart = materialize(single.join(full, "g", "left_semi").select("g", "t1", "t2", "first", F.posexplode("hashes").alias("k", "h")), "apart")
-    same = materialize(apart.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "h"), "same")
-    loose = apart.join(same, ["g", "h"]).select("t1", "t2", _span(F.col("first") + F.col("k"), F.col("first") + F.col("k")).alias("span"))
-    near = _grouped(single.join(full, "g", "left_anti"))
+    one = _chosen_runs(docs, chosen)
+    discard(chosen)
+    near = materialize(_sorted_groups(one.join(full, "g", "left_anti")), "near")
+    loose = materialize(_dealt(one.join(full, "g", "left_semi").dropDuplicates(["g", "t1", "t2", "first"])), "loose")
+    discard(one)
     return whole.unionByName(near).unionByName(loose)
 
 
-def _grouped(single: DataFrame) -> DataFrame:
-    """Equal strings within each group of at most CROWD runs; tasks stream sorted groups."""
-
-    def equal(g: np.ndarray, t1: np.ndarray, t2: np.ndarray, first: np.ndarray, lists: pa.ListArray):
-        size = np.diff(lists.offsets.to_numpy())
-        h = lists.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(g)), size)
-        at = first[row] + np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-        order = np.lexsort((h, g[row]))
-        same = (h[order][1:] == h[order][:-1]) & (g[row][order][1:] == g[row][order][:-1])
-        hit = np.zeros(len(h), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        return _table(t1=t1[row[hit]], t2=t2[row[hit]], span=at[hit] << 32 | at[hit])
+def radix(group: np.ndarray, at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which of the suffixes (starting at `at` in data, DEPTH bytes long, in groups) are equal
+    to another of their group. Most significant digit first: each pass orders every group
+    that the digit splits, and drops what is alone; groups that a digit leaves whole stay as
+    they are."""
+    word = np.ndarray((len(data) - DIGIT + 1,), ">u8", data, strides=(1,))
+    live = np.argsort(group, kind="stable")
+    group = group[live]
+    for depth in range(0, DEPTH + DIGIT, DIGIT):
+        if len(live):  # alone in the group: leave
+            edge = np.concatenate(([True], group[1:] != group[:-1], [True]))
+            stay = ~(edge[1:] & edge[:-1])
+            live, group = live[stay], group[stay]
+        if depth >= DEPTH or not len(live):
+            return live
+        digit = word[at[live] + depth].astype(np.uint64)
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.concatenate((begin, [len(live)])))
+        split = np.repeat(np.minimum.reduceat(digit, begin) != np.maximum.reduceat(digit, begin), size)
+        if split.any():
+            where = np.flatnonzero(split)
+            order = np.lexsort((digit[where], group[where]))
+            live[where], digit[where] = live[where][order], digit[where][order]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
+        group = np.cumsum(new)
+    return live
+
+
+def _equal(t: pa.Table) -> pa.RecordBatch:
+    """Spans of the strings that occur twice in the groups of t, sorted by group and run. A run
+    that several tasks gave counts once."""
+    key = [t.column(n).to_numpy() for n in ("g", "t1", "t2", "first")]
+    t = t.filter(pa.array(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in key], axis=0))))).combine_chunks()
+    g, t1, t2, first, ahead = (t.column(n).to_numpy() for n in ("g", "t1", "t2", "first", "ahead"))
+    bytes_ = t.column("bytes").combine_chunks()
+    ends = np.frombuffer(bytes_.buffers()[1], np.int32)[bytes_.offset : bytes_.offset + len(bytes_) + 1].astype(np.int64)
+    data = np.frombuffer(bytes_.buffers()[2], np.uint8)
+    size = np.diff(ends) - DEPTH + 1
+    row = np.repeat(np.arange(len(g)), size)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    which = np.cumsum(np.concatenate(([0], g[1:] != g[:-1])))
+    # equal strings have their representative at the same place
+    group = which[row] * (SPREAD + 1) + ahead[row] - step
+    hit = np.zeros(len(row), bool)
+    hit[radix(group, ends[row] + step, data)] = True
+    same = hit[1:] & hit[:-1] & (row[1:] == row[:-1])  # neighbours make one span
+    start = np.flatnonzero(hit & ~np.concatenate(([False], same)))
+    stop = np.flatnonzero(hit & ~np.concatenate((same, [False])))
+    r = row[start]
+    return _table(t1=t1[r], t2=t2[r], span=(first[r] + step[start]) << 32 | (first[r] + step[stop]))
+
+
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    """Equal strings within each group of at most CROWD kinds; tasks stream sorted groups."""
 
     def run(batches):
-        held = None
-        names = ("g", "t1", "t2", "first")
+        held: list[pa.RecordBatch] = []
+        n = 0
         for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            g = t.column("g").to_numpy()
-            if not len(g):
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.column("bytes").nbytes - b.num_rows * (DEPTH - 1)
+            if n < SORTED:
                 continue
-            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
-            held = t.slice(cut)
+            t = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(t.column("g").to_numpy(), t.column("g")[-1].as_py()))  # the last group may go on
             if cut:
-                done = t.slice(0, cut).combine_chunks()
-                yield equal(*(done.column(n).to_numpy() for n in names), pa.concat_arrays(done.column("hashes").chunks))
-        if held is not None:
-            done = held.combine_chunks()
-            yield equal(*(done.column(n).to_numpy() for n in names), pa.concat_arrays(done.column("hashes").chunks))
+                yield _equal(t.slice(0, cut).combine_chunks())
+            rest = t.slice(cut).combine_chunks()
+            held, n = rest.to_batches(), (n if not cut else rest.column("bytes").nbytes - rest.num_rows * (DEPTH - 1))
+        if held:
+            yield _equal(pa.Table.from_batches(held).combine_chunks())
+        tidy()
 
-    return single.repartition("g").sortWithinPartitions("g").mapInArrow(run, _SPAN)
+    return rows.repartition("g").sortWithinPartitions("g", "t1", "t2", "first").mapInArrow(run, _SPAN)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The same for crowded groups: a row for each suffix, grouped by one digit of half the
+    depth and, where that is shared, by the next. Aggregation combines before the shuffle and
+    what is shared is joined back, so a string with very many copies holds no task up."""
+    half = DEPTH // 2
+
+    def suffixes(batches):
+        h = xxhash.xxh3_128_digest
+        for b in slices(batches, "bytes", 1 << 18):
+            at, parts = [], []
+            for i, data in enumerate(b.column("bytes").to_pylist()):
+                n = len(data) - DEPTH + 1
+                at.append(np.column_stack((np.full(n, i), np.arange(n))))
+                digits = np.frombuffer(b"".join([h(data[k : k + half]) for k in range(n + half)]), np.int64).reshape(-1, 2)
+                parts.append(np.column_stack((digits[:n], digits[half : n + half])))
+            at, parts = np.concatenate(at), np.concatenate(parts)
+            row = pa.array(at[:, 0])
+            place = b.column("ahead").take(row).to_numpy() - at[:, 1]
+            yield _table(**{n: b.column(n).take(row) for n in ("g", "t1", "t2", "first")}, k=at[:, 1].astype(np.int32), o=place.astype(np.int32), a1=parts[:, 0], a2=parts[:, 1], b1=parts[:, 2], b2=parts[:, 3])
+
+    each = materialize(rows.mapInArrow(suffixes, "g long, t1 long, t2 long, first long, k int, o int, a1 long, a2 long, b1 long, b2 long"), "suffixes")
+    digit = ["g", "o", "a1", "a2"]
+    for more in ([], ["b1", "b2"]):
+        digit = digit + more
+        shared = materialize(each.groupBy(*digit).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
+        left = materialize(each.join(shared, digit, "left_semi"), "left")
+        discard(each)
+        each = left
+    starts = each.groupBy("t1", "t2", "first").agg(F.collect_set("k").alias("ks"))  # at most SPREAD + 1 places of one run
+    begin = F.array_sort(F.filter("ks", lambda k: ~F.array_contains("ks", k - 1)))
+    end = F.array_sort(F.filter("ks", lambda k: ~F.array_contains("ks", k + 1)))
+    spans = starts.select("t1", "t2", "first", F.explode(F.arrays_zip(begin.alias("a"), end.alias("z"))).alias("s"))
+    return spans.select("t1", "t2", _span(F.col("first") + F.col("s.a"), F.col("first") + F.col("s.z")).alias("span"))
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -281,7 +376,7 @@ def _cut(touched: DataFrame, carry: list[str]) -> DataFrame:
     schema = T.StructType([*(touched.schema[c] for c in carry), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "__text"):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for text, spans in zip(b.column("__text").to_pylist(), b.column("__spans"), strict=True):
                 data = text.encode("utf-8", "replace")

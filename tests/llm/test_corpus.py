@@ -66,7 +66,7 @@ def cut(texts):
     return out
 
 
-@pytest.mark.parametrize("crowd", [32768, 2])
+@pytest.mark.parametrize("crowd", [1024, 2])
 def test_remove_repeats(spark, docs, corpus, empty, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     want = Counter(zip([r[0] for r in corpus], cut([(r[1] or "").encode() for r in corpus]), strict=True))
@@ -84,7 +84,7 @@ def test_remove_repeats_across_buffers(monkeypatch):
     for data, rows in suffix_dedup.pieces(texts):
         for k, at, pos, n in rows:
             assert data[pos : pos + n] == texts[k][at : at + n]
-        s, e, _, which, _ = suffix_dedup.runs(data, rows)
+        s, e, _, _, which, _ = suffix_dedup.runs(data, rows)
         for a, z, w in zip(s, e, which, strict=True):
             k, at, pos, _ = rows[w]
             seen.update((k, x - pos + at) for x in range(a, z + 1))
