@@ -87,7 +87,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-l AS (SELECT *, CASE WHEN bool_or(contains(text, '\')) OVER g THEN 2 WHEN bool_or(contains(text, '### ') OR contains(text, '</turn>')) OVER g THEN 1 ELSE 0 END AS level FROM c WINDOW g AS (PARTITION BY conv_id)),
+l AS (SELECT *, CASE WHEN bool_or(regexp_matches(text, '(?s)\\.')) OVER g THEN 2 WHEN bool_or(contains(text, '### ') OR contains(text, '</turn>')) OVER g THEN 1 ELSE 0 END AS level FROM c WINDOW g AS (PARTITION BY conv_id)),
 e AS (SELECT *, CASE level WHEN 0 THEN text WHEN 1 THEN replace(replace(text, '### ', '##\# '), '</turn>', '<\/turn>')
               ELSE replace(replace(replace(text, '\', '\\'), '### ', '##\# '), '</turn>', '<\/turn>') END AS body FROM l)
 SELECT conv_id, count(*) AS n_turns,

@@ -23,10 +23,12 @@ _shipped: set[str] = set()
 
 def workspace(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir (or the context's checkpoint directory); a
-    temporary one only where neither is set."""
+    temporary one only where neither is set, and then only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='packetloom-')}"
@@ -129,11 +131,13 @@ def in_bits(bits, pos):
 
 def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     """df without the rows whose key (a long) is in gone (one column, k). A capped filter lets
-    all rows pass straight through that can't be in it; only the others are joined."""
-    gone = materialize(gone.select(F.col("k").alias("__k")).distinct(), "gone")
+    all rows pass straight through that can't be in it; only the others are joined, by the
+    key itself. Rows with a null key stay."""
+    gone = materialize(gone.select(F.col("k").alias("__k")).filter("__k is not null").distinct(), "gone")
     bits = capped_bits(gone.count(), 32)
-    pieces = F.broadcast(materialize(bitmap(gone.select(F.col("__k").bitwiseAND(F.lit(bits - 1)).alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "gonebits"))
-    rows = df.withColumn("__key", key).withColumn("__pos", F.coalesce(F.col("__key"), F.lit(0)).bitwiseAND(F.lit(bits - 1)))
+    spot = lambda k: F.xxhash64(k).bitwiseAND(F.lit(bits - 1))
+    pieces = F.broadcast(materialize(bitmap(gone.select(spot(F.col("__k")).alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "gonebits"))
+    rows = df.withColumn("__key", key).withColumn("__pos", spot(F.col("__key")))
     rows = rows.join(pieces, F.expr(f"__pos div {PIECE}") == F.col("__piece"), "left").withColumn("__maybe", has_bit(F.col("__bits"), F.col("__pos")))
     free = rows.filter(~F.col("__maybe")).select(*df.columns)
     rest = rows.filter("__maybe").join(gone, F.col("__key") == F.col("__k"), "left_anti").select(*df.columns)

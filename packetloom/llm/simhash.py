@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,14 +22,15 @@ from packetloom.llm.components import connected_components
 
 SEED, WIDTH, DIFFER = 42, 4, 4
 SEGMENTS, BITS = 16, 4
-#: Segment offsets of a chain that a key takes besides the first three: with one differing bit
+#: Sets of segments of a chain that a key takes besides the first three: with one differing bit
 #: in segments 3-6, 3-4 or 5-6 are equal; with two in 3-10, one of the five pairs of parts is.
 SHORT = ((3, 4), (5, 6))
 LONG = tuple((*a, *b) for a, b in combinations(((3, 4), (5, 6), (7, 8), (9, 10)), 2) if (a, b) != ((7, 8), (9, 10)))
 #: Above so many distinct fingerprints the long keys (28 bits) replace the short ones (20).
 MANY = 4_000_000
-#: Fingerprints under one key that are compared in one task; above that, stars do it.
-BUCKET = 8192
+#: Fingerprints under one key that are compared in one task; keys with more are split by
+#: further segments of their chain. Keys of twelve segments can't have more: 16 bits are left.
+BUCKET = 1 << 16
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -66,115 +67,143 @@ def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text") -> D
     return docs.select(*carry, *([text_col] if text_col not in carry else [])).mapInArrow(run, schema)
 
 
+def _mask(start: int, segments: tuple[int, ...]) -> int:
+    """The bits of a chain's segments, as a signed 64-bit integer."""
+    m = sum(15 << 4 * ((start + j) % SEGMENTS) for j in segments)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _code(start: int, segments: tuple[int, ...]) -> int:
+    return start << SEGMENTS | sum(1 << j for j in segments)
+
+
 def _keys(fps: DataFrame, long: bool) -> DataFrame:
-    """(key, start, fp): for each start of the ring and each choice of parts, one key."""
-    seg = lambda j: F.shiftrightunsigned("fp", 4 * (j % SEGMENTS)).bitwiseAND(F.lit(15))
-    keys = []
-    for start in range(SEGMENTS):
-        for v, rest in enumerate(LONG if long else SHORT):
-            key = F.lit(v * SEGMENTS + start).cast("long")
-            for j in (0, 1, 2, *rest):
-                key = F.shiftleft(key, 4).bitwiseOR(seg(start + j))
-            keys.append(key)
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-
-
-def _budgeted(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where the xor x keeps to the budgets of the chain from its start on, and differs in at
-    most DIFFER bits."""
-    alive = np.ones(len(x), bool)
-    turned = (x >> (4 * starts).astype(np.uint64)) | (x << ((64 - 4 * starts) % 64).astype(np.uint64))
-    turned = np.where(starts == 0, x, turned)
+    """(code, part, fp): for each start of the ring and each choice of segments (the code),
+    the fingerprint's bits there."""
+    keys = [(start, (0, 1, 2, *rest)) for start in range(SEGMENTS) for rest in (LONG if long else SHORT)]
+    pairs = F.array(*(F.struct(F.lit(_code(*k)).cast("long").alias("code"), F.col("fp").bitwiseAND(F.lit(_mask(*k)).cast("long")).alias("part")) for k in keys))
+    return fps.select(F.explode(pairs).alias("k"), "fp").select("k.code", "k.part", "fp")
+
+
+def _wider(segments: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The keys with one segment more that together find all that a key finds: the first l
+    segments of a chain differ in l // 4 bits at most, so of one more than that of them that
+    the key leaves open, one is equal. Empty where the budgets give no more."""
+    for upto in range(4, SEGMENTS + 1):
+        open_ = [j for j in range(upto) if j not in segments]
+        if len(open_) > upto * DIFFER // SEGMENTS:
+            return [tuple(sorted((*segments, j))) for j in open_]
+    return []
+
+
+def _split(keys: DataFrame) -> DataFrame:
+    """Rows of crowded keys under the wider keys of each."""
+    codes = [r["code"] for r in keys.select("code").distinct().collect()]  # at most 16 starts by the sets of segments
+    book = []
+    for code in codes:
+        start, segments = code >> SEGMENTS, tuple(j for j in range(SEGMENTS) if code >> j & 1)
+        book += [(code, _code(start, w), _mask(start, w)) for w in _wider(segments)]
+    table = F.broadcast(keys.sparkSession.createDataFrame(book, "code long, wider long, mask long"))
+    out = keys.join(table, "code").select(F.col("wider").alias("code"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
+    return out.distinct()  # several keys may widen to one
+
+
+def _turned(f: np.ndarray, start: int) -> np.ndarray:
+    """The ring from a chain's start on."""
+    n = np.uint64(4 * start)
+    return f if not start else (f >> n) | (f << (np.uint64(64) - n))
+
+
+def _budgeted(x: np.ndarray) -> np.ndarray:
+    """Where a turned xor keeps to the budgets of its chain and differs in at most DIFFER
+    bits. Each budget is checked only on what the one before it left."""
+    alive = np.arange(len(x))
     for upto in (3, 7, 11, 15, 16):  # segments of the chain; its budget is upto // 4 bits
         mask = np.uint64((1 << (4 * upto)) - 1)
-        alive &= np.bitwise_count(turned & mask) <= upto * DIFFER // SEGMENTS
+        alive = alive[np.bitwise_count(x[alive] & mask) <= upto * DIFFER // SEGMENTS]
     return alive
 
 
-def _spread(f: np.ndarray) -> list[tuple[int, int]]:
+def _spread(f: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Links (fingerprint, first of its group) within one key, by search from node to node."""
-    left, out = f, []
+    left, turned, out = f, _turned(f, start), []
     while len(left):
-        root, front, left = left[0], [left[0]], left[1:]
+        root, front, left, turned = left[0], [turned[0]], left[1:], turned[1:]
         while front and len(left):
-            x = left ^ front.pop()
-            near = np.bitwise_count(x) <= DIFFER  # crowded: nearly all pass the budgets
-            if near.any():
-                found = left[near]
-                out += [(int(v), int(root)) for v in found]
-                front += list(found)
-                left = left[~near]
+            near = _budgeted(turned ^ front.pop())
+            if len(near):
+                out += [(int(v), int(root)) for v in left[near]]
+                front += list(turned[near])
+                left, turned = np.delete(left, near), np.delete(turned, near)
     return out
 
 
-def _linked(keys: DataFrame, long: bool) -> DataFrame:
+def _linked(keys: DataFrame) -> DataFrame:
     """Links within each key. Each task streams its sorted keys; what one key links is passed
     on as a forest and never as all pairs."""
     ship(keys.sparkSession)
-    width = 4 * (3 + len((LONG if long else SHORT)[0]))
 
-    def links(key: np.ndarray, f: np.ndarray):
-        edge = np.flatnonzero(np.diff(key)) + 1
-        begin, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+    def links(code: np.ndarray, part: np.ndarray, f: np.ndarray):
+        edge = np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1
+        begin, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(code)]))
         size = end - begin
+        starts = code >> SEGMENTS
         a, b = [], []
         for s, e in zip(begin[size > 64].tolist(), end[size > 64].tolist(), strict=True):
-            got = np.array(_spread(f[s:e]), np.uint64).reshape(-1, 2)
+            got = np.array(_spread(f[s:e], int(starts[s])), np.uint64).reshape(-1, 2)
             a.append(got[:, 0])
             b.append(got[:, 1])
         small = np.repeat((size > 1) & (size <= 64), size)
         at = np.flatnonzero(small)
         stop = np.repeat(end, size)[at]
+        turned = f.copy()
+        for start in range(1, SEGMENTS):
+            here = starts == start
+            turned[here] = _turned(f[here], start)
         for d in range(1, 64):
             keep = at + d < stop
             at, stop = at[keep], stop[keep]
             if not len(at):
                 break
-            good = _budgeted(f[at] ^ f[at + d], key[at] >> np.int64(width) & np.int64(15))
+            good = _budgeted(turned[at] ^ turned[at + d])
             a.append(f[at][good])
             b.append(f[at + d][good])
         return (np.concatenate(a), np.concatenate(b)) if a else (f[:0], f[:0])
 
     def run(batches):
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         for batch in batches:
-            k = np.concatenate((held_k, batch.column(0).to_numpy(zero_copy_only=False)))
-            f = np.concatenate((held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if not len(k):
+            code, part, f = (np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False).view(h.dtype))) for i, h in enumerate(held))
+            if not len(code):
                 continue
-            cut = int(np.searchsorted(k, k[-1]))  # the last key may go on
-            held_k, held_f = k[cut:], f[cut:]
+            last = np.flatnonzero((code != code[-1]) | (part != part[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last key may go on
+            held = [code[cut:], part[cut:], f[cut:]]
             if cut:
-                a, b = links(k[:cut], f[:cut])
+                a, b = links(code[:cut], part[:cut], f[:cut])
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-        if len(held_k):
-            a, b = links(held_k, held_f)
+        if len(held[0]):
+            a, b = links(*held)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-
-
-def _stars(fps: DataFrame) -> DataFrame:
-    """For crowded keys: two fingerprints are linked if and only if some 64-bit word is within
-    2 bits of both. Each meets its 2081 such words; a word has at most 2081 fingerprints."""
-    masks = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    words = fps.select("fp", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("word"))
-    return words.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("word")).alias("b")).filter("a <> b").distinct()
+    return keys.repartition("code", "part").sortWithinPartitions("code", "part").mapInArrow(run, "a long, b long")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) such that exactly those that chains of
-    at most DIFFER bits connect are connected."""
-    long = fps.count() > MANY
-    keys = _keys(fps, long)
-    crowded = materialize(keys.groupBy("key").count().filter(F.col("count") > BUCKET).select("key"), "crowded")
-    n = crowded.count()
-    if not n:
-        return _linked(keys, long)
-    full = F.broadcast(crowded) if n <= 100_000 else crowded
-    dense = keys.join(full, "key", "left_semi").select("fp").distinct()
-    return _linked(keys.join(full, "key", "left_anti"), long).unionByName(_stars(dense))
+    at most DIFFER bits connect are connected. Keys with more than BUCKET fingerprints are
+    split by wider keys, level by level; only rows of crowded keys go on to the next."""
+    keys, out = _keys(fps, fps.count() > MANY), None
+    while True:
+        sizes = keys.groupBy("code", "part").count().filter((F.col("count") > BUCKET) & (F.bit_count(F.col("code").bitwiseAND(F.lit(0xFFFF))) < SEGMENTS - DIFFER))
+        crowded = materialize(sizes.select("code", "part"), "crowded")
+        n = crowded.count()
+        full = F.broadcast(crowded) if n <= 100_000 else crowded
+        found = _linked(keys.join(full, ["code", "part"], "left_anti") if n else keys)
+        out = found if out is None else out.unionByName(found)
+        if not n:
+            return out
+        keys = materialize(_split(keys.join(full, ["code", "part"], "left_semi")), "wider")
 
 
 def near_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,36 +64,57 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, othe
     The longest fitting rule decides (of equally long ones the greatest by code point);
     where none fits, rule is null and the verdict is `otherwise`. Null urls and those
     without :// have an empty host and path, and no rule. Other columns are not read, so
-    they can't clash; repeated rows are judged alike. Each rule needs a literal token."""
-    # a rule without a token fits any url that matches its expression, so it is always fetched
+    they can't clash; repeated rows are judged alike. A rule without a literal token (an empty
+    host and no directory) can't be indexed, so every url with :// fetches it; with many rules
+    the others are joined by token and the verdicts are the same."""
     made = [Rule(*r) for r in rules]
     listed: dict[str, list] = {}
     for token, rule in index([r for r in made if r.tokens()]):
         listed.setdefault(token, []).append(_entry(token, rule))
     always = [_entry("", r) for r in made if not r.tokens()]
     if len(made) > LITERAL_RULES:
-        return _joined(pages, made, otherwise, id_col, url_col)
-    base = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+        return _joined(pages, made, always, otherwise, id_col, url_col)
+    base = _parts(pages, id_col, url_col)
     none = F.array().cast("array<struct<len:int,rule:string,verdict:string,pattern:string>>")
     found = F.array(*always) if always else none
     if listed:
         book = F.create_map(*[x for t, rs in listed.items() for x in (F.lit(t), F.array(*rs))])
-        tokens = F.array_distinct(F.concat(F.split("host", r"\."), F.split("path", "/")))
-        found = F.concat(found, F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(book, t), none))))
+        found = F.concat(found, F.flatten(F.transform(_tokens(), lambda t: F.coalesce(F.try_element_at(book, t), none))))
+    return _verdict(base.withColumn("__best", F.when(F.col("__known"), _best(found))), id_col, otherwise)
+
+
+def _parts(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    url = F.col(url_col)
+    return pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(F.contains(url, F.lit("://")), F.lit(False)).alias("__known"))
+
+
+def _tokens() -> Column:
+    return F.array_distinct(F.concat(F.split("host", r"\."), F.split("path", "/")))
+
+
+def _best(found: Column) -> Column:
+    """Of the fetched rules that fit, the longest."""
     fits = F.filter(found, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["len"], r["rule"], r["verdict"])))
-    return base.withColumn("__best", best).select(id_col, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["len"], r["rule"], r["verdict"])))
+
+
+def _verdict(rows: DataFrame, id_col: str, otherwise: str) -> DataFrame:
+    return rows.select(id_col, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))
 
 
-def _joined(pages: DataFrame, rules: list[Rule], otherwise: str, id_col: str, url_col: str) -> DataFrame:
-    """The same for many rules: distinct urls, exploded to tokens, meet the rules by token.
-    A very frequent token has few rules, for it is nobody's rarest; AQE splits it otherwise."""
+def _joined(pages: DataFrame, rules: list[Rule], always: list[Column], otherwise: str, id_col: str, url_col: str) -> DataFrame:
+    """The same for many rules: distinct urls, exploded to tokens, meet the rules by token;
+    those without a token (`always`) are judged on each distinct url. A very frequent token
+    has few rules, for it is nobody's rarest; AQE splits it otherwise."""
     spark = pages.sparkSession
     book = spark.createDataFrame([(t, len(r.name), r.name, r.verdict, r.pattern) for t, r in index([r for r in rules if r.tokens()])], "token string, len int, rule string, verdict string, pattern string")
-    base = pages.select(F.col(id_col), F.col(url_col).alias("__url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    tokens = base.select("host", "path").distinct().withColumn("token", F.explode(F.array_distinct(F.concat(F.split("host", r"\."), F.split("path", "/")))))
-    best = tokens.join(book, "token").filter(F.rlike(F.concat("host", "path"), F.col("pattern"))).groupBy("host", "path").agg(F.max(F.struct("len", "rule", "verdict")).alias("__best"))
-    return base.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))
+    base = _parts(pages, id_col, url_col)
+    urls = base.filter("__known").select("host", "path").distinct()
+    best = urls.withColumn("token", F.explode(_tokens())).join(book, "token").filter(F.rlike(F.concat("host", "path"), F.col("pattern"))).select("host", "path", F.struct("len", "rule", "verdict").alias("__r"))
+    if always:
+        best = best.unionByName(urls.select("host", "path", _best(F.array(*always)).alias("__r")).filter("__r is not null"))
+    best = best.groupBy("host", "path").agg(F.max("__r").alias("__best")).withColumn("__known", F.lit(True))
+    return _verdict(base.join(best, ["host", "path", "__known"], "left"), id_col, otherwise)
 
 
 def op9(spark, sf_dir):

@@ -339,6 +339,12 @@ def test_urls(spark, literal, monkeypatch):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df).collect()}
     assert got == {i: judged(u, url_filter.RULES) for i, u in enumerate(urls)}
     assert url_filter.url_filter(df.limit(0)).count() == 0
+    # rules without a literal token, and repeated rows
+    more = [*url_filter.RULES, ("block", "", "/x"), ("block", "", "")]
+    odd = [*urls, "file:///x/y", "file:///z", "file://", "http://net/fr/", "http://a./x", None]
+    df = spark.createDataFrame(list(enumerate(odd)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df, more).collect()}
+    assert got == {i: judged(u, more) if "://" in (u or "") else ("", "", None, "allow") for i, u in enumerate(odd)}
     assert {t for t, _ in url_filter.index([url_filter.Rule(*r) for r in url_filter.RULES])} == {"com", "example", "www", "es", "fr"}
 
 
@@ -383,7 +389,7 @@ def test_near_dedup(spark, docs, corpus, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize(("bucket", "many"), [(8192, 4_000_000), (3, 4_000_000), (8192, 10)])
+@pytest.mark.parametrize(("bucket", "many"), [(1 << 16, 4_000_000), (3, 4_000_000), (1 << 16, 10), (40, 10)])
 def test_links_find_all(spark, bucket, many, monkeypatch):
     """Clusters around centres, under short and long keys and with crowded keys."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
@@ -401,6 +407,25 @@ def test_links_find_all(spark, bucket, many, monkeypatch):
     assert {p: parts.get(p, p) for p in signed} == of
 
 
+def test_wider_keys_lose_no_chain():
+    """Every way to spread four differing bits that keeps a chain's budgets agrees with some
+    key, at each width that splitting reaches."""
+    rnd = random.Random(4)
+    level = [(0, 1, 2, *r) for r in simhash.SHORT]
+    chains = []
+    while len(chains) < 400:
+        bits = [0] * 16
+        for _ in range(4):
+            bits[rnd.randint(3, 15)] += 1
+        if all(sum(bits[:n]) <= n // 4 for n in range(1, 17)):
+            chains.append({j for j in range(16) if not bits[j]})
+    while level:
+        assert all(any(set(k) <= c for k in level) for c in chains)
+        level = [w for k in level for w in simhash._wider(k)]
+        level = sorted(set(level))
+        assert all(len(k) <= 12 for k in level)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
