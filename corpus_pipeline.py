@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again before the next. All but the last return the columns of documents."""
+again before the next. All but the last return the columns of documents.
+
+Null texts count as empty everywhere. A null doc_id is never an example and never held out; in
+exact dedup it is the smallest id, in near dedup the last; its rows are mixed together. Extra
+columns are carried on; names that begin with two underscores are kept for the stages. Empty
+tables give empty results; without labels no document is toxic."""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from packetloom.llm.common import materialize, without
+from packetloom.llm.common import discard, materialize, without
 
 
 def toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +35,8 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_components(rows.withColumn("__hash", F.xxhash64("text")), carry=["doc_id", "__hash", "__row"])
     found = materialize(found.select("component", "doc_id", "__hash", "__row"), "found")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row"))["__row"].alias("__first"))
-    gone = found.join(first, "component").filter("__row <> __first").select(F.xxhash64("__row").alias("k"))
-    return without(rows, F.xxhash64("__row"), gone).select(*docs.columns)
+    gone = found.join(first, "component").filter("__row <> __first").select(F.col("__row").alias("k"))
+    return without(rows, F.col("__row"), gone).select(*docs.columns)
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote goes once the next one has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        discard(before)
     return docs
