@@ -30,8 +30,9 @@ def rows_text(rows: list[dict], max_cell: int = MAX_CELL) -> str:
 
 
 def envelope_text(env: dict) -> str:
-    more = " [TRUNCATED — refine query or paginate]" if env["truncated"] else ""
-    return f"returned {env['returned']} of {env['total']} (offset {env['offset']}){more}"
+    last = env["offset"] + env["returned"]
+    more = f"; more from offset {last}" if env["truncated"] else ""
+    return f"rows {env['offset'] + 1 if env['returned'] else 0}-{last} of {env['total']}{more}"
 
 
 def within_budget(header: str, rows: list[str], footer: str, max_chars: int = MAX_CHARS) -> tuple[str, int]:
@@ -44,7 +45,7 @@ def within_budget(header: str, rows: list[str], footer: str, max_chars: int = MA
         left -= len(r) + 1
         kept += 1
     dropped = len(rows) - kept
-    notice = f"\n[RENDER BUDGET EXCEEDED — {dropped} row(s) dropped; narrow select or lower limit]" if dropped else ""
+    notice = f"\n({dropped} more row(s) don't fit into {max_chars} characters: ask for fewer rows or columns)" if dropped else ""
     return header + "\n" + "\n".join(rows[:kept]) + notice + "\n" + footer, dropped
 
 
