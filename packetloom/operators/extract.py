@@ -8,67 +8,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions.columns import first_of, hex_number, ms, number, present, sum_of, truthy, whole
+from packetloom.functions.columns import ms
 from packetloom.registry import EVENT_TYPES
 from packetloom.schema import CONVERSATIONS, DISSECTED, EVENTS, FRAMES, STREAMS, column_of
 
 FLOW = ["capture_id", "transport", "stream_id"]
 FLAGS = ["retransmission", "fast_retransmission", "spurious_retransmission", "out_of_order", "duplicate_ack", "zero_window", "lost_segment"]
 STREAM_FRAMES = 50
-
-
-def facts(rows: DataFrame) -> DataFrame:
-    """Typed rows. Rows without a frame number or a finite time are dropped; absent columns
-    are null; of comma lists in single-valued fields the first value counts."""
-    have = set(rows.columns)
-    col = lambda f: present(F.col(column_of(f))) if column_of(f) in have else F.lit(None).cast("string")
-    tcp = col("tcp.stream").isNotNull()
-    f: dict[str, Column] = {
-        "capture_id": F.col("capture_id") if "capture_id" in have else F.lit("cap"),
+#: Frames of a capture for each range of time in which events are numbered.
+NUMBERED = 100_000
+#: Rows that belong to a flow with two endpoints.
+FLOWING = "transport is not null and stream_id is not null and ip_src is not null and ip_dst is not null"
+
+
+def _typed(have: set[str]) -> dict[str, str]:
+    """SQL of each typed column. Written as text: a plan of some hundred expressions then costs
+    one call and not thousands."""
+    col = lambda f: f"nullif({column_of(f)}, '')" if column_of(f) in have else "CAST(NULL AS STRING)"
+    first = lambda c: f"split_part({c}, ',', 1)"
+    double = lambda v: f"CASE WHEN abs(try_cast({v} AS DOUBLE)) < 9e18 THEN try_cast({v} AS DOUBLE) END"  # noqa: E731  NaN is larger
+    number = lambda c: double(first(c))
+    whole = lambda c, kind="BIGINT": f"try_cast(coalesce(try_cast({first(c)} AS BIGINT), CAST({number(c)} AS BIGINT)) AS {kind})"
+    truthy = lambda c: f"coalesce(concat(',', {c}, ',') RLIKE ',(1|true|True|TRUE),', false)"
+    either = lambda *fs: f"coalesce({', '.join(map(col, fs))})"
+    tcp = f"{col('tcp.stream')} IS NOT NULL"
+    return {
+        "capture_id": "capture_id" if "capture_id" in have else "'cap'",
         "frame_number": whole(col("frame.number")),
         "epoch": number(col("frame.time_epoch")),
-        "len": F.coalesce(whole(col("frame.len")), F.lit(0).cast("bigint")),
-        "transport": F.when(tcp, "tcp").when(col("udp.stream").isNotNull(), "udp"),
-        "stream_id": whole(F.coalesce(col("tcp.stream"), col("udp.stream"))),
-        "ip_src": F.coalesce(first_of(col("ip.src")), first_of(col("ipv6.src"))),
-        "ip_dst": F.coalesce(first_of(col("ip.dst")), first_of(col("ipv6.dst"))),
-        "src_port": whole(F.coalesce(col("tcp.srcport"), col("udp.srcport")), "int"),
-        "dst_port": whole(F.coalesce(col("tcp.dstport"), col("udp.dstport")), "int"),
-        "syn": tcp & truthy(col("tcp.flags.syn")),
-        "ack": tcp & truthy(col("tcp.flags.ack")),
+        "len": f"coalesce({whole(col('frame.len'))}, 0L)",
+        "transport": f"CASE WHEN {tcp} THEN 'tcp' WHEN {col('udp.stream')} IS NOT NULL THEN 'udp' END",
+        "stream_id": whole(either("tcp.stream", "udp.stream")),
+        "ip_src": f"coalesce({first(col('ip.src'))}, {first(col('ipv6.src'))})",
+        "ip_dst": f"coalesce({first(col('ip.dst'))}, {first(col('ipv6.dst'))})",
+        "src_port": whole(either("tcp.srcport", "udp.srcport"), "INT"),
+        "dst_port": whole(either("tcp.dstport", "udp.dstport"), "INT"),
+        "syn": f"{tcp} AND {truthy(col('tcp.flags.syn'))}",
+        "ack": f"{tcp} AND {truthy(col('tcp.flags.ack'))}",
         "tcp_seq_raw": whole(col("tcp.seq_raw")),
         "tcp_ack_raw": whole(col("tcp.ack_raw")),
-        "tcp_len": whole(col("tcp.len"), "int"),
-        "tcp_flags": first_of(col("tcp.flags.str")),
-        "tcp_window": whole(col("tcp.window_size"), "int"),
+        "tcp_len": whole(col("tcp.len"), "INT"),
+        "tcp_flags": first(col("tcp.flags.str")),
+        "tcp_window": whole(col("tcp.window_size"), "INT"),
         "ack_rtt": number(col("tcp.analysis.ack_rtt")),
         "dup_ack_num": whole(col("tcp.analysis.duplicate_ack_num")),
-        "tls_record_bytes": sum_of(col("tls.record.length")),
-        "tls_types": F.split(col("tls.handshake.type"), ","),
+        "tls_record_bytes": f"aggregate(split({col('tls.record.length')}, ','), 0L, (a, x) -> a + coalesce(CAST({double('x')} AS BIGINT), 0L))",
+        "tls_types": f"split({col('tls.handshake.type')}, ',')",
         "tls_version": col("tls.handshake.version"),
         "tls_sni": col("tls.handshake.extensions_server_name"),
         "tls_ciphers": col("tls.handshake.ciphersuite"),
         "cert_lengths": col("tls.handshake.certificate_length"),
-        "cert_name": first_of(F.coalesce(col("x509sat.uTF8String"), col("x509sat.PrintableString"))),
+        "cert_name": first(either("x509sat.uTF8String", "x509sat.PrintableString")),
         "cert_dns": col("x509ce.dNSName"),
-        "dns_id": hex_number(col("dns.id")),
-        "dns_qname": first_of(col("dns.qry.name")),
+        "dns_id": f"try_cast(conv(regexp_replace({first(col('dns.id'))}, '^0[xX]', ''), 16, 10) AS BIGINT)",
+        "dns_qname": first(col("dns.qry.name")),
         "dns_qtype": col("dns.qry.type"),
-        "dns_response": F.when(col("dns.flags.response").isNotNull(), truthy(col("dns.flags.response"))),
-        "dns_rcode": whole(col("dns.flags.rcode"), "int"),
-        "http_method": first_of(col("http.request.method")),
-        "http_host": first_of(col("http.host")),
-        "http_uri": first_of(col("http.request.uri")),
-        "http_status": whole(col("http.response.code"), "int"),
-        "http_content_type": first_of(col("http.content_type")),
+        "dns_response": f"CASE WHEN {col('dns.flags.response')} IS NOT NULL THEN {truthy(col('dns.flags.response'))} END",
+        "dns_rcode": whole(col("dns.flags.rcode"), "INT"),
+        "http_method": first(col("http.request.method")),
+        "http_host": first(col("http.host")),
+        "http_uri": first(col("http.request.uri")),
+        "http_status": whole(col("http.response.code"), "INT"),
+        "http_content_type": first(col("http.content_type")),
         "http_time": number(col("http.time")),
-        "quic_streams": F.split(col("quic.stream.stream_id"), ","),
-        "quic_direction": first_of(col("quic.stream.direction")),
-        "quic_initiator": first_of(col("quic.stream.initiator")),
+        "quic_streams": f"split({col('quic.stream.stream_id')}, ',')",
+        "quic_direction": first(col("quic.stream.direction")),
+        "quic_initiator": first(col("quic.stream.initiator")),
         "protocols": col("frame.protocols"),
-    } | {flag: tcp & truthy(col(f"tcp.analysis.{flag}")) for flag in FLAGS}
+    } | {flag: f"{tcp} AND {truthy(col(f'tcp.analysis.{flag}'))}" for flag in FLAGS}
+
+
+def facts(rows: DataFrame) -> DataFrame:
+    """Typed rows. Rows without a frame number or a finite time are dropped; absent columns
+    are null; of comma lists in single-valued fields the first value counts."""
     assert all(column_of(x) for x in DISSECTED)
-    return rows.select(*(c.alias(n) for n, c in f.items())).filter("frame_number is not null and frame_number <> 0 and epoch is not null")
+    return rows.selectExpr(*(f"{c} AS {n}" for n, c in _typed(set(rows.columns)).items())).filter("frame_number is not null and frame_number <> 0 and epoch is not null")
+
+
+def _shaped(df: DataFrame, schema, made: dict[str, str]) -> DataFrame:
+    """capture_id and the schema's columns, those in `made` by their SQL."""
+    return df.selectExpr("capture_id", *(f"CAST({made.get(x.name, x.name)} AS {x.dataType.simpleString()}) AS {x.name}" for x in schema.fields))
+
+
+def _ms(seconds: str) -> str:
+    return f"round(({seconds}) * 1000, 3)"
 
 
 def capture_times(f: DataFrame) -> DataFrame:
@@ -84,29 +107,28 @@ def _from_start(f: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def frames(f: DataFrame) -> DataFrame:
-    out = _from_start(f, capture_times(f))
-    analysis = F.array_compact(F.array(*(F.when(F.col(x), x) for x in FLAGS)))
     made = {
-        "time_ms": ms(F.col("epoch") - F.col("t0")), "ack_rtt_ms": ms(F.col("ack_rtt")), "analysis": analysis, "dns_id": F.col("dns_id").cast("int"),
-        "tls_handshake_type": F.col("tls_types")[0].try_cast("int"), "http_time_ms": ms(F.col("http_time")),
+        "time_ms": _ms("epoch - t0"), "ack_rtt_ms": _ms("ack_rtt"), "analysis": f"array_compact(array({', '.join(f"CASE WHEN {x} THEN '{x}' END" for x in FLAGS)}))",
+        "tls_handshake_type": "try_cast(tls_types[0] AS INT)", "http_time_ms": _ms("http_time"),
     }
-    return out.select("capture_id", *((made.get(x.name, F.col(x.name))).cast(x.dataType).alias(x.name) for x in FRAMES.fields))
+    return _shaped(_from_start(f, capture_times(f)), FRAMES, made)
 
 
 def endpoints(f: DataFrame) -> DataFrame:
-    """One row a flow: who began it, how that is known, and its first pure SYN.
+    """One row a flow: who began it, how that is known, its first pure SYN, and whether it lost
+    a segment.
 
     Rows are aggregated by flow and pair of endpoints first (a hash aggregation over plain
     numbers with map-side combine), so even a flow that holds a third of all frames reaches
     the second aggregation as a few rows."""
-    flows = f.filter("transport is not null and stream_id is not null and ip_src is not null and ip_dst is not null")
+    flows = f.filter(FLOWING)
     pure = F.when(F.col("syn") & ~F.col("ack"), F.col("frame_number"))
     ways = flows.groupBy(*FLOW, "ip_src", F.coalesce("src_port", F.lit(0)).alias("sport"), "ip_dst", F.coalesce("dst_port", F.lit(0)).alias("dport")).agg(
-        F.min("frame_number").alias("frame"), F.min(pure).alias("syn_frame"), F.min_by(F.col("epoch"), pure).alias("syn_epoch"), F.max("syn").alias("any_syn")
+        F.min("frame_number").alias("frame"), F.min(pure).alias("syn_frame"), F.min_by(F.col("epoch"), pure).alias("syn_epoch"), F.max("syn").alias("any_syn"), F.max("lost_segment").alias("lost")
     )
     src, dst = F.struct(F.col("ip_src").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("ip_dst").alias("ip"), F.col("dport").alias("port"))
     flow = ways.groupBy(*FLOW).agg(
-        F.min(F.struct("frame", src.alias("src"), dst.alias("dst"))).alias("opening"), F.max("any_syn").alias("saw_syn"),
+        F.min(F.struct("frame", src.alias("src"), dst.alias("dst"))).alias("opening"), F.max("any_syn").alias("saw_syn"), F.max("lost").alias("lossy"),
         F.collect_list(F.struct(src.alias("src"), F.when(F.col("syn_frame").isNotNull(), F.struct("syn_frame", "syn_epoch")).alias("syn"))).alias("ways"),
     )
     begin, answer = F.col("opening.src"), F.col("opening.dst")
@@ -115,97 +137,114 @@ def endpoints(f: DataFrame) -> DataFrame:
     swap = ~F.col("saw_syn") & (begin["port"] < 1024) & (answer["port"] >= 1024)
     return flow.select(
         *FLOW, begin.alias("begin"), answer.alias("answer"), swap.alias("swap"), syn["syn_frame"].alias("syn_frame"), syn["syn_epoch"].alias("syn_epoch"),
-        F.when(F.col("saw_syn"), "handshake").when(swap, "port_heuristic").otherwise("first_packet").alias("direction_basis"),
+        F.when(F.col("saw_syn"), "handshake").when(swap, "port_heuristic").otherwise("first_packet").alias("direction_basis"), "lossy",
     )
 
 
 def directed(f: DataFrame, ends: DataFrame) -> DataFrame:
     """Rows of flows with `ahead` (as the first packet went) and `forward` (from the initiator)."""
     src = F.struct(F.col("ip_src").alias("ip"), F.coalesce("src_port", F.lit(0)).alias("port"))
-    out = f.filter("transport is not null and stream_id is not null and ip_src is not null and ip_dst is not null").join(ends, FLOW)
+    out = f.filter(FLOWING).join(ends, FLOW)
     out = out.withColumn("ahead", (src == F.col("begin")) | (src != F.col("answer")))
     return out.withColumn("forward", F.col("ahead") != F.col("swap"))
 
 
-def _attrs(**given: Column) -> Column:
-    return F.struct(*(given.get(x.name[5:], F.lit(None)).cast(x.dataType).alias(x.name) for x in EVENTS.fields if x.name.startswith("attr_")))
-
-
-def events_of_frame() -> Column:
-    """The events of a row in emission order; one narrow expression, no Python."""
-    c = F.col
-
-    def event(kind: str, when: Column, **attrs: Column) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("type"), _attrs(**attrs).alias("attrs")))
-
-    plain = F.when(c("retransmission"), "plain").when(c("fast_retransmission"), "fast").otherwise("spurious")
-    simple = [
-        event("tcp_retransmission", c("retransmission") | c("fast_retransmission") | c("spurious_retransmission"), variant=plain),
-        event("tcp_out_of_order", c("out_of_order")),
-        event("tcp_dup_ack", c("duplicate_ack"), dup_ack_count=c("dup_ack_num")),
-        event("tcp_zero_window", c("zero_window")),
-        event("tcp_missing_segment", c("lost_segment")),
-    ]
-
-    def tls(t: Column) -> Column:
-        hello = event("tls_client_hello", t == "1", version=c("tls_version"), sni=c("tls_sni"), cipher_count=F.when(c("tls_ciphers").isNotNull(), F.size(F.split("tls_ciphers", ","))))
-        answer = event("tls_server_hello", t == "2", version=c("tls_version"), cipher=c("tls_ciphers"))
-        cert = event("tls_certificate", t == "11", cn=c("cert_name"), san_dns=c("cert_dns"), cert_count=F.when(c("cert_lengths").isNotNull(), F.size(F.split("cert_lengths", ","))))
-        return F.coalesce(hello, answer, cert)
-
-    name = {"dns_id": c("dns_id"), "qname": c("dns_qname"), "qtype": c("dns_qtype")}
-    answered = F.coalesce(c("dns_response"), F.lit(False))
-    tail = [
-        event("http_request", c("http_method").isNotNull(), method=c("http_method"), host=c("http_host"), uri=c("http_uri")),
-        event("http_response", c("http_status").isNotNull(), status_code=c("http_status"), content_type=c("http_content_type"), resp_time_ms=ms(c("http_time"))),
-        event("dns_query", c("dns_qname").isNotNull() & ~answered, **name),
-        event("dns_response", c("dns_qname").isNotNull() & answered, **name, rcode_num=c("dns_rcode")),
-    ]
-    middle = F.transform(F.coalesce("tls_types", F.array().cast("array<string>")), tls)
-    return F.array_compact(F.concat(F.array(*simple), middle, F.array(*tail)))
+#: What makes a row an event of a type, in the order of emission; TLS handshakes come where
+#: their list has them.
+_BEFORE = {
+    "tcp_retransmission": "retransmission OR fast_retransmission OR spurious_retransmission", "tcp_out_of_order": "out_of_order", "tcp_dup_ack": "duplicate_ack",
+    "tcp_zero_window": "zero_window", "tcp_missing_segment": "lost_segment",
+}
+_HANDSHAKES = {"1": "tls_client_hello", "2": "tls_server_hello", "11": "tls_certificate"}
+_AFTER = {
+    "http_request": "http_method IS NOT NULL", "http_response": "http_status IS NOT NULL", "dns_query": "dns_qname IS NOT NULL AND NOT coalesce(dns_response, false)",
+    "dns_response": "dns_qname IS NOT NULL AND dns_response",
+}
+_LISTED = "size(split({0}, ','))"
+#: The attributes of each type that a row itself has.
+ATTRIBUTES = {
+    "tcp_retransmission": {"variant": "CASE WHEN retransmission THEN 'plain' WHEN fast_retransmission THEN 'fast' ELSE 'spurious' END"},
+    "tcp_dup_ack": {"dup_ack_count": "dup_ack_num"},
+    "tls_client_hello": {"version": "tls_version", "sni": "tls_sni", "cipher_count": f"CASE WHEN tls_ciphers IS NOT NULL THEN {_LISTED.format('tls_ciphers')} END"},
+    "tls_server_hello": {"version": "tls_version", "cipher": "tls_ciphers"},
+    "tls_certificate": {"cn": "cert_name", "san_dns": "cert_dns", "cert_count": f"CASE WHEN cert_lengths IS NOT NULL THEN {_LISTED.format('cert_lengths')} END"},
+    "http_request": {"method": "http_method", "host": "http_host", "uri": "http_uri"},
+    "http_response": {"status_code": "http_status", "content_type": "http_content_type", "resp_time_ms": _ms("http_time")},
+    "dns_query": {"dns_id": "dns_id", "qname": "dns_qname", "qtype": "dns_qtype"},
+    "dns_response": {"dns_id": "dns_id", "qname": "dns_qname", "qtype": "dns_qtype", "rcode_num": "dns_rcode"},
+}
+
+
+def kinds_of_frame() -> str:
+    """SQL of the types of a row's events in emission order: a narrow array, so attributes are
+    made after it is exploded, for rows that have events."""
+    some = lambda d: ", ".join(f"CASE WHEN {cond} THEN '{kind}' END" for kind, cond in d.items())
+    tls = " ".join(f"WHEN '{t}' THEN '{kind}'" for t, kind in _HANDSHAKES.items())
+    middle = f"CASE WHEN tls_types IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE transform(tls_types, t -> CASE t {tls} END) END"
+    return f"array_compact(concat(array({some(_BEFORE)}), {middle}, array({some(_AFTER)})))"
+
+
+def _attribute(name: str) -> str:
+    cases = " ".join(f"WHEN '{kind}' THEN {attrs[name]}" for kind, attrs in ATTRIBUTES.items() if name in attrs)
+    return f"CASE type {cases} END" if cases else "NULL"
 
 
 def gaps(d: DataFrame) -> DataFrame:
     """For each lost-segment row the highest end of sequence seen before in its direction.
-    Only directions that lost a segment are sorted."""
+    Only flows that lost a segment are sorted, and of them only what the sum needs."""
     lane = [*FLOW, "ahead"]
-    some = d.filter("lost_segment").select(*lane).distinct()
     before = Window.partitionBy(*lane).orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
     base = F.when(F.col("syn"), F.col("tcp_seq_raw") + 1)
     end = F.when(F.col("tcp_len") > 0, F.col("tcp_seq_raw") + F.col("tcp_len"))
     mark = F.when(base.isNotNull() | end.isNotNull(), F.struct(base.alias("base")))
-    seen = d.join(some, lane, "left_semi").withColumns({"prior": F.max(end).over(before), "opened": F.first(mark, ignorenulls=True).over(before)})
+    slim = d.filter("lossy").select(*lane, "frame_number", "syn", "tcp_seq_raw", "tcp_len", "lost_segment")
+    seen = slim.withColumns({"prior": F.max(end).over(before), "opened": F.first(mark, ignorenulls=True).over(before)})
     # a SYN sets the base only where nothing was seen before; its own row sees that base
     prior = F.greatest("prior", F.when(F.col("opened").isNotNull(), F.col("opened.base")).otherwise(base))
     return seen.filter("lost_segment").select("capture_id", "frame_number", prior.alias("prior_end"), F.col("tcp_seq_raw").alias("lost_seq"))
 
 
-def events(f: DataFrame, ends: DataFrame | None = None, compat_ids: bool = True) -> DataFrame:
-    """One row an event, numbered by (time, frame, emission) within each capture.
+def _numbered(out: DataFrame, f: DataFrame, times: DataFrame) -> DataFrame:
+    """With `number`, 1.. by (time, frame, emission) within each capture. A capture is cut into
+    ranges of time, of some NUMBERED frames each; events are counted by range, the counts are
+    summed up over the ranges (a row each), and events are numbered inside their range: the
+    numbers of one sort, without a task that sorts a capture."""
+    cuts = F.floor(F.col("packet_count") / NUMBERED) + 1
+    part = F.least(F.floor((F.col("epoch") - F.col("first_epoch")) * F.col("cuts") / F.greatest(F.col("last_epoch") - F.col("first_epoch"), F.lit(1e-6))), F.col("cuts") - 1).cast("bigint")
+    spans = times.select("capture_id", "first_epoch", "last_epoch", cuts.alias("cuts"))
+    held = f.filter(FLOWING).join(spans, "capture_id").groupBy("capture_id", part.alias("range")).agg(F.sum(F.size(F.expr(kinds_of_frame()))).alias("n"))
+    earlier = Window.partitionBy("capture_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("capture_id", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("capture_id", "range").orderBy("epoch", "frame_number", "transport", "stream_id", "emission")
+    rows = out.join(spans, "capture_id").withColumn("range", part).join(offsets, ["capture_id", "range"])
+    return rows.withColumn("number", F.col("before") + F.row_number().over(inside))
+
 
-    The numbering sorts the events of one capture in one task; with compat_ids False the id
-    is evt:<frame>.<emission>, which needs no sort and orders alike wherever time does."""
+def events(f: DataFrame, ends: DataFrame | None = None, compat_ids: bool = True) -> DataFrame:
+    """One row an event, numbered by (time, frame, emission) within each capture. With
+    compat_ids False the id is evt:<frame>.<emission>, which needs no sort at all and orders
+    alike wherever time does."""
     ends = endpoints(f) if ends is None else ends
-    d = _from_start(directed(f, ends), capture_times(f))
+    times = capture_times(f)
+    d = directed(f, ends)
     lost = gaps(d)
-    out = d.select("capture_id", "transport", "stream_id", "frame_number", "epoch", "t0", "forward", F.posexplode(events_of_frame()).alias("emission", "event"))
-    out = out.select("*", "event.type", "event.attrs.*").drop("event")
+    attrs = [x.name[5:] for x in EVENTS.fields if x.name.startswith("attr_") and x.name not in ("attr_origin", "attr_gap_bytes")]
+    out = d.selectExpr("*", f"posexplode({kinds_of_frame()}) AS (emission, type)")
+    out = _from_start(out, times).selectExpr("capture_id", "transport", "stream_id", "frame_number", "epoch", "t0", "forward", "emission", "type", *(f"{_attribute(a)} AS attr_{a}" for a in attrs))
     # few rows: only lost-segment events take the window's result
     out = out.join(lost, ["capture_id", "frame_number"], "left")
-    missing = F.col("type") == "tcp_missing_segment"
-    known = F.col("lost_seq").isNotNull()
-    out = out.withColumns({
-        "attr_origin": F.when(missing, F.when(known & F.col("prior_end").isNull(), "capture_start").otherwise("mid_stream")),
-        "attr_gap_bytes": F.when(missing & known & (F.col("lost_seq") > F.col("prior_end")), F.col("lost_seq") - F.col("prior_end")),
-    })
-    order = Window.partitionBy("capture_id").orderBy("epoch", "frame_number", "transport", "stream_id", "emission")
-    number_ = F.format_string("evt:%06d", F.row_number().over(order)) if compat_ids else F.format_string("evt:%d.%d", "frame_number", "emission")
-    kinds = F.create_map(*[x for t in EVENT_TYPES.values() for x in (F.lit(t.name), F.lit(t.detection))])
+    if compat_ids:
+        out = _numbered(out, f, times)
+    missing = "type = 'tcp_missing_segment'"
     made = {
-        "event_id": number_, "conversation_id": conversation_id(), "time_ms": ms(F.col("epoch") - F.col("t0")), "detection": kinds[F.col("type")],
-        "direction": F.when(F.col("forward"), "initiator_to_responder").otherwise("responder_to_initiator"),
+        "event_id": "format_string('evt:%06d', number)" if compat_ids else "format_string('evt:%d.%d', frame_number, emission)",
+        "conversation_id": "concat('conv:', transport, ':', stream_id)", "time_ms": _ms("epoch - t0"),
+        "detection": f"CASE type {' '.join(f"WHEN '{t.name}' THEN '{t.detection}'" for t in EVENT_TYPES.values())} END",
+        "direction": "CASE WHEN forward THEN 'initiator_to_responder' ELSE 'responder_to_initiator' END",
+        "attr_origin": f"CASE WHEN {missing} THEN CASE WHEN lost_seq IS NOT NULL AND prior_end IS NULL THEN 'capture_start' ELSE 'mid_stream' END END",
+        "attr_gap_bytes": f"CASE WHEN {missing} AND lost_seq > prior_end THEN lost_seq - prior_end END",
     }
-    return out.select("capture_id", *(made.get(x.name, F.col(x.name)).cast(x.dataType).alias(x.name) for x in EVENTS.fields))
+    return _shaped(out, EVENTS, made)
 
 
 def conversation_id() -> Column:
@@ -217,52 +256,47 @@ def conversations(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     all rows is a hash aggregation of plain numbers; medians and distinct streams, which need
     more, run over the few rows that have samples and are joined by the same key."""
     ends = endpoints(f) if ends is None else ends
-    d = _from_start(directed(f, ends), capture_times(f)).withColumn("kinds", F.transform(events_of_frame(), lambda e: e["type"]))
-    fwd, back, frame = F.col("forward"), ~F.col("forward"), F.col("frame_number")
-    count = lambda cond: F.count_if(cond).cast("bigint")
-    of = lambda kind: F.coalesce(F.sum(F.size(F.filter("kinds", lambda k: k == kind))), F.lit(0)).cast("bigint")
-    total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
-    first = lambda cond: F.min_by(F.col("epoch"), F.when(cond, frame))
-    has = lambda *ks: F.max(F.exists("kinds", lambda k: k.isin(*ks)))
-    event_epoch = F.when(F.size("kinds") > 0, F.col("epoch"))
-    done = F.col("ahead") & F.col("ack") & ~F.col("syn") & (frame > F.col("syn_frame"))
-    payload = (F.col("transport") == "tcp") & (F.col("tcp_len") > 0)
-    a = d.groupBy(*FLOW, "begin", "answer", "swap", "direction_basis", "t0", "syn_epoch").agg(
-        F.least(F.min_by("epoch", "frame_number"), F.min(event_epoch)).alias("e0"), F.greatest(F.max_by("epoch", "frame_number"), F.max(event_epoch)).alias("e1"),
-        count(fwd).alias("packets_forward"), count(back).alias("packets_reverse"),
-        total(fwd, "len").alias("bytes_forward"), total(back, "len").alias("bytes_reverse"),
-        total(fwd & payload, "tcp_len").alias("payload_bytes_forward"), total(back & payload, "tcp_len").alias("payload_bytes_reverse"),
-        total(F.col("tls_record_bytes") > 0, "tls_record_bytes").alias("tls_app_bytes"),
-        of("tcp_retransmission").alias("retransmission_count"), of("tcp_missing_segment").alias("missing_segment_count"), of("tcp_dup_ack").alias("dup_ack_count"),
-        of("http_request").alias("http_txn_count"), of("dns_query").alias("dns_query_count"), of("tls_client_hello").alias("tls_handshake_count"),
-        F.max(F.when(F.col("ack_rtt") >= 0, F.col("ack_rtt"))).alias("rtt_max"), first(done).alias("done_epoch"),
-        first(F.array_contains("kinds", "tls_client_hello")).alias("hello"), first(F.array_contains("kinds", "tls_server_hello")).alias("answered"),
-        has("tls_client_hello", "tls_server_hello").alias("tls"), has("dns_query", "dns_response").alias("dns"), has("http_request", "http_response").alias("http"),
-    )
+    d = _from_start(directed(f, ends), capture_times(f)).selectExpr("*", f"{kinds_of_frame()} AS kinds")
+    total = lambda cond, c: f"coalesce(sum(CASE WHEN {cond} THEN {c} END), 0L)"
+    of = lambda kind: f"coalesce(sum(size(filter(kinds, k -> k = '{kind}'))), 0L)"
+    first = lambda cond: f"min_by(epoch, CASE WHEN {cond} THEN frame_number END)"
+    payload = "transport = 'tcp' AND tcp_len > 0"
+    sums = {
+        "e0": "least(min_by(epoch, frame_number), min(CASE WHEN size(kinds) > 0 THEN epoch END))", "e1": "greatest(max_by(epoch, frame_number), max(CASE WHEN size(kinds) > 0 THEN epoch END))",
+        "packets_forward": "count_if(forward)", "packets_reverse": "count_if(NOT forward)", "bytes_forward": total("forward", "len"), "bytes_reverse": total("NOT forward", "len"),
+        "payload_bytes_forward": total(f"forward AND {payload}", "tcp_len"), "payload_bytes_reverse": total(f"NOT forward AND {payload}", "tcp_len"), "tls_app_bytes": total("tls_record_bytes > 0", "tls_record_bytes"),
+        "retransmission_count": of("tcp_retransmission"), "missing_segment_count": of("tcp_missing_segment"), "dup_ack_count": of("tcp_dup_ack"), "http_txn_count": of("http_request"),
+        "dns_query_count": of("dns_query"), "tls_handshake_count": of("tls_client_hello"), "rtt_max": "max(CASE WHEN ack_rtt >= 0 THEN ack_rtt END)",
+        "done_epoch": first("ahead AND ack AND NOT syn AND frame_number > syn_frame"), "hello": first("array_contains(kinds, 'tls_client_hello')"), "answered": first("array_contains(kinds, 'tls_server_hello')"),
+        "tls": "bool_or(array_contains(kinds, 'tls_client_hello') OR array_contains(kinds, 'tls_server_hello'))", "dns": "bool_or(array_contains(kinds, 'dns_query') OR array_contains(kinds, 'dns_response'))",
+        "http": "bool_or(array_contains(kinds, 'http_request') OR array_contains(kinds, 'http_response'))",
+    }
+    a = d.groupBy(*FLOW, "begin", "answer", "swap", "direction_basis", "t0", "syn_epoch").agg(*(F.expr(c).alias(n) for n, c in sums.items()))
     samples = f.filter("ack_rtt >= 0").groupBy(*FLOW).agg(F.median("ack_rtt").alias("rtt_median"))
-    ids = f.filter("quic_streams is not null").select(*FLOW, F.explode("quic_streams").alias("sid")).groupBy(*FLOW).agg(F.count_distinct(number(F.col("sid"), "bigint")).alias("quic"))
+    ids = f.filter("quic_streams is not null").selectExpr(*FLOW, "explode(quic_streams) AS sid").groupBy(*FLOW).agg(F.expr(f"count(DISTINCT {_WHOLE})").alias("quic"))
     a = a.join(samples, FLOW, "left").join(ids, FLOW, "left").fillna(0, ["quic"])
-    who = F.when(F.col("swap"), F.col("answer")).otherwise(F.col("begin"))
-    other = F.when(F.col("swap"), F.col("begin")).otherwise(F.col("answer"))
-    took = F.col("e1") - F.col("e0")
-    both = F.col("bytes_forward") + F.col("bytes_reverse")
-    tags = F.array_compact(F.array(F.col("transport"), F.when(F.col("tls"), "tls"), F.when(F.col("dns"), "dns"), F.when(F.col("http"), "http"), F.when(F.col("quic") > 0, "quic")))
+    who, other = "(CASE WHEN swap THEN answer ELSE begin END)", "(CASE WHEN swap THEN begin ELSE answer END)"
+    both = "(bytes_forward + bytes_reverse)"
     made = {
-        "conversation_id": conversation_id(), "initiator_ip": who["ip"], "initiator_port": who["port"], "responder_ip": other["ip"], "responder_port": other["port"],
-        "start_ms": ms(F.col("e0") - F.col("t0")), "duration_ms": ms(took), "packets_total": F.col("packets_forward") + F.col("packets_reverse"), "bytes_total": both,
-        "rtt_median_ms": ms(F.col("rtt_median")), "rtt_max_ms": ms(F.col("rtt_max")), "throughput_bps": F.when(took > 0, F.floor(both * 8 / took + 0.5)),
-        "tcp_handshake_ms": ms(F.col("done_epoch") - F.col("syn_epoch")), "tls_handshake_ms": ms(F.col("answered") - F.col("hello")),
-        "quic_stream_count": F.col("quic"), "protocol_tags": tags,
+        "conversation_id": "concat('conv:', transport, ':', stream_id)", "initiator_ip": f"{who}.ip", "initiator_port": f"{who}.port", "responder_ip": f"{other}.ip", "responder_port": f"{other}.port",
+        "start_ms": _ms("e0 - t0"), "duration_ms": _ms("e1 - e0"), "packets_total": "packets_forward + packets_reverse", "bytes_total": both,
+        "rtt_median_ms": _ms("rtt_median"), "rtt_max_ms": _ms("rtt_max"), "throughput_bps": f"CASE WHEN e1 > e0 THEN floor({both} * 8 / (e1 - e0) + 0.5) END",
+        "tcp_handshake_ms": _ms("done_epoch - syn_epoch"), "tls_handshake_ms": _ms("answered - hello"), "quic_stream_count": "quic",
+        "protocol_tags": "array_compact(array(transport, CASE WHEN tls THEN 'tls' END, CASE WHEN dns THEN 'dns' END, CASE WHEN http THEN 'http' END, CASE WHEN quic > 0 THEN 'quic' END))",
     }
-    return a.select("capture_id", *(made.get(x.name, F.col(x.name)).cast(x.dataType).alias(x.name) for x in CONVERSATIONS.fields))
+    return _shaped(a, CONVERSATIONS, made)
+
+
+#: A stream's number, as text in `sid`.
+_WHOLE = "CASE WHEN abs(try_cast(sid AS DOUBLE)) < 9e18 THEN CAST(try_cast(sid AS DOUBLE) AS BIGINT) END"
 
 
 def streams(f: DataFrame) -> DataFrame:
     """One row a multiplexed stream of a flow; each mention in a row counts. The first
     STREAM_FRAMES frames are kept as evidence."""
-    t = _from_start(f.filter("quic_streams is not null and transport is not null and stream_id is not null and ip_src is not null and ip_dst is not null"), capture_times(f))
-    each = t.select("capture_id", conversation_id().alias("conversation_id"), "frame_number", "epoch", "t0", "len", "quic_direction", "quic_initiator", F.posexplode("quic_streams").alias("pos", "sid"))
-    each = each.withColumn("sid", number(F.col("sid"), "bigint")).filter("sid is not null")
+    t = _from_start(f.filter(f"quic_streams is not null and {FLOWING}"), capture_times(f))
+    each = t.selectExpr("capture_id", "concat('conv:', transport, ':', stream_id) AS conversation_id", "frame_number", "epoch", "t0", "len", "quic_direction", "quic_initiator", "posexplode(quic_streams) AS (pos, sid)")
+    each = each.withColumn("sid", F.expr(_WHOLE)).filter("sid is not null")
     begin = F.min(F.struct("frame_number", "pos", "epoch", "quic_direction", "quic_initiator"))
     # evidence is ranked and cut before it is collected, so a long stream's list stays short
     rank = F.row_number().over(Window.partitionBy("capture_id", "conversation_id", "sid").orderBy("frame_number", "pos"))
@@ -270,11 +304,8 @@ def streams(f: DataFrame) -> DataFrame:
     lists = kept.groupBy("capture_id", "conversation_id", "sid").agg(F.sort_array(F.collect_list("frame_number")).alias("evidence_frames"))
     a = each.groupBy("capture_id", "conversation_id", "sid").agg(begin.alias("b"), F.max(F.struct("frame_number", "epoch"))["epoch"].alias("e1"), F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes"), F.first("t0").alias("t0"))
     a = a.join(lists, ["capture_id", "conversation_id", "sid"])
-    made = {
-        "stream_id": F.col("sid"), "stream_direction": F.col("b.quic_direction"), "initiator": F.col("b.quic_initiator"),
-        "start_ms": ms(F.col("b.epoch") - F.col("t0")), "duration_ms": ms(F.col("e1") - F.col("b.epoch")),
-    }
-    return a.select("capture_id", *(made.get(x.name, F.col(x.name)).cast(x.dataType).alias(x.name) for x in STREAMS.fields))
+    made = {"stream_id": "sid", "stream_direction": "b.quic_direction", "initiator": "b.quic_initiator", "start_ms": _ms("b.epoch - t0"), "duration_ms": _ms("e1 - b.epoch")}
+    return _shaped(a, STREAMS, made)
 
 
 def frame_refs(ev: DataFrame, st: DataFrame) -> DataFrame:

@@ -35,12 +35,14 @@ def fifo(rows: DataFrame, keys: list[str], order: list[str], is_request: str, is
 
 
 def transactions(ev: DataFrame) -> DataFrame:
-    """HTTP transactions of each conversation; orphan responses are skipped."""
-    http = ev.filter(F.col("type").isin("http_request", "http_response"))
-    p = fifo(http, ["capture_id", "conversation_id"], ["time_ms", "frame_number", "event_id"], "type = 'http_request'", "type = 'http_response'")
+    """HTTP transactions of each conversation; orphan responses are skipped. resp_time_ms is the
+    measured time where there is one, else the difference. Order is that of emission."""
+    # in one frame the request is emitted before the response
+    http = ev.filter(F.col("type").isin("http_request", "http_response")).withColumn("__emitted", F.col("type") == "http_response")
+    p = fifo(http, ["capture_id", "conversation_id"], ["time_ms", "frame_number", "__emitted"], "type = 'http_request'", "type = 'http_response'")
     q, r = F.col("request"), F.col("response")
     return p.select(
         "capture_id", "conversation_id", q["attr_method"].alias("method"), q["attr_host"].alias("host"), q["attr_uri"].alias("uri"), r["attr_status_code"].alias("status_code"),
-        q["time_ms"].alias("request_time_ms"), r["time_ms"].alias("response_time_ms"), F.round(r["time_ms"] - q["time_ms"], 3).alias("resp_time_ms"),
+        q["time_ms"].alias("request_time_ms"), r["time_ms"].alias("response_time_ms"), F.coalesce(r["attr_resp_time_ms"], F.round(r["time_ms"] - q["time_ms"], 3)).alias("resp_time_ms"),
         q["frame_number"].alias("request_frame"), r["frame_number"].alias("response_frame"), r["attr_resp_time_ms"].alias("measured_resp_time_ms"),
     )

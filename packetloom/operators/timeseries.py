@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,35 +16,43 @@ def widen(duration_ms: float, bin_ms: float) -> float:
     return bin_ms
 
 
-def bin_count(duration_ms: float, width: float) -> int:
-    return max(1, math.ceil(duration_ms / width) + 1)
-
-
 def widened(duration: Column, bin_ms: float) -> Column:
     """widen() as an expression, for many series at once."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.lit(float(bin_ms)), lambda w, _: F.when(duration / w > MAX_BINS, w * 2).otherwise(w))
 
 
-def binned(rows: DataFrame, at_ms: Column, forward: Column, value: Column, how: str, width: float, n: int) -> DataFrame:
-    """(t_start_ms, forward, reverse) for n bins; how is sum (empty bins 0) or median (null)."""
-    spot = F.least(F.greatest(F.floor(at_ms / width), F.lit(0)), F.lit(n - 1)).cast("bigint")
-    fold = (lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))) if how == "sum" else (lambda c: F.round(F.median(c), 3))
-    held = rows.select(spot.alias("bin"), forward.alias("fwd"), value.cast("double").alias("v")).groupBy("bin").agg(fold(F.when(F.col("fwd"), F.col("v"))).alias("forward"), fold(F.when(~F.col("fwd"), F.col("v"))).alias("reverse"))
-    bins = rows.sparkSession.range(n).withColumnRenamed("id", "bin")
-    out = bins.join(held, "bin", "left")
-    if how == "sum":
-        out = out.fillna(0.0, ["forward", "reverse"])
-    return out.select((F.col("bin") * width).alias("t_start_ms"), "forward", "reverse")
+def binned(rows: DataFrame, spans: DataFrame, keys: list[str], value: Column, how: str, bin_ms: float) -> DataFrame:
+    """(keys, bin_ms, t_start_ms, forward, reverse) for every bin of every span.
 
+    spans has one row a key with start_ms and duration_ms; its width is bin_ms, doubled until
+    at most MAX_BINS are left, and its bins begin at start_ms. rows have the keys, time_ms and
+    forward; what lies outside the span counts in its first or last bin. how is sum or
+    median; where a bin holds no value that way, it is null. Rows are folded to bins before they meet the full list."""
+    took = F.coalesce("duration_ms", F.lit(0.0))
+    wide = spans.select(*keys, F.coalesce("start_ms", F.lit(0.0)).alias("__start"), widened(took, bin_ms).alias("bin_ms"), took.alias("__took"))
+    wide = wide.withColumn("__n", F.greatest(F.lit(1), F.ceil(F.col("__took") / F.col("bin_ms")) + 1).cast("bigint"))
+    spot = F.least(F.greatest(F.floor((F.col("time_ms") - F.col("__start")) / F.col("bin_ms")), F.lit(0)), F.col("__n") - 1).cast("bigint")
+    fold = (lambda c: F.sum(c)) if how == "sum" else (lambda c: F.round(F.median(c), 3))
+    held = rows.select(*keys, "time_ms", "forward", value.cast("double").alias("__v")).join(wide, keys).select(*keys, spot.alias("__bin"), "forward", "__v")
+    held = held.groupBy(*keys, "__bin").agg(fold(F.when(F.col("forward"), F.col("__v"))).alias("forward"), fold(F.when(~F.col("forward"), F.col("__v"))).alias("reverse"))
+    out = wide.select(*keys, "bin_ms", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__bin")).join(held, [*keys, "__bin"], "left")
+    return out.select(*keys, "bin_ms", (F.col("__bin") * F.col("bin_ms")).alias("t_start_ms"), "forward", "reverse")
 
-def series(d: DataFrame, metric: str, start_ms: float, duration_ms: float, bin_ms: float = 100) -> tuple[DataFrame, float]:
-    """d: directed rows of one conversation with time_ms. Bins start with the conversation.
-    bytes, packets and tls_bytes are summed; window and rtt are medians."""
+
+def series_all(d: DataFrame, spans: DataFrame, keys: list[str], metric: str, bin_ms: float = 100) -> DataFrame:
+    """The series of a metric for every key at once: bytes, packets and tls_bytes are summed;
+    window and rtt are medians."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric '{metric}'. Allowed: {', '.join(METRICS)}")
-    width = widen(duration_ms, bin_ms)
     value, how = {
         "bytes": (F.col("len"), "sum"), "packets": (F.lit(1), "sum"), "tls_bytes": (F.col("tls_record_bytes"), "sum"),
         "window": (F.col("tcp_window"), "median"), "rtt": (F.col("ack_rtt") * 1000, "median"),
     }[metric]
-    return binned(d, F.col("time_ms") - start_ms, F.col("forward"), value, how, width, bin_count(duration_ms, width)).orderBy("t_start_ms"), width
+    return binned(d, spans, keys, value, how, bin_ms)
+
+
+def series(d: DataFrame, metric: str, start_ms: float, duration_ms: float, bin_ms: float = 100) -> tuple[DataFrame, float]:
+    """series_all() for the directed rows of one conversation, and the width of its bins."""
+    span = d.sparkSession.createDataFrame([(1, float(start_ms), float(duration_ms))], "one int, start_ms double, duration_ms double")
+    out = series_all(d.withColumn("one", F.lit(1)), span, ["one"], metric, bin_ms)
+    return out.select("t_start_ms", "forward", "reverse").orderBy("t_start_ms"), widen(duration_ms, bin_ms)

@@ -75,3 +75,108 @@ CATALOG = {
     "v_streams": ("view", "join frame_refs by owner_id", "One row for each multiplexed stream.", T.StructType(STREAMS.fields[:-1])),
     "v_http_transactions": ("view", "inline frame_number column", "Requests with the response that answers them, in order within a conversation; response columns are null where there is none.", TRANSACTIONS),
 }
+
+
+#: What columns mean: (description, what null means), by name; attributes by their own name.
+_NOTES = """
+conversation_id|conv:<transport>:<stream number>|
+transport|tcp or udp|neither
+initiator_ip|address that began the conversation|
+initiator_port|its port (0 if unknown)|
+responder_ip|address that answered|
+responder_port|its port (0 if unknown)|
+direction_basis|how the initiator is known: handshake, first_packet or port_heuristic|
+start_ms|first frame, in ms from the capture's start|
+duration_ms|from first to last frame|
+packets_forward|frames from the initiator|
+packets_reverse|frames from the responder|
+packets_total|frames both ways|
+bytes_forward|frame bytes from the initiator|
+bytes_reverse|frame bytes from the responder|
+bytes_total|frame bytes both ways|
+payload_bytes_forward|TCP payload from the initiator|
+payload_bytes_reverse|TCP payload from the responder|
+tls_app_bytes|bytes of TLS records|
+retransmission_count|retransmission events|
+missing_segment_count|missing-segment events|
+dup_ack_count|duplicate acknowledgements|
+http_txn_count|HTTP requests|
+dns_query_count|DNS queries|
+tls_handshake_count|TLS client hellos|
+rtt_median_ms|median of round trip samples|no sample
+rtt_max_ms|largest round trip sample|no sample
+throughput_bps|bits a second over the duration|no duration
+tcp_handshake_ms|first SYN to the acknowledgement after it|handshake not seen
+tls_handshake_ms|first client hello to first server hello|not both seen
+quic_stream_count|different multiplexed streams|
+protocol_tags|transport and the protocols seen in it|
+event_id|evt:<number> in order of time|
+type|type of the event|
+time_ms|ms from the capture's start|
+direction|initiator_to_responder or back|
+detection|what observed it|
+frame_number|number of the frame in the capture|
+variant|plain, fast or spurious|
+dup_ack_count|number of the duplicate|unknown
+gap_bytes|bytes missing before the frame|nothing known before
+origin|capture_start or mid_stream|
+dns_id|transaction id|not DNS
+qname|name asked for|
+qtype|type asked for|unknown
+rcode_num|response code|
+version|TLS version offered or chosen|unknown
+sni|server name asked for|not sent
+cipher_count|ciphers offered|unknown
+cipher|cipher chosen|unknown
+cn|name in the certificate|unknown
+san_dns|further names in the certificate|none
+cert_count|certificates sent|unknown
+method|HTTP method|
+host|HTTP host|not sent
+uri|HTTP target|
+status_code|HTTP status|no response
+content_type|HTTP content type|not sent
+resp_time_ms|time to the response: as measured, else by difference|no response
+epoch|seconds since 1970|
+len|bytes of the frame|
+ip_src|sender|not IP
+ip_dst|receiver|not IP
+stream_id|number of the stream|no stream
+src_port|sender's port|no port
+dst_port|receiver's port|no port
+tcp_seq_raw|sequence number|not TCP
+tcp_ack_raw|acknowledgement number|not TCP
+tcp_len|TCP payload bytes|not TCP
+tcp_flags|TCP flags as text|not TCP
+tcp_window|receive window|not TCP
+ack_rtt_ms|round trip of the acknowledged segment|no sample
+analysis|flags of the TCP analysis|
+dns_qname|DNS name|not DNS
+dns_response|whether it is a DNS response|not DNS
+dns_rcode|DNS response code|not a response
+tls_handshake_type|first TLS handshake type|no handshake
+tls_record_bytes|bytes of TLS records|not TLS
+http_method|HTTP method|not a request
+http_host|HTTP host|not a request
+http_uri|HTTP target|not a request
+http_status|HTTP status|not a response
+http_content_type|HTTP content type|not sent
+http_time_ms|measured response time|not measured
+stream_direction|one way or both|unknown
+initiator|who opened the stream|unknown
+packets|mentions in frames|
+bytes|bytes of those frames|
+evidence_frames|its first frames|
+owner_type|event or stream|
+owner_id|event id, or <conversation_id>/stream/<stream_id>|
+request_time_ms|when the request was sent|
+response_time_ms|when the response came|no response
+request_frame|frame of the request|
+response_frame|frame of the response|no response
+"""
+COLUMN_NOTES = {n: (d, v) for n, d, v in (x.split("|") for x in _NOTES.strip().split("\n"))}
+
+
+def column_notes(table: str, column: str) -> dict[str, str | None]:
+    about, null = COLUMN_NOTES[column.removeprefix("attr_")]
+    return {"description": about, "null": "the type lacks it" if column.startswith("attr_") else null or None}

@@ -6,19 +6,23 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 from collections import OrderedDict
 from functools import cached_property
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom import __version__
+from packetloom.config import Config
 from packetloom.functions import render
 from packetloom.operators import extract, index, pairing, timeseries
 from packetloom.plans import dsl, rawfilter, sqlgate
-from packetloom.schema import CATALOG
+from packetloom.schema import CATALOG, column_notes
 
 EVIDENCE_FRAMES, LISTED_FRAMES, TIMELINE, TIMELINE_MOST = 200, 100, 200, 500
+TRANSACTIONS = 500
 
 
 def fingerprint(path: str) -> str:
@@ -42,6 +46,21 @@ def query_hash(capture_id: str, query) -> str:
     return hashlib.sha256(f"{capture_id}\n{json.dumps(query, sort_keys=True, separators=(',', ':'), ensure_ascii=False)}".encode()).hexdigest()[:16]
 
 
+def frames_of(frames: DataFrame, asked: DataFrame) -> DataFrame:
+    """The records of the asked frame numbers that there are."""
+    return frames.join(asked, "frame_number", "left_semi")
+
+
+def missing_of(frames: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked frame numbers that no record has."""
+    return asked.join(frames, "frame_number", "left_anti")
+
+
+def frame_info():
+    """One word on what a frame says: its request, status, name or handshake."""
+    return F.coalesce("http_method", F.col("http_status").cast("string"), "dns_qname", F.col("tls_handshake_type").cast("string"))
+
+
 def listed(frames: DataFrame, col: str = "frame_number", most: int = LISTED_FRAMES) -> dict:
     """The first frames of a set with the size of the whole; a top-k in the plan."""
     total = frames.count()
@@ -50,17 +69,24 @@ def listed(frames: DataFrame, col: str = "frame_number", most: int = LISTED_FRAM
 
 
 class Session:
-    """rows: dissected rows of one capture. Tables are planned when first asked for; cache()
-    or materialize() keeps them."""
+    """rows: dissected rows of one capture. Tables are planned when first asked for. With a
+    folder (Config.tables) they are written there as Parquet, once for each version, and read
+    back; without one they are persisted in memory and on disk."""
 
-    def __init__(self, rows: DataFrame, capture_id: str = "cap", path: str | None = None, backend: str = "native"):
-        self.rows, self.capture_id, self.path, self.backend = rows, capture_id, path, backend
+    def __init__(self, rows: DataFrame, capture_id: str = "cap", path: str | None = None, backend: str = "native", config: Config | None = None, backend_version: str = __version__):
+        self.rows, self.capture_id, self.path, self.backend = rows, capture_id, path, {"name": backend, "version": backend_version}
+        self.config = config or Config()
         self.spark: SparkSession = rows.sparkSession
         self._sql: SparkSession | None = None
+        if self.config.tables:
+            self.materialize(self.config.tables)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return df if self.config.tables else df.persist()
 
     @cached_property
     def facts(self) -> DataFrame:
-        return extract.facts(self.rows).persist()
+        return self._kept(extract.facts(self.rows))
 
     @cached_property
     def ends(self) -> DataFrame:
@@ -72,11 +98,11 @@ class Session:
 
     @cached_property
     def events(self) -> DataFrame:
-        return extract.events(self.facts, self.ends).persist()
+        return self._kept(extract.events(self.facts, self.ends))
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return extract.conversations(self.facts, self.ends).persist()
+        return self._kept(extract.conversations(self.facts, self.ends))
 
     @cached_property
     def streams(self) -> DataFrame:
@@ -94,12 +120,13 @@ class Session:
     def materialize(self, folder: str) -> None:
         """Write the tables as Parquet, partitioned by capture, with a version marker; a folder
         with the marker of this version and capture is read and not written again."""
-        marker = f"{__version__} {self.capture_id}"
+        marker = f"{__version__} {self.backend['name']} {self.backend['version']} {self.capture_id}"
         where = f"{folder}/{self.capture_id}"
         try:
-            fresh = self.spark.read.text(f"{where}/version").first()[0] == marker
-        except Exception:  # not there yet, or unreadable: build it
-            fresh = False
+            found = self.spark.read.text(f"{where}/version").first()
+        except AnalysisException:  # not there yet
+            found = None
+        fresh = found is not None and found[0] == marker
         for name in ("frames", "events", "conversations", "streams"):
             table = getattr(self, name)
             if not fresh:
@@ -122,14 +149,20 @@ class Session:
     def open(self) -> dict:
         t = extract.capture_times(self.facts).first()
         meta = t.asDict() if t else {"packet_count": 0}
-        return {"capture": meta | {"capture_id": self.capture_id, "path": self.path}, "audit": self.audit()}
+        there = self.path is not None and os.path.isfile(self.path)
+        kind = os.path.splitext(self.path)[1].lstrip(".").lower() or None if self.path else None
+        return {"capture": meta | {"capture_id": self.capture_id, "path": self.path, "format": kind, "size_bytes": os.path.getsize(self.path) if there else None, "backend": self.backend}, "audit": self.audit()}
 
     def overview(self) -> dict:
         pairs = index.pairs(self.facts)
         counts = {r["transport"]: r["count"] for r in pairs.groupBy("transport").count().collect()}
-        top = pairs.orderBy((F.col("bytes_a_to_b") + F.col("bytes_b_to_a")).desc(), "transport", "a", "b").limit(10)
-        tree = index.hierarchy(self.facts).orderBy("path")
-        return self.open() | {"protocol_distribution": [r.asDict() for r in tree.collect()], "conversation_counts": {"tcp": counts.get("tcp", 0), "udp": counts.get("udp", 0)}, "top_conversations_by_bytes": [r.asDict() for r in top.collect()]}
+        start = pairs.select(F.min("start_epoch")).scalar()
+        top = pairs.withColumn("relative_start_s", F.round(F.col("start_epoch") - start, 6)).orderBy((F.col("bytes_a_to_b") + F.col("bytes_b_to_a")).desc(), "transport", "a", "b").limit(10)
+        tree = index.hierarchy(self.facts)
+        n = tree.count()
+        # a hierarchy has a row for each protocol path that occurs; the commonest are shown
+        shown = sorted((r.asDict() for r in tree.orderBy(F.col("frames").desc(), "path").limit(self.config.protocols).collect()), key=lambda r: r["path"])
+        return self.open() | {"protocol_distribution": shown, "protocol_paths": n, "conversation_counts": {"tcp": counts.get("tcp", 0), "udp": counts.get("udp", 0)}, "top_conversations_by_bytes": [r.asDict() for r in top.collect()]}
 
     def query(self, q: dict) -> dict:
         dsl.validate(q)
@@ -161,8 +194,8 @@ class Session:
             wanted = self.spark.createDataFrame([(int(f),) for f in set(frames or [])], "frame_number bigint")
         numbers = sorted(r[0] for r in wanted.collect())
         asked = F.broadcast(self.spark.createDataFrame([(n,) for n in numbers], "frame_number bigint"))  # what the caller listed
-        found = [r.asDict(recursive=True) for r in self.frames.join(asked, "frame_number", "left_semi").drop("capture_id").orderBy("frame_number").limit(EVIDENCE_FRAMES).collect()]
-        missing = [r[0] for r in asked.join(self.frames, "frame_number", "left_anti").orderBy("frame_number").collect()]
+        found = [r.asDict(recursive=True) for r in frames_of(self.frames, asked).withColumn("info", frame_info()).drop("capture_id").orderBy("frame_number").limit(EVIDENCE_FRAMES).collect()]
+        missing = [r[0] for r in missing_of(self.frames, asked).orderBy("frame_number").collect()]
         there = len(numbers) - len(missing)
         return {"requested": len(numbers), "returned": len(found), "truncated": there > EVIDENCE_FRAMES, "missing_frames": missing, "frames": found, "audit": self.audit()}
 
@@ -170,15 +203,24 @@ class Session:
         conv = self._conversation(cid)
         if not 10 <= bin_ms <= 5000:
             raise ValueError("bin_ms must be in [10, 5000]")
-        d = extract._from_start(extract.directed(self.facts, self.ends), extract.capture_times(self.facts))
-        mine = d.filter(extract.conversation_id() == cid).withColumn("time_ms", F.round((F.col("epoch") - F.col("t0")) * 1000, 3))
-        bins, width = timeseries.series(mine, metric, conv["start_ms"], conv["duration_ms"], bin_ms)
-        return {"conversation_id": cid, "metric": metric, "bin_ms": width, "bins": [r.asDict() for r in bins.collect()], "audit": self.audit()}
-
-    def http_timeline(self, cid: str | None = None) -> dict:
-        t = pairing.transactions(self.events)
-        t = (t.filter(F.col("conversation_id") == cid) if cid else t).drop("capture_id").orderBy("request_time_ms", "request_frame").limit(TIMELINE_MOST)
-        return {"transactions": [r.asDict() for r in t.collect()], "audit": self.audit()}
+        mine = self.facts.filter((F.col("transport") == conv["transport"]) & (F.col("stream_id") == int(cid.rsplit(":", 1)[1])))
+        d = extract.directed(mine, self.ends).join(extract.capture_times(self.facts).select("capture_id", F.col("first_epoch").alias("t0")), "capture_id")
+        bins, width = timeseries.series(d.withColumn("time_ms", F.round((F.col("epoch") - F.col("t0")) * 1000, 3)), metric, conv["start_ms"], conv["duration_ms"], bin_ms)
+        rows = [r.asDict() for r in bins.collect()]
+        return {"conversation_id": cid, "metric": metric, "requested_bin_ms": bin_ms, "bin_ms": width, "bins_count": len(rows), "sampled": width > bin_ms, "bins": rows, "audit": self.audit()}
+
+    def http_timeline(self, cid: str | None = None, limit: int | None = None, offset: int = 0) -> dict:
+        """Transactions in order of their requests: a page of at most `limit`, how many there
+        are, and how many requests have no response."""
+        t = pairing.transactions(self.events).drop("capture_id", "measured_resp_time_ms")
+        t = t.filter(F.col("conversation_id") == cid) if cid else t
+        n = TRANSACTIONS if limit is None else limit
+        if not 1 <= n <= TRANSACTIONS or offset < 0:
+            raise ValueError(f"limit must be an integer in [1, {TRANSACTIONS}], offset one of at least 0")
+        total, open_ = t.agg(F.count(F.lit(1)), F.count_if(F.col("response_frame").isNull())).first()
+        page = t.orderBy("request_time_ms", "request_frame")
+        rows = [r.asDict() for r in (page.offset(offset) if offset else page).limit(n).collect()]
+        return {"conversation_id": cid, "transactions": rows, "returned": len(rows), "total": total, "offset": offset, "truncated": offset + len(rows) < total, "unmatched_requests": open_, "audit": self.audit()}
 
     def sql(self, text: str, limit: int | None = None) -> dict:
         """In a session of its own, so view names can't clash with the caller's tables."""
@@ -188,11 +230,13 @@ class Session:
                 self.table(name).createOrReplaceGlobalTempView(f"packetloom_{self.capture_id}_{name}")
                 self._sql.table(f"global_temp.packetloom_{self.capture_id}_{name}").drop("capture_id").createOrReplaceTempView(name)
             sqlgate.register_aliases(self._sql)
-        return sqlgate.run(self._sql, text, set(CATALOG), limit) | {"audit": self.audit({"sql": text, "limit": limit})}
+        began = time.perf_counter()
+        out = sqlgate.run(self._sql, text, set(CATALOG), self.config.sql_rows if limit is None else limit, self.config.sql_timeout_s)
+        return out | {"elapsed_ms": round((time.perf_counter() - began) * 1000, 1), "audit": self.audit({"sql": text, "limit": limit})}
 
     def schema(self) -> dict:
         counts = {n: self.table(n).count() for n in ("conversations", "events", "frames", "frame_refs")}
-        return {"tables": [{"name": n, "kind": k, "evidence": e, "description": d, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in s.fields], "row_count": counts.get(n)} for n, (k, e, d, s) in CATALOG.items()], "audit": self.audit()}
+        return {"tables": [{"name": n, "kind": k, "evidence": e, "description": d, "columns": [{"name": f.name, "type": f.dataType.simpleString()} | column_notes(n, f.name) for f in s.fields], "row_count": counts.get(n)} for n, (k, e, d, s) in CATALOG.items()], "audit": self.audit()}
 
     def raw_query(self, fields: list[str], display_filter: str | None = None, limit: int | None = None) -> dict:
         plan, n = rawfilter.raw_query(self.rows, fields, display_filter, limit)
@@ -201,10 +245,11 @@ class Session:
 
 
 class Sessions:
-    """At most `most` open sessions; the one used longest ago goes first."""
+    """At most `most` open sessions. The one used longest ago goes first (and not the one opened
+    first), so a capture in use stays."""
 
-    def __init__(self, most: int = 8):
-        self.most, self.held = most, OrderedDict()
+    def __init__(self, most: int | None = None, config: Config | None = None):
+        self.most, self.held = most or (config or Config()).sessions, OrderedDict()
 
     def put(self, s: Session) -> Session:
         self.held[s.capture_id] = s
@@ -242,24 +287,16 @@ class Tools:
             if tool == "traffic_query":
                 args = {"q": args}
             out = getattr(s, self.NAMES[tool])(**args)
-            out["text"] = self.text(tool, out)
+            out["text"] = self.text(tool, out, s.config.render_chars)
             out["audit"]["render_chars"] = len(out["text"])
             return out
-        except Exception as e:
+        except (ValueError, KeyError, TypeError, OSError) as e:  # what the caller asked for can't be done
             return {"error": str(e).strip("'\""), "hint": f"check the arguments of {tool}"}
+        except PySparkException as e:
+            return {"error": str(e).splitlines()[0][:500], "hint": f"the job of {tool} failed; its arguments may be right"}
 
     @staticmethod
-    def text(tool: str, out: dict) -> str:
+    def text(tool: str, out: dict, most: int = render.MAX_CHARS) -> str:
         kind = Tools.NAMES[tool]
-        if kind == "query":
-            return render.table_within_budget(out["result"])[0]
-        if kind == "http_timeline":
-            return render.within_budget("http transactions", render.waterfall(out["transactions"]).split("\n"), f"{len(out['transactions'])} transaction(s)")[0]
-        rows = {"timeseries": "bins", "sql": "rows", "raw_query": "rows", "evidence": "frames", "schema": "tables"}.get(kind)
-        if rows:
-            lines = render.rows_text([{k: v for k, v in r.items() if k != "columns"} for r in out[rows]]).split("\n")
-            return render.within_budget("\n".join(lines[:2]), lines[2:], f"{len(out[rows])} row(s)")[0]
-        if kind == "inspect":
-            return render.within_budget(render.rows_text([out["conversation"]]), render.rows_text(out["timeline"]["items"]).split("\n"), render.envelope_text(out["timeline"]))[0]
-        return render.within_budget(kind, [f"{k}: {v}" for k, v in out["capture"].items()], "")[0]
-
+        header, rows, footer = getattr(render, f"show_{kind}")(out)
+        return render.within_budget(header, rows, footer, most)[0]

@@ -35,19 +35,25 @@ def test_bins(spark):
         w = width
         while duration / w > 500:
             w *= 2
-        assert timeseries.widen(duration, width) == w and timeseries.bin_count(duration, w) == max(1, math.ceil(duration / w) + 1)
+        assert timeseries.widen(duration, width) == w
         assert spark.range(1).select(timeseries.widened(F.lit(float(duration)), width)).first()[0] == w
-    rows = [(rnd.uniform(-50, 1050), rnd.random() < 0.5, rnd.choice([None, 1.0, 2.0, 5.0])) for _ in range(400)]
-    df = spark.createDataFrame(rows, "at double, fwd boolean, v double")
+    spans = {"a": (0.0, 900.0, 100.0, 10), "b": (100.0, 120_000.0, 400.0, 301), "c": (5.0, None, 100.0, 1)}
+    rows = [(rnd.choice("abc"), rnd.uniform(-50, 150_000) if rnd.random() < 0.3 else rnd.uniform(-50, 1050), rnd.random() < 0.5, rnd.choice([None, 1.0, 2.0, 5.0])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "key string, time_ms double, forward boolean, v double")
+    table = spark.createDataFrame([(k, s, d) for k, (s, d, *_) in spans.items()], "key string, start_ms double, duration_ms double")
     for how in ("sum", "median"):
-        got = [tuple(r) for r in timeseries.binned(df, F.col("at"), F.col("fwd"), F.col("v"), how, 100.0, 10).orderBy("t_start_ms").collect()]
-        for k, (start, *both) in enumerate(got):
-            assert start == k * 100
-            for fwd, value in zip((True, False), both, strict=True):
-                held = sorted(v for t, f, v in rows if f is fwd and v is not None and min(max(math.floor(t / 100), 0), 9) == k)
-                n = len(held)
-                want = sum(held) if how == "sum" else (None if not n else round((held[(n - 1) // 2] + held[n // 2]) / 2, 3))
-                assert value == want
+        out = timeseries.binned(df, table, ["key"], F.col("v"), how, 100.0).collect()
+        got = {(r.key, r.t_start_ms): (r.bin_ms, r.forward, r.reverse) for r in out}
+        want = {}
+        for key, (start, _, width, n) in spans.items():
+            for i in range(n):
+                both = []
+                for fwd in (True, False):
+                    held = sorted(v for k, t, f, v in rows if k == key and f is fwd and v is not None and min(max(math.floor((t - start) / width), 0), n - 1) == i)
+                    m = len(held)
+                    both.append(None if not m else sum(held) if how == "sum" else round((held[(m - 1) // 2] + held[m // 2]) / 2, 3))
+                want[key, i * width] = (width, *both)
+        assert got == want and len(out) == len(want)
 
 
 def test_hierarchy(spark):

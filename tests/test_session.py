@@ -98,11 +98,16 @@ def test_macros(capture):
     assert capture.evidence(event_ids=[first["event_id"], "evt:999999"])["frames"][0]["frame_number"] == first["frame_number"]
     t = capture.http_timeline()["transactions"]
     assert [(x["method"], x["status_code"], x["resp_time_ms"]) for x in t] == [("GET", 200, 30.0)]
+    t = capture.http_timeline(limit=1, offset=1)
+    assert (t["returned"], t["total"], t["truncated"], t["unmatched_requests"]) == (0, 1, False, 0)
+    o = capture.open()["capture"]
+    assert o["format"] is None and o["size_bytes"] is None and o["backend"]["name"] == "native"
 
 
 def test_timeseries(capture):
     out = capture.timeseries("conv:tcp:0", "bytes", 100)
-    assert sum(b["forward"] for b in out["bins"]) == 332 and sum(b["reverse"] for b in out["bins"]) == 150 and len(out["bins"]) == 6
+    assert sum(b["forward"] or 0 for b in out["bins"]) == 332 and sum(b["reverse"] or 0 for b in out["bins"]) == 150 and len(out["bins"]) == 6
+    assert (out["requested_bin_ms"], out["bin_ms"], out["bins_count"], out["sampled"]) == (100, 100, 6, False)
     w = capture.timeseries("conv:tcp:0", "window", 100)["bins"]
     assert w[-1]["forward"] == 0 and w[0]["forward"] is None
     with pytest.raises(ValueError):
@@ -156,10 +161,13 @@ def test_tools_and_registry(capture):
     s.put(capture)
     tools = Tools(s)
     out = tools.call("traffic_query", capture_id="cap", scope="conversation")
-    assert out["result"]["total"] == 3 and "returned 3 of 3" in out["text"] and out["audit"]["render_chars"] == len(out["text"])
+    assert out["result"]["total"] == 3 and "rows 1-3 of 3" in out["text"] and out["audit"]["render_chars"] == len(out["text"])
     assert "error" in tools.call("traffic_query", capture_id="cap", scope="nope") and "error" in tools.call("traffic_open", capture_id="zzz") and "error" in tools.call("nope")
     for name, args in (("traffic_overview", {}), ("traffic_schema", {}), ("traffic_http_timeline", {}), ("traffic_sql", {"text": "SELECT 1 AS a"}), ("traffic_raw_query", {"fields": ["ip.src"]}), ("traffic_inspect", {"cid": "conv:udp:0"}), ("traffic_evidence", {"frames": [1]}), ("traffic_timeseries", {"cid": "conv:tcp:0", "metric": "rtt"})):
-        assert tools.call(name, capture_id="cap", **args).get("text"), name
+        text = tools.call(name, capture_id="cap", **args).get("text")
+        assert text, name
+        for part in {"traffic_overview": ["largest conversations", "2 TCP and 1 UDP"], "traffic_schema": ["conversation_id string: conv:", "null: handshake not seen"], "traffic_http_timeline": ["0 unanswered", "GET"], "traffic_evidence": ["1 records for 1"], "traffic_timeseries": ["rtt of conv:tcp:0", "100 ms"], "traffic_inspect": ["dns_query", "direction by"]}.get(name, []):
+            assert part in text, (name, part, text)
     assert query_hash("a", {"b": 1, "a": 2}) == query_hash("a", {"a": 2, "b": 1})
 
 
@@ -167,7 +175,7 @@ def test_render():
     assert render.rows_text([]) == "(no rows)"
     assert render.rows_text([{"a": "x" * 50, "b": None}]).split("\n")[2] == "x" * 39 + "…  null"
     text, dropped = render.within_budget("h", ["r" * 10] * 10, "f", 60)
-    assert dropped == 10 - text.count("r" * 10) and "row(s) dropped" in text
+    assert dropped == 10 - text.count("r" * 10) and "more row(s)" in text
 
 
 def test_materialized_tables_are_reused(capture, tmp_path):

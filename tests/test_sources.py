@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import types as T
 
-from packetloom.config import Config, cache_root
+from packetloom.config import Config, cache_root, configure
 from packetloom.schema import EVENTS
 from packetloom.scoring import report
 from packetloom.session import fingerprint
@@ -39,7 +39,10 @@ def test_logs(spark, tmp_path):
 
 def test_settings(tmp_path):
     assert cache_root("/a", {}) == "/a" and cache_root(None, {"PACKETLOOM_CACHE": "/b"}) == "/b" and cache_root(None, {"XDG_CACHE_HOME": "/c"}) == "/c/packetloom"
-    assert Config(cache="/x").sessions == 8
+    assert configure({"cache": "/x", "sql_rows": 7}) == Config(tables="/x", sql_rows=7) and configure({}).tables is None and configure({"cache": True}, {"PACKETLOOM_CACHE": "/b"}).tables == "/b"
+    for bad in ({"colour": 1}, {"sessions": 0}, {"sql_rows": "9"}, {"render_chars": True}):
+        with pytest.raises(ValueError):
+            configure(bad)
     big = tmp_path / "big.pcap"
     big.write_bytes(bytes(3 << 20))
     one = fingerprint(str(big))
