@@ -308,6 +308,12 @@ def streams(f: DataFrame) -> DataFrame:
     return _shaped(a, STREAMS, made)
 
 
+def of_conversation(df: DataFrame, cid: str) -> DataFrame:
+    """Rows (facts or frames) of one conversation, by columns that reach a Parquet scan."""
+    _, transport, stream = cid.split(":")
+    return df.filter((F.col("transport") == transport) & (F.col("stream_id") == int(stream)))
+
+
 def frame_refs(ev: DataFrame, st: DataFrame) -> DataFrame:
     """Which frames back an event or a stream."""
     a = ev.select("capture_id", F.lit("event").alias("owner_type"), F.col("event_id").alias("owner_id"), "frame_number")

@@ -158,10 +158,11 @@ def condition(col: Column, kind: str, op: str, value) -> Column:
 
 @dataclass
 class Page:
-    """A compiled query: all matching rows, and the page of them."""
+    """A compiled query: all matching rows, the page of them, and all of them projected."""
 
     matching: DataFrame
     page: DataFrame
+    rows: DataFrame
     limit: int
     offset: int
 
@@ -194,4 +195,5 @@ def compile_query(q: dict, table: DataFrame) -> Page:
     page = matching.orderBy(*keys, *order)
     page = (page.offset(offset) if offset else page).limit(limit)
     names = q.get("select") or DEFAULT_SELECT[q["scope"]]
-    return Page(matching, page.select(*(_col(spec[n]).alias(n) for n in names)), limit, offset)
+    shown = [_col(spec[n]).alias(n) for n in names]
+    return Page(matching, page.select(*shown), matching.select(*shown), limit, offset)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import threading
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_ROWS, MAX_ROWS, TIMEOUT_S = 100, 500, 30.0
 #: Functions that reach outside the views or run code.
@@ -16,12 +16,15 @@ FORBIDDEN = {
 }
 #: Spellings of another dialect, defined as SQL functions where an expression suffices.
 ALIASES = {
-    "list_contains": ("l ARRAY<STRING>, v STRING", "BOOLEAN", "array_contains(l, v)"),
     "regexp_matches": ("s STRING, p STRING", "BOOLEAN", "s RLIKE p"),
+    "time_bucket": ("width DOUBLE, at DOUBLE", "DOUBLE", "floor(at / width) * width"),
     "epoch_ms": ("t TIMESTAMP", "BIGINT", "unix_millis(t)"),
 }
 #: Aggregates and generators of another dialect, renamed in the text outside quotes.
-RENAMED = {"arg_max": "max_by", "arg_min": "min_by", "quantile_cont": "percentile", "unnest": "explode", "exclude": "except"}
+RENAMED = {
+    "arg_max": "max_by", "arg_min": "min_by", "quantile_cont": "percentile", "unnest": "explode", "exclude": "except", "list_contains": "array_contains", "array_length": "size", "list_value": "array",
+    "list_distinct": "array_distinct", "list_sort": "array_sort", "strlen": "octet_length", "string_split": "split",
+}
 TABLE_FUNCTIONS = {"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "range", "values"}
 
 
@@ -34,17 +37,114 @@ def _outside_quotes(sql: str) -> list[str]:
     return re.split(r"('(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/)", sql, flags=re.S)
 
 
-def prepare(sql: str) -> str:
-    """Without comments and the last semicolon, with known spellings of another dialect renamed."""
+def _hidden(sql: str) -> tuple[str, list[str]]:
+    """The text with quoted pieces as numbered marks and without comments."""
+    kept: list[str] = []
     parts = _outside_quotes(sql)
-    names = re.compile(r"\b(" + "|".join(RENAMED) + r")(?=\s*\()", re.I)
-    out = "".join(names.sub(lambda m: RENAMED[m[1].lower()], p) if i % 2 == 0 else " " if p[:2] in ("--", "/*") else p for i, p in enumerate(parts)).strip()
-    out = out.removesuffix(";").strip()
-    if not out:
+    for i in range(1, len(parts), 2):
+        if parts[i][:2] in ("--", "/*"):
+            parts[i] = " "
+        else:
+            kept.append(parts[i])
+            parts[i] = f"\x00{len(kept) - 1}\x00"
+    return "".join(parts), kept
+
+
+def _shown(sql: str, kept: list[str]) -> str:
+    return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], sql)
+
+
+def _level(sql: str, start: int) -> int:
+    """Where the clause list that `start` lies in ends: at its closing bracket or the end."""
+    depth = 0
+    for m in re.finditer(r"[()]", sql[start:]):
+        depth += 1 if m[0] == "(" else -1
+        if depth < 0:
+            return start + m.start()
+    return len(sql)
+
+
+def _at_level(sql: str, pattern: str, start: int, stop: int) -> int:
+    """The first match of pattern between start and stop that isn't inside brackets, or stop."""
+    depth = 0
+    for m in re.finditer(rf"[()]|{pattern}", sql[start:stop], re.I):
+        if m[0] == "(":
+            depth += 1
+        elif m[0] == ")":
+            depth -= 1
+        elif not depth:
+            return start + m.start()
+    return stop
+
+
+def _select_of(sql: str, at: int) -> int:
+    """The SELECT whose clause list holds the place `at`."""
+    depth = 0
+    for m in reversed(list(re.finditer(r"[()]|\bselect\b", sql[:at], re.I))):
+        if m[0] == ")":
+            depth += 1
+        elif m[0] == "(":
+            depth -= 1
+        elif depth <= 0:
+            return m.start()
+    raise SqlError("QUALIFY needs a SELECT")
+
+
+def _qualify(sql: str) -> str:
+    """SELECT ... QUALIFY c becomes a selection over the same SELECT with c as a column; names
+    that c uses of that SELECT's own columns are windows, so c is computed with them."""
+    while m := re.search(r"\bqualify\b", sql, re.I):
+        begin = _select_of(sql, m.start())
+        end = _level(sql, m.end())
+        stop = _at_level(sql, r"\border\s+by\b|\blimit\b|\bunion\b|\bexcept\b|\bintersect\b", m.end(), end)
+        source = _at_level(sql, r"\bfrom\b", begin, m.start())
+        head, rest, cond = sql[begin:source], sql[source : m.start()], sql[m.end() : stop]
+        inner = f"{head.rstrip()}, ({cond.strip()}) AS __keep {rest.strip()}"
+        sql = f"{sql[:begin]}SELECT * EXCEPT (__keep) FROM ({inner}) WHERE __keep {sql[stop:]}"
+    return sql
+
+
+_ASOF = re.compile(r"\basof\s+(left\s+)?join\s+((?:\w+|\([^()]*(?:\([^()]*\)[^()]*)*\)))(?:\s+(?:as\s+)?(?!on\b)(\w+))?\s+on\s+", re.I)
+_LATER = re.compile(r"^\s*(\w+)\.(\w+)\s*(>=|>|<=|<)\s*(\w+)\.(\w+)\s*$")
+
+
+def _asof(sql: str) -> str:
+    """a ASOF JOIN b ON a.k = b.k AND a.t >= b.t: of b's rows that fit, the nearest in time, as
+    a lateral subquery that keeps one."""
+    while m := _ASOF.search(sql):
+        stop = _at_level(sql, r"\bwhere\b|\bgroup\b|\border\b|\blimit\b|\bhaving\b|\bjoin\b|\bleft\b|\binner\b|\bqualify\b|\basof\b", m.end(), _level(sql, m.end()))
+        table, name = m[2], m[3] or m[2]
+        conds = [c.strip() for c in re.split(r"\band\b", sql[m.end() : stop], flags=re.I)]
+        ranges = [x for c in conds if (x := _LATER.match(c))]
+        if len(ranges) != 1:
+            raise SqlError("ASOF JOIN needs exactly one inequality between columns of both tables")
+        r = ranges[0]
+        mine, falling = (f"{r[4]}.{r[5]}", r[3][0] == ">") if r[4].lower() == name.lower() else (f"{r[1]}.{r[2]}", r[3][0] == "<")
+        kept = f"(SELECT * FROM {table} AS {name} WHERE {' AND '.join(conds)} ORDER BY {mine} {'DESC' if falling else 'ASC'} LIMIT 1) AS {name}"
+        sql = f"{sql[: m.start()]}{'LEFT JOIN' if m[1] else 'JOIN'} LATERAL {kept} ON true {sql[stop:]}"
+    return sql
+
+
+def _floor_division(sql: str) -> str:
+    return re.sub(r"//", " div ", sql)
+
+
+def prepare(sql: str) -> str:
+    """Without comments and the last semicolon, with known spellings of another dialect in
+    Spark's: renamed functions, a // b, QUALIFY, ASOF JOIN, UNION BY NAME, USING SAMPLE n."""
+    text, kept = _hidden(sql)
+    text = text.strip().removesuffix(";").strip()
+    if not text:
         raise SqlError("empty SQL statement")
-    if any(";" in p for i, p in enumerate(_outside_quotes(out)) if i % 2 == 0):
+    if ";" in text:
         raise SqlError("multiple statements are not allowed")
-    return out
+    names = re.compile(r"\b(" + "|".join(RENAMED) + r")(?=\s*\()", re.I)
+    text = names.sub(lambda m: RENAMED[m[1].lower()], text)
+    text = re.sub(r"\bunion\s+(all\s+)?by\s+name\b", lambda m: f"UNION {m[1] or ''}__BY_NAME__", text, flags=re.I)
+    if "__BY_NAME__" in text:
+        raise SqlError("UNION BY NAME is not supported: list the columns of both sides in one order")
+    text = re.sub(r"\busing\s+sample\s+(\d+(?:\.\d+)?)\s*(%|rows)?", lambda m: f"TABLESAMPLE ({m[1]} {'PERCENT' if m[2] == '%' else 'ROWS'})", text, flags=re.I)
+    return _shown(_qualify(_asof(_floor_division(text))), kept)
 
 
 def _nodes(plan):
@@ -110,6 +210,11 @@ def register_aliases(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
 
+def plan(spark: SparkSession, sql: str, tables: set[str]) -> DataFrame:
+    """The checked statement as a DataFrame, without a row budget."""
+    return spark.sql(check(spark, sql, tables))
+
+
 def run(spark: SparkSession, sql: str, tables: set[str], limit: int | None = None, timeout_s: float = TIMEOUT_S) -> dict:
     """At most `limit` rows (1..500); the row budget is a limit in the plan. The job is
     cancelled when the time is up."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetloom.operators import extract, index, pairing, timeseries
+from packetloom import model_queries
+from packetloom.operators import index, pairing, timeseries
 from packetloom.plans import dsl, rawfilter
 from packetloom.schema import DISSECTED, column_of
 from packetloom.sources import tables as b
@@ -45,23 +46,6 @@ def scan_counts(spark, d):
     return out
 
 
-@query(E_ + "SELECT event_id, attr_k FROM b_events")
-def json_attr_flatten(spark, d):
-    return b.events(spark, d).select("event_id", "attr_k")
-
-
-@query("SELECT count(*) AS packet_count, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000::DOUBLE, 3) AS duration_ms FROM events")
-def capture_metadata(spark, d):
-    us = b.micros(col("ts"))
-    return b.table(spark, d, "events").agg(F.count(F.lit(1)).alias("packet_count"), F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.round((F.max(us) - F.min(us)) / 1000, 3).alias("duration_ms"))
-
-
-@query(C_ + "SELECT 'events' AS name, count(*) AS row_count FROM b_events UNION ALL SELECT 'conversations', count(*) FROM b_convs")
-def schema_row_counts(spark, d):
-    e, c = b.events(spark, d), b.conversations(spark, d)
-    return e.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("events").alias("name"), "row_count").unionByName(c.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("conversations").alias("name"), "row_count"))
-
-
 # --- predicates of the query language ---
 
 
@@ -100,16 +84,6 @@ def filter_and(spark, d):
 # --- projection, order, paging ---
 
 
-@query(C_ + "SELECT conversation_id, start_ms, duration_ms, packets_total, bytes_total, retransmission_count FROM b_convs")
-def project_default(spark, d):
-    return b.conversations(spark, d).select("conversation_id", "start_ms", "duration_ms", "packets_total", "bytes_total", "retransmission_count")
-
-
-@query(C_ + "SELECT conversation_id, packets_forward + packets_reverse AS packets_total, bytes_forward + bytes_reverse AS bytes_total FROM b_convs")
-def project_totals(spark, d):
-    return b.conversations(spark, d).select("conversation_id", (col("packets_forward") + col("packets_reverse")).alias("packets_total"), (col("bytes_forward") + col("bytes_reverse")).alias("bytes_total"))
-
-
 def _page(q: dict):
     def run(spark, d):
         c = b.conversations(spark, d).withColumn("transport", F.lit("udp"))
@@ -130,16 +104,6 @@ for _name, _q, _sql in (
     SQL[_name] = C_ + f"SELECT {', '.join(_SELECT)} FROM b_convs {_sql}"
 
 
-@query(E_ + "SELECT event_id, nvalue FROM b_events ORDER BY nvalue ASC NULLS LAST, event_id LIMIT 7000")
-def sort_nulls_asc(spark, d):
-    return b.events(spark, d).orderBy(col("nvalue").asc_nulls_last(), "event_id").limit(7000).select("event_id", "nvalue")
-
-
-@query(E_ + "SELECT event_id, nvalue FROM b_events ORDER BY nvalue DESC NULLS FIRST, event_id LIMIT 100")
-def sort_nulls_desc(spark, d):
-    return b.events(spark, d).orderBy(col("nvalue").desc_nulls_first(), "event_id").limit(100).select("event_id", "nvalue")
-
-
 def _ordered(spark, d, *order):
     """Every row with its place. Places over a whole table are given in one task."""
     return b.events(spark, d).select("event_id", "nvalue", F.row_number().over(Window.orderBy(*order)).alias("place"))
@@ -155,124 +119,8 @@ def sort_nulls_desc_whole(spark, d):
     return _ordered(spark, d, col("nvalue").desc_nulls_first(), "event_id")
 
 
-@query(E_ + "SELECT CAST(count(*) AS BIGINT) AS total, least(count(*), 50) AS returned, count(*) > 50 AS truncated FROM b_events WHERE type = 'error'")
-def envelope_total(spark, d):
-    t = b.events(spark, d).filter(dsl.condition(col("type"), "string", "eq", "error")).agg(F.count(F.lit(1)).alias("total"))
-    return t.select("total", F.least("total", F.lit(50).cast("bigint")).alias("returned"), (col("total") > 50).alias("truncated"))
-
-
-# --- conversation metrics ---
-
-
-@query(C_ + "SELECT * FROM b_convs")
-def conv_metrics(spark, d):
-    return b.conversations(spark, d)
-
-
-@query(E_ + """SELECT conversation_id, CASE WHEN bool_or(type = 'signup') THEN 'handshake' WHEN arg_min(forward, frame_number) THEN 'first_packet' ELSE 'port_heuristic' END AS direction_basis
-FROM b_events GROUP BY conversation_id""")
-def conv_direction_basis(spark, d):
-    g = b.events(spark, d).groupBy("conversation_id").agg(F.bool_or(col("type") == "signup").alias("syn"), F.min_by("forward", "frame_number").alias("first"))
-    return g.select("conversation_id", F.when(col("syn"), "handshake").when(col("first"), "first_packet").otherwise("port_heuristic").alias("direction_basis"))
-
-
-@query(E_ + """SELECT conversation_id, concat_ws('|', 'udp', CASE WHEN bool_or(type = 'click') THEN 'click' END, CASE WHEN bool_or(type = 'error') THEN 'error' END) AS tags FROM b_events GROUP BY conversation_id""")
-def conv_tags(spark, d):
-    g = b.events(spark, d).groupBy("conversation_id").agg(F.bool_or(col("type") == "click").alias("c"), F.bool_or(col("type") == "error").alias("e"))
-    tags = F.array_compact(F.array(F.lit("udp"), F.when(col("c"), "click"), F.when(col("e"), "error")))
-    return g.select("conversation_id", F.array_join(tags, "|").alias("tags"))
-
-
-@query(E_ + "SELECT conversation_id, round(median(nvalue), 4) AS rtt_median, round(max(nvalue), 4) AS rtt_max FROM b_events GROUP BY conversation_id")
-def conv_median(spark, d):
-    return b.events(spark, d).groupBy("conversation_id").agg(F.round(F.median("nvalue"), 4).alias("rtt_median"), F.round(F.max("nvalue"), 4).alias("rtt_max"))
-
-
-@query(C_ + "SELECT conversation_id, CASE WHEN duration_ms > 0 THEN CAST(floor(bytes_total * 8 / (duration_ms / 1000) + 0.5) AS BIGINT) END AS throughput_bps FROM b_convs")
-def conv_throughput(spark, d):
-    c = b.conversations(spark, d)
-    return c.select("conversation_id", F.when(col("duration_ms") > 0, F.floor(col("bytes_total") * 8 / (col("duration_ms") / 1000) + 0.5).cast("bigint")).alias("throughput_bps"))
-
-
-@query(E_ + """, s AS (SELECT conversation_id, min(frame_number) AS sf, arg_min(time_ms, frame_number) AS st FROM b_events WHERE type = 'signup' GROUP BY conversation_id)
-SELECT s.conversation_id, round(arg_min(e.time_ms, e.frame_number) - any_value(st), 3) AS handshake_ms FROM s JOIN b_events e ON e.conversation_id = s.conversation_id AND e.frame_number > sf AND e.type = 'click' GROUP BY s.conversation_id""")
-def conv_handshake_ms(spark, d):
-    """The first signup to the first later click; the signup joins back as one row a flow."""
-    e = b.events(spark, d)
-    s = e.filter("type = 'signup'").groupBy("conversation_id").agg(F.min("frame_number").alias("sf"), F.min_by("time_ms", "frame_number").alias("st"))
-    later = e.filter("type = 'click'").join(s, "conversation_id").filter("frame_number > sf")
-    return later.groupBy("conversation_id").agg(F.round(F.min_by("time_ms", "frame_number") - F.first("st"), 3).alias("handshake_ms"))
-
-
-@query(E_ + "SELECT conversation_id, round(min(time_ms) FILTER (type = 'purchase') - min(time_ms) FILTER (type = 'view'), 3) AS pair_ms FROM b_events GROUP BY conversation_id")
-def conv_tls_pair_ms(spark, d):
-    first = lambda t: F.min(F.when(col("type") == t, col("time_ms")))
-    return b.events(spark, d).groupBy("conversation_id").agg(F.round(first("purchase") - first("view"), 3).alias("pair_ms"))
-
-
-# --- events, gaps, streams ---
-
-
-@query(E_ + """SELECT event_id, kind FROM b_events, LATERAL (SELECT unnest(list_filter([CASE WHEN type = 'error' THEN 'retransmission' END, CASE WHEN nvalue IS NULL THEN 'zero_window' END, CASE WHEN attr_k > 50 THEN 'large' END], lambda x: x IS NOT NULL)) AS kind)""")
-def event_explode(spark, d):
-    kinds = F.array_compact(F.array(F.when(col("type") == "error", "retransmission"), F.when(col("nvalue").isNull(), "zero_window"), F.when(col("attr_k") > 50, "large")))
-    return b.events(spark, d).select("event_id", F.explode(kinds).alias("kind"))
-
-
-@query(E_ + "SELECT frame_number, conversation_id, printf('%06d', row_number() OVER (PARTITION BY conversation_id ORDER BY time_ms, frame_number)) AS seq FROM b_events")
-def event_ids_in_flow(spark, d):
-    w = Window.partitionBy("conversation_id").orderBy("time_ms", "frame_number")
-    return b.events(spark, d).select("frame_number", "conversation_id", F.format_string("%06d", F.row_number().over(w)).alias("seq"))
-
-
-@query(E_ + "SELECT frame_number, 'evt:' || printf('%06d', row_number() OVER (ORDER BY time_ms, frame_number)) AS evt FROM b_events WHERE type = 'error'")
-def event_global_ids(spark, d):
-    """Numbers over the whole capture: the few events are ranked, not the frames."""
-    e = b.events(spark, d).filter("type = 'error'").withColumn("capture_id", F.lit("cap"))
-    w = Window.partitionBy("capture_id").orderBy("time_ms", "frame_number")
-    return e.select("frame_number", F.format_string("evt:%06d", F.row_number().over(w)).alias("evt"))
-
-
-@query("""SELECT l_orderkey AS stream_id, l_linenumber, CAST(l_quantity AS BIGINT) AS seq, max(CAST(l_quantity AS BIGINT)) OVER w AS prior,
-CASE WHEN CAST(l_quantity AS BIGINT) > max(CAST(l_quantity AS BIGINT)) OVER w THEN CAST(l_quantity AS BIGINT) - max(CAST(l_quantity AS BIGINT)) OVER w END AS gap
-FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def event_gap_running_max(spark, d):
-    w = Window.partitionBy("stream_id", "back").orderBy("l_linenumber", "len", "dst", "src").rowsBetween(Window.unboundedPreceding, -1)
-    f = b.frames(spark, d).withColumn("prior", F.max("len").over(w))
-    return f.select("stream_id", "l_linenumber", col("len").alias("seq"), "prior", F.when(col("len") > col("prior"), col("len") - col("prior")).alias("gap"))
-
-
-@query("""SELECT src, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes, array_to_string(list_sort(list(frame) FILTER (k <= 50)), ',') AS frames
-FROM (SELECT l_suppkey AS src, CAST(l_quantity AS BIGINT) AS len, l_orderkey * 10 + l_linenumber AS frame, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_quantity) AS k FROM lineitem) GROUP BY src""")
-def stream_agg_first50(spark, d):
-    """Evidence is ranked and cut before it is collected."""
-    f = b.frames(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("frame_number", "len")))
-    kept = F.sort_array(F.collect_list(F.when(col("k") <= 50, col("frame_number"))))
-    return f.groupBy("src").agg(F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes"), F.array_join(kept, ",").alias("frames"))
-
-
 # --- time series ---
 
-_WIDTH = "(SELECT x FROM (SELECT max(time_ms) AS dur FROM b_events), LATERAL (SELECT min(w) AS x FROM (SELECT 100.0::DOUBLE * power(2, i) AS w FROM range(60) t(i)) WHERE dur / w <= 500))"
-
-
-def _binned(spark, d, how):
-    e = b.events(spark, d)
-    width = e.agg(F.max("time_ms").alias("last")).select(timeseries.widened(col("last"), 100)).scalar()
-    held = e.select(F.floor(col("time_ms") / width).alias("bin"), "forward", "value")
-    fold = (lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 4)) if how == "sum" else (lambda c: F.round(F.median(c), 4))
-    return held.groupBy("bin").agg(fold(F.when(col("forward"), col("value"))).alias("forward"), fold(F.when(~col("forward"), col("value"))).alias("reverse"))
-
-
-@query(E_ + f"SELECT CAST(floor(time_ms / {_WIDTH}) AS BIGINT) AS bin, round(coalesce(sum(value) FILTER (forward), 0), 4) AS forward, round(coalesce(sum(value) FILTER (NOT forward), 0), 4) AS reverse FROM b_events GROUP BY 1")
-def timeseries_sum(spark, d):
-    return _binned(spark, d, "sum")
-
-
-@query(E_ + f"SELECT CAST(floor(time_ms / {_WIDTH}) AS BIGINT) AS bin, round(median(value) FILTER (forward), 4) AS forward, round(median(value) FILTER (NOT forward), 4) AS reverse FROM b_events GROUP BY 1")
-def timeseries_median(spark, d):
-    return _binned(spark, d, "median")
-
 
 @query(C_ + "SELECT conversation_id, (SELECT min(w) FROM (SELECT 100.0::DOUBLE * power(2, i) AS w FROM range(60) t(i)) WHERE duration_ms / w <= 500) AS width FROM b_convs")
 def timeseries_autowiden(spark, d):
@@ -301,79 +149,6 @@ def http_fifo_no_orphans(spark, d):
     return p.select("conversation_id", col("request.frame_number").alias("request_frame"), col("response.frame_number").alias("response_frame"))
 
 
-@query("SELECT conv_id, q.turn AS request_turn, (SELECT min(r.turn) FROM conversations r WHERE r.conv_id = q.conv_id AND r.role = 'assistant' AND r.turn > q.turn) AS response_turn FROM conversations q WHERE q.role = 'user'")
-def turn_answers(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    t = b.table(spark, d, "conversations").select("conv_id", "turn", "role")
-    return t.withColumn("response_turn", F.min(F.when(col("role") == "assistant", col("turn"))).over(w)).filter("role = 'user'").select("conv_id", col("turn").alias("request_turn"), "response_turn")
-
-
-# --- evidence and joins ---
-
-
-def _asked(spark):
-    return spark.range(1, 30_000, 7).select((col("id") * 3).alias("frame_number"))
-
-
-_ASKED = "(SELECT i * 3 AS frame_number FROM range(1, 30000, 7) t(i))"
-
-
-@query(E_ + f"SELECT frame_number, type FROM b_events WHERE frame_number IN (SELECT frame_number FROM {_ASKED})")
-def evidence_semi(spark, d):
-    return b.events(spark, d).join(F.broadcast(_asked(spark)), "frame_number", "left_semi").select("frame_number", "type")
-
-
-@query(E_ + f"SELECT frame_number FROM {_ASKED} a WHERE NOT EXISTS (SELECT 1 FROM b_events e WHERE e.frame_number = a.frame_number)")
-def evidence_missing_anti(spark, d):
-    return _asked(spark).join(b.events(spark, d).select("frame_number"), "frame_number", "left_anti")
-
-
-@query(E_ + "SELECT 'event' AS owner_type, 'evt:' || CAST(event_id AS VARCHAR) AS owner_id, frame_number FROM b_events WHERE type = 'error' UNION ALL SELECT 'stream', 'conv:tcp:' || CAST(l_orderkey AS VARCHAR), l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
-def frame_refs_union(spark, d):
-    a = b.events(spark, d).filter("type = 'error'").select(F.lit("event").alias("owner_type"), F.concat(F.lit("evt:"), col("event_id").cast("string")).alias("owner_id"), "frame_number")
-    s = b.frames(spark, d).filter("back").select(F.lit("stream").alias("owner_type"), b.flow_id().alias("owner_id"), "frame_number")
-    return a.unionByName(s)
-
-
-@query("SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, count(*) FILTER (l_suppkey <= l_partkey) AS out_frames, count(*) FILTER (l_suppkey > l_partkey) AS back_frames, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM lineitem GROUP BY 1, 2")
-def five_tuple_normalized(spark, d):
-    f = b.frames(spark, d)
-    out = col("src") <= col("dst")
-    return f.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(n_of(out).alias("out_frames"), n_of(~out).alias("back_frames"), F.sum("len").alias("bytes"))
-
-
-@query("""SELECT coalesce(o_orderkey, l_orderkey) AS stream_id, l_orderkey IS NULL AS missing, o_orderkey IS NULL AS extra, coalesce(n, 0) AS n
-FROM orders FULL OUTER JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL OR o_orderkey IS NULL OR n > 6""")
-def bytes_audit_full_outer(spark, d):
-    o = b.table(spark, d, "orders").select("o_orderkey")
-    l = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))  # noqa: E741
-    j = o.join(l, col("o_orderkey") == col("l_orderkey"), "full_outer").filter("l_orderkey IS NULL OR o_orderkey IS NULL OR n > 6")
-    return j.select(F.coalesce("o_orderkey", "l_orderkey").alias("stream_id"), col("l_orderkey").isNull().alias("missing"), col("o_orderkey").isNull().alias("extra"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query(E_ + """, a AS (SELECT conversation_id, attr_k, min(time_ms) AS t FROM b_events WHERE type = 'signup' GROUP BY 1, 2)
-SELECT e.conversation_id, e.frame_number, round(e.time_ms - a.t, 3) AS after_ms FROM b_events e JOIN a ON e.conversation_id = a.conversation_id AND e.attr_k = a.attr_k AND e.time_ms > a.t WHERE e.type = 'purchase'""")
-def dns_pivot_join(spark, d):
-    e = b.events(spark, d)
-    a = e.filter("type = 'signup'").groupBy("conversation_id", "attr_k").agg(F.min("time_ms").alias("t"))
-    return e.filter("type = 'purchase'").join(a, ["conversation_id", "attr_k"]).filter("time_ms > t").select("conversation_id", "frame_number", F.round(col("time_ms") - col("t"), 3).alias("after_ms"))
-
-
-@query("SELECT l1.l_orderkey * 10 + l1.l_linenumber AS frame, min(l2.l_orderkey * 10 + l2.l_linenumber) AS of_frame FROM lineitem l1 JOIN lineitem l2 ON l1.l_orderkey = l2.l_orderkey AND l1.l_quantity = l2.l_quantity AND l1.l_linenumber > l2.l_linenumber GROUP BY 1")
-def retrans_self_join(spark, d):
-    """The earliest frame of the flow with the same length: a window, not a self-join."""
-    first = Window.partitionBy("stream_id", "len")
-    f = b.frames(spark, d).withColumns({"line0": F.min("l_linenumber").over(first), "of_frame": F.min("frame_number").over(first)})
-    return f.filter("l_linenumber > line0").groupBy(col("frame_number").alias("frame")).agg(F.min("of_frame").alias("of_frame"))
-
-
-@query(E_ + """SELECT frame_number, request_frame FROM (SELECT frame_number, type, last_value(CASE WHEN type = 'click' THEN frame_number END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY time_ms, frame_number) AS request_frame FROM b_events) WHERE type = 'purchase'""")
-def http_latest_request_ffill(spark, d):
-    w = Window.partitionBy("conversation_id").orderBy("time_ms", "frame_number")
-    e = b.events(spark, d).withColumn("request_frame", F.last(F.when(col("type") == "click", col("frame_number")), ignorenulls=True).over(w))
-    return e.filter("type = 'purchase'").select("frame_number", "request_frame")
-
-
 # --- sets ---
 
 
@@ -457,24 +232,6 @@ for _name, _kind in (("agg_grouping_sets", "GROUPING SETS ((l_returnflag), (l_li
 # --- joins ---
 
 
-def _joined(how):
-    def run(spark, d):
-        o = b.table(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
-        c = b.table(spark, d, "customer").filter("c_nationkey < 12").select("c_custkey", "c_name")
-        return o.join(c, col("o_custkey") == col("c_custkey"), how)
-
-    return run
-
-
-_O, _CU = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0) o", "(SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 12) c"
-for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full_outer", "FULL JOIN")):
-    QUERIES[f"join_{_how}"] = _joined(_how)
-    SQL[f"join_{_how}"] = f"SELECT * FROM {_O} {_sql} {_CU} ON o_custkey = c_custkey"
-for _how, _sql in (("left_semi", "SEMI"), ("left_anti", "ANTI")):
-    QUERIES[f"join_{_how}"] = _joined(_how)
-    SQL[f"join_{_how}"] = f"SELECT * FROM {_O} {_sql} JOIN {_CU} ON o_custkey = c_custkey"
-
-
 def _flows_joined(how):
     """Whole tables, a flow with its frames; orders without lines are unmatched by nature."""
 
@@ -537,99 +294,8 @@ def protocol_hierarchy(spark, d):
     return index.hierarchy(p, "path_", "size", "/").select("path", "depth", "frames", "bytes")
 
 
-@query("""SELECT conv_id, count(*) FILTER (role = first_role) AS frames_ahead, CAST(coalesce(sum(length(text)) FILTER (role = first_role), 0) AS BIGINT) AS bytes_ahead, count(*) FILTER (role <> first_role) AS frames_back, CAST(coalesce(sum(length(text)) FILTER (role <> first_role), 0) AS BIGINT) AS bytes_back
-FROM conversations JOIN (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY 1) USING (conv_id) GROUP BY conv_id""")
-def light_conversations(spark, d):
-    t = b.table(spark, d, "conversations")
-    role = t.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size"), F.min("turn").alias("t0"))
-    g = role.groupBy("conv_id").agg(F.min(F.struct("t0", "role"))["role"].alias("first_role"), F.collect_list(F.struct("role", "n", "size")).alias("roles"))
-    total = lambda same, f: F.aggregate(F.filter("roles", lambda r: (r["role"] == col("first_role")) == F.lit(same)), F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r[f], F.lit(0)))
-    return g.select("conv_id", total(True, "n").alias("frames_ahead"), total(True, "size").alias("bytes_ahead"), total(False, "n").alias("frames_back"), total(False, "size").alias("bytes_back"))
-
-
-# --- scoring ---
-
-_SETS_SQL = """WITH s AS (SELECT d.source, d.doc_id, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)),
-g AS (SELECT source, list_sort(coalesce(list(doc_id) FILTER (quality = 1), [])) AS cited, list_sort(coalesce(list(doc_id) FILTER (toxic = 0), [])) AS gold FROM s GROUP BY source) """
-
-
-def _sets(spark, d):
-    j = b.table(spark, d, "documents").select("doc_id", "source").join(b.table(spark, d, "labels"), "doc_id")
-    ids = lambda c: F.sort_array(F.collect_list(F.when(c, col("doc_id"))))
-    return j.groupBy("source").agg(ids(col("quality") == 1).alias("cited"), ids(col("toxic") == 0).alias("gold"))
-
-
-@query(_SETS_SQL + "SELECT source, len(list_intersect(cited, gold)) AS hits, round(CASE WHEN len(cited) = 0 THEN 0 ELSE len(list_intersect(cited, gold)) / len(cited)::DOUBLE END, 4) AS precision_, round(CASE WHEN len(gold) = 0 THEN 0 ELSE len(list_intersect(cited, gold)) / len(gold)::DOUBLE END, 4) AS recall_ FROM g")
-def score_evidence_pr(spark, d):
-    hits = F.size(F.array_intersect("cited", "gold")).cast("bigint")
-    share = lambda n: F.round(F.when(F.size(n) == 0, 0.0).otherwise(hits / F.size(n)), 4)
-    return _sets(spark, d).select("source", hits.alias("hits"), share("cited").alias("precision_"), share("gold").alias("recall_"))
-
-
-@query(_SETS_SQL + "SELECT source, cited = gold AS same, list_sort(cited) = list_sort(gold) AS same_set, len(list_intersect(cited[1:3], gold[1:3])) AS prefix_hits FROM g")
-def score_set_modes(spark, d):
-    return _sets(spark, d).select("source", (col("cited") == col("gold")).alias("same"), (F.sort_array("cited") == F.sort_array("gold")).alias("same_set"), F.size(F.array_intersect(F.slice("cited", 1, 3), F.slice("gold", 1, 3))).cast("bigint").alias("prefix_hits"))
-
-
-@query("SELECT l_orderkey, l_linenumber, abs(l_extendedprice * (1 - l_discount) - l_extendedprice) <= greatest(500.0, abs(0.05 * l_extendedprice)) AS pass FROM lineitem")
-def score_tolerance(spark, d):
-    gold, answer = col("l_extendedprice"), col("l_extendedprice") * (1 - col("l_discount"))
-    return b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.abs(answer - gold) <= F.greatest(F.lit(500.0), F.abs(0.05 * gold))).alias("pass"))
-
-
-@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'invalid' WHEN l.toxic = 1 THEN 'irrelevant' WHEN l.quality = 1 THEN 'equivalent' ELSE 'related' END AS bucket FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def score_classify(spark, d):
-    j = b.table(spark, d, "documents").select("doc_id").join(b.table(spark, d, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
-    return j.select("doc_id", F.when(col("known").isNull(), "invalid").when(col("toxic") == 1, "irrelevant").when(col("quality") == 1, "equivalent").otherwise("related").alias("bucket"))
-
-
-@query("SELECT lang, source, count(*) AS total, count(*) FILTER (quality = 1) AS correct, round(avg(quality), 4) AS share FROM documents JOIN labels USING (doc_id) GROUP BY lang, source")
-def report_buckets(spark, d):
-    j = b.table(spark, d, "documents").select("doc_id", "lang", "source").join(b.table(spark, d, "labels"), "doc_id")
-    return j.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("total"), n_of(col("quality") == 1).alias("correct"), F.round(F.avg("quality"), 4).alias("share"))
-
-
-@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') > count(*) / 2::DOUBLE AS majority FROM orders GROUP BY 1")
-def majority_vote(spark, d):
-    return b.table(spark, d, "orders").groupBy("o_custkey").agg((F.count_if(col("o_orderstatus") == "F") > F.count(F.lit(1)) / 2).alias("majority"))
-
-
-@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 15")
-def promotion_topn(spark, d):
-    w = b.table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).filter("word <> ''")
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(col("n").desc(), "word").limit(15)
-
-
-@query("SELECT event_type AS tool, CAST(sum(length(props)) AS BIGINT) AS chars, round(sum(length(props)) / (SELECT sum(length(props)) FROM events)::DOUBLE, 4) AS share FROM events GROUP BY 1")
-def context_cost(spark, d):
-    e = b.table(spark, d, "events")
-    whole = e.select(F.sum(F.length("props"))).scalar()
-    return e.groupBy(col("event_type").alias("tool")).agg(F.sum(F.length("props")).alias("chars")).select("tool", "chars", F.round(col("chars") / whole, 4).alias("share"))
-
-
-# --- derivation and checks ---
-
-
-@query(E_ + "SELECT conversation_id, count(*) AS n, array_to_string(list_sort(list(frame_number)), ',') AS frames FROM b_events WHERE type = 'error' GROUP BY 1")
-def derive_counts(spark, d):
-    return b.events(spark, d).filter("type = 'error'").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("frame_number")), ",").alias("frames"))
-
-
-@query("SELECT o_orderkey AS stream_id, coalesce(n > 0, false) AS occurred FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey")
-def derive_exists_false(spark, d):
-    r = b.table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return b.table(spark, d, "orders").join(r, col("o_orderkey") == col("l_orderkey"), "left").select(col("o_orderkey").alias("stream_id"), F.coalesce(col("n") > 0, F.lit(False)).alias("occurred"))
-
-
-@query("""SELECT 'line_without_order' AS rule, count(*) AS violations FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey
-UNION ALL SELECT 'bad_quantity', count(*) FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 50) UNION ALL SELECT 'null_time', count(*) FROM events WHERE ts IS NULL
-UNION ALL SELECT 'repeated_event', count(*) - count(DISTINCT event_id) FROM events""")
-def gt_invariants(spark, d):
-    l, o, e = (b.table(spark, d, t) for t in ("lineitem", "orders", "events"))  # noqa: E741
-    count = lambda rule, df, n=None: df.agg((F.count(F.lit(1)) if n is None else n).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-    out = count("line_without_order", l.join(o, col("l_orderkey") == col("o_orderkey"), "left_anti"))
-    out = out.unionByName(count("bad_quantity", l.filter(~col("l_quantity").between(1, 50)))).unionByName(count("null_time", e.filter("ts IS NULL")))
-    return out.unionByName(count("repeated_event", e, F.count(F.lit(1)) - F.count_distinct("event_id")))
+QUERIES.update(model_queries.QUERIES)
+SQL.update(model_queries.SQL)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -637,98 +303,18 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["retransmissions_first"](spark, d)
 
 
-# --- extraction end to end, over the events table as dissected rows ---
-
 X_ = f"WITH {b.DISSECTED_SQL} "
 
 
-def _facts(spark, d):
-    return extract.facts(b.dissected(spark, d))
-
-
-@query(X_ + """SELECT frame AS frame_number, time_ms, len, transport, u AS stream_id, CASE WHEN outward THEN cport ELSE sport END AS src_port, CASE WHEN outward THEN sport ELSE cport END AS dst_port,
-concat_ws('|', CASE WHEN retrans THEN 'retransmission' END, CASE WHEN zero THEN 'zero_window' END, CASE WHEN lost THEN 'lost_segment' END) AS analysis, CASE WHEN tcp AND kind = 'view' THEN '/' || k END AS http_uri FROM f""")
-def extract_frames(spark, d):
-    f = extract.frames(_facts(spark, d))
-    return f.select("frame_number", "time_ms", "len", "transport", "stream_id", "src_port", "dst_port", F.array_join("analysis", "|").alias("analysis"), "http_uri")
-
-
-@query(X_ + """, p AS (SELECT frame, max(CASE WHEN floor(value) > 0 THEN k * 100 + CAST(floor(value) AS BIGINT) END) OVER w AS data_end,
-  first_value(CASE WHEN syn THEN k * 100 + 1 WHEN floor(value) > 0 THEN -1 END IGNORE NULLS) OVER w AS opened FROM d WHERE tcp
-  WINDOW w AS (PARTITION BY u, outward ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT ev.*, CASE WHEN type = 'tcp_missing_segment' THEN greatest(data_end, CASE WHEN opened IS NULL THEN CASE WHEN syn THEN k * 100 + 1 END WHEN opened >= 0 THEN opened END) END AS prior FROM ev LEFT JOIN p USING (frame))
-SELECT printf('evt:%06d', row_number() OVER (ORDER BY epoch, frame, transport, u, pos)) AS event_id, 'conv:' || transport || ':' || u AS conversation_id, type, time_ms,
-  CASE WHEN forward THEN 'initiator_to_responder' ELSE 'responder_to_initiator' END AS direction, frame AS frame_number,
-  CASE WHEN type = 'tcp_missing_segment' THEN CASE WHEN prior IS NULL THEN 'capture_start' ELSE 'mid_stream' END END AS attr_origin,
-  CASE WHEN type = 'tcp_missing_segment' AND k * 100 > prior THEN k * 100 - prior END AS attr_gap_bytes,
-  CASE WHEN type = 'dns_response' THEN CAST(k % 4 AS INTEGER) END AS attr_rcode_num, CASE WHEN type = 'http_request' THEN '/' || k END AS attr_uri FROM g""")
-def extract_events(spark, d):
-    return extract.events(_facts(spark, d)).select("event_id", "conversation_id", "type", "time_ms", "direction", "frame_number", "attr_origin", "attr_gap_bytes", "attr_rcode_num", "attr_uri")
-
-
-@query(X_ + """, s AS (SELECT u, transport, min(frame) AS sf, arg_min(epoch, frame) AS se FROM d WHERE syn AND NOT ack AND ahead GROUP BY u, transport),
-h AS (SELECT d.u, d.transport, arg_min(d.epoch, d.frame) - any_value(se) AS took FROM d JOIN s USING (u, transport) WHERE ahead AND ack AND NOT syn AND frame > sf GROUP BY 1, 2),
-n AS (SELECT u, transport, count(*) FILTER (type = 'tcp_retransmission') AS re, count(*) FILTER (type = 'tcp_missing_segment') AS lo, count(*) FILTER (type = 'http_request') AS ht, count(*) FILTER (type = 'dns_query') AS dn,
-  count(*) FILTER (type = 'tls_client_hello') AS tl, min(epoch) AS v0, max(epoch) AS v1, bool_or(type LIKE 'tls%') AS has_tls, bool_or(type LIKE 'dns%') AS has_dns, bool_or(type LIKE 'http%') AS has_http FROM ev GROUP BY 1, 2),
-a AS (SELECT u, transport, any_value(first_out <> swap) AS client_first, any_value(saw) AS saw, any_value(swap) AS swap, any_value(cport) AS cport, any_value(sport) AS sport,
-  arg_min(epoch, frame) AS f0, arg_max(epoch, frame) AS f1, arg_min(time_ms, frame) AS t0, count(*) FILTER (forward) AS pf, count(*) FILTER (NOT forward) AS pr,
-  CAST(coalesce(sum(len) FILTER (forward), 0) AS BIGINT) AS bf, CAST(coalesce(sum(len) FILTER (NOT forward), 0) AS BIGINT) AS br, CAST(coalesce(sum(floor(value)) FILTER (forward AND tcp), 0) AS BIGINT) AS lf,
-  round(median(CASE WHEN tcp AND kind = 'click' THEN k / 1000::DOUBLE END) * 1000, 3) AS rtt, count(DISTINCT q) FILTER (q IS NOT NULL) AS quic
-  FROM d, LATERAL (SELECT unnest(CASE WHEN NOT tcp AND k % 3 = 0 THEN [k % 4, k % 8] ELSE [NULL] END) AS q, unnest(CASE WHEN NOT tcp AND k % 3 = 0 THEN [true, false] ELSE [true] END) AS once) GROUP BY u, transport)
-SELECT 'conv:' || a.transport || ':' || a.u AS conversation_id, CASE WHEN client_first THEN cport ELSE sport END AS initiator_port, CASE WHEN saw THEN 'handshake' WHEN swap THEN 'port_heuristic' ELSE 'first_packet' END AS direction_basis,
-  x.pf AS packets_forward, x.pr AS packets_reverse, x.bf AS bytes_forward, x.br AS bytes_reverse, x.lf AS payload_bytes_forward, round((greatest(f1, coalesce(v1, f1)) - least(f0, coalesce(v0, f0))) * 1000, 3) AS duration_ms,
-  coalesce(re, 0) AS retransmission_count, coalesce(lo, 0) AS missing_segment_count, coalesce(ht, 0) AS http_txn_count, coalesce(dn, 0) AS dns_query_count, coalesce(tl, 0) AS tls_handshake_count,
-  x.rtt AS rtt_median_ms, round(h.took * 1000, 3) AS tcp_handshake_ms, quic AS quic_stream_count,
-  concat_ws('|', a.transport, CASE WHEN has_tls THEN 'tls' END, CASE WHEN has_dns THEN 'dns' END, CASE WHEN has_http THEN 'http' END, CASE WHEN quic > 0 THEN 'quic' END) AS tags
-FROM a JOIN (SELECT u, transport, count(*) FILTER (forward) AS pf, count(*) FILTER (NOT forward) AS pr, CAST(coalesce(sum(len) FILTER (forward), 0) AS BIGINT) AS bf, CAST(coalesce(sum(len) FILTER (NOT forward), 0) AS BIGINT) AS br,
-  CAST(coalesce(sum(floor(value)) FILTER (forward AND tcp), 0) AS BIGINT) AS lf, round(median(CASE WHEN tcp AND kind = 'click' THEN k / 1000::DOUBLE END) * 1000, 3) AS rtt FROM d GROUP BY 1, 2) x USING (u, transport)
-LEFT JOIN n USING (u, transport) LEFT JOIN h USING (u, transport)""")
-def extract_conversations(spark, d):
-    c = extract.conversations(_facts(spark, d))
-    return c.select(
-        "conversation_id", "initiator_port", "direction_basis", "packets_forward", "packets_reverse", "bytes_forward", "bytes_reverse", "payload_bytes_forward", "duration_ms", "retransmission_count",
-        "missing_segment_count", "http_txn_count", "dns_query_count", "tls_handshake_count", "rtt_median_ms", "tcp_handshake_ms", "quic_stream_count", F.array_join("protocol_tags", "|").alias("tags"),
-    )
-
-
-@query(X_ + """, q AS (SELECT 'conv:udp:' || u AS conversation_id, frame, epoch, len, unnest([k % 4, k % 8]) AS stream_id, unnest([0, 1]) AS pos FROM f WHERE NOT tcp AND k % 3 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, stream_id ORDER BY frame, pos) AS i FROM q)
-SELECT conversation_id, stream_id, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes, round((arg_max(epoch, frame) - arg_min(epoch, frame)) * 1000, 3) AS duration_ms, array_to_string(list_sort(list(frame) FILTER (i <= 50)), ',') AS frames FROM r GROUP BY 1, 2""")
-def extract_streams(spark, d):
-    return extract.streams(_facts(spark, d)).select("conversation_id", "stream_id", "packets", "bytes", "duration_ms", F.array_join("evidence_frames", ",").alias("frames"))
-
-
-@query(X_ + """, s AS (SELECT *, CASE type WHEN 'http_request' THEN 1 ELSE -1 END AS step FROM ev WHERE type LIKE 'http%'),
-w AS (SELECT *, sum(step) OVER (PARTITION BY u ORDER BY time_ms, frame) AS bal FROM s),
-l AS (SELECT *, least(0, coalesce(min(bal) OVER (PARTITION BY u ORDER BY time_ms, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM w),
-y AS (SELECT *, row_number() OVER (PARTITION BY u, step ORDER BY time_ms, frame) AS i FROM l WHERE step = 1 OR bal >= low)
-SELECT 'conv:tcp:' || q.u AS conversation_id, '/' || q.k AS uri, CASE WHEN r.frame IS NOT NULL THEN 200 END AS status_code, q.frame AS request_frame, r.frame AS response_frame, round(r.time_ms - q.time_ms, 3) AS resp_time_ms
-FROM y q LEFT JOIN y r ON q.u = r.u AND q.i = r.i AND r.step = -1 WHERE q.step = 1""")
-def extract_transactions(spark, d):
-    return pairing.transactions(extract.events(_facts(spark, d))).select("conversation_id", "uri", "status_code", "request_frame", "response_frame", "resp_time_ms")
-
-
-@query(X_ + """, p AS (SELECT transport, len, CASE WHEN outward THEN '10.0.0.' || u || ':' || cport ELSE '192.168.0.1:' || sport END AS s, CASE WHEN outward THEN '192.168.0.1:' || sport ELSE '10.0.0.' || u || ':' || cport END AS d FROM f)
-SELECT transport, least(s, d) AS a, greatest(s, d) AS b, count(*) FILTER (s <= d) AS frames_a_to_b, CAST(coalesce(sum(len) FILTER (s <= d), 0) AS BIGINT) AS bytes_a_to_b, count(*) FILTER (s > d) AS frames_b_to_a, CAST(coalesce(sum(len) FILTER (s > d), 0) AS BIGINT) AS bytes_b_to_a FROM p GROUP BY 1, 2, 3""")
-def overview_pairs(spark, d):
-    return index.pairs(_facts(spark, d)).select("transport", "a", "b", "frames_a_to_b", "bytes_a_to_b", "frames_b_to_a", "bytes_b_to_a")
-
-
-def _displayed(spark, d, also=None):
+def _displayed(spark, d):
     """A display filter over dissected rows: the parsed filter reaches the scan as one predicate."""
     rows = b.dissected(spark, d)
     known = [f for f in DISSECTED if column_of(f) in rows.columns]
     keep = rawfilter.Parser("tcp && (tcp.flags.syn == 1 || frame.len > 100) and not (tcp.analysis.retransmission)", known).parse()
-    rows = rows.filter(keep if also is None else keep & also)
-    return rows.select(F.col("frame_number").cast("bigint").alias("frame_number"), F.lit("tcp").alias("transport"), F.col("ip_src").startswith("10.").alias("out"))
-
-
-@query(X_ + "SELECT frame AS frame_number, 'tcp' AS transport, outward AS out FROM f WHERE tcp AND (syn OR len > 100) AND NOT (retrans OR k % 2 = 1)")
-def raw_display_filter(spark, d):
-    """The rows of raw_display_filter_whole with an even frame length."""
-    return _displayed(spark, d, (F.col("frame_len").cast("bigint") - 60) % 2 == 0)
+    rows = rows.filter(keep)
+    return rows.select(F.col("frame_number").cast("bigint").alias("frame_number"), F.lit("tcp").alias("transport"), F.coalesce(F.col("ip_src"), F.col("ipv6_src")).rlike("^(10[.]|fd00)").alias("out"))
 
 
-@query(X_ + "SELECT frame AS frame_number, 'tcp' AS transport, outward AS out FROM f WHERE tcp AND (syn OR len > 100) AND NOT retrans")
+@query(X_ + "SELECT frame AS frame_number, 'tcp' AS transport, outward AS out FROM f WHERE tcp AND (syn OR len > 100) AND NOT plain")
 def raw_display_filter_whole(spark, d):
     return _displayed(spark, d)

@@ -203,8 +203,7 @@ class Session:
         conv = self._conversation(cid)
         if not 10 <= bin_ms <= 5000:
             raise ValueError("bin_ms must be in [10, 5000]")
-        mine = self.facts.filter((F.col("transport") == conv["transport"]) & (F.col("stream_id") == int(cid.rsplit(":", 1)[1])))
-        d = extract.directed(mine, self.ends).join(extract.capture_times(self.facts).select("capture_id", F.col("first_epoch").alias("t0")), "capture_id")
+        d = extract.directed(extract.of_conversation(self.facts, cid), self.ends).join(extract.capture_times(self.facts).select("capture_id", F.col("first_epoch").alias("t0")), "capture_id")
         bins, width = timeseries.series(d.withColumn("time_ms", F.round((F.col("epoch") - F.col("t0")) * 1000, 3)), metric, conv["start_ms"], conv["duration_ms"], bin_ms)
         rows = [r.asDict() for r in bins.collect()]
         return {"conversation_id": cid, "metric": metric, "requested_bin_ms": bin_ms, "bin_ms": width, "bins_count": len(rows), "sampled": width > bin_ms, "bins": rows, "audit": self.audit()}

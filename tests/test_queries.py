@@ -69,7 +69,7 @@ def test_display_filter_keeps_odd_lengths(spark):
     rows = queries.QUERIES["raw_display_filter_whole"](spark, DATA).collect()
     events = spark.read.parquet(f"{DATA}/events.parquet").collect()
     k = {r.event_id + 1: json.loads(r.props)["k"] for r in events}
-    tcp = [r for r in events if r.user_id % 2 == 0 and r.event_type != "error"]
+    tcp = [r for r in events if r.user_id % 2 == 0 and k[r.event_id + 1] != 50 and not (r.event_type == "error" and k[r.event_id + 1] % 3 == 0)]
     want = {r.event_id + 1 for r in tcp if 60 + k[r.event_id + 1] > 100 or r.event_type == "signup" and r.user_id % 3 != 0}
     assert sorted(r.frame_number for r in rows) == sorted(want)
     assert {k[r.frame_number] % 2 for r in rows} == {0, 1}
