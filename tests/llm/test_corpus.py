@@ -94,21 +94,30 @@ def test_remove_repeats_across_buffers(monkeypatch):
 # --- 2: top-k ---
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("block", "balls", "large"), [(16384, 1 << 20, 1), (64, 1 << 20, 1), (64, 0, 1), (64, 1 << 20, 1e6)])
+def test_top_k(spark, monkeypatch, block, balls, large):
+    """One block and many, with and without balls, scores beyond 2^53, repeated rows."""
+    monkeypatch.setattr(mtree, "BLOCK", block)
+    monkeypatch.setattr(mtree, "BALL_BYTES", balls)
+    monkeypatch.setattr(mtree, "PAGE", 16)
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(400, 8)).astype(np.float32)
-    x[100:160] = x[50]  # one very common vector
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1050, [1.0, None]), (1100, [float("nan")]), (1150, [float("inf")]), (1200, [0.5]), (7, [9.0] * 8), (None, [1.0])]
+    x[100:220] = x[50]  # one very common vector
+    x *= np.float32(large)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(350, [float(v) for v in x[350]]), (350, [float(v) for v in x[350]]), (1000, None), (1050, [1.0, None]), (1100, [float("nan")]), (1150, [float("inf")]), (1200, [0.5]), (7, [9.0] * 8), (None, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
     got = sorted(tuple(r) for r in mtree.top_k(df, every=50).collect())
     ok = [(i, np.pad(np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int), (0, 8 - len(v)))) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
     want = []
-    for q, a in ok:
-        if q % 50 == 0:
-            best = sorted((-int(a @ c), i) for i, c in ok if i != q)[:5]
-            want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    for q in sorted({i for i, _ in ok if i % 50 == 0}):
+        mine = {tuple(a) for i, a in ok if i == q}
+        best = sorted((-sum(int(x) * int(y) for x, y in zip(a, c, strict=True)), i) for a in mine for i, c in ok if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
-    assert mtree.top_k(df.limit(0)).count() == 0 and mtree.top_k(df.filter("vec_id = 50")).count() == 0
+    if large == 1 and block > 64:
+        assert mtree.top_k(df.limit(0)).count() == 0 and mtree.top_k(df.filter("vec_id = 50")).count() == 0
+        with pytest.raises(ValueError, match="64 bits"):
+            mtree.top_k(spark.createDataFrame([(50, [1e17, 1.0])], "vec_id long, embedding array<double>"))
 
 
 # --- 3: chats ---
