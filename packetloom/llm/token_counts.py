@@ -37,6 +37,25 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     return out.select("n_tokens", "n_docs", (F.col("d0") + F.col("d")).alias("docs_upto"), over.alias("docs_over"), upto.alias("tokens_upto"), "n_total", "tokens_total", (upto + over * F.col("n_tokens")).alias("truncated_total"))
 
 
+def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """(n_limit, docs_over, truncated_total) for any context limits, also below the shortest and
+    beyond the longest length: documents longer than the limit, and the tokens left when every
+    document is cut to it. From length_histogram() alone; an empty one gives zeros."""
+    asked = hist.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "n_limit long")
+    below = hist.join(F.broadcast(asked), F.col("n_tokens") <= F.col("n_limit")).groupBy("n_limit").agg(F.max("docs_upto").alias("d"), F.max("tokens_upto").alias("t"))
+    rows = asked.join(below, "n_limit", "left").withColumn("n", hist.select(F.coalesce(F.max("n_total"), F.lit(0))).scalar())
+    over = F.col("n") - F.coalesce("d", F.lit(0))
+    return rows.select("n_limit", over.alias("docs_over"), (F.coalesce("t", F.lit(0)) + over * F.greatest("n_limit", F.lit(0))).alias("truncated_total"))
+
+
+def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the smallest length that at least that share of documents doesn't
+    exceed (share 0: the shortest); no rows for an empty histogram."""
+    asked = hist.sparkSession.createDataFrame([(float(x),) for x in sorted(set(shares))], "share double")
+    hit = hist.join(F.broadcast(asked), F.col("docs_upto") >= F.col("share") * F.col("n_total"))
+    return hit.groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+
+
 def op6(spark, sf_dir):
     path, pattern = vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -165,10 +166,18 @@ def test_exact_dedup(spark, docs, corpus, empty):
 
 def test_exact_dedup_with_a_full_filter(spark, docs, corpus, monkeypatch):
     """A filter that is too small lets more rows through and changes nothing."""
-    monkeypatch.setattr(exact_dedup, "capped_bits", lambda n: 64)
+    monkeypatch.setattr(exact_dedup, "capped_bits", lambda n, *a: 64)
     assert exact_dedup.exact_dedup(docs).filter("kept").count() == len({r[1] or "" for r in corpus})
 
 
+def test_exact_dedup_by_ranges(spark, docs, corpus, monkeypatch):
+    """Several filters, each for a range of hashes, find what one finds."""
+    monkeypatch.setattr(exact_dedup, "MOST", 300)
+    for carry in (None, ["doc_id"]):
+        out = exact_dedup.exact_dedup(docs, carry=carry)
+        assert out.filter("kept").count() == len({r[1] or "" for r in corpus}) and out.count() == len(corpus)
+
+
 def test_without(spark):
     df = spark.range(1000).withColumn("k", F.lit("clash"))
     out = without(df, F.xxhash64("id"), spark.range(0, 1000, 7).select(F.xxhash64("id").alias("k")))
@@ -225,7 +234,15 @@ def test_encode_decode_and_histogram(spark, docs, corpus, empty, tokenizer):
         assert r.docs_upto == sum(v for s, v in sizes.items() if s <= k) and r.docs_over == sum(v for s, v in sizes.items() if s > k)
         assert r.tokens_upto == sum(s * v for s, v in sizes.items() if s <= k) and r.truncated_total == sum(min(s, k) * v for s, v in sizes.items())
         assert (r.n_total, r.tokens_total) == (len(corpus), sum(s * v for s, v in sizes.items()))
-    assert token_counts.length_histogram(spark.createDataFrame([], "n_tokens long")).count() == 0
+    hist = token_counts.length_histogram(bpe.encode(docs, path, pattern, ids=False).unionByName(spark.createDataFrame([(None,)], "n_tokens long"), allowMissingColumns=True))
+    limits = [0, 1, 3, 50, 10**7, max(sizes), min(sizes) - 1]
+    got = {r.n_limit: (r.docs_over, r.truncated_total) for r in token_counts.at_limits(hist, limits).collect()}
+    assert got == {x: (sum(v for s, v in sizes.items() if s > x), sum(max(0, min(s, x)) * v for s, v in sizes.items())) for x in limits}
+    flat = sorted(sizes.elements())
+    for share, n in ((r.share, r.n_tokens) for r in token_counts.quantiles(hist, [0, 0.25, 0.5, 0.99, 1]).collect()):
+        assert n == flat[max(0, math.ceil(share * len(flat)) - 1)]
+    none = token_counts.length_histogram(spark.createDataFrame([], "n_tokens long"))
+    assert none.count() == 0 and token_counts.quantiles(none, [0.5]).count() == 0 and [tuple(r) for r in token_counts.at_limits(none, [5]).collect()] == [(5, 0, 0)]
 
 
 # --- 7: mixing ---
