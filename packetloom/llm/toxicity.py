@@ -51,16 +51,36 @@ def scale(words):
     return 1 / np.sqrt(1 + np.asarray(words) / USUAL)
 
 
-def features(words: list[str], parts=lambda word: (slots_of(word)[:1], slots_of(word)[1:])) -> set[int]:
+class Parts(dict):
+    """word -> (its own slot, its prefixes' slots); with `weight` only those that a model
+    weighs, itself or by their shared form. A full memo is emptied."""
+
+    def __init__(self, weight: dict[int, float] | None = None):
+        self.weight = weight
+
+    def __missing__(self, word: str):
+        if len(self) >= WORDS:
+            self.clear()
+        own, *prefixes = slots_of(word)
+        if self.weight is None:
+            out = ((own,), prefixes)
+        else:
+            out = ((own,) if own in self.weight else (), tuple(x for x in prefixes if x in self.weight or again(x) in self.weight))
+        self[word] = out
+        return out
+
+
+def features(words: list[str], parts: Parts) -> set[int]:
     """The slots that the words of a whole text set: of each word, of its prefixes, and of
     prefixes that two different words share. Training and scoring both call this; scoring
-    gives `parts` that leave slots out which the model doesn't weigh."""
+    leaves out what the model doesn't weigh."""
     hits: set[int] = set()
     once: set[int] = set()
     twice: set[int] = set()
     for w in set(words):
-        word, prefixes = parts(w)
-        hits.update(word)
+        word, prefixes = parts[w]
+        if word:
+            hits.update(word)
         for s in prefixes:
             (twice if s in once else once).add(s)
     return hits | once | {again(s) for s in twice}
@@ -146,9 +166,10 @@ def _features(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        parts = Parts()
         for b in slices(batches, "text"):
             found = [words_of(t) for t in b.column("text").to_pylist()]
-            packed = pa.array([np.sort(np.fromiter(features(x), np.int32)).tobytes() for x in found], pa.binary())
+            packed = pa.array([np.sort(np.fromiter(features(x, parts), np.int32)).tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array([len(x) for x in found], pa.int32()), packed], names=["positive", "words", "slots"])
         tidy()
 
@@ -226,28 +247,16 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     weight = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
 
     def run(batches):
-        memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-        useful = lambda x: x in weight or again(x) in weight
-
-        def parts(word: str):
-            out = memo.get(word)
-            if out is None:
-                if len(memo) >= WORDS:
-                    memo.clear()
-                own, *prefixes = slots_of(word)
-                out = memo[word] = ((own,) if own in weight else (), tuple(x for x in prefixes if useful(x)))
-            return out
-
+        parts = Parts(weight)
         for b in slices(batches, "text"):
             out, size = np.empty(b.num_rows), np.empty(b.num_rows)
-            for i, t in enumerate(b.column("text")):
-                found = words_of(t.as_py())
+            for i, t in enumerate(b.column("text").to_pylist()):
+                found = words_of(t)
                 size[i] = len(found)
                 out[i] = sum(weight.get(x, 0.0) for x in sorted(features(found, parts)))
             out = model.bias + out * scale(size)
             p = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype("int32"))], names=schema.names)
-        memo.clear()
         tidy()
 
     source = docs.select(*names, *([] if "text" in names else ["text"]))
