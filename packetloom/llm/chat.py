@@ -94,6 +94,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(4 + length(url_encode(role)) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
+       CAST(sum(4 + length(replace(replace(replace(url_encode(role), '%20', '+'), '%2A', '*'), '~', '%7E')) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """

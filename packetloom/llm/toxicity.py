@@ -141,7 +141,7 @@ def fit(slots: np.ndarray, pos: list[np.ndarray], unl: list[np.ndarray], pos_wor
     batch; see risk()). pos and unl hold, for each text, the places in `slots` that it sets.
     Without positives: prior as score. The sum of weights is scaled by the number of words,
     here as in score()."""
-    prior = min(max(prior, 1e-3), 0.5)
+    prior = min(max(prior, 1e-3), 0.45)  # a text without evidence is never called toxic
     if not pos or not unl:
         return Model(np.zeros(0, int), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
     p, u = _sparse(pos), _sparse(unl)

@@ -40,7 +40,7 @@ def folder(spark, texts, tmp_path_factory):
     docs = [(i, t, "en", [None, "s2", "s1", "", "s1"][i % 5], len(t or ""), "clash", i, "clash") for i, t in enumerate(texts)]
     spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, [0, 1, None][i % 3]) for i in range(0, len(texts), 2)] + [(0, 0, 0), (10**6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    vec = [(i, [rnd.uniform(-1, 1) for _ in range(6)] if i % 7 else [0.5] * 6) for i in range(160)] + [(200, None), (250, [1.0, None, 0, 0, 0, 0]), (300, [float("nan")] * 6)]
+    vec = [(i, [rnd.uniform(-1, 1) for _ in range(6)] if i % 7 else [0.5] * 6) for i in range(160)] + [(200, None), (250, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (300, [float("nan")] * 6)]
     spark.createDataFrame([(i, v, "clash") for i, v in vec], "vec_id long, embedding array<float>, score string").write.parquet(f"{d}/embeddings.parquet")
     urls = [None, "", "no scheme", "http://", "http://com/", "http://a.COM/x?y=://z", "https://example.com/en/1", "https://WWW.example.com/en/1#t", "http://a.net/es/1", "http://a.net/es", "http://net/fr/", "x://y://net/es/", "http://a\n.net/fr/", "http://com"]
     spark.createDataFrame([(i, u, "<p>", "clash") for i, u in enumerate(urls + urls[4:8])], "page_id long, url string, html string, host string").write.parquet(f"{d}/pages.parquet")
