@@ -116,8 +116,8 @@ def run_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 #: Groups with more kinds of runs are dealt by single suffixes; of the others a task holds one
-#: at a time (336 bytes a run at most, and some 60 for each suffix).
-CROWD = 1024
+#: at a time (336 bytes a run at most, and some 60 for each of its 69 suffixes or so).
+CROWD = 16_384
 #: Suffixes that a task sorts at once: whole groups of about so many.
 SORTED = 1 << 18
 _SPAN = T.StructType([T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("span", T.LongType())])

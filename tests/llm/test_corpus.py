@@ -67,7 +67,7 @@ def cut(texts):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1024, 2])
+@pytest.mark.parametrize("crowd", [16_384, 2])
 def test_remove_repeats(spark, docs, corpus, empty, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     want = Counter(zip([r[0] for r in corpus], cut([(r[1] or "").encode() for r in corpus]), strict=True))
