@@ -5,6 +5,8 @@ import zipfile
 
 from pyspark.sql import types as T
 
+import pytest
+
 from packetloom.config import Config, cache_root, configure
 from packetloom.schema import EVENTS
 from packetloom.scoring import report
