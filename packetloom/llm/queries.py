@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.llm import bpe, chat, exact_dedup, filter_audit, mixing, mtree, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from packetloom.llm import bpe, chat, exact_dedup, filter_audit, lexical, mixing, mtree, pitman_yor, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_url_filters": url_filter.op9,
         "op10_simhash_near_dedup": simhash.op10,
+        "op11_pitman_yor": pitman_yor.op11,
         "op12_filter_audit": filter_audit.op12,
+        "op13_lexical_search": lexical.op13,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_source_mixing": mixing.ORACLE,
         "op9_url_filters": url_filter.ORACLE,
         "op12_filter_audit": filter_audit.ORACLE,
+        "op13_lexical_search": lexical.ORACLE,
     }
