@@ -3,6 +3,9 @@ rows, labelled frames, gold values and answers, each with SQL that gives the sam
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from packetloom.scoring import relational, report, truth
 from packetloom.session import frame_info, frames_of, missing_of
 from packetloom.sources import json_tables, tsv
 from packetloom.sources import tables as b
+from packetloom.stage import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +37,11 @@ def _facts(spark, d):
     return extract.facts(b.dissected(spark, d))
 
 
+def _model(spark, d):
+    """The facts with what flow and capture give each row, written once a query."""
+    return extract.prepared(b.dissected(spark, d))
+
+
 def _flat(df: DataFrame, schema) -> DataFrame:
     """The schema's columns, arrays as text."""
     return df.select(*(F.array_join(F.col(x.name).cast("array<string>"), "|").alias(x.name) if x.dataType.typeName() == "array" else x.name for x in schema.fields))
@@ -52,18 +61,18 @@ def extract_frames(spark, d):
 
 @query(M_ + f"SELECT {_all(EVENTS)} FROM m_events")
 def extract_events(spark, d):
-    return _flat(extract.events(_facts(spark, d)), EVENTS)
+    return _flat(extract.events(_model(spark, d)), EVENTS)
 
 
 @query(M_ + "SELECT type, frame_number, 'evt:' || frame_number || '.' || (row_number() OVER (PARTITION BY frame_number ORDER BY event_id) - 1) AS event_id FROM m_events")
 def extract_events_unsorted(spark, d):
     """Ids that need no sort: frame and place of emission."""
-    return extract.events(_facts(spark, d), compat_ids=False).select("type", "frame_number", "event_id")
+    return extract.events(_model(spark, d), compat_ids=False).select("type", "frame_number", "event_id")
 
 
 @query(M_ + f"SELECT {_all(CONVERSATIONS)} FROM m_convs")
 def extract_conversations(spark, d):
-    return _flat(extract.conversations(_facts(spark, d)), CONVERSATIONS)
+    return _flat(extract.conversations(_model(spark, d)), CONVERSATIONS)
 
 
 @query(M_ + f"SELECT {_all(STREAMS)} FROM m_streams")
@@ -73,7 +82,7 @@ def extract_streams(spark, d):
 
 @query(M_ + "SELECT 'event' AS owner_type, event_id AS owner_id, frame_number FROM m_events UNION ALL SELECT 'stream', conversation_id || '/stream/' || stream_id, unnest(evidence_frames) FROM m_streams")
 def extract_frame_refs(spark, d):
-    f = _facts(spark, d)
+    f = _model(spark, d)
     return extract.frame_refs(extract.events(f), extract.streams(f)).drop("capture_id")
 
 
@@ -88,7 +97,7 @@ m_http AS (SELECT q.conversation_id, q.attr_method AS method, q.attr_host AS hos
 
 @query(M_.rstrip() + _TRANSACTIONS + f"SELECT {_all(TRANSACTIONS)} FROM m_http")
 def extract_transactions(spark, d):
-    return _flat(pairing.transactions(extract.events(_facts(spark, d))), TRANSACTIONS)
+    return _flat(pairing.transactions(extract.events(_model(spark, d), compat_ids=False, types=pairing.HTTP)), TRANSACTIONS)
 
 
 @query(X_ + "SELECT count(*) AS packet_count, min(epoch) AS first_epoch, max(epoch) AS last_epoch, CAST(sum(len) AS BIGINT) AS data_size, round((max(epoch) - min(epoch)) * 1000, 3) AS duration_ms FROM f")
@@ -131,8 +140,8 @@ def evidence_missing_anti(spark, d):
 
 @query(M_ + "SELECT frame_number, len, array_to_string(analysis, '|') AS analysis FROM m_frames WHERE frame_number IN (SELECT frame_number FROM m_events WHERE type = 'tcp_retransmission')")
 def evidence_of_events(spark, d):
-    f = _facts(spark, d)
-    asked = extract.events(f, compat_ids=False).filter("type = 'tcp_retransmission'").select("frame_number").distinct()
+    f = _model(spark, d)
+    asked = extract.events(f, compat_ids=False, types=("tcp_retransmission",)).select("frame_number").distinct()
     return frames_of(extract.frames(f), asked).select("frame_number", "len", F.array_join("analysis", "|").alias("analysis"))
 
 
@@ -155,11 +164,9 @@ SELECT e.conversation_id, e.bin_ms, e.bin * e.bin_ms AS t_start_ms, round(fw, 3)
 
 def _series(metric: str):
     def run(spark, d):
-        f = _facts(spark, d)
-        ends = extract.endpoints(f)
-        rows = extract.directed(f, ends).join(extract.capture_times(f).select("capture_id", F.col("first_epoch").alias("t0")), "capture_id")
-        rows = rows.select(extract.conversation_id().alias("conversation_id"), F.round((F.col("epoch") - F.col("t0")) * 1000, 3).alias("time_ms"), "forward", "len", "tls_record_bytes", "tcp_window", "ack_rtt")
-        out = timeseries.series_all(rows, extract.conversations(f, ends), ["conversation_id"], metric, 1000)
+        f = _model(spark, d)
+        rows = extract.directed(f).select(extract.conversation_id().alias("conversation_id"), F.round((F.col("epoch") - F.col("t0")) * 1000, 3).alias("time_ms"), "forward", "len", "tls_record_bytes", "tcp_window", "ack_rtt")
+        out = timeseries.series_all(rows, extract.spans(f), ["conversation_id"], metric, 1000)
         return out.withColumns({c: F.round(c, 3) for c in ("forward", "reverse")})
 
     return run
@@ -177,7 +184,7 @@ for _metric, _value, _fold in (
 
 
 def _scope(spark, d, scope: str) -> DataFrame:
-    f = _facts(spark, d)
+    f = _model(spark, d) if scope in ("conversation", "event") else _facts(spark, d)
     return {"conversation": extract.conversations, "event": extract.events, "frame": extract.frames, "stream": extract.streams}[scope](f)
 
 
@@ -230,6 +237,8 @@ GATED = {
     "gate_exists": "WITH slow AS (SELECT conversation_id FROM v_http_transactions WHERE resp_time_ms > 50 OR status_code IS NULL) SELECT c.conversation_id, c.bytes_total FROM conversations c WHERE EXISTS (SELECT 1 FROM slow s WHERE s.conversation_id = c.conversation_id) AND c.initiator_ip LIKE '10.%'",
     "gate_bucket": "SELECT time_bucket(CAST(60000 AS DOUBLE), time_ms) AS at, count(*) AS n FROM frames GROUP BY 1",
     "gate_streams": "SELECT conversation_id, count(*) AS streams, sum(bytes) AS bytes FROM v_streams GROUP BY conversation_id",
+    "gate_asof_next": "WITH ask AS (SELECT conversation_id, frame_number AS asked, time_ms FROM events WHERE type = 'http_request') SELECT asked, answered_ms, status FROM ask ASOF JOIN (SELECT conversation_id, time_ms AS answered_ms, status FROM (SELECT *, attr_status_code AS status FROM events WHERE type = 'http_response')) AS reply ON ask.conversation_id = reply.conversation_id AND ask.time_ms < reply.answered_ms",
+    "gate_union_by_name": "WITH both AS (SELECT frame_number, type, time_ms FROM events WHERE type LIKE 'dns%' UNION ALL BY NAME SELECT len, frame_number FROM frames WHERE len < 70) SELECT type, count(*) AS n, sum(len) AS bytes, sum(frame_number) AS total, max(time_ms) AS last FROM both GROUP BY type UNION BY NAME SELECT count(*) AS n, 'all' AS type FROM both",
 }
 _GATED_SQL = {
     "gate_median": "SELECT type, count(*) AS n, median(time_ms) AS mid, arg_max(frame_number, time_ms) AS last FROM m_events GROUP BY type",
@@ -242,19 +251,21 @@ _GATED_SQL = {
     "gate_exists": "SELECT conversation_id, bytes_total FROM m_convs WHERE initiator_ip LIKE '10.%' AND conversation_id IN (SELECT conversation_id FROM m_http WHERE resp_time_ms > 50 OR status_code IS NULL)",
     "gate_bucket": "SELECT floor(time_ms / 60000) * 60000 AS at, count(*) AS n FROM m_frames GROUP BY 1",
     "gate_streams": "SELECT conversation_id, count(*) AS streams, CAST(sum(bytes) AS BIGINT) AS bytes FROM m_streams GROUP BY conversation_id",
+    "gate_asof_next": "SELECT q.frame_number AS asked, (SELECT min(r.time_ms) FROM m_events r WHERE r.type = 'http_response' AND r.conversation_id = q.conversation_id AND r.time_ms > q.time_ms) AS answered_ms, 200 AS status FROM m_events q WHERE q.type = 'http_request' AND answered_ms IS NOT NULL",
+    "gate_union_by_name": "SELECT type, count(*) AS n, CAST(NULL AS BIGINT) AS bytes, CAST(sum(frame_number) AS BIGINT) AS total, max(time_ms) AS last FROM m_events WHERE type LIKE 'dns%' GROUP BY type UNION ALL SELECT NULL, count(*), CAST(sum(len) AS BIGINT), CAST(sum(frame_number) AS BIGINT), NULL FROM m_frames WHERE len < 70 UNION ALL SELECT 'all', (SELECT count(*) FROM m_events WHERE type LIKE 'dns%') + (SELECT count(*) FROM m_frames WHERE len < 70), NULL, NULL, NULL",
 }
 
 
 def _gated(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        f = _facts(spark, d)
-        ev = extract.events(f)
-        made = {"conversations": lambda: extract.conversations(f), "events": lambda: ev, "frames": lambda: extract.frames(f), "frame_refs": lambda: extract.frame_refs(ev, extract.streams(f)), "v_streams": lambda: extract.streams(f).drop("evidence_frames"), "v_http_transactions": lambda: pairing.transactions(ev)}
-        for t in CATALOG:
-            if t in GATED[name]:
-                made[t]().drop("capture_id").createOrReplaceTempView(t)
-        sqlgate.register_aliases(spark)
-        return sqlgate.plan(spark, GATED[name], set(CATALOG))
+        f = _model(spark, d)
+        ev = cache(lambda: written(extract.events(f), "events"))
+        made = {
+            "conversations": lambda: extract.conversations(f), "events": ev, "frames": lambda: extract.frames(f), "frame_refs": lambda: extract.frame_refs(ev(), extract.streams(f)), "v_streams": lambda: extract.streams(f).drop("evidence_frames"),
+            "v_http_transactions": lambda: pairing.transactions(extract.events(f, compat_ids=False, types=pairing.HTTP)).drop("measured_resp_time_ms"),
+        }
+        own = sqlgate.own_session(spark, {t: made[t]().drop("capture_id") for t in CATALOG if re.search(rf"\b{t}\b", GATED[name])})
+        return sqlgate.plan(own, GATED[name], set(CATALOG))
 
     return run
 
@@ -280,7 +291,7 @@ r AS (SELECT transport, least(s, e) AS a, greatest(s, e) AS b, CAST(sum(bytes) A
 SELECT transport, a, b, left_value, right_value, CASE WHEN right_value IS NULL THEN 'missing' WHEN left_value IS NULL THEN 'extra' WHEN left_value = right_value THEN 'equal' ELSE 'differs' END AS status FROM l FULL JOIN r USING (transport, a, b)""")
 def bytes_audit_full_outer(spark, d):
     """Frame bytes by flow against conversations: small ones are left out and some are off by one."""
-    f = _facts(spark, d)
+    f = _model(spark, d)
     left = extract.frames(f).filter("transport is not null").select("transport", audit.end("ip_src", "src_port").alias("a"), audit.end("ip_dst", "dst_port").alias("b"), F.col("len").alias("bytes"))
     c = extract.conversations(f).filter("bytes_total > 4000")
     right = c.select("transport", audit.end("initiator_ip", "initiator_port").alias("a"), audit.end("responder_ip", "responder_port").alias("b"), (F.col("bytes_total") + (F.col("direction_basis") == "handshake").cast("int")).alias("bytes"))
@@ -291,8 +302,8 @@ def bytes_audit_full_outer(spark, d):
 SELECT name, address, conversation_id, round(start_ms - answered_ms, 3) AS after_ms FROM n JOIN m_convs ON responder_ip = address AND start_ms > answered_ms""")
 def dns_pivot_join(spark, d):
     """Flows of this table all begin early, so answers count as a thousand times earlier."""
-    f = _facts(spark, d)
-    answers = extract.events(f, compat_ids=False).filter("type = 'dns_response' and attr_rcode_num = 0").select(F.col("attr_qname").alias("name"), F.lit("fd01::1").alias("address"), (F.col("time_ms") / 1000).alias("time_ms"))
+    f = _model(spark, d)
+    answers = extract.events(f, compat_ids=False, types=("dns_response",)).filter("attr_rcode_num = 0").select(F.col("attr_qname").alias("name"), F.lit("fd01::1").alias("address"), (F.col("time_ms") / 1000).alias("time_ms"))
     return audit.name_pivot(answers, extract.conversations(f))
 
 
@@ -359,7 +370,7 @@ UNION ALL SELECT 'an HTTP response has a request', frame FROM answers WHERE requ
 UNION ALL SELECT 'an anomaly has a detail', frame FROM t WHERE kind = 'zero_window' AND detail IS NULL""")
 def gt_invariants(spark, d):
     """Every rule over the labelled frames; those that the labels break by design give rows."""
-    return truth.violations(_truth(spark, d).persist())
+    return truth.violations(written(_truth(spark, d), "truth"))
 
 
 @query(T_ + """, z AS (SELECT conv, list_sort(list(frame)) AS frames FROM t WHERE kind = 'zero_window' GROUP BY conv),

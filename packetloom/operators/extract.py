@@ -1,22 +1,24 @@
 """From dissected rows to frames, events, conversations and streams.
 
-facts() types each row once; all else is built on it. A capture is one value of capture_id, so
-many captures go through one plan. The order of a capture is its frame number."""
+facts() types each row once; all else is built on it. prepared() writes the facts with what their
+flow and capture give each row (endpoints, direction, start, types of its events), so that the
+tables below are one pass each over it; they take bare facts as well. A capture is one value of
+capture_id, so many captures go through one plan. The order of a capture is its frame number."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import ms
+from packetloom.operators import ordered
 from packetloom.registry import EVENT_TYPES
 from packetloom.schema import CONVERSATIONS, DISSECTED, EVENTS, FRAMES, STREAMS, column_of
+from packetloom.stage import dropped, written
 
 FLOW = ["capture_id", "transport", "stream_id"]
 FLAGS = ["retransmission", "fast_retransmission", "spurious_retransmission", "out_of_order", "duplicate_ack", "zero_window", "lost_segment"]
 STREAM_FRAMES = 50
-#: Frames of a capture for each range of time in which events are numbered.
-NUMBERED = 100_000
 #: Rows that belong to a flow with two endpoints.
 FLOWING = "transport is not null and stream_id is not null and ip_src is not null and ip_dst is not null"
 
@@ -107,11 +109,12 @@ def _from_start(f: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def frames(f: DataFrame) -> DataFrame:
+    """One row a frame."""
     made = {
         "time_ms": _ms("epoch - t0"), "ack_rtt_ms": _ms("ack_rtt"), "analysis": f"array_compact(array({', '.join(f"CASE WHEN {x} THEN '{x}' END" for x in FLAGS)}))",
         "tls_handshake_type": "try_cast(tls_types[0] AS INT)", "http_time_ms": _ms("http_time"),
     }
-    return _shaped(_from_start(f, capture_times(f)), FRAMES, made)
+    return _shaped(f if "t0" in f.columns else _from_start(f, capture_times(f)), FRAMES, made)
 
 
 def endpoints(f: DataFrame) -> DataFrame:
@@ -141,12 +144,31 @@ def endpoints(f: DataFrame) -> DataFrame:
     )
 
 
-def directed(f: DataFrame, ends: DataFrame) -> DataFrame:
+def directed(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Rows of flows with `ahead` (as the first packet went) and `forward` (from the initiator)."""
+    if "forward" in f.columns:
+        return f.filter(FLOWING)
+    return _ways(f.filter(FLOWING).join(endpoints(f) if ends is None else ends, FLOW))
+
+
+def _ways(rows: DataFrame) -> DataFrame:
     src = F.struct(F.col("ip_src").alias("ip"), F.coalesce("src_port", F.lit(0)).alias("port"))
-    out = f.filter(FLOWING).join(ends, FLOW)
-    out = out.withColumn("ahead", (src == F.col("begin")) | (src != F.col("answer")))
-    return out.withColumn("forward", F.col("ahead") != F.col("swap"))
+    rows = rows.withColumn("ahead", (src == F.col("begin")) | (src != F.col("answer")))
+    return rows.withColumn("forward", F.col("ahead") != F.col("swap"))
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """The facts of dissected rows, written, with t0, kinds (the types of a row's events) and,
+    for rows of flows, their endpoints and direction: the source is read once, and wide rows
+    meet their endpoints once."""
+    f = written(facts(rows), "facts")
+    of = F.expr(FLOWING)
+    ends = endpoints(f).withColumnRenamed("capture_id", "__c").withColumnsRenamed({k: f"__{k}" for k in FLOW[1:]})
+    same = of & (F.col("capture_id") == F.col("__c")) & (F.col("transport") == F.col("__transport")) & (F.col("stream_id") == F.col("__stream_id"))
+    out = _ways(f.join(ends, same, "left").drop("__c", "__transport", "__stream_id"))
+    out = written(_from_start(out, capture_times(f)).selectExpr("*", f"{kinds_of_frame()} AS kinds"), "model")
+    dropped(f)
+    return out
 
 
 #: What makes a row an event of a type, in the order of emission; TLS handshakes come where
@@ -190,52 +212,38 @@ def _attribute(name: str) -> str:
 
 
 def gaps(d: DataFrame) -> DataFrame:
-    """For each lost-segment row the highest end of sequence seen before in its direction.
-    Only flows that lost a segment are sorted, and of them only what the sum needs."""
+    """For each lost-segment row the highest end of sequence seen before in its direction: a
+    prefix scan over the flows that lost a segment, of only what the maximum needs."""
     lane = [*FLOW, "ahead"]
-    before = Window.partitionBy(*lane).orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
     base = F.when(F.col("syn"), F.col("tcp_seq_raw") + 1)
     end = F.when(F.col("tcp_len") > 0, F.col("tcp_seq_raw") + F.col("tcp_len"))
     mark = F.when(base.isNotNull() | end.isNotNull(), F.struct(base.alias("base")))
-    slim = d.filter("lossy").select(*lane, "frame_number", "syn", "tcp_seq_raw", "tcp_len", "lost_segment")
-    seen = slim.withColumns({"prior": F.max(end).over(before), "opened": F.first(mark, ignorenulls=True).over(before)})
+    slim = d.filter("lossy").select(*lane, "frame_number", "tcp_seq_raw", "lost_segment", base.alias("base"), end.alias("end"), mark.alias("mark"))
+    seen = ordered.prefix(ordered.laid(slim, lane, ["frame_number"]), lane, prior=("max", F.col("end")), opened=("first", F.col("mark")))
     # a SYN sets the base only where nothing was seen before; its own row sees that base
-    prior = F.greatest("prior", F.when(F.col("opened").isNotNull(), F.col("opened.base")).otherwise(base))
+    prior = F.greatest("prior", F.when(F.col("opened").isNotNull(), F.col("opened.base")).otherwise(F.col("base")))
     return seen.filter("lost_segment").select("capture_id", "frame_number", prior.alias("prior_end"), F.col("tcp_seq_raw").alias("lost_seq"))
 
 
-def _numbered(out: DataFrame, f: DataFrame, times: DataFrame) -> DataFrame:
-    """With `number`, 1.. by (time, frame, emission) within each capture. A capture is cut into
-    ranges of time, of some NUMBERED frames each; events are counted by range, the counts are
-    summed up over the ranges (a row each), and events are numbered inside their range: the
-    numbers of one sort, without a task that sorts a capture."""
-    cuts = F.floor(F.col("packet_count") / NUMBERED) + 1
-    part = F.least(F.floor((F.col("epoch") - F.col("first_epoch")) * F.col("cuts") / F.greatest(F.col("last_epoch") - F.col("first_epoch"), F.lit(1e-6))), F.col("cuts") - 1).cast("bigint")
-    spans = times.select("capture_id", "first_epoch", "last_epoch", cuts.alias("cuts"))
-    held = f.filter(FLOWING).join(spans, "capture_id").groupBy("capture_id", part.alias("range")).agg(F.sum(F.size(F.expr(kinds_of_frame()))).alias("n"))
-    earlier = Window.partitionBy("capture_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select("capture_id", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("capture_id", "range").orderBy("epoch", "frame_number", "transport", "stream_id", "emission")
-    rows = out.join(spans, "capture_id").withColumn("range", part).join(offsets, ["capture_id", "range"])
-    return rows.withColumn("number", F.col("before") + F.row_number().over(inside))
-
-
-def events(f: DataFrame, ends: DataFrame | None = None, compat_ids: bool = True) -> DataFrame:
-    """One row an event, numbered by (time, frame, emission) within each capture. With
-    compat_ids False the id is evt:<frame>.<emission>, which needs no sort at all and orders
-    alike wherever time does."""
-    ends = endpoints(f) if ends is None else ends
-    times = capture_times(f)
+def events(f: DataFrame, ends: DataFrame | None = None, compat_ids: bool = True, types: tuple[str, ...] | None = None) -> DataFrame:
+    """One row an event, numbered by (time, frame, emission) within each capture, in ranges of
+    that order: no task sorts a capture, whatever its times. With compat_ids False the id is
+    evt:<frame>.<emission>, which needs no sort at all and orders alike wherever time does.
+    With types only events of these are made, and their numbers count only them."""
     d = directed(f, ends)
-    lost = gaps(d)
     attrs = [x.name[5:] for x in EVENTS.fields if x.name.startswith("attr_") and x.name not in ("attr_origin", "attr_gap_bytes")]
-    out = d.selectExpr("*", f"posexplode({kinds_of_frame()}) AS (emission, type)")
-    out = _from_start(out, times).selectExpr("capture_id", "transport", "stream_id", "frame_number", "epoch", "t0", "forward", "emission", "type", *(f"{_attribute(a)} AS attr_{a}" for a in attrs))
-    # few rows: only lost-segment events take the window's result
-    out = out.join(lost, ["capture_id", "frame_number"], "left")
-    if compat_ids:
-        out = _numbered(out, f, times)
+    out = d.selectExpr("*", f"posexplode({'kinds' if 'kinds' in d.columns else kinds_of_frame()}) AS (emission, type)")
+    if types is not None:
+        out = out.filter(F.col("type").isin(*types))
+    out = (out if "t0" in out.columns else _from_start(out, capture_times(f))).selectExpr("capture_id", "transport", "stream_id", "frame_number", "epoch", "t0", "forward", "emission", "type", *(f"{_attribute(a)} AS attr_{a}" for a in attrs))
     missing = "type = 'tcp_missing_segment'"
+    if types is None or "tcp_missing_segment" in types:
+        # few rows: only lost-segment events take the scan's result
+        out = out.join(gaps(d), ["capture_id", "frame_number"], "left")
+    else:
+        out = out.selectExpr("*", "CAST(NULL AS BIGINT) AS prior_end", "CAST(NULL AS BIGINT) AS lost_seq")
+    if compat_ids:
+        out = ordered.numbered(out, ["capture_id"], ["epoch", "frame_number", "transport", "stream_id", "emission"])
     made = {
         "event_id": "format_string('evt:%06d', number)" if compat_ids else "format_string('evt:%d.%d', frame_number, emission)",
         "conversation_id": "concat('conv:', transport, ':', stream_id)", "time_ms": _ms("epoch - t0"),
@@ -251,18 +259,23 @@ def conversation_id() -> Column:
     return F.concat(F.lit("conv:"), F.col("transport"), F.lit(":"), F.col("stream_id").cast("string"))
 
 
+#: When a flow begins and ends: its first and last frame, or an event outside of them.
+_E0 = "least(min_by(epoch, frame_number), min(CASE WHEN size(kinds) > 0 THEN epoch END))"
+_E1 = "greatest(max_by(epoch, frame_number), max(CASE WHEN size(kinds) > 0 THEN epoch END))"
+
+
 def conversations(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """One row a flow. What is fixed for a flow is in the grouping key, so the aggregation over
-    all rows is a hash aggregation of plain numbers; medians and distinct streams, which need
-    more, run over the few rows that have samples and are joined by the same key."""
-    ends = endpoints(f) if ends is None else ends
-    d = _from_start(directed(f, ends), capture_times(f)).selectExpr("*", f"{kinds_of_frame()} AS kinds")
+    all rows is a hash aggregation of plain numbers; medians (picked from samples laid in order)
+    and distinct streams run over the few rows that have them and are joined by the same key."""
+    d = directed(f, ends)
+    d = d if "kinds" in d.columns else _from_start(d, capture_times(f)).selectExpr("*", f"{kinds_of_frame()} AS kinds")
     total = lambda cond, c: f"coalesce(sum(CASE WHEN {cond} THEN {c} END), 0L)"
     of = lambda kind: f"coalesce(sum(size(filter(kinds, k -> k = '{kind}'))), 0L)"
     first = lambda cond: f"min_by(epoch, CASE WHEN {cond} THEN frame_number END)"
     payload = "transport = 'tcp' AND tcp_len > 0"
     sums = {
-        "e0": "least(min_by(epoch, frame_number), min(CASE WHEN size(kinds) > 0 THEN epoch END))", "e1": "greatest(max_by(epoch, frame_number), max(CASE WHEN size(kinds) > 0 THEN epoch END))",
+        "e0": _E0, "e1": _E1,
         "packets_forward": "count_if(forward)", "packets_reverse": "count_if(NOT forward)", "bytes_forward": total("forward", "len"), "bytes_reverse": total("NOT forward", "len"),
         "payload_bytes_forward": total(f"forward AND {payload}", "tcp_len"), "payload_bytes_reverse": total(f"NOT forward AND {payload}", "tcp_len"), "tls_app_bytes": total("tls_record_bytes > 0", "tls_record_bytes"),
         "retransmission_count": of("tcp_retransmission"), "missing_segment_count": of("tcp_missing_segment"), "dup_ack_count": of("tcp_dup_ack"), "http_txn_count": of("http_request"),
@@ -272,7 +285,7 @@ def conversations(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
         "http": "bool_or(array_contains(kinds, 'http_request') OR array_contains(kinds, 'http_response'))",
     }
     a = d.groupBy(*FLOW, "begin", "answer", "swap", "direction_basis", "t0", "syn_epoch").agg(*(F.expr(c).alias(n) for n, c in sums.items()))
-    samples = f.filter("ack_rtt >= 0").groupBy(*FLOW).agg(F.median("ack_rtt").alias("rtt_median"))
+    samples = ordered.median(f.filter("ack_rtt >= 0 and transport is not null and stream_id is not null"), FLOW, "ack_rtt", "rtt_median")
     ids = f.filter("quic_streams is not null").selectExpr(*FLOW, "explode(quic_streams) AS sid").groupBy(*FLOW).agg(F.expr(f"count(DISTINCT {_WHOLE})").alias("quic"))
     a = a.join(samples, FLOW, "left").join(ids, FLOW, "left").fillna(0, ["quic"])
     who, other = "(CASE WHEN swap THEN answer ELSE begin END)", "(CASE WHEN swap THEN begin ELSE answer END)"
@@ -287,6 +300,15 @@ def conversations(f: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     return _shaped(a, CONVERSATIONS, made)
 
 
+def spans(f: DataFrame) -> DataFrame:
+    """(capture_id, conversation_id, start_ms, duration_ms) of each flow: a narrow aggregate where
+    nothing else of conversations() is asked for."""
+    d = directed(f)
+    d = d if "kinds" in d.columns else _from_start(d, capture_times(f)).selectExpr("*", f"{kinds_of_frame()} AS kinds")
+    a = d.groupBy(*FLOW, "t0").agg(F.expr(_E0).alias("e0"), F.expr(_E1).alias("e1"))
+    return a.selectExpr("capture_id", "concat('conv:', transport, ':', stream_id) AS conversation_id", f"{_ms('e0 - t0')} AS start_ms", f"{_ms('e1 - e0')} AS duration_ms")
+
+
 #: A stream's number, as text in `sid`.
 _WHOLE = "CASE WHEN abs(try_cast(sid AS DOUBLE)) < 9e18 THEN CAST(try_cast(sid AS DOUBLE) AS BIGINT) END"
 
@@ -294,14 +316,14 @@ _WHOLE = "CASE WHEN abs(try_cast(sid AS DOUBLE)) < 9e18 THEN CAST(try_cast(sid A
 def streams(f: DataFrame) -> DataFrame:
     """One row a multiplexed stream of a flow; each mention in a row counts. The first
     STREAM_FRAMES frames are kept as evidence."""
-    t = _from_start(f.filter(f"quic_streams is not null and {FLOWING}"), capture_times(f))
+    t = f.filter(f"quic_streams is not null and {FLOWING}")
+    t = t if "t0" in f.columns else _from_start(t, capture_times(f))
     each = t.selectExpr("capture_id", "concat('conv:', transport, ':', stream_id) AS conversation_id", "frame_number", "epoch", "t0", "len", "quic_direction", "quic_initiator", "posexplode(quic_streams) AS (pos, sid)")
     each = each.withColumn("sid", F.expr(_WHOLE)).filter("sid is not null")
     begin = F.min(F.struct("frame_number", "pos", "epoch", "quic_direction", "quic_initiator"))
-    # evidence is ranked and cut before it is collected, so a long stream's list stays short
-    rank = F.row_number().over(Window.partitionBy("capture_id", "conversation_id", "sid").orderBy("frame_number", "pos"))
-    kept = each.select("capture_id", "conversation_id", "sid", "frame_number", rank.alias("k")).filter(F.col("k") <= STREAM_FRAMES)
-    lists = kept.groupBy("capture_id", "conversation_id", "sid").agg(F.sort_array(F.collect_list("frame_number")).alias("evidence_frames"))
+    key = ["capture_id", "conversation_id", "sid"]
+    kept = ordered.first(each.select(*key, "frame_number", "pos"), key, ["frame_number", "pos"], STREAM_FRAMES)
+    lists = kept.groupBy(*key).agg(F.sort_array(F.collect_list("frame_number")).alias("evidence_frames"))
     a = each.groupBy("capture_id", "conversation_id", "sid").agg(begin.alias("b"), F.max(F.struct("frame_number", "epoch"))["epoch"].alias("e1"), F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes"), F.first("t0").alias("t0"))
     a = a.join(lists, ["capture_id", "conversation_id", "sid"])
     made = {"stream_id": "sid", "stream_direction": "b.quic_direction", "initiator": "b.quic_initiator", "start_ms": _ms("b.epoch - t0"), "duration_ms": _ms("e1 - b.epoch")}

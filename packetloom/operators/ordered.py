@@ -13,6 +13,8 @@ from packetloom.stage import written
 
 #: Bits that monotonically_increasing_id() leaves for the place inside a partition.
 PLACE = 33
+#: Parts of a group whose first rows are looked for side by side.
+SALTS = 64
 KINDS = ("sum", "min", "max", "first", "last")
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -73,6 +75,15 @@ def prefix(x: DataFrame, keys: list[str], **measures: tuple[str, Column]) -> Dat
     return out.drop("__r", *(f"{k}__k" for k in keys), *(f"__{p}_{n}" for n in measures for p in "bl"))
 
 
+def first(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each group. Each of SALTS parts of a group is cut to k before they
+    meet, so a group of any size reaches its last task as k * SALTS rows at most."""
+    part = F.pmod(F.xxhash64(*(c for c in df.columns if c not in keys)), F.lit(SALTS))
+    inner, outer = Window.partitionBy(*keys, "__part").orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
+    cut = df.withColumn("__part", part).withColumn("__n", F.row_number().over(inner)).filter(F.col("__n") <= k).drop("__n", "__part")
+    return cut.withColumn("__n", F.row_number().over(outer)).filter(F.col("__n") <= k).drop("__n")
+
+
 def median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """(keys, median) of the values that aren't null, exact, the mean of the middle two where
     their number is even: values are laid in order and the middle places picked."""

@@ -35,11 +35,14 @@ def fifo(rows: DataFrame, keys: list[str], order: list[str], is_request: str, is
     return pair.filter("request is not null").drop("__k")
 
 
+HTTP = ("http_request", "http_response")
+
+
 def transactions(ev: DataFrame) -> DataFrame:
     """HTTP transactions of each conversation; orphan responses are skipped. resp_time_ms is the
     measured time where there is one, else the difference. Order is that of emission."""
     # in one frame the request is emitted before the response
-    http = ev.filter(F.col("type").isin("http_request", "http_response")).withColumn("__emitted", F.col("type") == "http_response")
+    http = ev.filter(F.col("type").isin(*HTTP)).withColumn("__emitted", F.col("type") == "http_response")
     p = fifo(http, ["capture_id", "conversation_id"], ["time_ms", "frame_number", "__emitted"], "type = 'http_request'", "type = 'http_response'")
     q, r = F.col("request"), F.col("response")
     return p.select(

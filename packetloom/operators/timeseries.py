@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.operators import ordered
+
 MAX_BINS = 500
 METRICS = ("bytes", "packets", "window", "rtt", "tls_bytes")
 
@@ -32,8 +34,10 @@ def binned(rows: DataFrame, spans: DataFrame, keys: list[str], value: Column, ho
     wide = spans.select(*keys, F.coalesce("start_ms", F.lit(0.0)).alias("__start"), widened(took, bin_ms).alias("bin_ms"), took.alias("__took"))
     wide = wide.withColumn("__n", F.greatest(F.lit(1), F.ceil(F.col("__took") / F.col("bin_ms")) + 1).cast("bigint"))
     spot = F.least(F.greatest(F.floor((F.col("time_ms") - F.col("__start")) / F.col("bin_ms")), F.lit(0)), F.col("__n") - 1).cast("bigint")
-    fold = (lambda c: F.sum(c)) if how == "sum" else (lambda c: F.round(F.median(c), 3))
     held = rows.select(*keys, "time_ms", "forward", value.cast("double").alias("__v")).join(wide, keys).select(*keys, spot.alias("__bin"), "forward", "__v")
+    if how == "median":
+        held = ordered.median(held, [*keys, "__bin", "forward"], "__v", "__m").select(*keys, "__bin", "forward", F.round("__m", 3).alias("__v"))
+    fold = F.sum if how == "sum" else F.max  # of one median
     held = held.groupBy(*keys, "__bin").agg(fold(F.when(F.col("forward"), F.col("__v"))).alias("forward"), fold(F.when(~F.col("forward"), F.col("__v"))).alias("reverse"))
     out = wide.select(*keys, "bin_ms", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__bin")).join(held, [*keys, "__bin"], "left")
     return out.select(*keys, "bin_ms", (F.col("__bin") * F.col("bin_ms")).alias("t_start_ms"), "forward", "reverse")

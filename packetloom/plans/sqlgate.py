@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetloom.operators.ordered import nearest
 
 DEFAULT_ROWS, MAX_ROWS, TIMEOUT_S = 100, 500, 30.0
 #: Functions that reach outside the views or run code.
 FORBIDDEN = {
-    "java_method", "reflect", "try_reflect", "read_files", "input_file_name", "input_file_block_start", "input_file_block_length", "from_avro",
-    "read_csv", "read_csv_auto", "read_json", "read_json_auto", "read_parquet", "parquet_scan", "read_text", "read_blob", "glob", "sqlite_scan",
-    "postgres_scan", "mysql_scan", "assert_true", "raise_error",
+    "java_method", "reflect", "try_reflect", "read_files", "input_file_name", "input_file_block_start", "input_file_block_length", "from_avro", "assert_true", "raise_error",
 }
 #: Spellings of another dialect, defined as SQL functions where an expression suffices.
 ALIASES = {
@@ -104,34 +106,13 @@ def _qualify(sql: str) -> str:
     return sql
 
 
-_ASOF = re.compile(r"\basof\s+(left\s+)?join\s+((?:\w+|\([^()]*(?:\([^()]*\)[^()]*)*\)))(?:\s+(?:as\s+)?(?!on\b)(\w+))?\s+on\s+", re.I)
-_LATER = re.compile(r"^\s*(\w+)\.(\w+)\s*(>=|>|<=|<)\s*(\w+)\.(\w+)\s*$")
-
-
-def _asof(sql: str) -> str:
-    """a ASOF JOIN b ON a.k = b.k AND a.t >= b.t: of b's rows that fit, the nearest in time, as
-    a lateral subquery that keeps one."""
-    while m := _ASOF.search(sql):
-        stop = _at_level(sql, r"\bwhere\b|\bgroup\b|\border\b|\blimit\b|\bhaving\b|\bjoin\b|\bleft\b|\binner\b|\bqualify\b|\basof\b", m.end(), _level(sql, m.end()))
-        table, name = m[2], m[3] or m[2]
-        conds = [c.strip() for c in re.split(r"\band\b", sql[m.end() : stop], flags=re.I)]
-        ranges = [x for c in conds if (x := _LATER.match(c))]
-        if len(ranges) != 1:
-            raise SqlError("ASOF JOIN needs exactly one inequality between columns of both tables")
-        r = ranges[0]
-        mine, falling = (f"{r[4]}.{r[5]}", r[3][0] == ">") if r[4].lower() == name.lower() else (f"{r[1]}.{r[2]}", r[3][0] == "<")
-        kept = f"(SELECT * FROM {table} AS {name} WHERE {' AND '.join(conds)} ORDER BY {mine} {'DESC' if falling else 'ASC'} LIMIT 1) AS {name}"
-        sql = f"{sql[: m.start()]}{'LEFT JOIN' if m[1] else 'JOIN'} LATERAL {kept} ON true {sql[stop:]}"
-    return sql
-
-
 def _floor_division(sql: str) -> str:
     return re.sub(r"//", " div ", sql)
 
 
 def prepare(sql: str) -> str:
     """Without comments and the last semicolon, with known spellings of another dialect in
-    Spark's: renamed functions, a // b, QUALIFY, ASOF JOIN, UNION BY NAME, USING SAMPLE n."""
+    Spark's: renamed functions, a // b, QUALIFY, * EXCLUDE c, USING SAMPLE n."""
     text, kept = _hidden(sql)
     text = text.strip().removesuffix(";").strip()
     if not text:
@@ -140,11 +121,9 @@ def prepare(sql: str) -> str:
         raise SqlError("multiple statements are not allowed")
     names = re.compile(r"\b(" + "|".join(RENAMED) + r")(?=\s*\()", re.I)
     text = names.sub(lambda m: RENAMED[m[1].lower()], text)
-    text = re.sub(r"\bunion\s+(all\s+)?by\s+name\b", lambda m: f"UNION {m[1] or ''}__BY_NAME__", text, flags=re.I)
-    if "__BY_NAME__" in text:
-        raise SqlError("UNION BY NAME is not supported: list the columns of both sides in one order")
+    text = re.sub(r"(\*\s*)exclude\s+(\w+)", r"\1EXCEPT (\2)", text, flags=re.I)
     text = re.sub(r"\busing\s+sample\s+(\d+(?:\.\d+)?)\s*(%|rows)?", lambda m: f"TABLESAMPLE ({m[1]} {'PERCENT' if m[2] == '%' else 'ROWS'})", text, flags=re.I)
-    return _shown(_qualify(_asof(_floor_division(text))), kept)
+    return _shown(_qualify(_floor_division(text)), kept)
 
 
 def _nodes(plan):
@@ -181,7 +160,7 @@ def check(spark: SparkSession, sql: str, tables: set[str]) -> str:
     allowed, found = {t.lower() for t in tables}, []
     for node in _nodes(plan):
         kind = node.getClass().getSimpleName()
-        if re.search(r"Command|^Create|^Drop|^Insert|^Alter|^Set|^Cache|^Uncache|^Refresh|^Describe|^Show|^Truncate|^Delete|^Update|^Merge|^Load|^Analyze|^Use|^Add|^Repair|^Call|^Exec|^Comment|^Declare|^Overwrite|^Append|ScriptTransformation|ScriptInput|CompoundBody", kind) and not kind.startswith("SetOperation"):
+        if re.search(r"Command|^Create|^Drop|^Insert|^Alter|^Set|^Cache|^Uncache|^Refresh|^Describe|^Show|^Truncate|^Delete|^Update|^Merge|^Load|^Analyze|^Use|^Add|^Repair|^Call|^Exec|^Comment|^Declare|^Overwrite|^Append|ScriptTransformation|ScriptInput|CompoundBody", kind) and not kind.startswith("SetOperation") and ".catalyst.expressions." not in node.getClass().getName():
             raise SqlError("only SELECT statements are allowed")
         if kind == "UnresolvedRelation":
             parts = node.multipartIdentifier()
@@ -210,9 +189,172 @@ def register_aliases(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
 
+def own_session(spark: SparkSession, tables: dict[str, DataFrame]) -> SparkSession:
+    """A session that has these tables as views (and the aliases), so no name of the caller's
+    session is touched."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.get(key, None) != value and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for name, df in tables.items():
+        _view(own, df, name)
+    register_aliases(own)
+    return own
+
+
+def _view(spark: SparkSession, df: DataFrame, name: str) -> None:
+    """df as a temporary view of this session, wherever it was made."""
+    if df.sparkSession is spark:
+        df.createOrReplaceTempView(name)
+        return
+    shared = f"packetloom_{uuid.uuid4().hex}"
+    df.createOrReplaceGlobalTempView(shared)
+    spark.table(f"global_temp.{shared}").createOrReplaceTempView(name)
+
+
+# --- what needs the columns of its operands: they are planned first, by the analyser ---
+
+_ASOF = r"\basof\s+(?:(left|inner)\s+)?(?:outer\s+)?join\b"
+_CLAUSE = r"\b(?:where|group\s+by|having|order\s+by|limit|offset|qualify|window|union|except(?!\s*\()|intersect)\b"
+_RELATION = _CLAUSE + r"|\b(?:asof|left|right|full|inner|cross|natural|join|lateral)\b"
+
+
+def _ctes(sql: str, at: int) -> str:
+    """The WITH clause that the place `at` sees: all of the statement's if it lies behind them,
+    those before its own if it lies inside one."""
+    m = re.match(r"\s*with\b", sql, re.I)
+    if not m:
+        return ""
+    body = _at_level(sql, r"\bselect\b", m.end(), len(sql))
+    if at >= body:
+        return sql[:body]
+    start = stop = m.end()
+    while stop < at:
+        start, stop = stop, _at_level(sql, ",", stop + 1, body)
+    return sql[:start] if start > m.end() else ""
+
+
+def _opening(sql: str, at: int) -> int:
+    """Where the query expression that holds `at` begins: behind its bracket, or behind WITH."""
+    depth = 0
+    for m in reversed(list(re.finditer(r"[()]", sql[:at]))):
+        depth += 1 if m[0] == ")" else -1
+        if depth < 0:
+            return m.end()
+    return len(_ctes(sql, at))
+
+
+def _by_name(spark: SparkSession, sql: str, columns) -> str:
+    """a UNION [ALL] BY NAME b: both sides list the columns of both, in the first one's order
+    and then the second's, with nulls for those they lack."""
+    while m := re.search(r"\bunion\s+(all\s+)?by\s+name\b", sql, re.I):
+        begin, end = _opening(sql, m.start()), _level(sql, m.end())
+        stop = _at_level(sql, r"\bunion\b|\bexcept\b(?!\s*\()|\bintersect\b|\border\s+by\b|\blimit\b", m.end(), end)
+        sides, seen = [sql[begin : m.start()], sql[m.end() : stop]], _ctes(sql, m.start())
+        have = [columns(seen + side) for side in sides]
+        names = {c.lower(): c for c in [*have[1], *have[0]]}
+        order = list(dict.fromkeys(c.lower() for h in have for c in h))
+        for i, h in enumerate(have):
+            if len({c.lower() for c in h}) < len(h):
+                raise SqlError("UNION BY NAME needs different column names on each side")
+            own = {c.lower(): c for c in h}
+            sides[i] = f"SELECT {', '.join(f'`{own[c]}` AS `{names[c]}`' if c in own else f'NULL AS `{names[c]}`' for c in order)} FROM ({sides[i].strip()})"
+        sql = f"{sql[:begin]} {sides[0]} UNION {m[1] or ''}{sides[1]} {sql[stop:]}"
+    return sql
+
+
+def _relations(spark: SparkSession, chain: str) -> list[str]:
+    """The names by which a chain of joined relations is known, from its parsed plan."""
+    todo, out = [spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM {chain}").children().apply(0)], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "SubqueryAlias":
+            out.append(node.identifier().name())
+        elif kind == "UnresolvedRelation":
+            out.append(node.multipartIdentifier().last())
+        elif kind in ("Join", "LateralJoin", "UnresolvedSubqueryColumnAliases"):
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        else:
+            raise SqlError("ASOF JOIN takes tables, subqueries with a name, and joins of them")
+    return out[::-1]
+
+
+def _asof(spark: SparkSession, sql: str, planned, kept: list[str]) -> str:
+    """a ASOF [LEFT] JOIN b ON a.k = b.k AND a.t >= b.t (or USING (k, t)): both sides are planned,
+    their rows meet in one sort, in ranges, and each left row takes the nearest right one
+    (operators.ordered.nearest). The statement reads the result under the same names."""
+    while m := re.search(_ASOF, sql, re.I):
+        begin = _select_of(sql, m.start())
+        source = _at_level(sql, r"\bfrom\b", begin, m.start()) + 4
+        end = _level(sql, m.end())
+        on = _at_level(sql, r"\bon\b|\busing\b", m.end(), end)
+        using = sql[on : on + 5].lower() == "using"
+        stop = _at_level(sql, _RELATION, on + (5 if using else 2), end)
+        chain, right, seen = sql[source : m.start()].strip(), sql[m.end() : on].strip(), _ctes(sql, m.start())
+        show = lambda x: _shown(x, kept)
+        lefts, (name,) = _relations(spark, show(chain)), _relations(spark, show(right))
+        if using:
+            cols = [c.strip() for c in sql[on + 5 : stop].strip().strip("()").split(",")]
+            pairs, rank = [(f"{lefts[0]}.{c}", f"{name}.{c}") for c in cols], ">="
+        else:
+            pairs, order = [], []
+            for cond in re.split(r"\band\b", sql[on + 2 : stop], flags=re.I):
+                x = re.match(r"^\s*([\w.]+)\s*(=|>=|>|<=|<)\s*([\w.]+)\s*$", cond)
+                mine = x and x[3].lower().startswith(name.lower() + ".")
+                if not x or mine == x[1].lower().startswith(name.lower() + "."):
+                    raise SqlError("ASOF JOIN compares columns of both sides by name")
+                sign = x[2] if mine else x[2].translate(str.maketrans("<>", "><"))
+                (pairs if sign == "=" else order).append((x[1], x[3]) if mine else (x[3], x[1]))
+                rank = sign if sign != "=" else locals().get("rank")
+            if len(order) != 1:
+                raise SqlError("ASOF JOIN needs exactly one inequality between columns of both tables")
+            pairs += order
+        *keys, (left_at, right_at) = pairs
+        keyed = lambda k: "".join(f", {p[k]} AS __k{i}" for i, p in enumerate(keys))
+        whole = lambda names: ", ".join(f"struct({n}.*) AS `{n}`" for n in names)
+        a = planned(show(f"{seen}SELECT {whole(lefts)}{keyed(0)}, {left_at} AS __t FROM {chain}"))
+        b = planned(show(f"{seen}SELECT {whole([name])}{keyed(1)}, {right_at} AS __t FROM {right}"))
+        ks = [f"__k{i}" for i in range(len(keys))]
+        got = nearest(a, b, ks, "__t", rank[0] == ">", len(rank) == 1)
+        got = got.select(*(F.col(f"`{n}`") for n in lefts), F.col(f"match.`{name}`").alias(name))
+        if (m[1] or "").lower() != "left":
+            got = got.filter(F.col(f"`{name}`").isNotNull())
+        view = f"__asof_{uuid.uuid4().hex[:12]}"
+        parts = [*lefts, name]
+        _view(spark, got.toDF(*(f"{view}_{i}" for i in range(len(parts)))), view)
+        back = " ".join(
+            f"JOIN LATERAL (SELECT {', '.join(f'{view}.{view}_{i}.`{f.name}` AS `{f.name}`' for f in got.schema[n].dataType.fields)}) AS {n}" for i, n in enumerate(parts)
+        )
+        hidden = ", ".join(f"{view}_{i}" for i in range(len(parts)))
+        head = re.sub(r"(?<![\w.)]\s)(?<![\w.)])\*(?!\s*except)", f"* EXCEPT ({hidden})", sql[begin:source], flags=re.I)
+        head = re.sub(r"(?<![.\w])\*(\s*)except\s*\((?!__asof_)", rf"*\1EXCEPT ({hidden}, ", head, flags=re.I)
+        sql = f"{sql[:begin]}{head} {view} {back} {sql[stop:]}"
+    return sql
+
+
+def rewritten(spark: SparkSession, sql: str, tables: set[str]) -> tuple[str, set[str]]:
+    """The statement without ASOF JOIN and UNION BY NAME, and the tables that it may read: those
+    and what their operands became."""
+
+    def planned(part: str) -> DataFrame:
+        return plan(spark, part, allowed)
+
+    text, kept = _hidden(sql)
+    allowed = set(tables)
+    if re.search(_ASOF, text, re.I):
+        text = _asof(spark, text, planned, kept)
+        allowed |= set(re.findall(r"\b__asof_[0-9a-f]{12}\b", text))
+    if re.search(r"\bby\s+name\b", text, re.I):
+        text = _by_name(spark, text, lambda part: planned(_shown(part, kept)).columns)
+    return _shown(text, kept), allowed
+
+
 def plan(spark: SparkSession, sql: str, tables: set[str]) -> DataFrame:
-    """The checked statement as a DataFrame, without a row budget."""
-    return spark.sql(check(spark, sql, tables))
+    """The checked statement as a DataFrame, without a row budget. The operands of an ASOF JOIN
+    are checked and sorted here."""
+    text, allowed = rewritten(spark, sql, tables)
+    return spark.sql(check(spark, text, allowed))
 
 
 def run(spark: SparkSession, sql: str, tables: set[str], limit: int | None = None, timeout_s: float = TIMEOUT_S) -> dict:
@@ -221,8 +363,7 @@ def run(spark: SparkSession, sql: str, tables: set[str], limit: int | None = Non
     n = DEFAULT_ROWS if limit is None else limit
     if not isinstance(n, int) or isinstance(n, bool) or not 1 <= n <= MAX_ROWS:
         raise SqlError(f"limit must be an integer in [1, {MAX_ROWS}]")
-    text = check(spark, sql, tables)
-    tag = f"packetloom-sql-{threading.get_ident()}-{id(text)}"
+    tag = f"packetloom-sql-{threading.get_ident()}-{id(sql)}"
     late = threading.Event()
 
     def stop():
@@ -233,8 +374,10 @@ def run(spark: SparkSession, sql: str, tables: set[str], limit: int | None = Non
     spark.addTag(tag)
     timer.start()
     try:
-        df = spark.sql(text)
+        df = plan(spark, sql, tables)
         rows = df.limit(n + 1).collect()
+    except SqlError:
+        raise
     except Exception as e:
         if late.is_set():
             raise SqlError(f"query exceeded {timeout_s:g} s and was cancelled") from None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom import model_queries
-from packetloom.operators import index, pairing, timeseries
+from packetloom.operators import index, ordered, pairing, timeseries
 from packetloom.plans import dsl, rawfilter
 from packetloom.schema import DISSECTED, column_of
 from packetloom.sources import tables as b
@@ -105,8 +105,8 @@ for _name, _q, _sql in (
 
 
 def _ordered(spark, d, *order):
-    """Every row with its place. Places over a whole table are given in one task."""
-    return b.events(spark, d).select("event_id", "nvalue", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    """Every row with its place, given in ranges of the order."""
+    return ordered.numbered(b.events(spark, d).select("event_id", "nvalue"), [], list(order), "place")
 
 
 @query(E_ + "SELECT event_id, nvalue, row_number() OVER (ORDER BY nvalue ASC NULLS LAST, event_id) AS place FROM b_events")
@@ -260,10 +260,11 @@ def join_theta(spark, d):
 
 @query(E_ + """SELECT p.frame_number, v.frame_number AS view_frame FROM (SELECT * FROM b_events WHERE type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM b_events WHERE type = 'view') v ON p.conversation_id = v.conversation_id AND p.time_ms >= v.time_ms""")
 def asof_join(spark, d):
-    """The last view at or before each purchase: one sort of both sides, no range join."""
-    w = Window.partitionBy("conversation_id").orderBy("time_ms")
-    e = b.events(spark, d).filter("type IN ('purchase', 'view')")
-    return e.withColumn("view_frame", F.last(F.when(col("type") == "view", col("frame_number")), ignorenulls=True).over(w)).filter("type = 'purchase'").select("frame_number", "view_frame")
+    """The last view at or before each purchase: both sides meet in one sort, in ranges."""
+    e = b.events(spark, d)
+    views = e.filter("type = 'view'").select("conversation_id", "time_ms", col("frame_number").alias("view_frame"))
+    out = ordered.nearest(e.filter("type = 'purchase'").select("conversation_id", "time_ms", "frame_number"), views, ["conversation_id"], "time_ms")
+    return out.select("frame_number", "match.view_frame")
 
 
 @query("SELECT page_id, part FROM pages, LATERAL (SELECT unnest(string_split(url, '/')) AS part) WHERE part <> ''")

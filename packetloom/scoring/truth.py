@@ -7,9 +7,10 @@ import os
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.ordered import laid, prefix
 from packetloom.scoring.score import key_of
 
 FRAME = (
@@ -34,36 +35,39 @@ def conversations(frames: DataFrame) -> DataFrame:
 
 
 def handshakes(frames: DataFrame) -> DataFrame:
-    """SYN, then the first SYN-ACK after it, then the first ACK after that, of each flow."""
-    key = Window.partitionBy("conv")
-    at = lambda kind, after: F.min(F.when((F.col("kind") == kind) & (F.col("frame") > after), F.struct("frame", "t_ms"))).over(key)
-    d = frames.filter("kind in ('syn', 'synack', 'ack')").withColumn("a", at("syn", F.lit(0)))
-    d = d.withColumn("b", at("synack", F.col("a.frame")))
-    d = d.withColumn("c", at("ack", F.col("b.frame"))).filter("c is not null").dropDuplicates(["conv"])
-    return d.select("conv", F.col("a.frame").alias("syn_frame"), F.col("b.frame").alias("synack_frame"), F.col("c.frame").alias("ack_frame"), F.round(F.col("c.t_ms") - F.col("a.t_ms"), 3).alias("handshake_ms"))
+    """SYN, then the first SYN-ACK after it, then the first ACK after that, of each flow: three
+    aggregations, each over what comes after the one before."""
+    d = frames.filter("kind in ('syn', 'synack', 'ack') and conv is not null").select("conv", "kind", F.struct("frame", "t_ms").alias("at"))
+    found = d.filter("kind = 'syn'").groupBy("conv").agg(F.min("at").alias("a"))
+    for kind, before, name in (("synack", "a", "b"), ("ack", "b", "c")):
+        later = d.filter(F.col("kind") == kind).join(found, "conv").filter(F.col("at.frame") > F.col(f"{before}.frame"))
+        found = later.groupBy(*found.columns).agg(F.min("at").alias(name))
+    return found.select("conv", F.col("a.frame").alias("syn_frame"), F.col("b.frame").alias("synack_frame"), F.col("c.frame").alias("ack_frame"), F.round(F.col("c.t_ms") - F.col("a.t_ms"), 3).alias("handshake_ms"))
 
 
 def dns(frames: DataFrame) -> DataFrame:
-    """Each response with the latest earlier query of its flow and name."""
-    w = Window.partitionBy("conv", "qname").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    q = F.last(F.when(F.col("kind") == "dns_query", F.col("frame")), ignorenulls=True).over(w)
-    return frames.filter("kind in ('dns_query', 'dns_response')").withColumn("query_frame", q).filter("kind = 'dns_response' and query_frame is not null").select("query_frame", F.col("frame").alias("response_frame"), "qname", "rcode", "ttl")
+    """Each response with the latest earlier query of its flow and name; null names are one."""
+    key = ["conv", "qname"]
+    rows = frames.filter("kind in ('dns_query', 'dns_response')").select(*key, "frame", "kind", "rcode", "ttl")
+    seen = prefix(laid(rows, key, ["frame"]), key, query_frame=("last", F.when(F.col("kind") == "dns_query", F.col("frame"))))
+    return seen.filter("kind = 'dns_response' and query_frame is not null").select("query_frame", F.col("frame").alias("response_frame"), "qname", "rcode", "ttl")
 
 
 def http(frames: DataFrame) -> DataFrame:
     """Responses (one or more frames) attach to the latest request of their flow."""
-    w = Window.partitionBy("conv").orderBy("frame")
-    d = frames.filter("kind in ('http_request', 'http_response')").withColumn("req", F.last(F.when(F.col("kind") == "http_request", F.struct("frame", "method", "host", "uri")), ignorenulls=True).over(w))
-    g = d.filter("kind = 'http_response' and req is not null").groupBy("conv", "req").agg(F.sort_array(F.collect_list("frame")).alias("response_frames"), F.first("status").alias("status"))
+    rows = frames.filter("kind in ('http_request', 'http_response')").select("conv", "frame", "kind", "status", F.when(F.col("kind") == "http_request", F.struct("frame", "method", "host", "uri")).alias("ask"))
+    d = prefix(laid(rows, ["conv"], ["frame"]), ["conv"], req=("last", F.col("ask")))
+    g = d.filter("kind = 'http_response' and req is not null").groupBy("conv", "req").agg(F.sort_array(F.collect_list("frame")).alias("response_frames"), F.min_by("status", "frame").alias("status"))
     return g.select(F.col("req.frame").alias("request_frame"), F.col("response_frames")[0].alias("response_frame"), "response_frames", "req.method", "req.host", "req.uri", "status")
 
 
 def retransmissions(frames: DataFrame) -> DataFrame:
     """Labelled repeats, with the way they go: from the flow's first sender or back."""
-    first = Window.partitionBy("conv").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sender = F.first(F.struct("src", "sport")).over(first)
-    d = frames.filter("conv is not null").withColumn("out", F.struct("src", "sport") == sender).filter("kind = 'retransmission'")
-    return d.select("frame", "conv", "of_frame", F.when(F.col("out"), "c2s").otherwise("s2c").alias("direction"))
+    flows = frames.filter("conv is not null")
+    first = flows.groupBy("conv").agg(F.min(F.struct("frame", "src", "sport")).alias("f"))
+    d = flows.filter("kind = 'retransmission'").join(first, "conv")
+    out = F.col("src").eqNullSafe(F.col("f.src")) & F.col("sport").eqNullSafe(F.col("f.sport"))
+    return d.select("frame", "conv", "of_frame", F.when(out, "c2s").otherwise("s2c").alias("direction"))
 
 
 def anomalies(frames: DataFrame) -> DataFrame:

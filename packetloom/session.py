@@ -20,6 +20,7 @@ from packetloom.functions import render
 from packetloom.operators import extract, index, pairing, timeseries
 from packetloom.plans import dsl, rawfilter, sqlgate
 from packetloom.schema import CATALOG, column_notes
+from packetloom.stage import dropped, written
 
 EVIDENCE_FRAMES, LISTED_FRAMES, TIMELINE, TIMELINE_MOST = 200, 100, 200, 500
 TRANSACTIONS = 500
@@ -70,8 +71,8 @@ def listed(frames: DataFrame, col: str = "frame_number", most: int = LISTED_FRAM
 
 class Session:
     """rows: dissected rows of one capture. Tables are planned when first asked for. With a
-    folder (Config.tables) they are written there as Parquet, once for each version, and read
-    back; without one they are persisted in memory and on disk."""
+    folder (Config.tables) they are kept there, once for each version; without one they are
+    written to the shared folder until the session is closed."""
 
     def __init__(self, rows: DataFrame, capture_id: str = "cap", path: str | None = None, backend: str = "native", config: Config | None = None, backend_version: str = __version__):
         self.rows, self.capture_id, self.path, self.backend = rows, capture_id, path, {"name": backend, "version": backend_version}
@@ -81,16 +82,9 @@ class Session:
         if self.config.tables:
             self.materialize(self.config.tables)
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        return df if self.config.tables else df.persist()
-
     @cached_property
     def facts(self) -> DataFrame:
-        return self._kept(extract.facts(self.rows))
-
-    @cached_property
-    def ends(self) -> DataFrame:
-        return extract.endpoints(self.facts)
+        return extract.prepared(self.rows)
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -98,11 +92,11 @@ class Session:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self._kept(extract.events(self.facts, self.ends))
+        return written(extract.events(self.facts), "events")
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return self._kept(extract.conversations(self.facts, self.ends))
+        return written(extract.conversations(self.facts), "conversations")
 
     @cached_property
     def streams(self) -> DataFrame:
@@ -138,7 +132,7 @@ class Session:
     def close(self) -> None:
         for name in ("facts", "events", "conversations"):
             if name in self.__dict__:
-                self.__dict__[name].unpersist()
+                dropped(self.__dict__[name])
 
     # --- macros ---
 
@@ -203,7 +197,7 @@ class Session:
         conv = self._conversation(cid)
         if not 10 <= bin_ms <= 5000:
             raise ValueError("bin_ms must be in [10, 5000]")
-        d = extract.directed(extract.of_conversation(self.facts, cid), self.ends).join(extract.capture_times(self.facts).select("capture_id", F.col("first_epoch").alias("t0")), "capture_id")
+        d = extract.directed(extract.of_conversation(self.facts, cid))
         bins, width = timeseries.series(d.withColumn("time_ms", F.round((F.col("epoch") - F.col("t0")) * 1000, 3)), metric, conv["start_ms"], conv["duration_ms"], bin_ms)
         rows = [r.asDict() for r in bins.collect()]
         return {"conversation_id": cid, "metric": metric, "requested_bin_ms": bin_ms, "bin_ms": width, "bins_count": len(rows), "sampled": width > bin_ms, "bins": rows, "audit": self.audit()}
