@@ -20,6 +20,8 @@ from packetloom.llm.common import discard, materialize, ship, slices, tidy
 POSITIVES, UNLABELLED = 3000, 9000
 SLOTS, FEATURES, LEAST = 1 << 20, 4096, 20.0
 PREFIXES = (3, 4, 5, 6)
+#: Where a prior taken from labels is held: below a half, a text without evidence isn't toxic.
+PRIOR = (1e-3, 0.45)
 #: Words whose slots a scoring task remembers; a full memo is emptied.
 WORDS = 60_000
 #: A text of this many words counts its evidence about 0.7 times.
@@ -140,8 +142,9 @@ def fit(slots: np.ndarray, pos: list[np.ndarray], unl: list[np.ndarray], pos_wor
     """Minimise prior * Rp(+) + max(0, Ru(-) - prior * Rp(-)) with logistic loss (Adam, full
     batch; see risk()). pos and unl hold, for each text, the places in `slots` that it sets.
     Without positives: prior as score. The sum of weights is scaled by the number of words,
-    here as in score()."""
-    prior = min(max(prior, 1e-3), 0.45)  # a text without evidence is never called toxic
+    here as in score(). A prior outside (0, 1) is a ValueError."""
+    if not 0 < prior < 1:
+        raise ValueError(f"a class prior lies between 0 and 1, not at {prior}")
     if not pos or not unl:
         return Model(np.zeros(0, int), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
     p, u = _sparse(pos), _sparse(unl)
@@ -207,22 +210,28 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
     """A model from docs (doc_id, text) and labels (doc_id, toxic).
 
     Labels of held-out rows, null labels and label 0 are never looked at as examples. The
-    class prior is the caller's; without one, the share of 1 among all labelled rows that
-    aren't held out. The sample has the POSITIVES and UNLABELLED documents with the smallest
-    hashes of doc_id; what reaches the driver of it is at most FEATURES places of two bytes
-    each, below 100 MB in any case. A repeated label counts once as an example; a document with
-    contradictory labels is a positive. Rows that repeat a sampled doc_id are all examples.
-    Null ids are never examples. Without positives, or without documents, every score is the
-    prior."""
+    class prior is the caller's, whatever it is (from 0.5 on, texts without evidence may count as
+    toxic); without one, the share of 1 among all labelled rows that aren't held out, within
+    PRIOR. The sample has the POSITIVES and UNLABELLED documents with the smallest hashes of
+    doc_id; what reaches the driver of it is at most FEATURES places of two bytes each, below
+    100 MB in any case. A repeated label counts once as an example; a document with
+    contradictory labels is a positive. Of rows that share a sampled doc_id one is the example,
+    that with the smallest hash of its text, so their number doesn't matter. Null ids are never
+    examples. Without positives, or without documents, every score is the prior."""
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     if prior is None:
-        prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
+        share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
+        prior = min(max(share, PRIOR[0]), PRIOR[1])
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     pos = known.filter("toxic = 1").join(ids, "doc_id", "left_semi").select("doc_id").distinct().orderBy(*order).limit(POSITIVES).withColumn("positive", F.lit(True))
     unl = ids.distinct().orderBy(*order).limit(UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(pos.unionByName(unl))  # at most POSITIVES + UNLABELLED ids
-    rows = _features(docs.select("doc_id", "text").join(chosen, "doc_id"))
+    ids = F.broadcast(pos.unionByName(unl).select("doc_id").distinct())
+    # rows of one id meet as one row a task
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))["text"]
+    texts = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(one.alias("text"))
+    rows = _features(texts.join(chosen, "doc_id"))
     sizes = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         discard(rows)
