@@ -9,8 +9,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.operators import audit, extract, index, pairing, timeseries
-from packetloom.plans import dsl, rawfilter, sqlgate
+from packetloom.operators import audit, extract, index, pairing, reassembly, timeseries
+from packetloom.plans import dsl, rawfilter, sqlgate, suggest
 from packetloom.schema import CATALOG, CONVERSATIONS, EVENTS, FRAMES, STREAMS, TRANSACTIONS
 from packetloom.scoring import relational, report, truth
 from packetloom.session import frame_info, frames_of, missing_of
@@ -180,6 +180,52 @@ for _metric, _value, _fold in (
     SQL[f"timeseries_{_metric}"] = M_.rstrip() + _SERIES.format(value=_value, fold=_fold)
 
 
+# --- byte streams from segments ---
+
+#: Documents' texts are streams: cut into overlapping segments that arrive in another order,
+#: some of them twice, with sequence numbers that wrap round.
+_CUT, _OVER, _WRAPS = 150, 20, 4294967296
+
+
+def _segments(spark, d) -> DataFrame:
+    t = b.table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("whole"))
+    t = t.select("doc_id", "whole", F.explode(F.sequence(F.lit(0), F.expr(f"(length(whole) div {_CUT})"))).alias("i"))
+    t = t.select("doc_id", "i", F.expr(f"substring(whole, i * {_CUT} + 1, {_CUT + _OVER})").alias("data"), F.expr(f"pmod({_WRAPS - 400} + doc_id % 300 + CAST(i AS BIGINT) * {_CUT}, {_WRAPS})").alias("seq"))
+    t = t.select("*", F.explode(F.expr("CASE WHEN i % 5 = 1 THEN array(0, 1) ELSE array(0) END")).alias("again"))
+    return t.select("doc_id", (F.xxhash64("i", "again", "doc_id")).alias("frame_number"), "seq", "data")
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, CAST(0 AS BIGINT) AS missing, md5(text) AS md5 FROM documents WHERE text <> ''")
+def reassemble_texts(spark, d):
+    """Whole texts again: the pieces of a stream, joined only to be compared."""
+    p = reassembly.merged(_segments(spark, d), ["doc_id"])
+    whole = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("ps"), F.sum("gap").alias("missing"))
+    text = F.array_join(F.transform("ps", lambda x: x["text"]), "")
+    return whole.select("doc_id", F.length(text).cast("bigint").alias("bytes"), "missing", F.md5(reassembly.as_bytes(text)).alias("md5"))
+
+
+@query("SELECT doc_id, unnest(range(0, len(parts))) AS message, md5(unnest(parts)) AS md5 FROM (SELECT doc_id, string_split(text, ', ') AS parts FROM documents WHERE text <> '')")
+def reassemble_messages(spark, d):
+    """What lies between delimiters of two bytes, wherever segments cut them."""
+    m = reassembly.messages(reassembly.merged(_segments(spark, d), ["doc_id"]), ["doc_id"], b", ")
+    return m.select("doc_id", "message", F.md5(reassembly.as_bytes(F.col("text"))).alias("md5"))
+
+
+# --- names like given ones ---
+
+
+@query("""WITH v AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM documents) WHERE length(name) > 3 AND regexp_full_match(name, '[A-Za-z,.]+')),
+a AS (SELECT DISTINCT substr(w, 2) AS asked FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) > 8 AND regexp_full_match(w, '[A-Za-z,.]+')),
+m AS (SELECT asked, name, levenshtein(asked, name) AS distance FROM a JOIN v ON abs(length(asked) - length(name)) <= 2 AND levenshtein(asked, name) <= 2)
+SELECT asked, CAST(rank AS INTEGER) AS rank, name, CAST(distance AS INTEGER) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY distance, name) AS rank FROM m) WHERE rank <= 3""")
+def suggest_names(spark, d):
+    """Words of the items without their first letter, against all words of the documents; of
+    ASCII letters, as names of fields are."""
+    words = lambda t, col: b.table(spark, d, t).select(F.explode(F.split("text", " ")).alias(col)).filter(F.col(col).rlike("^[A-Za-z,.]+$"))
+    known = suggest.index(words("documents", "w").filter("length(w) > 3"), "w")
+    return suggest.nearest(words("benchmark", "w").filter("length(w) > 8").select(F.expr("substring(w, 2)").alias("w")), "w", known)
+
+
 # --- the query language over its four scopes ---
 
 

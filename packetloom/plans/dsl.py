@@ -20,7 +20,11 @@ N, S, L = "number", "string", "string[]"
 
 
 class QueryError(ValueError):
-    """What is wrong with a query, with what would be allowed."""
+    """What is wrong with a query: all its faults."""
+
+    def __init__(self, faults: list[Fault]):
+        super().__init__("; ".join(map(str, faults)))
+        self.faults = faults
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,7 @@ def fields(scope: str) -> dict[str, Field]:
         )
     if scope == "stream":
         return _same(N, "stream_id") | _same(S, "conversation_id stream_direction initiator") | _same(N, "start_ms duration_ms packets bytes")
-    raise QueryError("scope must be one of conversation, event, frame, stream")
+    raise KeyError(scope)
 
 
 DEFAULT_SELECT = {
@@ -67,72 +71,93 @@ DEFAULT_SELECT = {
 SOURCE_ORDER = {"conversation": ["transport", "conversation_id"], "event": ["event_id"], "frame": ["frame_number"], "stream": ["conversation_id", "stream_id"]}
 
 
-def _is_number(v) -> bool:
-    return isinstance(v, (int, float)) and not isinstance(v, bool)
+def _values(c: dict) -> list:
+    v = c.get("value")
+    return v if isinstance(v, list) else [v]
+
+
+@dataclass(frozen=True)
+class Fault:
+    """A rule that a query breaks, the part that breaks it and why."""
+
+    rule: str
+    part: str
+    why: str
+
+    def __str__(self) -> str:
+        return f"{self.part}: {self.why}"
+
+
+class Look:
+    """A query as the rules see it: its scope's fields and the event types that it asks for."""
+
+    def __init__(self, q: dict):
+        self.q, self.scope = q, q["scope"]
+        self.fields, self.attributes = fields(self.scope), queryable_attributes()
+        self.where = [c for c in q.get("where") or []]
+        self.types = list(dict.fromkeys(str(v) for c in self.where if c.get("field") == "type" and c.get("op") in ("eq", "in") for v in _values(c)))
+
+    def kind(self, c: dict) -> str | None:
+        return self.fields[c["field"]].type if c.get("field") in self.fields else None
+
+    def parts(self, of: str) -> list[tuple[str, dict]]:
+        """What the rules of one part look at, each with a name: conditions, orders, chosen or used fields, the page."""
+        q = self.q
+        if of == "condition":
+            return [(f"condition {i + 1}", c) for i, c in enumerate(self.where)]
+        if of == "order":
+            return [(f"order {i + 1}", o) for i, o in enumerate(q.get("order_by") or [])]
+        if of == "choice":
+            return [(f"select {i + 1}", {"field": f}) for i, f in enumerate(q.get("select") or [])]
+        if of == "use":
+            return [(n, x) for part in ("condition", "choice", "order") for n, x in self.parts(part) if str(x.get("field")).startswith("attr.")]
+        return [("page", {"limit": q.get("limit"), "offset": q.get("offset")})]
+
+
+def _whole(v) -> bool:
+    return isinstance(v, int) and not isinstance(v, bool)
+
+
+def _names(look: Look) -> str:
+    return f"scope {look.scope} has {', '.join(look.fields)}"
+
+
+_RANGE = ("gt", "gte", "lt", "lte")
+#: (rule, part, broken by this item?, why). A rule looks only at items that make sense to it, so one
+#: mistake is told once.
+RULES = (
+    ("field", "condition", lambda c, look: c.get("field") not in look.fields, lambda c, look: f"no field {c.get('field')!r}; {_names(look)}"),
+    ("field", "choice", lambda c, look: c["field"] not in look.fields, lambda c, look: f"no field {c['field']!r}; {_names(look)}"),
+    ("field", "order", lambda c, look: c.get("field") not in look.fields, lambda c, look: f"no field {c.get('field')!r}; {_names(look)}"),
+    ("operator", "condition", lambda c, look: c.get("op") not in OPS, lambda c, look: f"no operator {c.get('op')!r}; there are {', '.join(OPS)}, and no patterns"),
+    ("repeat", "condition", lambda c, look: [(x.get("field"), x.get("op")) for x in look.where].count((c.get("field"), c.get("op"))) > 1, lambda c, look: f"{c.get('field')} {c.get('op')} stands more than once"),
+    ("range", "condition", lambda c, look: c.get("op") in _RANGE and look.kind(c) in (S, L), lambda c, look: f"{c['op']} compares numbers; {c['field']} is {look.kind(c)}"),
+    ("text", "condition", lambda c, look: c.get("op") == "contains" and look.kind(c) == N, lambda c, look: f"contains looks into text and lists; {c['field']} is a number"),
+    ("list field", "condition", lambda c, look: look.kind(c) == L and c.get("op") in ("eq", "ne", "in"), lambda c, look: f"{c['field']} is a list, which only contains looks into"),
+    ("list value", "condition", lambda c, look: c.get("op") in OPS and (c["op"] == "in") != isinstance(c.get("value"), list), lambda c, look: "in takes a list of values" if c["op"] == "in" else f"{c['op']} takes one value, not a list"),
+    ("number value", "condition", lambda c, look: look.kind(c) == N and any(isinstance(v, str) for v in _values(c)), lambda c, look: f"{c['field']} is compared with a number, not with text"),
+    ("transport", "condition", lambda c, look: c.get("field") == "transport" and c.get("op") == "eq" and str(c.get("value")) not in ("tcp", "udp"), lambda c, look: f"a transport is tcp or udp, not {c.get('value')!r}"),
+    ("event type", "condition", lambda c, look: look.scope == "event" and c.get("field") == "type" and c.get("op") in ("eq", "in") and not {str(v) for v in _values(c)} <= EVENT_TYPES.keys(), lambda c, look: f"event types are {', '.join(EVENT_TYPES)}"),
+    ("attribute", "use", lambda c, look: c["field"] in look.fields and not look.types, lambda c, look: f"{c['field']} belongs to some types of events: add a condition on type (eq or in), one of {', '.join(look.attributes[c['field'][5:]][1])}"),
+    ("attribute", "use", lambda c, look: c["field"] in look.fields and set(look.types) - set(look.attributes[c["field"][5:]][1]), lambda c, look: f"{c['field']} belongs to {', '.join(look.attributes[c['field'][5:]][1])} alone"),
+    ("direction", "order", lambda c, look: c.get("direction") not in ("asc", "desc"), lambda c, look: f"a direction is asc or desc, not {c.get('direction')!r}"),
+    ("limit", "page", lambda c, look: c["limit"] is not None and not (_whole(c["limit"]) and 1 <= c["limit"] <= MAX_LIMIT), lambda c, look: f"limit is a whole number from 1 to {MAX_LIMIT}"),
+    ("offset", "page", lambda c, look: c["offset"] is not None and not (_whole(c["offset"]) and c["offset"] >= 0), lambda c, look: "offset is a whole number from 0 on"),
+)
+
+
+def faults(q: dict) -> list[Fault]:
+    """Everything that is wrong with a query, by rule."""
+    if q.get("scope") not in DEFAULT_SELECT:
+        return [Fault("scope", "scope", f"one of {', '.join(DEFAULT_SELECT)}")]
+    look = Look(q)
+    return [Fault(rule, name, why(item, look)) for rule, part, broken, why in RULES for name, item in look.parts(part) if broken(item, look)]
 
 
 def validate(q: dict) -> None:
-    """Raises QueryError with the allowed names if q isn't a valid query."""
-    scope = q.get("scope")
-    table = fields(scope)
-    allowed = ", ".join(table)
-    seen, types = set(), []
-    for c in q.get("where") or []:
-        field, op, value = c.get("field"), c.get("op"), c.get("value")
-        if field == "type" and op in ("eq", "in"):
-            types += [str(v) for v in (value if isinstance(value, list) else [value])]
-        if op not in OPS:
-            raise QueryError(f"unknown op '{op}'. Allowed: {', '.join(OPS)} (no LIKE/regex)")
-        if field not in table:
-            raise QueryError(f"unknown field '{field}' for scope '{scope}'. Allowed: {allowed}")
-        if (field, op) in seen:
-            raise QueryError(f"duplicate condition on '{field}' ({op})")
-        seen.add((field, op))
-        kind = table[field].type
-        if op in ("gt", "gte", "lt", "lte") and kind != N:
-            raise QueryError(f"op '{op}' requires a numeric field, '{field}' is {kind}")
-        if op == "in" and not isinstance(value, list):
-            raise QueryError(f"op 'in' requires an array value for '{field}'")
-        if op != "in" and isinstance(value, list):
-            raise QueryError(f"array value only allowed with op 'in' ('{field}')")
-        if op == "contains" and kind == N:
-            raise QueryError(f"op 'contains' requires string or string[] field ('{field}')")
-        if kind == L and op not in ("contains",):
-            raise QueryError(f"field '{field}' is a list; only op 'contains' applies")
-        # numeric lists are checked like single values
-        if kind == N and any(isinstance(v, str) for v in (value if isinstance(value, list) else [value])):
-            raise QueryError(f"field '{field}' is numeric; value must be a number")
-    if scope == "event" and (bogus := [t for t in dict.fromkeys(types) if t not in EVENT_TYPES]):
-        raise QueryError(f"unknown event type(s): {', '.join(bogus)}. Valid types: {', '.join(EVENT_TYPES)}")
-    for c in q.get("where") or []:
-        if c["field"] == "transport" and c["op"] == "eq" and str(c["value"]) not in ("tcp", "udp"):
-            raise QueryError(f"transport must be \"tcp\" or \"udp\", got '{c['value']}'")
-    if scope == "event":
-        carried = queryable_attributes()
-        used = [c["field"] for c in q.get("where") or []] + list(q.get("select") or []) + [o.get("field") for o in q.get("order_by") or []]
-        for f in used:
-            if not str(f).startswith("attr."):
-                continue
-            if f[5:] not in carried:
-                raise QueryError(f"unknown attribute field '{f}'")
-            if not types:
-                raise QueryError(f"'{f}' requires a type condition, e.g. where: [{{field:\"type\",op:\"eq\",value:\"dns_response\"}}]")
-            owners = carried[f[5:]][1]
-            if wrong := [t for t in dict.fromkeys(types) if t not in owners]:
-                raise QueryError(f"'{f}' is not an attribute of type {', '.join(wrong)}; it applies to: {', '.join(owners)}")
-    for f in q.get("select") or []:
-        if f not in table:
-            raise QueryError(f"unknown select field '{f}' for scope '{scope}'. Allowed: {allowed}")
-    for o in q.get("order_by") or []:
-        if o.get("field") not in table:
-            raise QueryError(f"unknown order_by field '{o.get('field')}' for scope '{scope}'. Allowed: {allowed}")
-        if o.get("direction") not in ("asc", "desc"):
-            raise QueryError('order_by.direction must be "asc" or "desc"')
-    limit, offset = q.get("limit"), q.get("offset")
-    if limit is not None and (not isinstance(limit, int) or isinstance(limit, bool) or not 1 <= limit <= MAX_LIMIT):
-        raise QueryError(f"limit must be an integer in [1, {MAX_LIMIT}]")
-    if offset is not None and (not isinstance(offset, int) or isinstance(offset, bool) or offset < 0):
-        raise QueryError("offset must be a non-negative integer")
+    """Raises QueryError, with all faults, if q isn't a valid query."""
+    if found := faults(q):
+        raise QueryError(found)
 
 
 def condition(col: Column, kind: str, op: str, value) -> Column:

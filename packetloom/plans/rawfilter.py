@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from difflib import get_close_matches
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import whole
-from packetloom.schema import column_of
+from packetloom.schema import DISSECTED, column_of
 
 MAX_FIELDS, MAX_ROWS, DEFAULT_ROWS, MAX_CELL, MAX_FILTER = 16, 500, 100, 4000, 500
 TOKEN = re.compile(r"""\s*(?:(?P<op>==|!=|<=|>=|&&|\|\||[<>!()])|(?P<str>"[^"]*"|'[^']*')|(?P<word>[A-Za-z0-9_.:\[\]]+))""")
@@ -20,24 +21,6 @@ class RawError(ValueError):
     pass
 
 
-def _distance(a: str, b: str) -> int:
-    """Edit distance."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def nearest(name: str, vocabulary: list[str], k: int = 3, most: int = 6) -> list[str]:
-    """The closest known names, best first."""
-    low = name.lower()
-    tail = low.split(".")[-1]
-    near = [(d, i, v) for i, v in enumerate(vocabulary) if (abs(len(v) - len(low)) <= 4 or tail in v.lower()) and (d := _distance(low, v.lower())) <= most]
-    return [v for _, _, v in sorted(near)[:k]]
-
-
 class Parser:
     """filter := and ('||' and)*; and := unary ('&&' unary)*; unary := '!' unary | '(' filter
     ')' | field [comparison value]. A field alone asks whether it is present. A comparison of
@@ -106,7 +89,7 @@ class Parser:
         both = {"tcp.port": ("tcp.srcport", "tcp.dstport"), "udp.port": ("udp.srcport", "udp.dstport"), "ip.addr": ("ip.src", "ip.dst"), "ipv6.addr": ("ipv6.src", "ipv6.dst")}
         names = both.get(field) or ((field,) if field in self.vocabulary else tuple(v for v in self.vocabulary if v.startswith(field + ".")))
         if not names:
-            raise RawError(f"unknown field(s): {suggest([field], self.vocabulary)}")
+            raise RawError(unknown([field], self.vocabulary))
         return [F.when(F.col(column_of(n)) != "", F.col(column_of(n))) for n in names]
 
     def _compare(self, field: str) -> Column:
@@ -135,30 +118,36 @@ class Parser:
         return reduce(lambda a, b: a | b, (F.coalesce(F.exists(F.split(c, ","), holds), F.lit(False)) for c in cols))
 
 
-def suggest(names: list[str], vocabulary: list[str]) -> str:
-    return ", ".join(f"{n} (did you mean: {' | '.join(near)}?)" if (near := nearest(n, vocabulary)) else n for n in names)
+def unknown(names: list[str], vocabulary: list[str]) -> str:
+    """Names that aren't known, each with those most like it."""
+    like = {n: get_close_matches(n, vocabulary, 3, 0.7) for n in names}
+    return "no such field: " + "; ".join(f"{n} (like {', '.join(x)})" if x else n for n, x in like.items())
+
+
+NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.]*")
+
+
+def faults(fields: list[str], limit: int, vocabulary: list[str]) -> list[str]:
+    """Everything that is wrong with a raw query's fields and limit."""
+    odd = [f for f in fields if not NAME.fullmatch(f)]
+    strange = [f for f in fields if f not in vocabulary and f not in odd]
+    checks = (
+        (1 <= len(fields) <= MAX_FIELDS, f"name 1 to {MAX_FIELDS} fields"),
+        (isinstance(limit, int) and not isinstance(limit, bool) and 1 <= limit <= MAX_ROWS, f"limit is a whole number from 1 to {MAX_ROWS}"),
+        (not odd, f"not a field name: {', '.join(map(repr, odd))}"),
+        (not strange, unknown(strange, vocabulary)),
+    )
+    return [why for fine, why in checks if not fine]
 
 
 def raw_query(rows: DataFrame, fields: list[str], display_filter: str | None = None, limit: int | None = None, vocabulary: list[str] | None = None) -> tuple[DataFrame, int]:
     """The plan (limit + 1 rows, frame number first) and the limit. rows are dissected rows;
     filter and columns reach the scan."""
-    from packetloom.schema import DISSECTED
-
-    known = vocabulary or DISSECTED
-    if not fields:
-        raise RawError("fields must not be empty")
-    if len(fields) > MAX_FIELDS:
-        raise RawError(f"at most {MAX_FIELDS} fields per raw query")
-    n = DEFAULT_ROWS if limit is None else limit
-    if not isinstance(n, int) or isinstance(n, bool) or not 1 <= n <= MAX_ROWS:
-        raise RawError(f"limit must be an integer in [1, {MAX_ROWS}]")
-    for f in fields:
-        if not re.fullmatch(r"[a-zA-Z0-9][a-zA-Z0-9_.]*", f):
-            raise RawError(f"invalid field name '{f}'")
-    if unknown := [f for f in fields if f not in known]:
-        raise RawError(f"unknown field(s): {suggest(unknown, known)}")
+    known, n = vocabulary or DISSECTED, DEFAULT_ROWS if limit is None else limit
+    if wrong := faults(fields, n, known):
+        raise RawError("; ".join(wrong))
     cond = Parser(display_filter, known).parse() if display_filter else F.lit(True)
-    cell = lambda c: F.when(F.length(c) > MAX_CELL, F.concat(F.substring(c, 1, MAX_CELL), F.lit("…[truncated]"))).otherwise(F.coalesce(c, F.lit("")))
+    cut = lambda c: F.when(F.length(c) > MAX_CELL, F.concat(F.left(c, F.lit(MAX_CELL)), F.lit("…[truncated]"))).otherwise(F.coalesce(c, F.lit("")))
     names = list(dict.fromkeys(["frame.number", *fields]))
-    out = rows.filter(cond).orderBy(whole(F.col("frame_number"))).limit(n + 1)
-    return out.select(*(cell(F.col(column_of(f))).alias(column_of(f)) for f in names)), n
+    page = rows.filter(cond).orderBy(whole(F.col("frame_number"))).limit(n + 1)
+    return page.select(*(cut(F.col(column_of(f))).alias(column_of(f)) for f in names)), n

@@ -10,7 +10,7 @@ import time
 from collections import OrderedDict
 from functools import cached_property
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,30 +19,14 @@ from packetloom.config import Config
 from packetloom.functions import render
 from packetloom.operators import extract, index, pairing, timeseries
 from packetloom.plans import dsl, rawfilter, sqlgate
-from packetloom.schema import CATALOG, column_notes
+from packetloom.schema import CATALOG, CONVERSATIONS, EVENTS, FRAMES, STREAMS, column_notes
 from packetloom.stage import dropped, written
+from packetloom.store import Store
 
 EVIDENCE_FRAMES, LISTED_FRAMES, TIMELINE, TIMELINE_MOST = 200, 100, 200, 500
 TRANSACTIONS = 500
 
 
-def fingerprint(path: str) -> str:
-    """An id of a file's size, head, tail and up to eight blocks between."""
-    size = os.path.getsize(path)
-    h = hashlib.sha256(str(size).encode())
-    head, block = 256 << 10, 64 << 10
-    with open(path, "rb") as f:
-        h.update(f.read(head))
-        if size > 2 * head:
-            step = max(block, (size - 2 * head) // 8)
-            for at in range(head, size - head, step)[:8]:
-                f.seek(at)
-                h.update(f.read(block))
-            f.seek(size - head)
-            h.update(f.read(head))
-    return "cap_" + h.hexdigest()[:16]
-
-
 def query_hash(capture_id: str, query) -> str:
     return hashlib.sha256(f"{capture_id}\n{json.dumps(query, sort_keys=True, separators=(',', ':'), ensure_ascii=False)}".encode()).hexdigest()[:16]
 
@@ -112,22 +96,15 @@ class Session:
         return {"conversations": self.conversations, "events": self.events, "frames": self.frames}[name]
 
     def materialize(self, folder: str) -> None:
-        """Write the tables as Parquet, partitioned by capture, with a version marker; a folder
-        with the marker of this version and capture is read and not written again."""
+        """Keep the tables in a Store, partitioned by capture; a store whose current generation
+        is of this version and capture is read and not written again."""
         marker = f"{__version__} {self.backend['name']} {self.backend['version']} {self.capture_id}"
-        where = f"{folder}/{self.capture_id}"
-        try:
-            found = self.spark.read.text(f"{where}/version").first()
-        except AnalysisException:  # not there yet
-            found = None
-        fresh = found is not None and found[0] == marker
-        for name in ("frames", "events", "conversations", "streams"):
-            table = getattr(self, name)
-            if not fresh:
-                table.write.mode("overwrite").option("compression", "zstd").partitionBy("capture_id").parquet(f"{where}/{name}")
-            self.__dict__[name] = self.spark.read.schema(table.schema).parquet(f"{where}/{name}")
-        if not fresh:
-            self.spark.createDataFrame([(marker,)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}/version")
+        store = Store(self.spark, f"{folder.rstrip('/')}/{self.capture_id}")
+        names = ("frames", "events", "conversations", "streams")
+        found = store.read(marker, dict(zip(names, (FRAMES, EVENTS, CONVERSATIONS, STREAMS), strict=True)))
+        if found is None:
+            found = store.write(marker, {n: getattr(self, n) for n in names}, ["capture_id"])
+        self.__dict__ |= found
 
     def close(self) -> None:
         for name in ("facts", "events", "conversations"):
@@ -167,7 +144,7 @@ class Session:
         row = self.conversations.filter(F.col("conversation_id") == cid).first()
         if row is None:
             known = [r[0] for r in self.conversations.select("conversation_id").orderBy("transport", F.length("conversation_id"), "conversation_id").limit(20).collect()]
-            raise ValueError(f"unknown conversation '{cid}'. Known (first 20): {', '.join(known)}")
+            raise ValueError(f"no conversation {cid!r}; the first are {', '.join(known)}")
         return row.asDict()
 
     def inspect(self, cid: str, timeline_limit: int | None = None) -> dict:
@@ -196,7 +173,7 @@ class Session:
     def timeseries(self, cid: str, metric: str, bin_ms: float = 100) -> dict:
         conv = self._conversation(cid)
         if not 10 <= bin_ms <= 5000:
-            raise ValueError("bin_ms must be in [10, 5000]")
+            raise ValueError("a bin has 10 to 5000 ms")
         d = extract.directed(extract.of_conversation(self.facts, cid))
         bins, width = timeseries.series(d.withColumn("time_ms", F.round((F.col("epoch") - F.col("t0")) * 1000, 3)), metric, conv["start_ms"], conv["duration_ms"], bin_ms)
         rows = [r.asDict() for r in bins.collect()]
@@ -218,11 +195,7 @@ class Session:
     def sql(self, text: str, limit: int | None = None) -> dict:
         """In a session of its own, so view names can't clash with the caller's tables."""
         if self._sql is None:
-            self._sql = self.spark.newSession()
-            for name in CATALOG:
-                self.table(name).createOrReplaceGlobalTempView(f"packetloom_{self.capture_id}_{name}")
-                self._sql.table(f"global_temp.packetloom_{self.capture_id}_{name}").drop("capture_id").createOrReplaceTempView(name)
-            sqlgate.register_aliases(self._sql)
+            self._sql = sqlgate.own_session(self.spark, {name: self.table(name).drop("capture_id") for name in CATALOG})
         began = time.perf_counter()
         out = sqlgate.run(self._sql, text, set(CATALOG), self.config.sql_rows if limit is None else limit, self.config.sql_timeout_s)
         return out | {"elapsed_ms": round((time.perf_counter() - began) * 1000, 1), "audit": self.audit({"sql": text, "limit": limit})}

@@ -19,6 +19,13 @@ def read_dissected(spark: SparkSession, path: str, fields: list[str] = DISSECTED
     return rows.withColumn("capture_id", name)
 
 
+def read_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(name, title, type, protocol) of the fields that a dissector lists: tab-separated lines that
+    begin with F (title, name, type, protocol follow); other lines are left out."""
+    lines = spark.read.text(path).filter("value LIKE 'F\t%'").select(F.split("value", "\t").alias("x"))
+    return lines.filter(F.size("x") > 4).select(F.col("x")[2].alias("name"), F.col("x")[1].alias("title"), F.col("x")[3].alias("type"), F.col("x")[4].alias("protocol")).filter("name <> ''")
+
+
 def _column(name: str) -> Column:
     return F.trim(F.col(f"`{name}`"))
 

@@ -10,7 +10,7 @@ import pytest
 from packetloom.config import Config, cache_root, configure
 from packetloom.schema import EVENTS
 from packetloom.scoring import report
-from packetloom.session import fingerprint
+from packetloom.sources.fingerprints import fingerprint, fingerprints, ranges
 from packetloom.sources import json_tables
 
 
