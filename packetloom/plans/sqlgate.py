@@ -275,12 +275,13 @@ def _relations(spark: SparkSession, chain: str) -> list[str]:
             out.append(node.multipartIdentifier().last())
         elif kind in ("Join", "LateralJoin", "UnresolvedSubqueryColumnAliases"):
             todo += [node.children().apply(i) for i in range(node.children().size())]
+            todo += [node.right().plan()] if kind == "LateralJoin" else []
         else:
             raise SqlError("ASOF JOIN takes tables, subqueries with a name, and joins of them")
     return out[::-1]
 
 
-def _asof(spark: SparkSession, sql: str, planned, kept: list[str]) -> str:
+def _asof(spark: SparkSession, sql: str, planned, kept: list[str], allowed: set[str]) -> str:
     """a ASOF [LEFT] JOIN b ON a.k = b.k AND a.t >= b.t (or USING (k, t)): both sides are planned,
     their rows meet in one sort, in ranges, and each left row takes the nearest right one
     (operators.ordered.nearest). The statement reads the result under the same names."""
@@ -321,14 +322,16 @@ def _asof(spark: SparkSession, sql: str, planned, kept: list[str]) -> str:
         if (m[1] or "").lower() != "left":
             got = got.filter(F.col(f"`{name}`").isNotNull())
         view = f"__asof_{uuid.uuid4().hex[:12]}"
+        allowed.add(view)
         parts = [*lefts, name]
         _view(spark, got.toDF(*(f"{view}_{i}" for i in range(len(parts)))), view)
         back = " ".join(
             f"JOIN LATERAL (SELECT {', '.join(f'{view}.{view}_{i}.`{f.name}` AS `{f.name}`' for f in got.schema[n].dataType.fields)}) AS {n}" for i, n in enumerate(parts)
         )
         hidden = ", ".join(f"{view}_{i}" for i in range(len(parts)))
-        head = re.sub(r"(?<![\w.)]\s)(?<![\w.)])\*(?!\s*except)", f"* EXCEPT ({hidden})", sql[begin:source], flags=re.I)
-        head = re.sub(r"(?<![.\w])\*(\s*)except\s*\((?!__asof_)", rf"*\1EXCEPT ({hidden}, ", head, flags=re.I)
+        # a bare star doesn't show what the view's rows are made of
+        star = r"((?:\bselect\s+(?:distinct\s+|all\s+)?|,\s*)\*)(\s*except\s*\()?"
+        head = re.sub(star, lambda x: f"{x[1]} EXCEPT ({hidden}{', ' if x[2] else ')'}", sql[begin:source], flags=re.I)  # noqa: B023
         sql = f"{sql[:begin]}{head} {view} {back} {sql[stop:]}"
     return sql
 
@@ -343,8 +346,7 @@ def rewritten(spark: SparkSession, sql: str, tables: set[str]) -> tuple[str, set
     text, kept = _hidden(sql)
     allowed = set(tables)
     if re.search(_ASOF, text, re.I):
-        text = _asof(spark, text, planned, kept)
-        allowed |= set(re.findall(r"\b__asof_[0-9a-f]{12}\b", text))
+        text = _asof(spark, text, planned, kept, allowed)
     if re.search(r"\bby\s+name\b", text, re.I):
         text = _by_name(spark, text, lambda part: planned(_shown(part, kept)).columns)
     return _shown(text, kept), allowed
