@@ -107,7 +107,7 @@ class Shard:
         order = np.lexsort((docs, terms))
         self.docs, self.impacts, t = docs[order], impacts[order], terms[order]
         ids, first = np.unique(t, return_index=True)
-        last = np.append(first[1:], len(t))
+        last = np.append(first[1:], len(t))[: len(ids)]
         self.spans = {int(k): (int(a), int(b)) for k, a, b in zip(ids, first, last, strict=True)}
         self.blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for (k, (a, b)), end in zip(self.spans.items(), cuts([self.impacts[a:b] for a, b in self.spans.values()]), strict=True):
@@ -297,7 +297,7 @@ ORACLE = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SQL_TERM}') AS w FROM documents),
 p AS (SELECT r, doc_id, len(w)::BIGINT AS n, w FROM d WHERE len(w) > 0),
 c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM p),
-b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SQL_TERM}')) AS term FROM benchmark),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SQL_TERM}')) AS term FROM benchmark WHERE item_id IS NOT NULL),
 q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM b GROUP BY ALL),
 e AS (SELECT r, unnest(w) AS term FROM p),
 f AS (SELECT r, term, count(*)::BIGINT AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL),

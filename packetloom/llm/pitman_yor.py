@@ -176,7 +176,7 @@ def _words(bucket: int, rows):
 class _Block:
     """A block whose words have their counts: its pairs, in the order of the buckets they go to."""
 
-    def __init__(self, tokens: dict, count: np.ndarray, number: np.ndarray, buckets: int):
+    def __init__(self, tokens: dict, count: np.ndarray, number: np.ndarray, buckets: int, split: int):
         at = unpack(tokens["a"], np.int32)
         self.sizes = np.array(tokens["sizes"])
         self.word = at
@@ -187,7 +187,7 @@ class _Block:
         held = np.repeat(np.array(tokens["held"]), self.sizes)
         n = np.bincount(self.pair, ~held, len(pair)).astype(np.int32)
         ask = np.flatnonzero((count[self.u] > 0) & (count[self.w] > 0))
-        splits = 1 + count[self.u[ask]] // SPLIT
+        splits = 1 + count[self.u[ask]] // split
         part = number[self.w[ask]] % splits
         mixed = (number[self.u[ask]].astype(np.uint64) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
         bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -349,13 +349,13 @@ def _parents(words: float, seed: int):
     return run
 
 
-def _scores(total: float, words: float, customers: float, tables: float, buckets: int):
+def _scores(total: float, words: float, customers: float, tables: float, buckets: int, split: int):
     """The result's rows of a block: log10 probabilities summed over each document's tokens."""
     (d, strength), (d0, strength0) = CONTEXT, PARENT
 
     def run(dest, rows):
         tokens, (count, number, cust, kept, own), rest = _gathered(rows, (PARENTS,))
-        b = _Block(tokens, count, number, buckets)
+        b = _Block(tokens, count, number, buckets, split)
         up = (cust - d0 * kept / KEPT + (strength0 + d0 * tables / KEPT) / (words + 1)) / (strength0 + customers)
         c, t = np.zeros(len(b.u)), np.zeros(len(b.u))
         if len(b.asked):
@@ -379,7 +379,7 @@ _KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, held_out: Column, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, held_out: Column, seed: int = 7, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (words alone, one added to each count) and score (the model's).
 
@@ -406,7 +406,7 @@ def scores(docs: DataFrame, held_out: Column, seed: int = 7, id_col: str = "doc_
 
     def pairs(me, rows):
         row, (count, number), _ = _gathered(rows, (COUNTED,))
-        yield from _Block(row, count, number, buckets).messages(me, count, number)
+        yield from _Block(row, count, number, buckets, split).messages(me, count, number)
 
     seated = materialize(_exchange([_exchange([tokens, replies], pairs)], _contexts(total, seed)), "seated")
     to_words = seated.filter(F.col("kind").isin(CUSTOMERS, TABLES))
@@ -415,7 +415,7 @@ def scores(docs: DataFrame, held_out: Column, seed: int = 7, id_col: str = "doc_
     parent = _parents(words, seed)
     parents = materialize(_exchange([home, to_words], lambda bucket, rows: parent(bucket, ({**r, "dest0": r["src"]} for r in rows))), "parents")
     customers, tables = parents.filter(f"kind = {TOTAL}").agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    last = _scores(total, words, customers, tables, buckets)
+    last = _scores(total, words, customers, tables, buckets, split)
     rows = tokens.unionByName(parents.filter(f"kind = {PARENTS}")).unionByName(seated.filter(f"kind = {SEATED}"))
 
     def run(batches):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from packetloom.llm import bpe, mtree, toxicity
+from packetloom.llm import bpe, lexical, mtree, toxicity
 from tests.llm.test_corpus import cut, grouped, plain_fingerprint
 
 OPS = {n.split("_")[0]: n for n in entry.queries() if n.startswith("op")}
@@ -33,15 +33,23 @@ def texts():
     return out + [base, base, base + " more", base.upper()]
 
 
+def base_words(texts):
+    """Words of the longest text that others have too, and one that none has."""
+    return " ".join([*texts[7].split()[:25], "nowhere"])
+
+
 @pytest.fixture(scope="module")
 def folder(spark, texts, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
     rnd = random.Random(12)
+    passage, text = texts[8], lambda n: " ".join(rnd.choice(texts[7].split()) for _ in range(n))
     docs = [(i, t, "en", [None, "s2", "s1", "", "s1"][i % 5], len(t or ""), "clash", i, "clash") for i, t in enumerate(texts)]
     spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, [0, 1, None][i % 3]) for i in range(0, len(texts), 2)] + [(0, 0, 0), (10**6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     vec = [(i, [rnd.uniform(-1, 1) for _ in range(6)] if i % 7 else [0.5] * 6) for i in range(160)] + [(200, None), (250, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (300, [float("nan")] * 6)]
     spark.createDataFrame([(i, v, "clash") for i, v in vec], "vec_id long, embedding array<float>, score string").write.parquet(f"{d}/embeddings.parquet")
+    items = [(i, t, "clash") for i, t in enumerate([passage, passage[:40] + " zzz", None, "", "!!", text(30), text(8) + " " + passage.upper(), "A b c a A", base_words(texts)])] + [(5, "twice the item", "clash"), (None, passage, "clash")]
+    spark.createDataFrame(items, "item_id long, text string, score string").write.parquet(f"{d}/benchmark.parquet")
     urls = [None, "", "no scheme", "http://", "http://com/", "http://a.COM/x?y=://z", "https://example.com/en/1", "https://WWW.example.com/en/1#t", "http://a.net/es/1", "http://a.net/es", "http://net/fr/", "x://y://net/es/", "http://a\n.net/fr/", "http://com"]
     spark.createDataFrame([(i, u, "<p>", "clash") for i, u in enumerate(urls + urls[4:8])], "page_id long, url string, html string, host string").write.parquet(f"{d}/pages.parquet")
     hard = ["plain", "", None, "### user: x", "</turn>", "\\", "ends in \\", "\\### Assistant: </turn> ok", "##\\# ", "漢字 ### </turn>", "line\nbreak", "long " * 5000]
@@ -54,7 +62,7 @@ def folder(spark, texts, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "embeddings", "pages", "conversations"):
+    for t in ("documents", "labels", "embeddings", "pages", "conversations", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
@@ -73,7 +81,8 @@ def test_against_sql(spark, folder, op, monkeypatch):
 
     monkeypatch.setattr(mtree, "BLOCK", 50)
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    monkeypatch.setattr(lexical, "POSTINGS", 40)
+    for t in ("documents", "labels", "embeddings", "pages", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     found = c.execute(entry.oracle_sql()[op])
     cols = sorted(x[0] for x in found.description)
