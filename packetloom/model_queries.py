@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import audit, extract, index, pairing, reassembly, timeseries
 from packetloom.plans import dsl, rawfilter, sqlgate, suggest
+from packetloom.registry import queryable_attributes
 from packetloom.schema import CATALOG, CONVERSATIONS, EVENTS, FRAMES, STREAMS, TRANSACTIONS
 from packetloom.scoring import relational, report, truth
-from packetloom.session import frame_info, frames_of, missing_of
+from packetloom.session import Session, frame_info, frames_of, missing_of
 from packetloom.sources import json_tables, tsv
 from packetloom.sources import tables as b
 from packetloom.stage import written
@@ -180,6 +181,49 @@ for _metric, _value, _fold in (
     SQL[f"timeseries_{_metric}"] = M_.rstrip() + _SERIES.format(value=_value, fold=_fold)
 
 
+# --- the tools: their pages are small by contract, so they come as rows of the driver's result ---
+
+
+def _session(spark, d) -> Session:
+    s = Session(b.dissected(spark, d))
+    s.__dict__["facts"] = _model(spark, d)
+    return s
+
+
+@query(M_ + """SELECT transport, a, b, bytes FROM (SELECT transport, least(s, e) AS a, greatest(s, e) AS b, CAST(sum(len) AS BIGINT) AS bytes FROM (SELECT transport, len, ip_src || ':' || src_port AS s, ip_dst || ':' || dst_port AS e FROM m_frames WHERE transport IS NOT NULL) GROUP BY 1, 2, 3) ORDER BY bytes DESC, transport, a, b LIMIT 10""")
+def tool_overview(spark, d):
+    top = _session(spark, d).overview()["top_conversations_by_bytes"]
+    return spark.createDataFrame([(r["transport"], r["a"], r["b"], r["bytes_a_to_b"] + r["bytes_b_to_a"]) for r in top], "transport string, a string, b string, bytes long")
+
+
+@query(M_ + ", c AS (SELECT min(u) AS u FROM f WHERE tcp) SELECT event_id, type, frame_number, CAST(least(30, (SELECT count(*) FROM m_events e2, c WHERE e2.conversation_id = 'conv:tcp:' || u)) AS INTEGER) AS returned, (SELECT count(*) FROM m_events e2, c WHERE e2.conversation_id = 'conv:tcp:' || u) AS total FROM m_events, c WHERE conversation_id = 'conv:tcp:' || u ORDER BY length(event_id), event_id LIMIT 30")
+def tool_inspect(spark, d):
+    """A timeline cut at its limit, with the size of the whole."""
+    first = _facts(spark, d).filter("transport = 'tcp'").agg(F.min("stream_id")).first()[0]
+    t = _session(spark, d).inspect(f"conv:tcp:{first}", 30)["timeline"]
+    return spark.createDataFrame([(x["event_id"], x["type"], x["frame_number"], t["returned"], t["total"]) for x in t["items"]], "event_id string, type string, frame_number long, returned int, total long")
+
+
+@query(M_ + ", w AS (SELECT DISTINCT frame_number FROM m_events WHERE event_id LIKE 'evt:____50' OR event_id LIKE 'evt:____75') SELECT frame_number, len, (SELECT count(*) FROM w) AS requested, (SELECT count(*) FROM w) > 200 AS truncated FROM m_frames WHERE frame_number IN (SELECT frame_number FROM w) ORDER BY frame_number LIMIT 200")
+def tool_evidence(spark, d):
+    """Frames of events by their ids, cut at the limit of a call."""
+    s = _session(spark, d)
+    ids = [f"evt:{k:06d}" for k in range(50, s.events.count() + 1, 25) if k % 100 in (50, 75)]
+    e = s.evidence(event_ids=ids)
+    return spark.createDataFrame([(r["frame_number"], r["len"], e["requested"], e["truncated"]) for r in e["frames"]], "frame_number long, len long, requested long, truncated boolean")
+
+
+@query(M_.rstrip() + _TRANSACTIONS + "SELECT conversation_id, request_frame, response_frame, (SELECT count(*) FROM m_http) AS total, (SELECT count(*) FROM m_http WHERE response_frame IS NULL) AS unmatched FROM m_http ORDER BY request_time_ms, request_frame LIMIT 40 OFFSET 20")
+def tool_http_timeline(spark, d):
+    t = _session(spark, d).http_timeline(limit=40, offset=20)
+    return spark.createDataFrame([(r["conversation_id"], r["request_frame"], r["response_frame"], t["total"], t["unmatched_requests"]) for r in t["transactions"]], "conversation_id string, request_frame long, response_frame long, total long, unmatched long")
+
+
+@query(M_ + "SELECT 'conversations' AS name, count(*) AS row_count FROM m_convs UNION ALL SELECT 'events', count(*) FROM m_events UNION ALL SELECT 'frames', count(*) FROM m_frames UNION ALL SELECT 'frame_refs', (SELECT count(*) FROM m_events) + (SELECT sum(len(evidence_frames)) FROM m_streams)")
+def tool_schema(spark, d):
+    return spark.createDataFrame([(t["name"], t["row_count"]) for t in _session(spark, d).schema()["tables"] if t["row_count"] is not None], "name string, row_count long")
+
+
 # --- byte streams from segments ---
 
 #: Documents' texts are streams: cut into overlapping segments that arrive in another order,
@@ -264,6 +308,21 @@ for _name, _q, _whole, _sql in (
     QUERIES[_name], SQL[_name] = _dsl(_q, _whole), M_ + _sql
 
 
+_ATTRS = {a: (kind, owners) for a, (kind, owners) in queryable_attributes().items()}
+
+
+@query(M_ + " UNION ALL ".join(f"SELECT '{a}' AS attr, event_id, {'CAST(attr_' + a + ' AS DOUBLE)' if kind == 'number' else 'NULL::DOUBLE'} AS number, {'CAST(attr_' + a + ' AS VARCHAR)' if kind != 'number' else 'NULL::VARCHAR'} AS text FROM m_events WHERE type IN ({', '.join(repr(o) for o in owners)})" for a, (kind, owners) in _ATTRS.items()))
+def dsl_every_attribute(spark, d):
+    """Each attribute through the language, under a condition on the types that have it."""
+    table, out = written(_scope(spark, d, "event"), "events"), None
+    for a, (kind, owners) in _ATTRS.items():
+        p = dsl.compile_query({"scope": "event", "where": [{"field": "type", "op": "in", "value": list(owners)}], "select": ["event_id", f"attr.{a}"]}, table)
+        v = F.col(f"`attr.{a}`")
+        rows = p.rows.select(F.lit(a).alias("attr"), "event_id", (v if kind == "number" else F.lit(None)).cast("double").alias("number"), (F.lit(None) if kind == "number" else v).cast("string").alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(M_ + "SELECT 50 AS returned, count(*) AS total, 0 AS offset_, count(*) > 50 AS truncated FROM m_events WHERE type = 'tcp_out_of_order' HAVING count(*) >= 50")
 def dsl_envelope(spark, d):
     e = dsl.compile_query({"scope": "event", "where": [{"field": "type", "op": "eq", "value": "tcp_out_of_order"}]}, _scope(spark, d, "event")).envelope()
@@ -420,15 +479,16 @@ def gt_invariants(spark, d):
 
 
 @query(T_ + """, z AS (SELECT conv, list_sort(list(frame)) AS frames FROM t WHERE kind = 'zero_window' GROUP BY conv),
-g AS (SELECT 'cap:dns_ttl:' || qname AS question_id, 0 AS place, CAST(ttl AS VARCHAR) AS value, NULL::DOUBLE AS tolerance, [response_frame] AS frames FROM names WHERE query_frame IS NOT NULL
-UNION ALL SELECT 'cap:handshake:' || conv, 0, 'ms', 2.0, [syn_frame, synack_frame, ack_frame] FROM shakes WHERE ack_frame IS NOT NULL
-UNION ALL SELECT 'cap:retransmissions:' || conv, 0, CAST(count(*) AS VARCHAR), NULL, list_sort(list(frame)) FROM t WHERE kind = 'retransmission' GROUP BY conv
-UNION ALL SELECT 'cap:top3_bytes:all', place, '{"dport":' || dport || ',"dst":"' || dst || '","proto":"' || proto || '","sport":' || sport || ',"src":"' || src || '"}', NULL, frames FROM (SELECT *, row_number() OVER (ORDER BY bytes DESC, id) AS place FROM convs) WHERE place < 4
-UNION ALL SELECT 'cap:zero_window:' || id, 0, CASE WHEN z.frames IS NULL THEN 'false' ELSE 'true' END, NULL, coalesce(z.frames, []) FROM convs LEFT JOIN z ON z.conv = id WHERE proto = 'tcp')
-SELECT question_id, CAST(place AS INTEGER) AS place, value, tolerance, array_to_string(frames, ',') AS frames FROM g""")
+g AS (SELECT 'cap:dns_ttl:' || qname AS question_id, 0 AS place, CAST(ttl AS VARCHAR) AS value, NULL::DOUBLE AS ms, NULL::DOUBLE AS tolerance, [response_frame] AS frames FROM names WHERE query_frame IS NOT NULL
+UNION ALL SELECT 'cap:handshake:' || conv, 0, NULL, handshake_ms, 2.0, [syn_frame, synack_frame, ack_frame] FROM shakes WHERE ack_frame IS NOT NULL
+UNION ALL SELECT 'cap:retransmissions:' || conv, 0, CAST(count(*) AS VARCHAR), NULL, NULL, list_sort(list(frame)) FROM t WHERE kind = 'retransmission' GROUP BY conv
+UNION ALL SELECT 'cap:top3_bytes:all', place, '{"dport":' || dport || ',"dst":"' || dst || '","proto":"' || proto || '","sport":' || sport || ',"src":"' || src || '"}', NULL, NULL, frames FROM (SELECT *, row_number() OVER (ORDER BY bytes DESC, id) AS place FROM convs) WHERE place < 4
+UNION ALL SELECT 'cap:zero_window:' || id, 0, CASE WHEN z.frames IS NULL THEN 'false' ELSE 'true' END, NULL, NULL, coalesce(z.frames, []) FROM convs LEFT JOIN z ON z.conv = id WHERE proto = 'tcp')
+SELECT question_id, CAST(place AS INTEGER) AS place, value, ms AS handshake_ms, tolerance, array_to_string(frames, ',') AS frames FROM g""")
 def derive_gold(spark, d):
     g = truth.gold(truth.facts(_truth(spark, d)))
-    return g.select("question_id", "place", F.when(F.col("kind") == "handshake", "ms").otherwise(F.col("value")).alias("value"), "tolerance", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
+    shake = F.col("kind") == "handshake"  # a number, which two engines write in two ways
+    return g.select("question_id", "place", F.when(~shake, F.col("value")).alias("value"), F.when(shake, F.col("value").cast("double")).alias("handshake_ms"), "tolerance", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
 
 
 # --- scoring: orders are questions, their lines gold values and two runs of answers ---
@@ -486,6 +546,27 @@ def score_citations(spark, d):
     return out.select("question_id", "cited", "precision", "recall", "valid", "equivalent", "related", "irrelevant", "invalid", "pass", "review")
 
 
+@query(_SCORED.rstrip() + """, g AS (SELECT o, q AS v, list(DISTINCT frame) AS golden FROM l GROUP BY 1, 2),
+p AS (SELECT o, CASE WHEN tax = 8 THEN -1 ELSE q END AS v, CASE WHEN tax = 1 THEN [frame, 5] ELSE [frame] END AS given, row_number() OVER (PARTITION BY o ORDER BY CASE WHEN o % 2 = 0 THEN i ELSE 8 - i END) AS place FROM l),
+a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY o, v ORDER BY place) = 1),
+c AS (SELECT o, v, unnest(list_distinct(given)) AS cited_frame FROM a),
+m AS (SELECT g.o, g.v, golden, c.cited_frame, list_contains(golden, c.cited_frame) AS hit, fr.frame IS NOT NULL AS there FROM g LEFT JOIN c ON c.o = g.o AND c.v = g.v LEFT JOIN fr ON fr.frame = c.cited_frame),
+s AS (SELECT o, v, any_value(len(golden)) AS n, count(cited_frame) AS cited, count(*) FILTER (hit) AS hits, count(*) FILTER (cited_frame IS NOT NULL AND NOT hit AND NOT there) AS invalid FROM m GROUP BY 1, 2)
+SELECT 's' || o AS question_id, CAST(v AS VARCHAR) AS element, cited, CASE WHEN cited = 0 THEN 0.0 ELSE round(hits / cited::DOUBLE, 4) END AS precision, round(hits / n::DOUBLE, 4) AS recall, cited > 0 AND invalid = 0 AS valid, invalid, cited > 0 AND hits = cited AS pass, NOT (cited > 0 AND hits = cited) AND invalid = 0 AS review FROM s""")
+def score_set_citations(spark, d):
+    """Elements of sets with the frames that an answer gives for each; frame 5 is in no table."""
+    gold, answers, frames = _scored(spark, d)
+    out = relational.citations(gold.filter("kind = 'set'"), answers, frames)
+    return out.select("question_id", "element", "cited", "precision", "recall", "valid", "invalid", "pass", "review")
+
+
+@query(f"""WITH right_ AS (SELECT run_id, question_id, bool_and(pass) AS ok FROM (SELECT run_id, question_id, pass FROM ({SQL['score_scalars']}) UNION ALL SELECT run_id, question_id, pass FROM ({SQL['score_sets']})) GROUP BY 1, 2),
+cited AS (SELECT question_id, avg(valid::INT) AS coverage, avg(precision) AS precision, avg(recall) AS recall FROM (SELECT question_id, valid, precision, recall FROM ({SQL['score_citations']}) UNION ALL SELECT question_id, valid, precision, recall FROM ({SQL['score_set_citations']})) GROUP BY 1)
+SELECT run_id, question_id, CASE WHEN ok THEN 'correct' ELSE 'wrong' END AS classification, round(coverage, 4) AS coverage, round(precision, 4) AS precision, round(recall, 4) AS recall FROM right_ JOIN cited USING (question_id)""")
+def run_scores(spark, d):
+    return relational.run_scores(*_scored(spark, d))
+
+
 # --- reports over scored runs: documents are runs, their labels the verdicts ---
 
 

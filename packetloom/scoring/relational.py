@@ -63,10 +63,12 @@ def citations(gold: DataFrame, answers: DataFrame, frames: DataFrame) -> DataFra
 
     A cited frame that isn't gold is equivalent if its flow and kind are those of a gold frame,
     related if its flow is, invalid if the capture doesn't have it, else irrelevant. A
-    citation passes if all of it is gold and some is there; without gold frames none may be."""
+    citation passes if all of it is gold and some is there; without gold frames none may be.
+    Equal elements of a gold set are one, with the frames of all."""
     key = [*KEYS, "element"]
     element = lambda kind: F.when(kind == "set", F.col("value"))
-    of = gold.select("question_id", "field", "kind", element(F.col("kind")).alias("element"), "frames").dropDuplicates(["question_id", "field", "element"])
+    of = gold.select("question_id", "field", "kind", element(F.col("kind")).alias("element"), "frames")
+    of = of.groupBy("question_id", "field", "kind", "element").agg(F.array_distinct(F.flatten(F.collect_list("frames"))).alias("frames"))
     kinds = of.select("question_id", "field", "kind").distinct()
     g = of.select("question_id", "field", "element", F.explode("frames").alias("frame")).distinct()
     about = frames.select("frame", "conv", "kind")

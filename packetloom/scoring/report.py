@@ -64,6 +64,19 @@ def context_cost(outputs: DataFrame) -> DataFrame:
     return sums.withColumn("share", F.col("chars") / outputs.select(F.sum(F.length("text"))).scalar())
 
 
+def write(runs: DataFrame, folder: str, *slices: str) -> None:
+    """report.json (the summary, one object) and slices.json (a line for each bucket of each
+    column of `slices`), as folders of one file; the latter's numbers are counted by Spark."""
+    summary(runs).coalesce(1).write.mode("overwrite").json(f"{folder}/report.json")
+    out = None
+    for key in slices:
+        rows = buckets(runs, key).select(F.lit(key).alias("slice"), F.col(key).cast("string").alias("name"), "total", "correct")
+        out = rows if out is None else out.unionByName(rows)
+    if out is not None:
+        rate = F.round(F.try_divide("correct", "total"), 6)
+        out.withColumn("share", rate).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/slices.json")
+
+
 def read_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON; lines that don't parse are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from packetloom import queries
+from packetloom import model_queries, queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,6 +18,15 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_model():
+    """The written model of a folder serves all queries of this module."""
+    real, kept = model_queries._model, {}
+    model_queries._model = lambda spark, d: kept[d] if d in kept else kept.setdefault(d, real(spark, d))
+    yield
+    model_queries._model = real
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
