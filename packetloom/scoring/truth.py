@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.ordered import laid, prefix
 from packetloom.scoring.score import key_of
+from packetloom.stage import written
 
 FRAME = (
     "frame bigint, t_ms double, conv string, kind string, wire_len bigint, proto string, src string, sport int, dst string, dport int, isn bigint, ack bigint, "
@@ -128,8 +129,8 @@ RULES = {
 def violations(frames: DataFrame, given: dict[str, DataFrame] | None = None) -> DataFrame:
     """(rule, frame) of every broken rule; empty if all is well. Tables of a truth file may be
     given and are then judged against its frames; others are made of the frames. Some thirty
-    rules read each table, so those made here are persisted (on disk where memory is short)."""
-    tables = {n: t if n == "frames" else t.persist() for n, t in facts(frames).items()} | (given or {})
+    rules read each table, so those made here are written first."""
+    tables = {n: t if n == "frames" or n in (given or {}) else written(t, n) for n, t in facts(frames).items()} | (given or {})
     spark, out = frames.sparkSession, None
     for rule, sql in RULES.items():
         used = {n: t for n, t in tables.items() if "{" + n + "}" in sql}
