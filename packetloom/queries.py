@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom import model_queries
 from packetloom.operators import index, ordered, pairing, timeseries
-from packetloom.plans import dsl, rawfilter
+from packetloom.plans import dsl, rawfilter, sqlgate
 from packetloom.schema import DISSECTED, column_of
 from packetloom.sources import tables as b
 
@@ -30,20 +30,26 @@ def col(name: str):
     return F.col(name)
 
 
-def n_of(cond):
-    return F.count_if(cond).cast("bigint")
+#: Views of delegated SQL: a table by its name, or the events in their role.
+ROLES = {"b_events": b.events}
+
+
+def delegated(name: str, sql: str, *tables: str, oracle: str | None = None, doc: str = "") -> None:
+    """Register SQL that goes through the gate: checked, and over views of these tables alone."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        made = {t: ROLES[t](spark, d) if t in ROLES else b.table(spark, d, t) for t in tables}
+        return sqlgate.plan(sqlgate.own_session(spark, made), sql, set(tables))
+
+    run.__doc__ = doc
+    text = oracle or sql
+    QUERIES[name], SQL[name] = run, E_ + text if "b_events" in tables else text
 
 
 # --- scans and counts ---
 
 
-@query("SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'pages', count(*) FROM pages")
-def scan_counts(spark, d):
-    out = None
-    for name in ("events", "lineitem", "orders", "pages"):
-        part = b.table(spark, d, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+delegated("scan_counts", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'pages', count(*) FROM pages", "events", "lineitem", "orders", "pages")
 
 
 # --- predicates of the query language ---
@@ -152,101 +158,38 @@ def http_fifo_no_orphans(spark, d):
 # --- sets ---
 
 
-def _users(spark, d, t):
-    return b.table(spark, d, "events").filter(col("event_type") == t).select("user_id")
-
-
-for _name, _f, _op in (
-    ("set_union", lambda x, y: x.union(y).distinct(), "UNION"),
-    ("set_union_all", lambda x, y: x.union(y), "UNION ALL"),
-    ("set_intersect", lambda x, y: x.intersect(y), "INTERSECT"),
-    ("set_except", lambda x, y: x.subtract(y), "EXCEPT"),
-    ("set_except_all", lambda x, y: x.exceptAll(y), "EXCEPT ALL"),
-    ("set_intersect_all", lambda x, y: x.intersectAll(y), "INTERSECT ALL"),
-):
-    QUERIES[_name] = lambda spark, d, f=_f: f(_users(spark, d, "signup"), _users(spark, d, "error"))
-    SQL[_name] = f"SELECT user_id FROM events WHERE event_type = 'signup' {_op} SELECT user_id FROM events WHERE event_type = 'error'"
-
-
-@query("SELECT DISTINCT l_suppkey AS src, l_returnflag FROM lineitem")
-def distinct_frames(spark, d):
-    return b.table(spark, d, "lineitem").select(col("l_suppkey").alias("src"), "l_returnflag").distinct()
-
+for _name in ("UNION", "UNION ALL", "INTERSECT", "EXCEPT", "EXCEPT ALL", "INTERSECT ALL"):
+    delegated(f"set_{_name.lower().replace(' ', '_')}", f"SELECT user_id FROM events WHERE event_type = 'signup' {_name} SELECT user_id FROM events WHERE event_type = 'error'", "events")
+delegated("distinct_frames", "SELECT DISTINCT l_suppkey AS src, l_returnflag FROM lineitem", "lineitem")
 
 # --- windows ---
 
-
-def _windowed(**cols):
-    def run(spark, d):
-        w = Window.partitionBy("conversation_id").orderBy("time_ms", "frame_number")
-        return b.events(spark, d).select("event_id", *(f(w).alias(n) for n, f in cols.items()))
-
-    return run
-
-
 _W = "OVER (PARTITION BY conversation_id ORDER BY time_ms, frame_number)"
-for _name, _cols, _sql in (
-    ("win_row_number", {"rn": lambda w: F.row_number().over(w)}, f"row_number() {_W} AS rn"),
-    ("win_lag_lead", {"before": lambda w: F.lag("type").over(w), "after": lambda w: F.lead("frame_number", 2).over(w)}, f"lag(type) {_W} AS before, lead(frame_number, 2) {_W} AS after"),
-    ("win_first_last", {"first_frame": lambda w: F.first("frame_number").over(w), "last_seen": lambda w: F.last("nvalue", ignorenulls=True).over(w)}, f"first_value(frame_number) {_W} AS first_frame, last_value(nvalue IGNORE NULLS) {_W} AS last_seen"),
-    ("win_range_frame", {"near": lambda w: F.count(F.lit(1)).over(Window.partitionBy("conversation_id").orderBy("frame_number").rangeBetween(-1000, 0))}, "count(*) OVER (PARTITION BY conversation_id ORDER BY frame_number RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS near"),
-    ("win_ntile", {"part": lambda w: F.ntile(4).over(w)}, f"ntile(4) {_W} AS part"),
+for _name, _sql in (
+    ("win_row_number", f"row_number() {_W} AS rn"),
+    ("win_lag_lead", f"lag(type) {_W} AS before, lead(frame_number, 2) {_W} AS after"),
+    ("win_range_frame", "count(*) OVER (PARTITION BY conversation_id ORDER BY frame_number RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS near"),
+    ("win_ntile", f"ntile(4) {_W} AS part"),
 ):
-    QUERIES[_name] = _windowed(**_cols)
-    SQL[_name] = E_ + f"SELECT event_id, {_sql} FROM b_events"
-
-
-@query(E_ + "SELECT conversation_id, event_id, r FROM (SELECT *, rank() OVER (PARTITION BY conversation_id ORDER BY value DESC, event_id) AS r FROM b_events) WHERE r <= 3")
-def win_rank_topn(spark, d):
-    w = Window.partitionBy("conversation_id").orderBy(col("value").desc(), "event_id")
-    return b.events(spark, d).withColumn("r", F.rank().over(w)).filter("r <= 3").select("conversation_id", "event_id", "r")
-
+    delegated(_name, f"SELECT event_id, {_sql} FROM b_events", "b_events")
+delegated(
+    "win_first_last", f"SELECT event_id, first_value(frame_number) {_W} AS first_frame, last_value(nvalue) IGNORE NULLS {_W} AS last_seen FROM b_events", "b_events",
+    oracle=f"SELECT event_id, first_value(frame_number) {_W} AS first_frame, last_value(nvalue IGNORE NULLS) {_W} AS last_seen FROM b_events",
+)
+delegated("win_rank_topn", "SELECT conversation_id, event_id, rank() OVER (PARTITION BY conversation_id ORDER BY value DESC, event_id) AS r FROM b_events QUALIFY r <= 3".replace("QUALIFY r", "QUALIFY rank() OVER (PARTITION BY conversation_id ORDER BY value DESC, event_id)"), "b_events")
 
 # --- aggregations ---
 
-
-@query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
-def agg_distinct(spark, d):
-    return b.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
-
-
-@query("SELECT l_linestatus, count(*) FILTER (l_returnflag = 'R') AS back, CAST(sum(l_quantity) FILTER (l_returnflag <> 'R') AS BIGINT) AS ahead FROM lineitem GROUP BY 1")
-def agg_filter(spark, d):
-    r = col("l_returnflag") == "R"
-    return b.table(spark, d, "lineitem").groupBy("l_linestatus").agg(n_of(r).alias("back"), F.sum(F.when(~r, col("l_quantity"))).cast("bigint").alias("ahead"))
-
-
-def _grouped(kind):
-    def run(spark, d):
-        b.table(spark, d, "lineitem").createOrReplaceTempView("packetloom_lines")
-        return spark.sql(f"SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM packetloom_lines GROUP BY {kind}")
-
-    return run
-
-
+delegated("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1", "lineitem")
+delegated("agg_filter", "SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'R') AS back, CAST(sum(l_quantity) FILTER (WHERE l_returnflag <> 'R') AS BIGINT) AS ahead FROM lineitem GROUP BY 1", "lineitem")
 for _name, _kind in (("agg_grouping_sets", "GROUPING SETS ((l_returnflag), (l_linestatus), ())"), ("agg_cube", "CUBE (l_returnflag, l_linestatus)"), ("agg_rollup", "ROLLUP (l_returnflag, l_linestatus)")):
-    QUERIES[_name] = _grouped(_kind)
-    SQL[_name] = f"SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM lineitem GROUP BY {_kind}"
-
+    delegated(_name, f"SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM lineitem GROUP BY {_kind}", "lineitem")
 
 # --- joins ---
 
-
-def _flows_joined(how):
-    """Whole tables, a flow with its frames; orders without lines are unmatched by nature."""
-
-    def run(spark, d):
-        o = b.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-        l = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # noqa: E741
-        return o.join(l, col("o_orderkey") == col("l_orderkey"), how)
-
-    return run
-
-
 _FL, _FR = "(SELECT o_orderkey, o_custkey FROM orders) o", "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l"
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full_outer", "FULL JOIN"), ("left_semi", "SEMI JOIN"), ("left_anti", "ANTI JOIN")):
-    QUERIES[f"join_{_how}_whole"] = _flows_joined(_how)
-    SQL[f"join_{_how}_whole"] = f"SELECT * FROM {_FL} {_sql} {_FR} ON o_orderkey = l_orderkey"
+    delegated(f"join_{_how}_whole", f"SELECT * FROM {_FL} {_sql} {_FR} ON o_orderkey = l_orderkey", "orders", "lineitem", doc="Whole tables, a flow with its frames; orders without lines are unmatched by nature.")
 
 
 @query("SELECT r_name, count(*) AS n FROM region, nation WHERE r_regionkey <> n_regionkey GROUP BY r_name")
@@ -258,30 +201,13 @@ def join_theta(spark, d):
     return r.join(per, col("r_regionkey") == col("n_regionkey"), "left").select("r_name", (total - F.coalesce("n", F.lit(0))).alias("n"))
 
 
-@query(E_ + """SELECT p.frame_number, v.frame_number AS view_frame FROM (SELECT * FROM b_events WHERE type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM b_events WHERE type = 'view') v ON p.conversation_id = v.conversation_id AND p.time_ms >= v.time_ms""")
-def asof_join(spark, d):
-    """The last view at or before each purchase: both sides meet in one sort, in ranges."""
-    e = b.events(spark, d)
-    views = e.filter("type = 'view'").select("conversation_id", "time_ms", col("frame_number").alias("view_frame"))
-    out = ordered.nearest(e.filter("type = 'purchase'").select("conversation_id", "time_ms", "frame_number"), views, ["conversation_id"], "time_ms")
-    return out.select("frame_number", "match.view_frame")
-
-
-@query("SELECT page_id, part FROM pages, LATERAL (SELECT unnest(string_split(url, '/')) AS part) WHERE part <> ''")
-def lateral_explode(spark, d):
-    return b.table(spark, d, "pages").select("page_id", F.explode(F.split("url", "/")).alias("part")).filter("part <> ''")
-
-
-@query("WITH RECURSIVE t(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 50) SELECT n, total FROM t")
-def recursive_cte(spark, d):
-    return spark.sql("WITH RECURSIVE t(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 50) SELECT n, total FROM t")
-
-
-@query("SELECT l_returnflag, O AS o, F AS f FROM (PIVOT (SELECT l_returnflag, l_linestatus FROM lineitem) ON l_linestatus IN ('O', 'F') USING count(*) GROUP BY l_returnflag)")
-def pivot_counts(spark, d):
-    p = b.table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).count()
-    return p.select("l_returnflag", F.coalesce("O", F.lit(0)).alias("o"), F.coalesce("F", F.lit(0)).alias("f"))
-
+delegated("asof_join", "SELECT p.frame_number, v.frame_number AS view_frame FROM (SELECT * FROM b_events WHERE type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM b_events WHERE type = 'view') v ON p.conversation_id = v.conversation_id AND p.time_ms >= v.time_ms", "b_events")
+delegated("lateral_explode", "SELECT page_id, part FROM pages, LATERAL (SELECT unnest(string_split(url, '/')) AS part) WHERE part <> ''", "pages")
+delegated("recursive_cte", "WITH RECURSIVE t(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 50) SELECT n, total, count(l_orderkey) AS lines FROM t LEFT JOIN lineitem ON CAST(l_quantity AS INT) = n GROUP BY n, total", "lineitem")
+delegated(
+    "pivot_counts", "SELECT l_returnflag, coalesce(open, 0) AS o, coalesce(done, 0) AS f FROM (SELECT l_returnflag, l_linestatus FROM lineitem) PIVOT (count(*) FOR l_linestatus IN ('O' AS open, 'F' AS done))", "lineitem",
+    oracle="SELECT l_returnflag, O AS o, F AS f FROM (PIVOT (SELECT l_returnflag, l_linestatus FROM lineitem) ON l_linestatus IN ('O', 'F') USING count(*) GROUP BY l_returnflag)",
+)
 
 # --- index ---
 
