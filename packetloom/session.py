@@ -160,11 +160,11 @@ class Session:
         """Frame records of the given frames, or of the given events (unknown ids are left out)."""
         if event_ids:
             ids = self.spark.createDataFrame([(i,) for i in set(event_ids)], "event_id string")
-            wanted = self.events.join(F.broadcast(ids), "event_id").select("frame_number").distinct()
+            wanted = self.events.join(ids, "event_id").select("frame_number").distinct()
         else:
             wanted = self.spark.createDataFrame([(int(f),) for f in set(frames or [])], "frame_number bigint")
         numbers = sorted(r[0] for r in wanted.collect())
-        asked = F.broadcast(self.spark.createDataFrame([(n,) for n in numbers], "frame_number bigint"))  # what the caller listed
+        asked = self.spark.createDataFrame([(n,) for n in numbers], "frame_number bigint")  # what the caller listed
         found = [r.asDict(recursive=True) for r in frames_of(self.frames, asked).withColumn("info", frame_info()).drop("capture_id").orderBy("frame_number").limit(EVIDENCE_FRAMES).collect()]
         missing = [r[0] for r in missing_of(self.frames, asked).orderBy("frame_number").collect()]
         there = len(numbers) - len(missing)
