@@ -50,6 +50,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def materialize_few(df: DataFrame, tag: str) -> DataFrame:
+    """materialize() for a table of a proven bound, such as a capped bitmap: a few files, however
+    many partitions it was made in (each file costs its writer a forked process or more)."""
+    return materialize(df.repartition(4), tag)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_packetloom_path", None)
@@ -136,7 +142,7 @@ def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     gone = materialize(gone.select(F.col("k").alias("__k")).filter("__k is not null").distinct(), "gone")
     bits = capped_bits(gone.count(), 32)
     spot = lambda k: F.xxhash64(k).bitwiseAND(F.lit(bits - 1))
-    pieces = F.broadcast(materialize(bitmap(gone.select(spot(F.col("__k")).alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "gonebits"))
+    pieces = F.broadcast(materialize_few(bitmap(gone.select(spot(F.col("__k")).alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "gonebits"))
     rows = df.withColumn("__key", key).withColumn("__pos", spot(F.col("__key")))
     rows = rows.join(pieces, F.expr(f"__pos div {PIECE}") == F.col("__piece"), "left").withColumn("__maybe", has_bit(F.col("__bits"), F.col("__pos")))
     free = rows.filter(~F.col("__maybe")).select(*df.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import PIECE, bitmap, capped_bits, discard, has_bit, materialize
+from packetloom.llm.common import PIECE, bitmap, capped_bits, discard, has_bit, materialize, materialize_few
 
 #: A group with at least this share of all candidate rows is joined by broadcast: there
 #: can't be more of them than its inverse.
@@ -45,7 +45,7 @@ def repeated(hashes: DataFrame, n: int) -> DataFrame:
     for k in range(ranges):
         part = hashes if ranges == 1 else hashes.filter(F.pmod(F.xxhash64("__h"), F.lit(ranges)) == k)
         half = capped_bits(-(-n // ranges), A_HASH, MOST) // 2
-        seen = materialize(_filter(part, half), "bloom")
+        seen = materialize_few(_filter(part, half), "bloom")
         some = materialize(_maybe(part, seen, half).groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__h"), "repeated")
         discard(seen)
         out = some if out is None else out.unionByName(some)
@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
     again = repeated(hashes, hashes.count())
     bits = capped_bits(again.count(), 32)
     spot = F.col("__h").bitwiseAND(F.lit(bits - 1))
-    pieces = F.broadcast(materialize(bitmap(again.select(spot.alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "again"))
+    pieces = F.broadcast(materialize_few(bitmap(again.select(spot.alias("pos")).distinct(), "pos").toDF("__piece", "__bits"), "again"))
     marked = rows.withColumn("__p", spot).join(pieces, F.expr(f"__p div {PIECE}") == F.col("__piece"), "left").withColumn("__maybe", has_bit(F.col("__bits"), F.col("__p"))).drop("__p", "__piece", "__bits")
     single = marked.filter(~F.col("__maybe")).select(*carry, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = materialize(marked.filter("__maybe").drop("__maybe", "__h").withColumn("__row", F.monotonically_increasing_id()), "maybe")
