@@ -50,7 +50,8 @@ def format_chats(chats: DataFrame) -> DataFrame:
 
     Rows are ordered by turn (null first), then role and text, so repeated turns stay and
     reruns agree. Null text and null role count as empty. Rows of a null conv_id form one
-    conversation. Other columns are not read. An empty table gives an empty result."""
+    conversation. Other columns are not read. An empty table gives an empty result. A conversation
+    is one row, so it must fit into a task, as must any text in it."""
     rows = chats.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text"))).alias("rows"))
     grouped = grouped.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))

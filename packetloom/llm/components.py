@@ -30,7 +30,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) to one row (node, component) for each node of an edge; component
-    is its smallest node. Loops and repeated edges do no harm; without edges it is empty."""
+    is its smallest node. Loops and repeated edges do no harm, nor do edges with a null end,
+    which are none; without edges it is empty."""
     turned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     now = materialize(turned, "edges")
     state = _state(now)

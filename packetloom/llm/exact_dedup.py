@@ -59,7 +59,12 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
     Texts are equal if they are identical; null counts as empty. Of equal texts the row with
     the largest id stays (null ids are smallest); of rows equal in id and text, exactly one
     stays. Input columns named like result columns are replaced. An empty table gives an
-    empty result. A hot group is counted by partial aggregation and joined by broadcast."""
+    empty result. A hot group is counted by partial aggregation and joined by broadcast. Texts are
+    hashed by Spark, whatever their length, and carried only if asked for. Names that begin
+    with two underscores are kept for the operator.
+
+    Pass one shuffles two bit positions a row (summed in each task first), which is as much as
+    the hashes would be; what the filter spares is the shuffle of rows and texts."""
     made = ("keep_id", "group_size", "kept", "text_sha256")
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
     text = F.coalesce(F.col(text_col), F.lit(""))

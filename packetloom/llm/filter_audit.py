@@ -35,7 +35,8 @@ def facts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts are empty; a null source is the part ''. A row fails E if its text is that of a
     row with a smaller doc_id; a null doc_id neither fails it nor makes others fail. A document
-    is good or toxic if any of its labels says 1; rows that share a doc_id share its labels."""
+    is good or toxic if any of its labels says 1; rows that share a doc_id share its labels. Texts
+    are judged by Spark's functions, whatever their length; other columns aren't read."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("t"))
     rows = rows.select("doc_id", "part", F.unhex(F.sha2("t", 256)).alias("h"), *[c.alias(k) for k, c in text_rules(F.col("t")).items()])

@@ -35,7 +35,7 @@ def targets(sources: DataFrame, total_share: float = 1.5, most: float = 2.0, wei
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """goals with passes (how often each document is taken whole) and limit: documents with a
     hash up to it are taken once more. The limit brings the source as near its target as
-    whole hashes can."""
+    whole hashes can. A null source is one; without goals there are no limits."""
     goals = goals.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     open_, closed = goals.withColumns({"prefix": F.lit(0).cast("long"), "below": F.lit(0).cast("long")}).filter("rest > 0"), [goals.filter("rest <= 0").withColumn("limit", F.lit(-1).cast("long"))]
@@ -72,14 +72,15 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def plan(sized: DataFrame, total_share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target, passes, limit) for sizes(): what the mix does with each
-    source, from histograms alone."""
+    source, from histograms alone. Without rows there are none; a source without words has
+    target 0 and gives nothing."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return thresholds(sized, materialize(targets(per, total_share, most, weights), "targets"))
 
 
 def times(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """rows (with source and __h) with __times, how often the mix takes each, and the
-    columns of its source's plan."""
+    """rows (with source and __h, null source included) with __times, how often the mix takes
+    each, and the columns of its source's plan. Rows of a source without a plan are left out."""
     few = limits.count() <= BROADCAST_SOURCES
     named = limits.withColumnRenamed("source", "__s")
     out = rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("__s")))
@@ -91,8 +92,10 @@ def mix(docs: DataFrame, total_share: float = 1.5, most: float = 2.0, weights: t
 
     taken is a multiple of size: a document is taken whole, up to `most` times. Which ones
     depends on their doc_id only, so reruns agree; rows that repeat a doc_id in a source go
-    together. Null and empty texts have size 0; the null source is a source like others,
-    last in order. Other columns are not read. An empty table gives an empty result."""
+    together. Null and empty texts have size 0, a text of any length is counted by Spark; the null
+    source is a source like others, last in order. Other columns are not read. An empty table
+    gives an empty result. The sources themselves (a row each) are ordered in one task: some
+    ten million of them are its bound."""
     sized = materialize(sizes(docs), "sizes")  # the texts are read once
     out = times(sized.withColumnRenamed("h", "__h"), plan(sized, total_share, most, weights))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("__times")).alias("taken"))

@@ -256,7 +256,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     Null ids and vectors that are null or hold a null or non-finite component take no part;
     shorter vectors count as padded with zeros; rows with the query's own id are left out.
     A repeated query id is one query for each of its different vectors, ranked together.
-    Components so large that a score may not fit into a long are an error (ValueError).
+    Components so large that a score may not fit into a long are an error (ValueError). An empty
+    table, and one without queries, give an empty result.
     Candidates are dealt once and queries go only to blocks that can matter; a task holds one
     block, whatever the input."""
     spark = vectors.sparkSession

@@ -387,7 +387,8 @@ def scores(docs: DataFrame, held_out: Column, seed: int = 7, split: int = SPLIT,
     words and one unknown. Null and empty texts are one end. A null or repeated id is a row like
     others; other columns aren't read. Without training rows every token is unknown: its
     probability is 1. An empty table gives an empty result. Words are told apart by 64 bits of
-    hash. Reruns agree.
+    hash. A text of any length is scored whole, in a block of its own if it has more than BLOCK
+    tokens. Reruns agree.
 
     One round of blocked Gibbs: contexts are swept given the parent, then the parent given the
     contexts' tables; predictions average the last sweeps. Parts of a split context hold the

@@ -218,7 +218,10 @@ def near_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "d
 
 
 def near_components(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_dedup with component, a fingerprint that names the component whatever its ids."""
+    """near_dedup with component, a fingerprint that names the component whatever its ids. Nulls
+    and empty texts have fingerprint zero and are linked like any other; repeated and null ids
+    are rows of their own; an empty table gives an empty result. A text of any length is one
+    row, whose shingles a task holds in turn."""
     carry = [c for c in (carry or [id_col]) if c not in ("fp", "component_id", "component")]
     rows = materialize(fingerprints(docs, carry, text_col), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")

@@ -3,7 +3,8 @@
 Suffixes are ordered only through their first DEPTH bytes, most significant digit first; a
 digit has DIGIT bytes. A pass splits the groups that the digits before left equal; suffixes
 alone in their group leave; groups left equal after the last digit are exactly the repeated
-strings. Bytes are compared, not hashes.
+strings. That compares bytes. Two kinds of results rest on hashes instead and don't pass the
+radix sort, as said below: whole runs that are equal, and crowded groups.
 
 Not every suffix need be sorted. Of the GRAMs inside a string of DEPTH bytes the one with the
 smallest hash stands for it; equal strings have equal representatives at the same place, so
@@ -347,7 +348,10 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, text_col: st
     Texts count as UTF-8 bytes, null as empty. Each byte that a string of DEPTH bytes covers
     which also starts anywhere else, in the same text or another, is removed; what is repeated
     is judged on the input; strings never cross texts. n_spans counts maximal removed runs.
-    Texts shorter than DEPTH are kept whole. All of equal texts go (no copy is spared).
+    Texts shorter than DEPTH are kept whole, however many; of longer ones all equal texts go (no
+    copy is spared). A text of any length is read in pieces of BUFFER bytes; its own bytes and
+    its spans are held whole once, by the task that cuts it. Names that begin with two
+    underscores are kept for the operator.
     Input columns named like result columns are replaced; an empty table gives an empty
     result. A text's spans depend on nothing but the text and the table, so texts are keyed
     by 128 bits of hash, and repeated rows or null ids do no harm."""

@@ -248,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """The carried columns with score and predicted; a narrow map. A null text is empty: it
-    has no features and gets the bias alone. Columns of those names are replaced."""
+    has no features and gets the bias alone. Columns of those names are replaced. A text of any
+    length is scored whole, a row at a time if it is long; an empty table gives an empty result."""
     ship(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in ("score", "predicted") and (carry is None or f.name in carry)]
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

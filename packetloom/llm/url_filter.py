@@ -64,7 +64,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, othe
     The longest fitting rule decides (of equally long ones the greatest by code point);
     where none fits, rule is null and the verdict is `otherwise`. Null urls and those
     without :// have an empty host and path, and no rule. Other columns are not read, so
-    they can't clash; repeated rows are judged alike. A rule without a literal token (an empty
+    they can't clash; repeated rows are judged alike, urls of any length are read whole, and an
+    empty table gives an empty result. A rule without a literal token (an empty
     host and no directory) can't be indexed, so every url with :// fetches it; with many rules
     the others are joined by token and the verdicts are the same."""
     made = [Rule(*r) for r in rules]

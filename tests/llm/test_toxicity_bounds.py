@@ -39,3 +39,14 @@ def test_priors(tables):
     none = toxicity.train(docs, labels.limit(0), prior=0.6)
     assert np.isclose(toxicity.score(docs, none).first().score, 0.6)
     assert toxicity.train(docs, labels.withColumn("toxic", F.lit(1))).prior == toxicity.PRIOR[1]
+
+
+def test_many_sources_are_joined(spark, monkeypatch):
+    """More sources than are broadcast: the same mix."""
+    from packetloom.llm import mixing
+
+    rows = [(i, None if i % 50 == 0 else f"s{i % 37}", "w " * (i % 9)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=repr) == want
