@@ -494,9 +494,13 @@ def derive_gold(spark, d):
 # --- scoring: orders are questions, their lines gold values and two runs of answers ---
 
 
+_NTH = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax, l_returnflag)"
+
+
 def _lines(spark, d) -> DataFrame:
-    rank = "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS dup"
-    return b.table(spark, d, "lineitem").selectExpr("l_orderkey AS o", "l_linenumber AS i", "CAST(l_quantity AS BIGINT) AS q", "l_suppkey AS s", "l_returnflag = 'R' AS r", "l_orderkey * 10 + l_linenumber AS frame", "CAST(l_tax * 100 AS INT) AS tax", rank).filter("dup = 1")
+    """Every line, numbered inside its order."""
+    l = b.table(spark, d, "lineitem").selectExpr("l_orderkey AS o", f"{_NTH} AS i", "CAST(l_quantity AS BIGINT) AS q", "l_suppkey AS s", "l_returnflag = 'R' AS r", "CAST(l_tax * 100 AS INT) AS tax")  # noqa: E741
+    return l.withColumn("frame", F.expr("o * 1000 + i"))
 
 
 def _scored(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -512,8 +516,7 @@ def _scored(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return gold, first.unionByName(second), frames
 
 
-_SCORED = """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS i, CAST(l_quantity AS BIGINT) AS q, l_suppkey AS s, l_returnflag = 'R' AS r, l_orderkey * 10 + l_linenumber AS frame, CAST(trunc(l_tax * 100) AS INTEGER) AS tax,
-  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS dup FROM lineitem QUALIFY dup = 1),
+_SCORED = f"""WITH l AS (SELECT *, o * 1000 + i AS frame FROM (SELECT l_orderkey AS o, {_NTH} AS i, CAST(l_quantity AS BIGINT) AS q, l_suppkey AS s, l_returnflag = 'R' AS r, CAST(trunc(l_tax * 100) AS INTEGER) AS tax FROM lineitem)),
 fr AS (SELECT frame, o AS conv, q % 3 AS kind FROM l) """
 
 
