@@ -5,16 +5,16 @@ match (ordered, unordered, top_k_prefix; sets only), place (of a set's element,
 value (JSON text with sorted keys), tolerance_abs, tolerance_rel, frames (array).
 ANSWERS has a row for each given value: run_id, question_id, field, place, value, frames.
 FRAMES has frame, conv, kind of every frame of the capture.
-Nothing is collected by question: frames and elements are counted by grouped sums."""
+Nothing is collected by question: elements are counted by grouped sums, and only the places and
+frames of one value of one answer are an array."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.stage import written
+
 KEYS = ["run_id", "question_id", "field"]
 
 
@@ -22,39 +22,67 @@ def _plain(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
+def _runs(answers: DataFrame) -> DataFrame:
+    return answers.select("run_id", "question_id").distinct()
+
+
+def _singles(gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """A row for each run and gold value that isn't of a set, with what the run gives (null:
+    nothing): want, tolerances and golden frames beside got, place and cited frames."""
+    g = gold.filter("kind <> 'set'").select("question_id", "field", "kind", F.col("value").alias("want"), "tolerance_abs", "tolerance_rel", F.col("frames").alias("golden"))
+    given = answers.select(*KEYS, F.col("value").alias("got"), "place", F.col("frames").alias("cited"))
+    return _runs(answers).join(g, "question_id").join(given, KEYS, "left")
+
+
+def _values(gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """A row for each run and different value of a field, given or of a gold set: how often it is
+    wanted and given, the first place where it is given, the number of places where it is both,
+    the frames that show it, and those cited where it is first given. Gold is dealt to the runs
+    first, so one exchange brings together all that is about a value."""
+    g = gold.filter("kind = 'set'").select("question_id", "field", "match", "value", "place", "frames")
+    want = _runs(answers).join(g, "question_id").select(*KEYS, "value", "match", "place", "frames", F.lit(True).alias("gold"))
+    got = answers.select(*KEYS, "value", F.lit(None).cast("string").alias("match"), "place", "frames", F.lit(False).alias("gold"))
+    of, by = F.col("gold"), ~F.col("gold")
+    places = lambda side: F.collect_list(F.when(side, F.col("place")))
+    v = want.unionByName(got).repartition(*KEYS, "value").groupBy(*KEYS, "value")
+    return v.agg(
+        F.max("match").alias("match"), F.count_if(of).alias("wanted"), F.count_if(by).alias("given"), F.min(F.when(by, F.col("place"))).alias("ahead"),
+        F.size(F.array_intersect(places(of), places(by))).alias("in_place"), F.array_distinct(F.flatten(F.collect_list(F.when(of, F.col("frames"))))).alias("golden"),
+        F.min_by("frames", F.when(by, F.col("place"))).alias("cited"),
+    )
+
+
 def scalars(gold: DataFrame, answers: DataFrame) -> DataFrame:
     """(run_id, question_id, field, pass): numbers within max(tolerance_abs, tolerance_rel *
     gold), all else equal once trimmed and lower-cased. An answer without the field fails."""
-    g = gold.filter("kind <> 'set'").select("question_id", "field", "kind", F.col("value").alias("want"), "tolerance_abs", "tolerance_rel")
-    runs = answers.select("run_id", "question_id").distinct()
-    given = answers.select(*KEYS, F.col("value").alias("got"))
+    return _scalars(_singles(gold, answers))
+
+
+def _scalars(singles: DataFrame) -> DataFrame:
     want, got = F.col("want").try_cast("double"), F.col("got").try_cast("double")
     room = F.greatest(F.coalesce("tolerance_abs", F.lit(0.0)), F.abs(F.coalesce("tolerance_rel", F.lit(0.0)) * want))
     right = F.when((F.col("kind") == "scalar_number") & want.isNotNull(), F.abs(got - want) <= room).otherwise(_plain(F.col("got")) == _plain(F.col("want")))
-    return runs.join(g, "question_id").join(given, KEYS, "left").select(*KEYS, F.coalesce(right, F.lit(False)).alias("pass"))
+    return singles.select(*KEYS, F.coalesce(right, F.lit(False)).alias("pass"))
 
 
 def sets(gold: DataFrame, answers: DataFrame) -> DataFrame:
     """(run_id, question_id, field, pass, partial, rank_errors): ordered sets must agree place
     by place, unordered ones as multisets, top_k_prefix ones as sets of the gold's size;
     partial and rank_errors are of the latter."""
-    g = gold.filter("kind = 'set'")
-    size = g.groupBy("question_id", "field").agg(F.first("match").alias("match"), F.count(F.lit(1)).alias("n"))
-    runs = answers.select("run_id", "question_id").distinct().join(size, "question_id")
-    given = answers.join(size, ["question_id", "field"]).select(*KEYS, "place", "value", "n")
-    total = given.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("m"))
-    # how often a value is gold and how often it is given, by run
-    head = given.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("given"), F.count_if(F.col("place") <= F.col("n")).alias("ahead"))
-    want = g.groupBy("question_id", "field", "value").agg(F.count(F.lit(1)).alias("wanted"))
-    hits = head.join(want, ["question_id", "field", "value"]).groupBy(*KEYS).agg(F.sum(F.least("given", "wanted")).alias("common"), F.count_if(F.col("ahead") > 0).alias("hits"))
-    placed = given.select(*KEYS, "place", F.col("value").alias("got")).join(g.select("question_id", "field", "place", "value"), ["question_id", "field", "place"])
-    placed = placed.groupBy(*KEYS).agg(F.count_if(F.col("got") == F.col("value")).alias("in_place"))
-    distinct = g.groupBy("question_id", "field").agg(F.count_distinct("value").alias("kinds"))
-    all_ = runs.join(total, KEYS, "left").join(hits, KEYS, "left").join(placed, KEYS, "left").join(distinct, ["question_id", "field"]).fillna(0, ["m", "common", "hits", "in_place"])
+    return _sets(_values(gold, answers))
+
+
+def _sets(values: DataFrame) -> DataFrame:
+    known = F.col("value").isNotNull()
+    v = values.select(*KEYS, "value", "match", "wanted", "given", "ahead", "in_place").withColumn("n", F.sum("wanted").over(Window.partitionBy(*KEYS))).filter("n > 0")
+    s = v.groupBy(*KEYS).agg(
+        F.max("match").alias("match"), F.max("n").alias("n"), F.sum("given").alias("m"), F.sum(F.when(known, F.least("wanted", "given")).otherwise(0)).alias("common"),
+        F.count_if(known & (F.col("wanted") > 0) & (F.col("ahead") <= F.col("n"))).alias("hits"), F.sum(F.when(known, F.col("in_place")).otherwise(0)).alias("in_place"),
+    )
     top = F.col("match") == "top_k_prefix"
     same = F.col("m") == F.col("n")
     right = F.when(F.col("match") == "ordered", same & (F.col("in_place") == F.col("n"))).when(top, same & (F.col("hits") == F.col("n"))).otherwise(same & (F.col("common") == F.col("n")))
-    return all_.select(*KEYS, right.alias("pass"), F.when(top, F.round(F.col("hits") / F.col("n"), 4)).alias("partial"), F.when(top, F.least("m", "n") - F.col("in_place")).alias("rank_errors"))
+    return s.select(*KEYS, right.alias("pass"), F.when(top, F.round(F.col("hits") / F.col("n"), 4)).alias("partial"), F.when(top, F.least("m", "n") - F.col("in_place")).alias("rank_errors"))
 
 
 def citations(gold: DataFrame, answers: DataFrame, frames: DataFrame) -> DataFrame:
@@ -65,40 +93,30 @@ def citations(gold: DataFrame, answers: DataFrame, frames: DataFrame) -> DataFra
     related if its flow is, invalid if the capture doesn't have it, else irrelevant. A
     citation passes if all of it is gold and some is there; without gold frames none may be.
     Equal elements of a gold set are one, with the frames of all."""
+    return _citations(_singles(gold, answers), _values(gold, answers), frames)
+
+
+def _citations(singles: DataFrame, values: DataFrame, frames: DataFrame) -> DataFrame:
     key = [*KEYS, "element"]
-    element = lambda kind: F.when(kind == "set", F.col("value"))
-    of = gold.select("question_id", "field", "kind", element(F.col("kind")).alias("element"), "frames")
-    of = of.groupBy("question_id", "field", "kind", "element").agg(F.array_distinct(F.flatten(F.collect_list("frames"))).alias("frames"))
-    kinds = of.select("question_id", "field", "kind").distinct()
-    g = of.select("question_id", "field", "element", F.explode("frames").alias("frame")).distinct()
-    about = frames.select("frame", "conv", "kind")
-    known = g.join(about, "frame")
-    profiles = known.select("question_id", "field", "element", "conv", "kind").filter("conv is not null").distinct()
-    flows = profiles.select("question_id", "field", "element", "conv").distinct()
-    given = answers.join(kinds, ["question_id", "field"]).select(*KEYS, element(F.col("kind")).alias("element"), "frames", "place")
-    first = Window.partitionBy(*KEYS, "element").orderBy("place")  # a repeated element counts once
-    given = given.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k", "place")
-    cited = given.select(*key, F.explode("frames").alias("frame")).distinct()
-
-    def marked(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFrame:
-        o = other.select(*(F.col(c).alias(f"__{c}") for c in on), F.lit(True).alias(name))
-        return df.join(o, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) if c == "element" else F.col(c) == F.col(f"__{c}") for c in on)), "left").select(*df.columns, F.coalesce(name, F.lit(False)).alias(name))
-
-    c = cited.join(about, "frame", "left").join(frames.select("frame", F.lit(True).alias("there")), "frame", "left").select(*key, "frame", "conv", "kind", F.coalesce("there", F.lit(False)).alias("there"))
-    c = marked(c, g, ["question_id", "field", "element", "frame"], "gold")
-    c = marked(c, flows, ["question_id", "field", "element", "conv"], "flow")
-    c = marked(c, profiles, ["question_id", "field", "element", "conv", "kind"], "profile")
-    n = lambda cond: F.count_if(cond).cast("bigint")
-    other = ~F.col("gold")
-    sums = c.groupBy(*key).agg(
-        n(F.lit(True)).alias("cited"), n(F.col("gold")).alias("hits"), n(other & F.col("there") & F.col("profile")).alias("equivalent"), n(other & F.col("there") & F.col("flow") & ~F.col("profile")).alias("related"),
-        n(other & F.col("there") & ~F.col("flow")).alias("irrelevant"), n(~F.col("there") & other).alias("invalid"),
-    )
-    sizes = of.select("question_id", "field", "element", F.size(F.array_distinct("frames")).cast("bigint").alias("golden"))
-    runs = answers.select("run_id", "question_id").distinct().join(sizes, "question_id")
-    s = sums.select(*(F.col(x).alias(f"__{x}") if x in key else F.col(x) for x in sums.columns))
-    on = (F.col("run_id") == F.col("__run_id")) & (F.col("question_id") == F.col("__question_id")) & (F.col("field") == F.col("__field")) & F.col("element").eqNullSafe(F.col("__element"))
-    out = runs.join(s, on, "left").fillna(0, ["cited", "hits", "equivalent", "related", "irrelevant", "invalid"])
+    lone = singles.groupBy(*KEYS, "kind").agg(F.array_distinct(F.flatten(F.collect_list("golden"))).alias("golden"), F.min_by("cited", "place").alias("cited"))  # a repeated answer counts once
+    both = lone.select(*KEYS, F.lit(None).cast("string").alias("element"), "golden", "cited").unionByName(values.filter("wanted > 0").select(*KEYS, F.col("value").alias("element"), "golden", "cited"))
+    both = both.withColumn("cited", F.array_distinct(F.coalesce("cited", F.array().cast("array<bigint>")))).withColumn("others", F.array_except("cited", "golden"))
+    size = lambda c: F.size(c).cast("bigint")
+    own = F.when(F.size("others") > 0, F.col("golden"))
+    both = written(both.select(*key, size("cited").alias("cited"), (size("cited") - size("others")).alias("hits"), size("golden").alias("golden"), F.when(F.size("others") > 0, F.col("others")).alias("others"), own.alias("own")), "cited")
+    # only frames that aren't gold are looked up, and the gold frames beside them
+    head = [*key, "cited", "hits", "golden"]
+    as_rows = lambda c, gold: F.transform(c, lambda f: F.struct(f.alias("frame"), F.lit(gold).alias("gold")))
+    each = both.filter("others is not null").select(*head, F.explode(F.concat(as_rows("others", False), as_rows("own", True))).alias("f")).select(*head, "f.frame", "f.gold")
+    each = each.join(frames.select("frame", "conv", "kind", F.lit(True).alias("there")), "frame", "left").repartition(*key)
+    there, gold = F.col("there").isNotNull(), F.col("gold")
+    total = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    each = each.groupBy(*head, "conv", "kind").agg(F.count_if(~gold & there).alias("n"), F.count_if(~gold & ~there).alias("lost"), F.count_if(gold & there).alias("own"))
+    each = each.groupBy(*head, "conv").agg(total("n", F.col("kind").isNotNull() & (F.col("own") > 0)).alias("same"), F.sum("n").alias("n"), F.sum("lost").alias("lost"), F.sum("own").alias("own"))
+    flow = F.col("conv").isNotNull() & (F.col("own") > 0)
+    found = each.withColumn("more", F.col("n") - F.col("same")).groupBy(*head).agg(total("same", flow).alias("equivalent"), total("more", flow).alias("related"), total("n", ~flow).alias("irrelevant"), F.sum("lost").alias("invalid"))
+    plain = both.filter("others is null").select(*head, *(F.lit(0).cast("bigint").alias(c) for c in ("equivalent", "related", "irrelevant", "invalid")))
+    out = plain.unionByName(found)
     none = F.col("golden") == 0
     precision = F.when(none, (F.col("cited") == 0).cast("double")).when(F.col("cited") == 0, 0.0).otherwise(F.col("hits") / F.col("cited"))
     recall = F.when(none, 1.0).otherwise(F.col("hits") / F.col("golden"))
@@ -112,11 +130,12 @@ def citations(gold: DataFrame, answers: DataFrame, frames: DataFrame) -> DataFra
 
 def run_scores(gold: DataFrame, answers: DataFrame, frames: DataFrame) -> DataFrame:
     """One row a run and question: classification, coverage, precision and recall (means over
-    its gold values)."""
-    right = scalars(gold, answers).unionByName(sets(gold, answers).select(*KEYS, "pass"))
-    right = right.groupBy("run_id", "question_id").agg(F.bool_and("pass").alias("right"))
-    cited = citations(gold, answers, frames).groupBy("run_id", "question_id").agg(F.avg(F.col("valid").cast("double")).alias("coverage"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
-    out = right.join(cited, ["run_id", "question_id"])
+    its gold values). Gold and answers meet once; what they say together is written."""
+    singles, values = written(_singles(gold, answers), "singles"), written(_values(gold, answers), "values")
+    right = _scalars(singles).unionByName(_sets(values).select(*KEYS, "pass"))
+    right = right.select("run_id", "question_id", "pass", *(F.lit(None).cast("double").alias(c) for c in ("valid", "precision", "recall")))
+    cited = _citations(singles, values, frames).select("run_id", "question_id", F.lit(None).cast("boolean").alias("pass"), F.col("valid").cast("double").alias("valid"), "precision", "recall")
+    out = right.unionByName(cited).groupBy("run_id", "question_id").agg(F.bool_and("pass").alias("right"), *(F.avg(c).alias(n) for c, n in (("valid", "coverage"), ("precision", "precision"), ("recall", "recall"))))
     return out.select("run_id", "question_id", F.when(F.col("right"), "correct").otherwise("wrong").alias("classification"), *(F.round(c, 4).alias(c) for c in ("coverage", "precision", "recall")))
 
 
