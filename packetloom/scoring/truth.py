@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.ordered import laid, prefix
 from packetloom.scoring.score import key_of
-from packetloom.stage import written
+from packetloom.stage import dropped, gathered, written
 
 FRAME = (
     "frame bigint, t_ms double, conv string, kind string, wire_len bigint, proto string, src string, sport int, dst string, dport int, isn bigint, ack bigint, "
@@ -129,13 +129,17 @@ RULES = {
 def violations(frames: DataFrame, given: dict[str, DataFrame] | None = None) -> DataFrame:
     """(rule, frame) of every broken rule; empty if all is well. Tables of a truth file may be
     given and are then judged against its frames; others are made of the frames. Some thirty
-    rules read each table, so those made here are written first."""
-    tables = {n: t if n == "frames" or n in (given or {}) else written(t, n) for n, t in facts(frames).items()} | (given or {})
-    spark, out = frames.sparkSession, None
-    for rule, sql in RULES.items():
+    rules read each table, so those made here are written first, and the rules are judged one
+    after another: planned as one, their joins fill the driver."""
+    made = {n: written(t, n) for n, t in facts(frames).items() if n != "frames" and n not in (given or {})}
+    tables = {"frames": frames} | made | (given or {})
+
+    def broken(rule: str, sql: str) -> DataFrame:
         used = {n: t for n, t in tables.items() if "{" + n + "}" in sql}
-        broken = spark.sql(sql, **used).select(F.lit(rule).alias("rule"), F.col("frame").cast("bigint").alias("frame"))
-        out = broken if out is None else out.unionByName(broken)
+        return frames.sparkSession.sql(sql, **used).select(F.lit(rule).alias("rule"), F.col("frame").cast("bigint").alias("frame"))
+
+    out = gathered((broken(rule, sql) for rule, sql in RULES.items()), "broken")
+    dropped(*made.values())
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def gathered(parts: Iterable[DataFrame], tag: str) -> DataFrame:
+    """The rows of parts of one schema, each written before the next is planned: the driver holds
+    one plan at a time, with what it broadcasts, however many there are."""
+    path = out = None
+    for df in parts:
+        if path is None:
+            path = f"{folder(df.sparkSession)}/packetloom-{tag}-{uuid.uuid4().hex}"
+            at, system = _path(df.sparkSession, path)
+            system.deleteOnExit(at)
+            out = df
+        df.write.mode("append").parquet(path)
+    if path is None:
+        raise ValueError("nothing to gather")
+    out = out.sparkSession.read.schema(out.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     for df in tables:
