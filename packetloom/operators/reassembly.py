@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.operators.ordered import laid, prefix
+from packetloom.stage import written
 
 WRAP = 1 << 32
 _BYTE = "ISO-8859-1"
@@ -41,13 +42,21 @@ def merged(segments: DataFrame, keys: list[str], order: str = "frame_number", se
     the stream's lowest byte, gap is the number of bytes missing before the piece. Of bytes sent
     more than once those of the segment that begins earlier stay, of equal beginnings those
     that arrived first. Null and empty segments give nothing; null keys are a stream."""
-    u = unwrapped(segments.select(*keys, order, seq, as_text(F.col(data)).alias("text")), keys, order, seq).filter(F.length("text") > 0)
-    end = F.col("at") + F.length("text")
-    x = laid(u.select(*keys, order, "at", "text"), keys, ["at", order])
+    whole = _named(segments.filter(F.col(seq).isNotNull()).select(*keys, order, seq, as_text(F.col(data)).alias("text")), "segments")
+    u = unwrapped(whole.select(*keys, order, seq, "__id", F.length("text").alias("__n")), keys, order, seq).filter("__n > 0")
+    end = F.col("at") + F.col("__n")
+    x = laid(u.select(*keys, order, "at", "__id", "__n"), keys, ["at", order])
     x = prefix(x, keys, __end=("max", end), __base=("first", F.col("at")))
     begin = F.greatest("at", F.coalesce("__end", "at"))
     x = x.withColumns({"__begin": begin, "gap": F.greatest(F.col("at") - F.coalesce("__end", "at"), F.lit(0)).cast("long")}).filter(end > F.col("__begin"))
-    return x.select(*keys, (F.col("__begin") - F.coalesce("__base", "at")).alias("at"), F.expr("substring(text, CAST(__begin - at AS INT) + 1)").alias("text"), "gap")
+    x = x.select(*keys, (F.col("__begin") - F.coalesce("__base", "at")).alias("at"), (F.col("__begin") - F.col("at") + 1).cast("int").alias("__from"), "gap", "__id")
+    return x.join(whole.select("__id", "text"), "__id").select(*keys, "at", F.expr("substring(text, __from)").alias("text"), "gap")
+
+
+def _named(df: DataFrame, tag: str) -> DataFrame:
+    """df, written, with a number for each row: scans run over what they need, and texts meet
+    their results once, by number."""
+    return written(df.withColumn("__id", F.monotonically_increasing_id()), tag)
 
 
 def messages(pieces: DataFrame, keys: list[str], delimiter: bytes) -> DataFrame:
