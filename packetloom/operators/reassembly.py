@@ -66,16 +66,20 @@ def messages(pieces: DataFrame, keys: list[str], delimiter: bytes) -> DataFrame:
     n, mark = len(delimiter), delimiter.decode(_BYTE)
     if not n or any(delimiter[:k] == delimiter[-k:] for k in range(1, n)):
         raise ValueError("a delimiter must not be empty or overlap itself")
-    x = laid(pieces, keys, ["at"])
+    whole = _named(pieces.select(*keys, "at", "text", "gap"), "pieces")
+    split = lambda c: F.split(c, rf"\Q{mark}\E", -1)
+    edge = F.when(F.col("gap") > 0, F.concat(F.lit("\x00"), "text")).otherwise(F.col("text"))
     # the last n - 1 bytes before a piece lie in the n - 1 pieces before it; a gap breaks them
-    x = x.withColumn("__tail0", F.when(F.col("gap") > 0, F.concat(F.lit("\x00"), "text")).otherwise(F.col("text")))
+    x = laid(whole.select(*keys, "at", "gap", "__id", F.right(edge, F.lit(n - 1)).alias("__tail0"), F.left("text", F.lit(n - 1)).alias("__head"), (F.size(split(F.col("text"))) - 1).alias("__inside")), keys, ["at"])
     for k in range(1, n):
         x = prefix(x, keys, **{f"__tail{k}": ("last", F.col(f"__tail{k - 1}"))})
     tails = [F.coalesce(F.col(f"__tail{k}"), F.lit("")) for k in range(n - 1, 0, -1)]
     tail = F.when(F.col("gap") > 0, F.lit("")).otherwise(F.right(F.concat(*tails), F.lit(n - 1))) if tails else F.lit("")
+    # delimiters don't overlap, so those that end in a piece lie inside it or across its beginning
+    across = F.size(split(F.concat("__t", "__head"))) - 1
+    x = prefix(x.withColumn("__t", tail).withColumn("__n", (F.col("__inside") + across).cast("long")), keys, __before=("sum", F.col("__n")))
     # texts up to each delimiter that ends in the piece; the tail is cut off the first again
-    x = x.withColumn("__t", tail).withColumn("__parts", F.split(F.concat("__t", "text"), rf"\Q{mark}\E", -1))
-    x = prefix(x.withColumn("__n", (F.size("__parts") - 1).cast("long")), keys, __before=("sum", F.col("__n")))
+    x = x.select("__id", "__t", "__before").join(whole, "__id").withColumn("__parts", split(F.concat("__t", "text")))
     part = x.select(*keys, "at", "gap", F.coalesce("__before", F.lit(0)).alias("__before"), F.length("__t").alias("__cut"), F.posexplode("__parts").alias("__i", "__part"))
     own = F.when(F.col("__i") == 0, F.expr("substring(__part, __cut + 1)")).otherwise(F.col("__part"))
     # a first part shorter than the tail: the delimiter began in the pieces before, which lose it
