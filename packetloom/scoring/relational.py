@@ -22,30 +22,40 @@ def _plain(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-def _runs(answers: DataFrame) -> DataFrame:
-    return answers.select("run_id", "question_id").distinct()
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by question, the one key under which gold, runs and answers meet: all that follows is
+    grouped inside it and deals nothing again. What lies so already isn't moved."""
+    return rows.filter("question_id is not null").repartition("question_id")
+
+
+def _wanted(gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """Gold for each run that answers its question. Runs are counted, not only told apart, so that
+    they need a column that others need too and all read the same exchange of the answers."""
+    runs = _dealt(answers).groupBy("run_id", "question_id").agg(F.count_if(F.col("place") >= 0).alias("given")).filter("given >= 0")
+    return runs.drop("given").join(_dealt(gold), "question_id")
 
 
 def _singles(gold: DataFrame, answers: DataFrame) -> DataFrame:
     """A row for each run and gold value that isn't of a set, with what the run gives (null:
     nothing): want, tolerances and golden frames beside got, place and cited frames."""
-    g = gold.filter("kind <> 'set'").select("question_id", "field", "kind", F.col("value").alias("want"), "tolerance_abs", "tolerance_rel", F.col("frames").alias("golden"))
-    given = answers.select(*KEYS, F.col("value").alias("got"), "place", F.col("frames").alias("cited"))
-    return _runs(answers).join(g, "question_id").join(given, KEYS, "left")
+    want, got = F.struct("kind", F.col("value").alias("want"), "tolerance_abs", "tolerance_rel", F.col("frames").alias("golden")), F.struct(F.col("value").alias("got"), "place", F.col("frames").alias("cited"))
+    g = _wanted(gold.filter("kind <> 'set'"), answers).select(*KEYS, want.alias("want"))
+    a = _dealt(answers).select(*KEYS, got.alias("got"))
+    both = g.withColumn("got", F.lit(None).cast(a.schema["got"].dataType)).unionByName(a.withColumn("want", F.lit(None).cast(g.schema["want"].dataType)))
+    # answers that no such value asks for leave before those of a field become an array
+    both = both.withColumn("asked", F.count("want").over(Window.partitionBy(*KEYS))).filter("asked > 0").groupBy(*KEYS).agg(F.collect_list("want").alias("want"), F.collect_list("got").alias("got"))
+    return both.select(*KEYS, F.explode("want").alias("want"), "got").select(*KEYS, "want", F.explode_outer("got").alias("got")).select(*KEYS, "want.*", "got.*")
 
 
 def _values(gold: DataFrame, answers: DataFrame) -> DataFrame:
     """A row for each run and different value of a field, given or of a gold set: how often it is
     wanted and given, the first place where it is given, the number of places where it is both,
-    the frames that show it, and those cited where it is first given. Gold is dealt to the runs
-    first, so one exchange brings together all that is about a value."""
-    g = gold.filter("kind = 'set'").select("question_id", "field", "match", "value", "place", "frames")
-    want = _runs(answers).join(g, "question_id").select(*KEYS, "value", "match", "place", "frames", F.lit(True).alias("gold"))
-    got = answers.select(*KEYS, "value", F.lit(None).cast("string").alias("match"), "place", "frames", F.lit(False).alias("gold"))
+    the frames that show it, and those cited where it is first given."""
+    want = _wanted(gold.filter("kind = 'set'"), answers).select(*KEYS, "value", "match", "place", "frames", F.lit(True).alias("gold"))
+    got = _dealt(answers).select(*KEYS, "value", F.lit(None).cast("string").alias("match"), "place", "frames", F.lit(False).alias("gold"))
     of, by = F.col("gold"), ~F.col("gold")
     places = lambda side: F.collect_list(F.when(side, F.col("place")))
-    v = want.unionByName(got).repartition(*KEYS, "value").groupBy(*KEYS, "value")
-    return v.agg(
+    return want.unionByName(got).groupBy(*KEYS, "value").agg(
         F.max("match").alias("match"), F.count_if(of).alias("wanted"), F.count_if(by).alias("given"), F.min(F.when(by, F.col("place"))).alias("ahead"),
         F.size(F.array_intersect(places(of), places(by))).alias("in_place"), F.array_distinct(F.flatten(F.collect_list(F.when(of, F.col("frames"))))).alias("golden"),
         F.min_by("frames", F.when(by, F.col("place"))).alias("cited"),
@@ -85,30 +95,33 @@ def _sets(values: DataFrame) -> DataFrame:
     return s.select(*KEYS, right.alias("pass"), F.when(top, F.round(F.col("hits") / F.col("n"), 4)).alias("partial"), F.when(top, F.least("m", "n") - F.col("in_place")).alias("rank_errors"))
 
 
-def citations(gold: DataFrame, answers: DataFrame, frames: DataFrame) -> DataFrame:
+def citations(gold: DataFrame, answers: DataFrame, frames: DataFrame, store: bool = True) -> DataFrame:
     """One row a run and gold value (sets: element): cited, precision, recall, valid, equivalent,
     related, irrelevant, invalid, pass and review.
 
     A cited frame that isn't gold is equivalent if its flow and kind are those of a gold frame,
     related if its flow is, invalid if the capture doesn't have it, else irrelevant. A
     citation passes if all of it is gold and some is there; without gold frames none may be.
-    Equal elements of a gold set are one, with the frames of all."""
-    return _citations(_singles(gold, answers), _values(gold, answers), frames)
+    Equal elements of a gold set are one, with the frames of all. What is cited is written on
+    the way, or without `store` made twice: where gold, answers and frames are of one exchange,
+    a single plan reads it again and a second one would deal it again."""
+    return _citations(_singles(gold, answers), _values(gold, answers), frames, store)
 
 
-def _citations(singles: DataFrame, values: DataFrame, frames: DataFrame) -> DataFrame:
+def _citations(singles: DataFrame, values: DataFrame, frames: DataFrame, store: bool = True) -> DataFrame:
     key = [*KEYS, "element"]
     lone = singles.groupBy(*KEYS, "kind").agg(F.array_distinct(F.flatten(F.collect_list("golden"))).alias("golden"), F.min_by("cited", "place").alias("cited"))  # a repeated answer counts once
     both = lone.select(*KEYS, F.lit(None).cast("string").alias("element"), "golden", "cited").unionByName(values.filter("wanted > 0").select(*KEYS, F.col("value").alias("element"), "golden", "cited"))
     both = both.withColumn("cited", F.array_distinct(F.coalesce("cited", F.array().cast("array<bigint>")))).withColumn("others", F.array_except("cited", "golden"))
     size = lambda c: F.size(c).cast("bigint")
     own = F.when(F.size("others") > 0, F.col("golden"))
-    both = written(both.select(*key, size("cited").alias("cited"), (size("cited") - size("others")).alias("hits"), size("golden").alias("golden"), F.when(F.size("others") > 0, F.col("others")).alias("others"), own.alias("own")), "cited")
+    both = both.select(*key, size("cited").alias("cited"), (size("cited") - size("others")).alias("hits"), size("golden").alias("golden"), F.when(F.size("others") > 0, F.col("others")).alias("others"), own.alias("own"))
+    both = written(both, "cited") if store else both
     # only frames that aren't gold are looked up, and the gold frames beside them
     head = [*key, "cited", "hits", "golden"]
     as_rows = lambda c, gold: F.transform(c, lambda f: F.struct(f.alias("frame"), F.lit(gold).alias("gold")))
     each = both.filter("others is not null").select(*head, F.explode(F.concat(as_rows("others", False), as_rows("own", True))).alias("f")).select(*head, "f.frame", "f.gold")
-    each = each.join(frames.select("frame", "conv", "kind", F.lit(True).alias("there")), "frame", "left").repartition(*key)
+    each = each.join(frames.select("frame", "conv", "kind", F.lit(True).alias("there")), "frame", "left").select(*head, "gold", "there", "conv", "kind").repartition("question_id")
     there, gold = F.col("there").isNotNull(), F.col("gold")
     total = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
     each = each.groupBy(*head, "conv", "kind").agg(F.count_if(~gold & there).alias("n"), F.count_if(~gold & ~there).alias("lost"), F.count_if(gold & there).alias("own"))
