@@ -19,7 +19,7 @@ from packetloom.llm.common import ship, slices, tidy
 
 #: Bounds of what a worker remembers: pairs of tokens, transitions, and (in each of two
 #: generations) bytes of pieces with their ids. What is full is emptied.
-PAIRS, STEPS, MEMO = 200_000, 200_000, 16 << 20
+PAIRS, STEPS, MEMO = 200_000, 200_000, 48 << 20
 #: Bytes of memory that an entry of the memo takes besides its piece and ids.
 ENTRY = 180
 #: Longer pieces aren't memoised as a whole.
@@ -74,11 +74,13 @@ class Transducer:
         n = len(self.parent)
         self.stem = bytes(stem)  # whether a longer token begins so
         self.fall = array("i", [-1]) * n
-        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * n
+        self.ends: list[tuple[tuple[int, int, dict[int, bool]], ...] | None] = [None] * n
         self.none: dict[int, int] = {}  # stands for every state without a determinised transition
         self.go: list[dict[int, int]] = [self.none] * n
         self.steps = 0
-        self.apart: dict[int, bool] = {}
+        #: For each token, whether it stays apart from a left neighbour; from none (-1) it does.
+        self.apart: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
 
     def merged(self, data: bytes, least: int = 1) -> list[bytes]:
         """The merges by definition: of all neighbours, the pair of the lowest rank first,
@@ -125,11 +127,13 @@ class Transducer:
             self.go[state][byte] = out
         return out
 
-    def _ends(self, state: int) -> tuple[tuple[int, int], ...]:
-        """(token, bytes) of the tokens that may end here, the longest first."""
+    def _ends(self, state: int) -> tuple[tuple[int, int, dict[int, bool]], ...]:
+        """(token, bytes, what is known of its left neighbours) of the tokens that may end here,
+        the longest first."""
         out = self.ends[state]
         if out is None:
-            own = ((self.token[state], self.depth[state]),) if self.token[state] >= 0 else ()
+            token = self.token[state]
+            own = ((token, self.depth[state], self.apart.setdefault(token, {-1: True})),) if token >= 0 else ()
             out = self.ends[state] = own + (self._ends(self._shorter(state)) if state else ())
         return out
 
@@ -139,12 +143,16 @@ class Transducer:
         Both are unmerged step by step, the younger first. At each step the two parts that
         meet are neighbours until one of them goes into its whole; they merge if their pair
         comes before that. Of equal pairs the left one is merged first."""
-        if len(self.apart) >= PAIRS:
-            self.apart.clear()
+        if self.pairs >= PAIRS:
+            for known in self.apart.values():  # states hold these, so they are emptied where they are
+                known.clear()
+                known[-1] = True
+            self.pairs = 0
+        self.pairs += 1
         words, get = self.words, self.ranks.get
         if not self.ordered:
             ok = self.merged(words[a] + words[b]) == [words[a], words[b]]
-            self.apart[a << 32 | b] = ok
+            self.apart[b][a] = ok
             return ok
         x, y, x_until, y_until = a, b, _NEVER, _NEVER
         while True:
@@ -161,7 +169,7 @@ class Transducer:
             else:
                 ok = True
                 break
-        self.apart[a << 32 | b] = ok
+        self.apart[b][a] = ok
         return ok
 
     def _final(self, state: int, sizes: list[int]) -> int:
@@ -180,41 +188,40 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        go, ends, apart = self.go, self.ends, self.apart
-        state, last, n = 0, -1, 0
-        tokens: list[int] = []  # of each prefix not yet emitted: its last token, and that token's size
-        sizes: list[int] = []
-        for byte in piece:
-            to = go[state].get(byte)
-            state = self._next(state, byte) if to is None else to
-            n += 1
-            for token, size in ends[state] or self._ends(state):
-                before = tokens[n - size - 1] if n > size else last
-                if before < 0:
-                    break
-                ok = apart.get(before << 32 | token)
-                if ok is None:
-                    ok = self._separate(before, token)
-                if ok:
-                    break
-            tokens.append(token)
-            sizes.append(size)
-            if n >= LOOKED:
+        go, ends = self.go, self.ends
+        state, n = 0, 0
+        tokens = [-1]  # the last token emitted, then of each prefix not yet emitted its last token
+        for start in range(0, len(piece), LOOKED):
+            if n:
+                sizes = [len(self.words[t]) for t in tokens[1:]]
                 cut = self._final(state, sizes)
                 if cut:
-                    ready = self._back(tokens, sizes, cut)
+                    ready = self._back(tokens, cut)
                     out += ready
-                    last = ready[-1]
-                    del tokens[:cut], sizes[:cut]
                     n -= cut
-        return out + self._back(tokens, sizes, n)
-
-    @staticmethod
-    def _back(tokens: list[int], sizes: list[int], n: int) -> list[int]:
-        out = []
+                    tokens = [ready[-1], *tokens[cut + 1 :]]
+            add = tokens.append
+            for byte in piece[start : start + LOOKED] if start or len(piece) > LOOKED else piece:
+                try:
+                    state = go[state][byte]
+                except KeyError:
+                    state = self._next(state, byte)
+                n += 1
+                for token, size, known in ends[state] or self._ends(state):
+                    ok = known.get(tokens[n - size])
+                    if ok is None:
+                        ok = self._separate(tokens[n - size], token)
+                    if ok:
+                        break
+                add(token)
+        return out + self._back(tokens, n)
+
+    def _back(self, tokens: list[int], n: int) -> list[int]:
+        out, words = [], self.words
         while n:
-            out.append(tokens[n - 1])
-            n -= sizes[n - 1]
+            token = tokens[n]
+            out.append(token)
+            n -= len(words[token])
         return out[::-1]
 
 
@@ -267,8 +274,8 @@ class Codec:
         return out
 
     def _miss(self, piece: str) -> bytes:
-        """Two generations: a full memo becomes the older one, and what is used again stays."""
-        out = self.memo.get(piece) or self.older.get(piece)
+        """A piece that isn't in the memo. Two generations: a full memo becomes the older one, and what is used again stays."""
+        out = self.older.get(piece)
         if out is None:
             out = array("i", self.transducer.encode(piece.encode("utf-8", "replace"))).tobytes()
         if len(piece) <= PIECE_CHARS:
